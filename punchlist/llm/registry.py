@@ -11,6 +11,7 @@ MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_decontamination": "decontamination",
     "op6_secret_scan": "secret_scan",
+    "op10_jaccard_join": "jaccard_join",
 }
 
 
