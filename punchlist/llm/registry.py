@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_decontamination": "decontamination",
+    "op4_winnowing": "winnowing",
     "op6_secret_scan": "secret_scan",
+    "op7_ppm": "ppm",
     "op10_jaccard_join": "jaccard_join",
 }
 
