@@ -11,6 +11,7 @@ MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_decontamination": "decontamination",
     "op4_winnowing": "winnowing",
+    "op5_language_id": "language_id",
     "op6_secret_scan": "secret_scan",
     "op7_ppm": "ppm",
     "op10_jaccard_join": "jaccard_join",
