@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_decontamination": "decontamination",
+    "op3_quality": "quality",
     "op4_winnowing": "winnowing",
     "op5_language_id": "language_id",
     "op6_secret_scan": "secret_scan",
     "op7_ppm": "ppm",
+    "op9_toxicity": "toxicity",
     "op10_jaccard_join": "jaccard_join",
 }
 
