@@ -4,8 +4,8 @@ Severity has grades 0 to 3. P(grade > k) = logistic(x . b - t_k) with one weight
 t_0 < t_1 < t_2 share; a document's severity is the expected grade. Its features are the dampened counts of those words whose
 share of toxic and of clean documents in the training sample differs by ``MIN_Z`` standard errors or more.
 
-Labels say toxic or not; toxic documents of the sample get a grade of 1 to 3 by the thirds of their share of words that speak
-for toxicity. The model is fitted on at most ``SAMPLE_ROWS`` labelled documents (a bounded sample by hash of the id) whose
+Labels say toxic or not; toxic documents of the sample get a grade of 1 to 3 by the thirds of their evidence, the dampened
+counts of words that speak for toxicity. The model is fitted on at most ``SAMPLE_ROWS`` labelled documents (a bounded sample by hash of the id) whose
 crc32 modulo 5 is not 0; the rest are held out. A document is toxic if P(grade > 0) is at least ``threshold``.
 
 Defined results: a null or empty text has no features and gets the score that this means. Without toxic or without clean
@@ -63,10 +63,9 @@ def fit(sample: Sample, shrink: float = 1e-3) -> Ordinal:
     row, col, x = sample.row[used], slot[of][used], np.log1p(sample.n[used])
 
     speaks = (z[chosen] > 0)[col]
-    total = np.maximum(np.bincount(sample.row, sample.n, minlength=len(y)), 1)
-    share = np.bincount(row[speaks], sample.n[used][speaks], minlength=len(y)) / total
-    cuts = np.quantile(share[y], [i / GRADES for i in range(1, GRADES)])
-    grade = np.where(y, 1 + np.searchsorted(cuts, share, side="right"), 0)
+    evidence = np.bincount(row[speaks], x[speaks], minlength=len(y))
+    cuts = np.quantile(evidence[y], [i / GRADES for i in range(1, GRADES)])
+    grade = np.where(y, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
 
     # Adam on the likelihood of the grades; thresholds are a first one and positive steps.
     d = len(chosen)
