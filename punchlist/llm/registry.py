@@ -15,6 +15,7 @@ MODULES = {
     "op5_language_id": "language_id",
     "op6_secret_scan": "secret_scan",
     "op7_ppm": "ppm",
+    "op8_pieces": "pieces",
     "op9_toxicity": "toxicity",
     "op10_jaccard_join": "jaccard_join",
 }
