@@ -63,3 +63,10 @@ def heavy_light_join(left: DataFrame, counts: DataFrame, key: str, n: str, total
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``."""
     return F.crc32(doc_id.cast("string")) % m
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, max_sent: int = 1_000_000) -> DataFrame:
+    """``docs`` without the ids of ``gone`` (one column, no nulls): broadcast while their checked number is small, shuffled beyond."""
+    gone = written(gone.distinct(), "gone")
+    few = gone.limit(max_sent + 1).count() <= max_sent
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
