@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, table, without, written
 
 WINDOW, MAX_BROADCAST, BLOCK = 13, 200_000, 4_096
 #: What separates words, after A-Z were lower-cased.
@@ -104,6 +104,12 @@ def decontaminated(result: DataFrame) -> DataFrame:
     return result.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` without contaminated documents; rows whose id is null stay."""
+    result = decontaminated(decontaminate(docs, benchmark, id_col, text_col, **settings))
+    return without(docs, result.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("gone_id")), id_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminated(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))

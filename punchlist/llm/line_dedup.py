@@ -23,12 +23,13 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text, one row per row of ``docs``."""
+    """doc_id, n_lines, n_dropped, the kept text, and ``others`` (a struct of the other columns), one row per row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
         F.split(text, "\n", -1).alias("lines"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias("_")).alias("others"),
     )
 
     def hashed(line: Column) -> Column:
@@ -62,9 +63,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"),
         F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n").alias("kept_text"),
+        "others",
     )
 
 
+def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **settings: int) -> DataFrame:
+    """``docs`` with the kept texts (and their lengths, where there is such a column); no document goes."""
+    out = line_dedup(docs, id_col, text_col, **settings)
+    new = {id_col: F.col("doc_id"), text_col: F.col("kept_text"), length_col: F.length("kept_text").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col(f"others.`{c}`")).alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -25,6 +25,8 @@ from .common import crc_mod, table
 from .features import STATISTICS, Codes, Sample, labelled_sample, structure, word_counts
 
 SAMPLE_ROWS, RANK, EPOCHS, BANDS, SEED = 8_000, 8, 12, 16, 7
+#: Small samples are gone through more often, for as many steps at least.
+MIN_STEPS = 600
 #: Buckets of hashed words.
 BUCKETS = 1 << 17
 FEATURES = BUCKETS + len(STATISTICS) * BANDS
@@ -73,13 +75,14 @@ def fit(sample: Sample, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.
     rng = np.random.default_rng(SEED)
     model = Machine(rng)
     if not len(sample.y):
+        model.v[:] = 0
         return model
     at, x, starts = _rows(sample)
     ends = np.concatenate([starts[1:], [len(at)]])
     share = np.clip(sample.y.mean(), 0.01, 0.99)
     model.bias = float(np.log(share / (1 - share)))
     seen_w, seen_v = np.full(FEATURES, 1e-2, np.float32), np.full((FEATURES, RANK), 1e-2, np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-MIN_STEPS * batch // len(sample.y)))):
         order = rng.permutation(len(sample.y))
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]

@@ -90,19 +90,37 @@ def fit(sample: Sample, shrink: float = 1e-3) -> Ordinal:
     return Ordinal(words[chosen], theta[:d], theta[d] + np.concatenate([[0], np.cumsum(np.exp(theta[d + 1 :]))]))
 
 
+def _above(model: Ordinal, codes: Codes, texts: pa.Array) -> np.ndarray:
+    above = np.zeros((len(texts), GRADES))
+    for first in range(0, len(texts), 256):
+        for i, text in enumerate(texts.slice(first, 256).to_pylist()):
+            above[first + i] = model.above(*word_counts(text or "", codes))
+    return above
+
+
 def _score(shared):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, codes = shared.value, Codes()
+        codes = Codes()
         for batch in batches:
-            above = np.zeros((batch.num_rows, GRADES))
-            for first in range(0, batch.num_rows, 256):
-                for i, text in enumerate(batch.column(1).slice(first, 256).to_pylist()):
-                    above[first + i] = model.above(*word_counts(text or "", codes))
+            above = _above(shared.value, codes, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0].copy())], names=["doc_id", "severity", "p_toxic"])
 
     return of_batches
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns; nothing is shuffled."""
+    sample = labelled_sample(docs, labels, label, lambda i: crc_mod(i, folds) != 0, sample_rows, id_col, text_col)
+    model, at = docs.sparkSession.sparkContext.broadcast(fit(sample)), docs.columns.index(text_col)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            yield batch.filter(pa.array(_above(model.value, codes, batch.column(at))[:, 0] < threshold))
+
+    return docs.mapInArrow(of_batches, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, severity (0 to 3), p_toxic, toxic_pred."""
     sample = labelled_sample(docs, labels, label, lambda i: crc_mod(i, folds) != 0, sample_rows, id_col, text_col)
