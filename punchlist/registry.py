@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.bound import ORACLES, QUERIES
+
+MODULES = ("people", "registers", "books", "ledgers")
+
+for _name in MODULES:
+    import_module(f"{__package__}.plans.{_name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Per person: joints credited and examined, and whether the minimum is met."""
+    return QUERIES["a1_credit_rollup"](spark, sf_dir).orderBy("book", "person")
