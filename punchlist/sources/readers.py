@@ -47,7 +47,7 @@ def renamed(df: DataFrame, how, allowed: list[str] | None = None) -> DataFrame:
 def cell_dump(spark: SparkSession, path: str) -> DataFrame:
     """(file, sheet, row_no, col_no, value) of text dumps: ``# sheet`` heads, tab-separated rows, ``~n`` for n blank rows, and
     formulas after ``## formulas``, which are skipped."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
     return cells_of(text.select("file", F.posexplode("lines").alias("line_no", "line")))
 
 
