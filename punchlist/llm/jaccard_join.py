@@ -115,7 +115,8 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
 def summaries(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """(doc_id, size, s1, s2, bits, head): of each set its size, two hashes, parities, and the shingles first in order.
 
-    ``head`` has those whose hashes are in the counted share of the range, and as many more as a prefix needs.
+    ``head`` has those whose hashes are in the counted share of the range, and as many more as a prefix needs; sets that can be
+    light are whole in it, as their subsets are enumerated.
     """
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 m = BITS << max(0, int(2 * len(own) - 1).bit_length() - BITS.bit_length() + 1) if len(own) else BITS
                 odd = (np.bincount(own & (m - 1), minlength=m) & 1).astype(np.uint8)
                 bits.append(np.packbits(odd).view(np.int64))
-                heads.append(own[: max(np.searchsorted(own, SPLIT), len(own) - -(-percent * len(own) // 100) + 1)])
+                heads.append(own if len(own) <= MAX_BOUNDARY else own[: max(np.searchsorted(own, SPLIT), len(own) - -(-percent * len(own) // 100) + 1)])
                 sizes.append(len(own))
             marks = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +207,9 @@ def _emit(sent, boundary: int, percent: int):
             keep = (rank <= spare[doc]) & listed[doc] & (tier > 0)
             keys, owner = [values[keep]], [doc[keep]]
             for i in np.flatnonzero((sizes > 0) & (sizes <= boundary)):
-                found = subset_keys(values[offsets[i] : offsets[i + 1]].tolist(), percent, boundary)
+                own = values[offsets[i] : offsets[i + 1]].tolist()
+                assert len(own) == sizes[i], "subsets need the whole set"
+                found = subset_keys(own, percent, boundary)
                 keys.append(np.array(found, np.int64))
                 owner.append(np.full(len(found), i))
             owner = np.concatenate(owner)

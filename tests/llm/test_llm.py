@@ -263,6 +263,30 @@ def test_jaccard_components(spark):
     assert {r["doc_id"] for r in one_of_each(table(spark, rows)).collect()} == {i for i in sets if find(i) == i}
 
 
+@pytest.mark.parametrize("boundary", [5, 8, 9, 12])
+def test_jaccard_light_pairs(spark, monkeypatch, boundary):
+    from punchlist.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda *_: boundary)
+    rows, want = [], {}
+    for n in range(8, 17):
+        for k in range(6):
+            base = [f"w{n}x{k}x{j}" for j in range(n)]
+            for text in (base, ["new", *base], [*base, "new"], base[1:], base[:-1]):
+                rows.append((len(rows), " ".join(text)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    for first in range(0, len(rows), 5):
+        group = range(first, first + 5)
+        for i in group:
+            reached = {i}
+            while more := {j for j in group for x in reached if 100 * len(sets[x] & sets[j]) >= 80 * len(sets[x] | sets[j])} - reached:
+                reached |= more
+            want[i] = min(reached)
+    for settings in ({}, {"max_sent": 1}):
+        got = {i: r["component_id"] for i, r in by_id(jaccard_join.jaccard_components(table(spark, rows), **settings)).items()}
+        assert got == want, (settings, sum(got[i] != want[i] for i in want), len({x for x in want if want[x] != x}))
+
+
 def test_jaccard_boundary():
     from punchlist.llm.jaccard_join import choose_boundary
 
