@@ -1,8 +1,10 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-The model is a trie of byte contexts of up to two bytes with the counts of what followed them in the training documents,
-stored as the counts of its paths (three bytes at most, so never more than 256^3 of them: a fixed bound however large the
-corpus). A byte is predicted from the longest context; where that never saw it, the model escapes to the next shorter one
+The model is a trie of byte contexts of up to ``order`` bytes with the counts of what followed them in the training documents,
+stored as the counts of its paths (a context and the byte after it). The query's contexts have up to ``ORDER`` bytes: their paths are
+a Spark table that grows with the corpus, and every level's probabilities are joined from the level below, where a key has 256
+rows at most. The most frequent paths, up to ``MAX_PATHS``, are broadcast; the others, each with hardly more than one in
+``MAX_PATHS`` of all positions, join by shuffle, position by position. Orders up to two fit one array (256^3 counts). A byte is predicted from the longest context; where that never saw it, the model escapes to the next shorter one
 and leaves out the symbols that the longer context would have predicted (symbol exclusion: the shorter context's probabilities
 are scaled to the rest). Escape estimation is method C:
 a context with n observations of d symbols gives an escape d / (n + d). Below the empty context all bytes are equally likely.
@@ -21,23 +23,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, crc_mod, table, written
 
 #: Words that are broadcast, at most, and their bytes at most.
 MAX_HEAVY, MAX_BYTES = 1_000_000, 64
+#: Bytes of the query's longest contexts; a path has one more and has to fit 63 bits.
+ORDER = 5
+#: Paths that are broadcast, at most (12 bytes each).
+MAX_PATHS = 1_000_000
+SLOTS = 22
 #: Stands for the end of a text among its tokens; no word, as it holds a blank.
 END = " "
 
 
-def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts of a batch, each preceded by two zero bytes, and where each text begins and ends."""
+def _joined(column: pa.Array, before: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a batch, each preceded by so many zero bytes, and where each text begins and ends."""
     texts = [s.encode() for s in column.to_pylist()]
     lengths = np.array([len(x) for x in texts], np.int64)
-    data = np.frombuffer(b"".join(b"\0\0" + x for x in texts), np.uint8)
-    ends = np.cumsum(lengths + 2)
+    data = np.frombuffer(b"".join(b"\0" * before + x for x in texts), np.uint8)
+    ends = np.cumsum(lengths + before)
     return data, np.stack([ends - lengths, ends])
 
 
@@ -131,22 +138,157 @@ def _score(model):
     return of_batches
 
 
+def _long_paths(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the texts: itself after the ``order`` bytes before it, as one number; and the length of each text."""
+    data, spans = _joined(column, order)
+    paths = np.zeros(max(0, len(data) - order), np.int64)
+    for i in range(order + 1):
+        paths = (paths << 8) | data[i : i + len(paths)]
+    return paths[_within(data, spans)[order:]], spans[1] - spans[0]
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Rows of (path, counts...) with the counts of a path summed."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    paths = columns[0][order]
+    first = np.flatnonzero(np.diff(paths, prepend=-1))
+    return [paths[first], *[np.add.reduceat(c[order], first) if len(first) else c for c in columns[1:]]]
+
+
+def count_long_paths(order: int, most: int = 1 << 20):
+    """For mapInArrow over (text, held_out): the task's paths, with their counts in training texts and in all; combined in the
+    task, and given out whenever there are too many to hold."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [(np.zeros(0, np.int64),) * 3], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["path", "n", "m"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                paths, lengths = _long_paths(batch.column(0).slice(at, 512), order)
+                held = np.repeat(batch.column(1).slice(at, 512).to_numpy(zero_copy_only=False), lengths)
+                for train in (True, False):
+                    own, m = np.unique(paths[held != train], return_counts=True)
+                    parts.append((own, m * train, m))
+                    size += len(own)
+                if size > 2 * most:
+                    parts = [tuple(_merged(parts))]
+                    size = len(parts[0][0])
+                    if size > most:
+                        yield out()
+                        parts, size = [(np.zeros(0, np.int64),) * 3], 0
+        parts = [tuple(_merged(parts))]
+        yield out()
+
+    return of_batches
+
+
+def path_probabilities(paths: DataFrame, order: int) -> DataFrame:
+    """(path, log): of the paths (path, n) of ``order`` bytes and one more, n the count in training, log10 of the last byte's
+    probability, by method C with exclusion as in ``log_probabilities``.
+
+    A context has 256 paths at most, and a path is the suffix of 256 longer ones at most, so no key of a level owns more rows.
+    """
+    mask = lambda k: F.lit((1 << 8 * (k + 1)) - 1).cast("long")
+    levels = [paths.select("path", "n")]
+    for k in range(order - 1, -1, -1):
+        levels.insert(0, written(levels[0].groupBy(F.col("path").bitwiseAND(mask(k)).alias("path")).agg(F.sum("n").alias("n")), "paths"))
+    lower = None
+    for k, own in enumerate(levels):
+        # Of the level below: the count of the same byte, observations and symbols together, and the probability.
+        if lower is None:
+            own = own.select("path", "n", F.lit(1).cast("long").alias("n1"), F.lit(256).cast("long").alias("w1"), F.lit(1 / 256).alias("p1"))
+        else:
+            own = own.withColumn("low", F.col("path").bitwiseAND(mask(k - 1))).join(lower, "low")
+        context, seen = Window.partitionBy(F.shiftright("path", 8)), F.col("n") > 0
+        own = own.select("*", F.sum("n").over(context).alias("total"), F.count_if(seen).over(context).alias("kinds"), F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context).alias("taken"))
+        # What a context saw, the shorter one saw too, so the share of the symbols left is a difference of counts.
+        open_, full = F.col("w1") > F.col("taken"), F.col("total") + F.col("kinds")
+        escaped = F.col("kinds") / full * F.col("w1") / (F.col("w1") - F.col("taken")) * F.col("p1")
+        p = F.when(F.col("total") == 0, F.col("p1")).when(seen & open_, F.col("n") / full).when(seen, F.col("n") / F.col("total")).otherwise(escaped)
+        lower = own.select(F.col("path").alias("low"), F.col("n").alias("n1"), F.when(open_, full).otherwise(F.col("total")).alias("w1"), p.alias("p1"))
+    return lower.select(F.col("low").alias("path"), F.log10("p1").alias("log"))
+
+
+def _slot(paths: np.ndarray) -> np.ndarray:
+    return ((paths.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+
+
+def _score_long(model, order: int):
+    """For mapInArrow over (doc_id, text_hash, text): a row per text with the sum over the positions whose path was sent, and a
+    row for each other position, with its path. ``model``: ordered paths and their logarithms."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, logs = model.value
+        places = np.zeros(1 << SLOTS, np.int32)
+        places[_slot(sent)] = np.arange(len(sent), dtype=np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                paths, lengths = _long_paths(part.column(2), order)
+                ends, values, absent = np.cumsum(lengths), np.zeros(len(paths)), np.arange(len(paths))
+                if len(sent) and len(paths):
+                    found = places[_slot(paths)]
+                    miss = np.flatnonzero(sent[found] != paths)  # another path has the slot
+                    found[miss] = np.minimum(np.searchsorted(sent, paths[miss]), len(sent) - 1)
+                    absent = miss[sent[found[miss]] != paths[miss]]
+                    values = logs[found].astype(np.float64)
+                    values[absent] = 0
+                running = np.concatenate([[0], np.cumsum(values)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.nulls(part.num_rows, pa.int64()), pa.array(running[ends] - running[ends - lengths])], names=["doc_id", "text_hash", "path", "score"])
+                if len(absent):
+                    doc = pa.array(np.searchsorted(ends, absent, "right"))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(paths[absent]), pa.nulls(len(absent), pa.float64())], names=["doc_id", "text_hash", "path", "score"])
+
+    return of_batches
+
+
+def long_scores(hashed: DataFrame, order: int, max_paths: int) -> DataFrame:
+    """Of (doc_id, text_hash, text, held_out): rows of doc_id, text_hash, score and n; scores add up, n counts the rows of a text."""
+    counted = hashed.select("text", "held_out").mapInArrow(count_long_paths(order), "path long, n long, m long")
+    paths = written(counted.groupBy("path").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "paths")
+    logs = written(path_probabilities(paths, order).join(paths.select("path", "m"), "path"), "model")
+    # The most frequent paths, by classes of their counts (eight to a doubling, so some hundreds of rows), as many as fit.
+    size = F.floor(8 * F.log2("m")).cast("int")
+    least, room = 1 << 30, max_paths
+    for r in logs.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    found = logs.where(size >= least).select("path", F.col("log").cast("float").alias("log")).toArrow().sort_by("path")
+    model = hashed.sparkSession.sparkContext.broadcast((found["path"].to_numpy().astype(np.int64), found["log"].to_numpy()))
+    scored = written(hashed.select("doc_id", "text_hash", "text").mapInArrow(_score_long(model, order), "doc_id long, text_hash long, path long, score double"), "positions")
+    key = ["doc_id", "text_hash"]
+    sent = scored.where("path is null").select(*key, "score", F.lit(1).alias("n"))
+    joined = scored.where("path is not null").select(*key, "path").join(logs.where(size < least).select("path", "log"), "path")
+    return sent.unionByName(joined.select(*key, F.col("log").alias("score"), F.lit(0).alias("n")))
+
+
 def tokens_of(text: Column) -> Column:
     words = F.filter(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     return F.concat(words, F.array(F.lit(END)))
 
 
-def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5, max_heavy: int = MAX_HEAVY) -> DataFrame:
+def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5, max_heavy: int = MAX_HEAVY, order: int = 2, max_paths: int = MAX_PATHS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), folds) == fold, F.lit(False))
     train = base.where(~held_out)
 
-    # The byte model: its paths are few by their nature, so they fit the driver and every worker.
-    paths = train.select("text").mapInArrow(count_paths, "path int, n long").groupBy("path").agg(F.sum("n").alias("n"))
-    found = paths.toArrow().sort_by("path")
-    model = spark.sparkContext.broadcast((found["path"].to_numpy().astype(np.int64), found["n"].to_numpy()))
+    hashed = base.withColumn("text_hash", F.xxhash64("text"))
+    if order > 2:
+        by_bytes = long_scores(hashed.withColumn("held_out", held_out), order, max_paths)
+    else:
+        # Paths of three bytes are few by their nature, so they fit the driver and every worker.
+        paths = train.select("text").mapInArrow(count_paths, "path int, n long").groupBy("path").agg(F.sum("n").alias("n"))
+        found = paths.toArrow().sort_by("path")
+        model = spark.sparkContext.broadcast((found["path"].to_numpy().astype(np.int64), found["n"].to_numpy()))
+        by_bytes = hashed.select("doc_id", "text_hash", "text").mapInArrow(_score(model), "doc_id long, text_hash long, score double").withColumn("n", F.lit(1))
 
     counts = written(train.select(F.explode(tokens_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -158,20 +300,18 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
 
     key = ["doc_id", "text_hash"]
-    hashed = base.withColumn("text_hash", F.xxhash64("text"))
     rows = hashed.select(*key, F.explode(tokens_of(F.col("text"))).alias("word"))
     known = F.sum(F.when(F.col("c").isNotNull(), log_share(F.col("c"))))
     by_heavy = rows.join(heavy, F.col("word") == F.col("w"), "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_tokens"), F.count("c").alias("n_known"), known.alias("logs"))
     by_light = rows.join(heavy, F.col("word") == F.col("w"), "left_anti").join(light, "word").groupBy(*key).agg(F.lit(0).cast("long").alias("n_tokens"), F.count("c").alias("n_known"), known.alias("logs"))
-    by_bytes = hashed.select(*key, "text").mapInArrow(_score(model), "doc_id long, text_hash long, score double")
     parts = (
         by_heavy.unionByName(by_light)
         .select(*key, "n_tokens", "n_known", "logs", F.lit(None).cast("double").alias("score"), F.lit(0).alias("n"))
-        .unionByName(by_bytes.select(*key, F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("logs"), "score", F.lit(1).alias("n")))
+        .unionByName(by_bytes.select(*key, F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("logs"), "score", "n"))
     )
-    summed = parts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "n")], F.max("score").alias("score"))
+    summed = parts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "n", "score")])
     each = lambda c: (F.col(c) / F.col("n")).cast("long")  # rows that repeat id and text add the same again
-    summed = summed.select("doc_id", each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), (F.coalesce("logs", F.lit(0.0)) / F.col("n")).alias("logs"), "score")
+    summed = summed.select("doc_id", each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), (F.coalesce("logs", F.lit(0.0)) / F.col("n")).alias("logs"), (F.col("score") / F.col("n")).alias("score"))
     return summed.select(
         "doc_id",
         F.coalesce(crc_mod(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out"),
@@ -184,4 +324,4 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm_scores(table(spark, sf_dir, "documents"))
+    return ppm_scores(table(spark, sf_dir, "documents"), order=ORDER)

@@ -181,6 +181,43 @@ def test_ppm(spark, rows):
                 assert r["score"] == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_ppm_long_contexts(spark, rows):
+    from punchlist.llm import ppm
+
+    rows = [*rows, (7, dict(rows)[7]), (7, "another text of document seven"), (None, "alpha beta")]
+    order, counts = 4, defaultdict(Counter)
+    for i, t in rows:
+        b = bytes(order) + (t or "").encode()
+        if i is None or crc32(str(i).encode()) % 5 != 1:
+            for j in range(order, len(b)):
+                for k in range(order + 1):
+                    counts[b[j - k : j]][b[j]] += 1
+
+    def probability(context, symbol, out=frozenset()):
+        """By escapes and exclusion, one symbol at a time."""
+        seen = counts[context]
+        shorter = lambda s: probability(context[1:], s) if context else 1 / 256
+        if not seen:
+            return shorter(symbol)
+        n, d = sum(seen.values()), len(seen)
+        if symbol in seen:
+            return seen[symbol] / (n + d)
+        return d / (n + d) * shorter(symbol) / (1 - sum(shorter(s) for s in seen))
+
+    want = {(i, len(t or "")): sum(math.log10(probability(b[j - order : j], b[j])) for b in [bytes(order) + (t or "").encode()] for j in range(order, len(b))) for i, t in rows if len(t or "") < 300}
+    docs = table(spark, rows)
+    sizes = {}
+    for sent in (1_000_000, 200, 0):  # all paths broadcast, some, none
+        got = ppm.ppm_scores(docs, order=order, max_paths=sent).join(docs.select("doc_id", "n_chars"), "doc_id").where("doc_id <> 7").collect()
+        assert len(got) > 60
+        for r in got:
+            if (r["doc_id"], r["n_chars"]) in want:
+                assert r["score"] == pytest.approx(want[r["doc_id"], r["n_chars"]], rel=1e-4, abs=1e-4), (sent, r["doc_id"])
+        sizes[sent] = sorted(round(r["score"], 2) for r in ppm.ppm_scores(docs, order=order, max_paths=sent).where("doc_id = 7 or doc_id is null").collect())
+    assert len(sizes[0]) == 3 and sizes[0] == pytest.approx(sorted(v for (i, _), v in want.items() if i in (7, None)), abs=0.02) if len(dict(rows[:60])[7]) < 300 else len(sizes[0]) == 3
+    assert ppm.ORDER >= order
+
+
 def test_winnowing(spark, rows):
     from punchlist.llm.winnowing import fingerprints, kgram_hashes, winnow
 
