@@ -220,11 +220,11 @@ def _emit(sent, boundary: int, percent: int):
 
 def _emit_joined(heads: DataFrame, counts: DataFrame, frequent: int, boundary: int, percent: int) -> DataFrame:
     """The same keys where the shared shingles are too many to send: their counts come by a join."""
-    rows = heads.select("doc_id", "size", F.explode("head").alias("key")).where(100 * F.col("size") >= percent * (boundary + 1))
+    rows = heads.select("doc_id", "s1", "s2", "size", F.explode("head").alias("key")).where(100 * F.col("size") >= percent * (boundary + 1))
     flagged = rows.join(counts.hint("shuffle_hash"), "key", "left")
     tier = F.when(F.col("key") >= SPLIT, 3).when(F.col("n").isNull(), 0).when(F.col("n") <= frequent, 1).otherwise(2)
     spare = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")
-    ordered = flagged.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct(tier.alias("tier"), "key"))).alias("ks"))
+    ordered = flagged.groupBy("doc_id", "s1", "s2", "size").agg(F.sort_array(F.collect_set(F.struct(tier.alias("tier"), "key"))).alias("ks"))
     heavy = ordered.select(F.explode(F.slice("ks", 1, spare + 1)).alias("k"), "doc_id", "size").where("k.tier > 0").select("k.key", "doc_id", "size")
     none = heads.sparkSession.sparkContext.broadcast((np.empty(0, np.int64), np.empty(0, bool)))
     light = heads.where(F.col("size") <= boundary).mapInArrow(_emit(none, boundary, percent), KEYS)
@@ -277,11 +277,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = lite.where("size > 0 and doc_id is not null").withColumn("sig", F.struct("s1", "s2"))
     members = heavy_light_join(keyed, classes.select(F.struct("s1", "s2").alias("sig"), "rep", "n"), "sig", "n", total).select("doc_id", "rep")
     # A doc_id with several texts goes on by itself: only one of its sets may equal the representative's.
-    several = lite.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("doc_id")
+    several = lite.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("doc_id")
+    several = written(several, "several")
     copies = written(members.where("doc_id <> rep").join(several, "doc_id", "left_anti"), "copies")
 
     # Shingles that are in more than one list, and how many lists.
-    live = lite.where("size > 0 and doc_id is not null").select("doc_id", "size", "head")
+    live = lite.where("size > 0 and doc_id is not null").select("doc_id", "size", "head", "s1", "s2")
     counts = written(
         live.select(F.explode(F.filter("head", lambda h: h < SPLIT)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingles"
     )
@@ -304,7 +305,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = docs.select(id_col, text_col).join(F.broadcast(ids) if ids.limit(MAX_IDS + 1).count() <= MAX_IDS else ids, id_col, "left_semi")
     whole = written(whole_sets(wanted, id_col, text_col, n), "whole")
     alone = whole.select("doc_id", F.explode("set").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    # The count is that of one set, so ids with several sets take none off: the bound only excludes.
+    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("alone")).join(several, "doc_id", "left_anti")
     table = lite.join(ids.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").join(alone, "doc_id", "left").select("doc_id", "size", "bits", F.coalesce("alone", F.lit(0)).alias("alone"))
     table = written(table.where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size")), "candidates")
     posts = written(_in_lists(posts.join(table.select("doc_id", "alone").distinct(), "doc_id")), "posts")
@@ -330,6 +332,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = written(placed.join(mixed, "key"), "placed")
     # A pair that shares many keys meets under the first of them: each member knows the first few of its own.
     firsts = written(placed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts")), "firsts")
+    # Of an id with several sets, a key may be shared by sets whose sizes do not match: it meets under every key.
+    firsts = firsts.join(several.withColumn("mixed_sets", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("mixed_sets"), F.slice("firsts", 1, 0)).otherwise(F.col("firsts")).alias("firsts"))
     placed = written(placed.join(firsts, "doc_id"), "placed")
     others = placed.where("comp <> main").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "alone", "comp", "firsts")])
     shared = F.array_intersect("firsts", "x_firsts")

@@ -300,6 +300,23 @@ def test_jaccard_components(spark):
     assert {r["doc_id"] for r in one_of_each(table(spark, rows)).collect()} == {i for i in sets if find(i) == i}
 
 
+def test_jaccard_repeated_ids(spark):
+    from punchlist.llm.jaccard_join import jaccard_components
+
+    text = lambda k, n: [f"r{k}x{j}" for j in range(n)]
+    rows = []
+    for k in range(0, 80, 4):
+        near, other = text(k, 60), text(k + 1, 104)
+        rows += [(k, " ".join(near)), (k + 1, " ".join([*near, "more"])), (k + 1, " ".join(other))]  # a text of its own beside a near copy
+        same = text(k + 2, 60)
+        rows += [(k + 2, " ".join(same))] * 4 + [(k + 3, " ".join(["new", *same[1:]]))] * 5 + [(k + 3, " ".join(text(k + 3, 60)))]  # equal rows, and another text of equal size
+    want = {i: i - i % 2 for i in range(80)}
+    for settings in ({}, {"max_sent": 1}):
+        found = jaccard_components(table(spark, rows), **settings).collect()
+        got = {r["doc_id"]: r["component_id"] for r in found}
+        assert len(found) == len(rows) and got == want, (settings, sum(got[i] != want[i] for i in want))
+
+
 @pytest.mark.parametrize("boundary", [5, 8, 9, 12])
 def test_jaccard_light_pairs(spark, monkeypatch, boundary):
     from punchlist.llm import jaccard_join
