@@ -1,20 +1,25 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-The model is a trie of byte contexts of up to ``order`` bytes with the counts of what followed them in the training documents,
-stored as the counts of its paths (a context and the byte after it). The query's contexts have up to ``ORDER`` bytes: their paths are
-a Spark table that grows with the corpus, and every level's probabilities are joined from the level below, where a key has 256
-rows at most. The most frequent paths, up to ``MAX_PATHS``, are broadcast; the others, each with hardly more than one in
-``MAX_PATHS`` of all positions, join by shuffle, position by position. Orders up to two fit one array (256^3 counts). A byte is predicted from the longest context; where that never saw it, the model escapes to the next shorter one
-and leaves out the symbols that the longer context would have predicted (symbol exclusion: the shorter context's probabilities
-are scaled to the rest). Escape estimation is method C:
-a context with n observations of d symbols gives an escape d / (n + d). Below the empty context all bytes are equally likely.
+The model is a trie of byte contexts of up to ``order`` bytes with the counts of what followed them in the training documents:
+a byte or the end of the text, 257 symbols in all. The trie is stored as the counts of its paths (a context and the symbol
+after it), a Spark table that grows with the corpus; every level's probabilities are joined from the level below, where a key
+has 256 rows at most. The most frequent paths, up to ``MAX_PATHS``, are broadcast; the others, each with hardly more than one
+in ``MAX_PATHS`` of all positions, join by shuffle, position by position.
+
+A symbol is predicted from the longest context that was seen; where that never saw the symbol, the model escapes to the next
+shorter one, in which the symbols of the longer context no longer count (symbol exclusion): they leave its observations and
+its kinds of symbols before its own escape is estimated. Escape estimation is method C: n observations of d kinds of symbols
+give an escape d / (n + d), and none where no symbol is left to escape to. Below the empty context the symbols left are
+equally likely. So the probabilities of all texts sum to one.
 
 Beside it stands a unigram baseline over words, whose counts cover all training documents. Words that own more than a
 ``max_heavy``-th of all tokens, of which there can be no more than ``max_heavy``, are broadcast; the rest join by shuffle.
+Words are told apart by 128 bits of hashes, so that a long one costs no more than a short one.
 
-Defined results: a null text is empty: one token, the end, and a score of 0. Rows that repeat a ``doc_id`` each train the
-model and get a result; rows that repeat id and text are one in the result. A null ``doc_id`` is in the training part. With
-no training rows all counts are 0. Other columns are ignored; an empty table gives no rows. Whole texts are read.
+Defined results: a null text is empty: one token, the end, and the score of the end alone. Rows that repeat a ``doc_id`` each
+train the model and get a result; rows that repeat id and text are one in the result. A null ``doc_id`` is in the training
+part. With no training rows all counts are 0. Ids keep their type; other columns are ignored; an empty table gives no rows.
+Whole texts are read.
 """
 
 from __future__ import annotations
@@ -28,123 +33,35 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, crc_mod, table, written
 
-#: Words that are broadcast, at most, and their bytes at most.
-MAX_HEAVY, MAX_BYTES = 1_000_000, 64
-#: Bytes of the query's longest contexts; a path has one more and has to fit 63 bits.
+#: Words that are broadcast, at most (24 bytes each).
+MAX_HEAVY = 200_000
+#: Bytes of the longest contexts; a path has a symbol more and has to fit 63 bits.
 ORDER = 5
 #: Paths that are broadcast, at most (12 bytes each).
 MAX_PATHS = 1_000_000
 SLOTS = 22
+#: The symbols: 256 bytes and the end of a text. A path's last symbol takes 9 bits, its context 8 for each byte.
+SYMBOLS, STOP, BITS = 257, 256, 9
 #: Stands for the end of a text among its tokens; no word, as it holds a blank.
 END = " "
 
 
-def _joined(column: pa.Array, before: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts of a batch, each preceded by so many zero bytes, and where each text begins and ends."""
-    texts = [s.encode() for s in column.to_pylist()]
-    lengths = np.array([len(x) for x in texts], np.int64)
-    data = np.frombuffer(b"".join(b"\0" * before + x for x in texts), np.uint8)
-    ends = np.cumsum(lengths + before)
-    return data, np.stack([ends - lengths, ends])
-
-
-def _paths(data: np.ndarray) -> np.ndarray:
-    """For each byte from the third on: itself after the two before it, as one number."""
-    if len(data) < 3:
-        return np.zeros(0, np.uint32)
-    d = data.astype(np.uint32)
-    return (d[:-2] << np.uint32(16)) | (d[1:-1] << np.uint32(8)) | d[2:]
-
-
-def _within(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Which bytes belong to a text."""
-    edge = np.zeros(len(data) + 1, np.int8)
-    np.add.at(edge, spans[0], 1)
-    np.add.at(edge, spans[1], -1)
-    return np.cumsum(edge[:-1]).astype(bool)
-
-
-def _counted(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct paths and their counts, by a table over the bytes that occur."""
-    used = np.flatnonzero(np.bincount(paths & 255, minlength=256) + np.bincount(paths >> 8 & 255, minlength=256) + np.bincount(paths >> 16, minlength=256))
-    a = len(used)
-    if a**3 > len(paths):
-        return np.unique(paths, return_counts=True)
-    place = np.zeros(256, np.int64)
-    place[used] = np.arange(a)
-    n = np.bincount((place[paths >> 16] * a + place[paths >> 8 & 255]) * a + place[paths & 255], minlength=a**3)
-    at = np.flatnonzero(n)
-    return (used[at // (a * a)] << 16) | (used[at // a % a] << 8) | used[at % a], n[at]
-
-
-def count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over texts: one row per path of the task's texts, with its count."""
-    table = np.zeros(0, np.int64)
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1024):
-            data, spans = _joined(batch.column(0).slice(first, 1024))
-            own = _paths(data)[_within(data, spans)[2:]]
-            if not len(table):
-                table = np.zeros(1 << 24, np.int64)
-            for at in range(0, len(own), 1 << 22):
-                paths, n = _counted(own[at : at + (1 << 22)])
-                table[paths] += n
-    paths = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.array(paths.astype(np.int32)), pa.array(table[paths])], names=["path", "n"])
-
-
-def log_probabilities(paths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of the probability of every byte after every two bytes: float32 [65536, 256], by method C with exclusion."""
-    c2 = np.zeros((1 << 16, 256), np.float32)
-    c2.reshape(-1)[paths] = counts
-    c1 = c2.reshape(256, 256, 256).sum(axis=0, dtype=np.float64)
-    c0 = c1.sum(axis=0)
-
-    def level(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """One context: seen symbols get c / (n + d); the others share the escape by the lower level, seen ones excluded."""
-        n, d, unseen = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True), c == 0
-        if not n.any():
-            return lower
-        left = np.where(unseen, lower, 0).sum(axis=1, keepdims=True)
-        full = np.maximum(n + d, 1)
-        escaped = np.where(left > 0, d / full / np.where(left > 0, left, 1), 0)
-        # With every symbol seen there is nothing to escape to, so their shares fill the whole.
-        seen = np.where(left > 0, c / full, c / np.maximum(n, 1))
-        return np.where(n > 0, np.where(unseen, escaped * lower, seen), lower)
-
-    p0 = level(c0[None, :], np.full((1, 256), 1 / 256))
-    p1 = level(c1, np.broadcast_to(p0, (256, 256)))
-    out = np.empty((1 << 16, 256), np.float32)
-    for first in range(256):  # the rows of one oldest byte at a time
-        rows = slice(first * 256, first * 256 + 256)
-        out[rows] = np.log10(level(c2[rows].astype(np.float64), p1))
-    return out
-
-
-def _score(model):
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
-        for batch in batches:
-            if known is None:
-                known = log_probabilities(*model.value).reshape(-1)
-            scores = np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, 512):
-                data, spans = _joined(batch.column(2).slice(at, 512))
-                if len(data) > 2:
-                    logs = np.concatenate([[0, 0, 0], np.cumsum(known[_paths(data)], dtype=np.float64)])
-                    scores[at : at + 512] = logs[spans[1]] - logs[spans[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["doc_id", "text_hash", "score"])
-
-    return of_batches
-
-
 def _long_paths(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the texts: itself after the ``order`` bytes before it, as one number; and the length of each text."""
-    data, spans = _joined(column, order)
-    paths = np.zeros(max(0, len(data) - order), np.int64)
-    for i in range(order + 1):
-        paths = (paths << 8) | data[i : i + len(paths)]
-    return paths[_within(data, spans)[order:]], spans[1] - spans[0]
+    """For each symbol of the texts, their ends included: itself after the ``order`` bytes before it (zeros before a text), as
+    one number; and the number of symbols of each text."""
+    texts = [s.encode() for s in column.to_pylist()]
+    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+    data = np.frombuffer(b"".join(b"\0" * order + x + b"\0" for x in texts), np.uint8).astype(np.int64)
+    ends = np.cumsum(sizes + order)
+    if not len(data):
+        return np.zeros(0, np.int64), sizes
+    context = np.zeros(len(data) - order, np.int64)
+    for i in range(order):
+        context = (context << 8) | data[i : i + len(context)]
+    data[ends - 1] = STOP
+    # Symbol i of a text stands ``order`` places after the start of its context.
+    own = np.repeat(ends - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return (context[own - order] << BITS) | data[own], sizes
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
@@ -187,29 +104,35 @@ def count_long_paths(order: int, most: int = 1 << 20):
 
 
 def path_probabilities(paths: DataFrame, order: int) -> DataFrame:
-    """(path, log): of the paths (path, n) of ``order`` bytes and one more, n the count in training, log10 of the last byte's
-    probability, by method C with exclusion as in ``log_probabilities``.
+    """(path, log): of the paths (path, n) of ``order`` bytes and a symbol, n the count in training, log10 of the symbol's
+    probability by method C with exclusion.
 
-    A context has 256 paths at most, and a path is the suffix of 256 longer ones at most, so no key of a level owns more rows.
+    What a context saw, the shorter one saw too. So the symbols that are excluded one level down are those of the context
+    itself, and two values of the level below are enough: the probability from there on (``p``), and the share of a symbol
+    among what is left there (``q``). A context has 257 paths at most, and a path is the suffix of 256 longer ones at most, so
+    no key of a level owns more rows.
     """
-    mask = lambda k: F.lit((1 << 8 * (k + 1)) - 1).cast("long")
+    mask = lambda k: F.lit((1 << 8 * k + BITS) - 1).cast("long")
     levels = [paths.select("path", "n")]
     for k in range(order - 1, -1, -1):
         levels.insert(0, written(levels[0].groupBy(F.col("path").bitwiseAND(mask(k)).alias("path")).agg(F.sum("n").alias("n")), "paths"))
-    lower = None
+    lower, seen = None, F.col("n") > 0
+    context = Window.partitionBy(F.shiftright("path", BITS))
+    counted = [F.sum("n").over(context).alias("total"), F.count_if(seen).over(context).alias("kinds")]
     for k, own in enumerate(levels):
-        # Of the level below: the count of the same byte, observations and symbols together, and the probability.
         if lower is None:
-            own = own.select("path", "n", F.lit(1).cast("long").alias("n1"), F.lit(256).cast("long").alias("w1"), F.lit(1 / 256).alias("p1"))
+            own = own.select("*", *counted).select("*", F.try_divide(F.lit(1), SYMBOLS - F.col("kinds")).alias("q"), F.lit(1 / SYMBOLS).alias("p1"))
         else:
             own = own.withColumn("low", F.col("path").bitwiseAND(mask(k - 1))).join(lower, "low")
-        context, seen = Window.partitionBy(F.shiftright("path", 8)), F.col("n") > 0
-        own = own.select("*", F.sum("n").over(context).alias("total"), F.count_if(seen).over(context).alias("kinds"), F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context).alias("taken"))
-        # What a context saw, the shorter one saw too, so the share of the symbols left is a difference of counts.
-        open_, full = F.col("w1") > F.col("taken"), F.col("total") + F.col("kinds")
-        escaped = F.col("kinds") / full * F.col("w1") / (F.col("w1") - F.col("taken")) * F.col("p1")
-        p = F.when(F.col("total") == 0, F.col("p1")).when(seen & open_, F.col("n") / full).when(seen, F.col("n") / F.col("total")).otherwise(escaped)
-        lower = own.select(F.col("path").alias("low"), F.col("n").alias("n1"), F.when(open_, full).otherwise(F.col("total")).alias("w1"), p.alias("p1"))
+            own = own.select("*", *counted, F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context).alias("taken"))
+            # Of the shorter context: the kinds that are left, the mass of its escape, and all that it divides by.
+            left = F.col("kinds1") - F.col("kinds")
+            mass = F.when(F.col("kinds1") < SYMBOLS, left).otherwise(0)
+            whole = F.col("total1") - F.col("taken") + mass
+            own = own.withColumn("q", F.when(F.col("n1") > 0, F.try_divide("n1", whole)).when(left > 0, F.try_divide(mass, whole) * F.col("q1")).otherwise(F.col("q1")))
+        full = F.col("total") + F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0)
+        p = F.when(F.col("total") == 0, F.col("p1")).when(seen, F.try_divide("n", full)).otherwise(F.try_divide("kinds", full) * F.col("q"))
+        lower = own.select(F.col("path").alias("low"), F.col("n").alias("n1"), F.col("total").alias("total1"), F.col("kinds").alias("kinds1"), F.col("q").alias("q1"), p.alias("p1"))
     return lower.select(F.col("low").alias("path"), F.log10("p1").alias("log"))
 
 
@@ -248,6 +171,7 @@ def _score_long(model, order: int):
 
 def long_scores(hashed: DataFrame, order: int, max_paths: int) -> DataFrame:
     """Of (doc_id, text_hash, text, held_out): rows of doc_id, text_hash, score and n; scores add up, n counts the rows of a text."""
+    kind = hashed.schema["doc_id"].dataType.simpleString()
     counted = hashed.select("text", "held_out").mapInArrow(count_long_paths(order), "path long, n long, m long")
     paths = written(counted.groupBy("path").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "paths")
     logs = written(path_probabilities(paths, order).join(paths.select("path", "m"), "path"), "model")
@@ -261,7 +185,7 @@ def long_scores(hashed: DataFrame, order: int, max_paths: int) -> DataFrame:
         least = r["size"]
     found = logs.where(size >= least).select("path", F.col("log").cast("float").alias("log")).toArrow().sort_by("path")
     model = hashed.sparkSession.sparkContext.broadcast((found["path"].to_numpy().astype(np.int64), found["log"].to_numpy()))
-    scored = written(hashed.select("doc_id", "text_hash", "text").mapInArrow(_score_long(model, order), "doc_id long, text_hash long, path long, score double"), "positions")
+    scored = written(hashed.select("doc_id", "text_hash", "text").mapInArrow(_score_long(model, order), f"doc_id {kind}, text_hash long, path long, score double"), "positions")
     key = ["doc_id", "text_hash"]
     sent = scored.where("path is null").select(*key, "score", F.lit(1).alias("n"))
     joined = scored.where("path is not null").select(*key, "path").join(logs.where(size < least).select("path", "log"), "path")
@@ -273,37 +197,31 @@ def tokens_of(text: Column) -> Column:
     return F.concat(words, F.array(F.lit(END)))
 
 
-def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5, max_heavy: int = MAX_HEAVY, order: int = 2, max_paths: int = MAX_PATHS) -> DataFrame:
+def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5, max_heavy: int = MAX_HEAVY, order: int = ORDER, max_paths: int = MAX_PATHS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), folds) == fold, F.lit(False))
-    train = base.where(~held_out)
-
     hashed = base.withColumn("text_hash", F.xxhash64("text"))
-    if order > 2:
-        by_bytes = long_scores(hashed.withColumn("held_out", held_out), order, max_paths)
-    else:
-        # Paths of three bytes are few by their nature, so they fit the driver and every worker.
-        paths = train.select("text").mapInArrow(count_paths, "path int, n long").groupBy("path").agg(F.sum("n").alias("n"))
-        found = paths.toArrow().sort_by("path")
-        model = spark.sparkContext.broadcast((found["path"].to_numpy().astype(np.int64), found["n"].to_numpy()))
-        by_bytes = hashed.select("doc_id", "text_hash", "text").mapInArrow(_score(model), "doc_id long, text_hash long, score double").withColumn("n", F.lit(1))
-
-    counts = written(train.select(F.explode(tokens_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "words")
+    by_bytes = long_scores(hashed.withColumn("held_out", held_out), order, max_paths)
+
+    def words(rows: DataFrame, *others: str) -> DataFrame:
+        word = rows.select(*others, F.explode(tokens_of(F.col("text"))).alias("word"))
+        return word.select(*others, F.xxhash64("word").alias("w1"), F.xxhash64(F.lit(1), "word").alias("w2"))
+
+    word = ["w1", "w2"]
+    counts = written(words(base.where(~held_out)).groupBy(*word).agg(F.count(F.lit(1)).alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    is_heavy = (F.col("c") > total / max_heavy) & (F.octet_length("word") <= MAX_BYTES)
-    heavy = F.broadcast(counts.where(is_heavy).select(F.col("word").alias("w"), "c"))
-    light = counts.where(~is_heavy)
+    heavy = F.broadcast(counts.where(F.col("c") > total / max_heavy))
+    light = counts.where(F.col("c") <= total / max_heavy)
 
     def log_share(c: Column) -> Column:
         return F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
 
     key = ["doc_id", "text_hash"]
-    rows = hashed.select(*key, F.explode(tokens_of(F.col("text"))).alias("word"))
+    rows = words(hashed, *key)
     known = F.sum(F.when(F.col("c").isNotNull(), log_share(F.col("c"))))
-    by_heavy = rows.join(heavy, F.col("word") == F.col("w"), "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_tokens"), F.count("c").alias("n_known"), known.alias("logs"))
-    by_light = rows.join(heavy, F.col("word") == F.col("w"), "left_anti").join(light, "word").groupBy(*key).agg(F.lit(0).cast("long").alias("n_tokens"), F.count("c").alias("n_known"), known.alias("logs"))
+    by_heavy = rows.join(heavy, word, "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_tokens"), F.count("c").alias("n_known"), known.alias("logs"))
+    by_light = rows.join(heavy, word, "left_anti").join(light, word).groupBy(*key).agg(F.lit(0).cast("long").alias("n_tokens"), F.count("c").alias("n_known"), known.alias("logs"))
     parts = (
         by_heavy.unionByName(by_light)
         .select(*key, "n_tokens", "n_known", "logs", F.lit(None).cast("double").alias("score"), F.lit(0).alias("n"))

@@ -138,86 +138,84 @@ def test_ppm(spark, rows):
             counts.update(tokens(t))
     n, v = sum(counts.values()), len(counts)
 
-    paths = Counter()
-    for i, t in rows:
-        if crc32(str(i).encode()) % 5 != 1:
-            b = b"\0\0" + (t or "").encode()
-            paths.update(b[j : j + 3] for j in range(len(b) - 2))
-
-    def level(seen, lower):
-        total, distinct = sum(seen.values()), len(seen)
-        if not total:
-            return lower
-        left = sum(p for s, p in enumerate(lower) if s not in seen)
-        if left <= 0:
-            return [seen.get(s, 0) / total for s in range(256)]
-        return [seen[s] / (total + distinct) if s in seen else distinct / (total + distinct) / left * lower[s] for s in range(256)]
-
-    def followers(context):
-        out = Counter()
-        for p, c in paths.items():
-            if p[2 - len(context) : 2] == context:
-                out[p[2]] += c
-        return out
-
-    known = {}
-
-    def distribution(context):
-        if context not in known:
-            known[context] = level(followers(context), distribution(context[1:]) if context else [1 / 256] * 256)
-        return known[context]
-
     for heavy in (1_000_000, 3):  # all words broadcast, and nearly all joined by shuffle
-        got = by_id(ppm_scores(table(spark, rows), max_heavy=heavy))
+        got = by_id(ppm_scores(table(spark, rows), max_heavy=heavy, order=1))
         for i, t in rows:
             ts = tokens(t)
             base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts)
             r = got[i]
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ts), sum(w in counts for w in ts), n)
             assert r["base_score"] == pytest.approx(base, abs=1e-6)
-            if len(t or "") < 300:
-                b = b"\0\0" + (t or "").encode()
-                want = sum(math.log10(distribution(b[j : j + 2])[b[j + 2]]) for j in range(len(b) - 2))
-                assert r["score"] == pytest.approx(want, rel=1e-4, abs=1e-4)
+            assert r["score"] < 0
+
+
+STOP = 256
+
+
+def ppm_model(texts, order):
+    """Counts of what follows every context of up to ``order`` bytes, and the probability of a symbol by escapes with exclusion,
+    one level at a time."""
+    counts = defaultdict(Counter)
+    for t in texts:
+        b = [*bytes(order), *(t or "").encode(), STOP]
+        for j in range(order, len(b)):
+            for k in range(order + 1):
+                counts[tuple(b[j - k : j])][b[j]] += 1
+
+    def probability(context, symbol):
+        context, out, p = tuple(context), set(), 1.0
+        while True:
+            left = {s: n for s, n in counts[context].items() if s not in out}
+            n, d = sum(left.values()), len(left)
+            if left:
+                escape = d if len(out) + d < 257 else 0
+                if symbol in left:
+                    return p * left[symbol] / (n + escape)
+                p *= escape / (n + escape)
+                out |= set(left)
+            if not context:
+                return p / (257 - len(out))
+            context = context[1:]
+
+    def score(t):
+        b = [*bytes(order), *(t or "").encode(), STOP]
+        return sum(math.log10(probability(b[j - order : j], b[j])) for j in range(order, len(b)))
+
+    return counts, probability, score
 
 
 def test_ppm_long_contexts(spark, rows):
     from punchlist.llm import ppm
 
-    rows = [*rows, (7, dict(rows)[7]), (7, "another text of document seven"), (None, "alpha beta")]
-    order, counts = 4, defaultdict(Counter)
-    for i, t in rows:
-        b = bytes(order) + (t or "").encode()
-        if i is None or crc32(str(i).encode()) % 5 != 1:
-            for j in range(order, len(b)):
-                for k in range(order + 1):
-                    counts[b[j - k : j]][b[j]] += 1
-
-    def probability(context, symbol, out=frozenset()):
-        """By escapes and exclusion, one symbol at a time."""
-        seen = counts[context]
-        shorter = lambda s: probability(context[1:], s) if context else 1 / 256
-        if not seen:
-            return shorter(symbol)
-        n, d = sum(seen.values()), len(seen)
-        if symbol in seen:
-            return seen[symbol] / (n + d)
-        return d / (n + d) * shorter(symbol) / (1 - sum(shorter(s) for s in seen))
-
-    want = {(i, len(t or "")): sum(math.log10(probability(b[j - order : j], b[j])) for b in [bytes(order) + (t or "").encode()] for j in range(order, len(b))) for i, t in rows if len(t or "") < 300}
+    rows = [*rows, (7, dict(rows)[7]), (7, "another text of document seven"), (None, "alpha beta"), (300, "zz q"), (301, "aqqz \0 x")]
+    order = 4
+    counts, probability, score = ppm_model([t for i, t in rows if i is None or crc32(str(i).encode()) % 5 != 1], order)
+    for context in (b"alph", b"eta ", b"\0\0\0\0", b"zzzz", b"a al"):  # every context's probabilities sum to one
+        assert sum(probability(context, s) for s in range(257)) == pytest.approx(1)
+    # There are contexts whose exclusion changes a shorter one's escape.
+    assert any(counts[c] and len(counts[c]) < len(counts[c[1:]]) for c in list(counts) if len(c) == order)
+    want = {(i, len(t or "")): score(t) for i, t in rows if len(t or "") < 300}
+    assert want[101, 0] == want[100, 0] < 0
     docs = table(spark, rows)
-    sizes = {}
     for sent in (1_000_000, 200, 0):  # all paths broadcast, some, none
-        got = ppm.ppm_scores(docs, order=order, max_paths=sent).join(docs.select("doc_id", "n_chars"), "doc_id").where("doc_id <> 7").collect()
-        assert len(got) > 60
-        for r in got:
+        got = ppm.ppm_scores(docs, order=order, max_paths=sent)
+        found = got.join(docs.select("doc_id", "n_chars"), "doc_id").where("doc_id <> 7").collect()
+        assert len(found) > 60
+        for r in found:
             if (r["doc_id"], r["n_chars"]) in want:
                 assert r["score"] == pytest.approx(want[r["doc_id"], r["n_chars"]], rel=1e-4, abs=1e-4), (sent, r["doc_id"])
-        sizes[sent] = sorted(round(r["score"], 2) for r in ppm.ppm_scores(docs, order=order, max_paths=sent).where("doc_id = 7 or doc_id is null").collect())
-    assert len(sizes[0]) == 3 and sizes[0] == pytest.approx(sorted(v for (i, _), v in want.items() if i in (7, None)), abs=0.02) if len(dict(rows[:60])[7]) < 300 else len(sizes[0]) == 3
+        repeated = sorted(r["score"] for r in got.where("doc_id = 7 or doc_id is null").collect())
+        assert repeated == pytest.approx(sorted(score(t) for t in {t for i, t in rows if i in (7, None)}), rel=1e-4)
     assert ppm.ORDER >= order
 
 
+def test_ppm_keeps_the_type_of_ids(spark):
+    from punchlist.llm.ppm import ppm_scores
+
+    got = ppm_scores(spark.createDataFrame([("a", "one"), ("b", "two")], "doc_id string, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {"a", "b"}
+
+
 def test_winnowing(spark, rows):
     from punchlist.llm.winnowing import fingerprints, kgram_hashes, winnow
 
