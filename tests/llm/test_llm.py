@@ -433,30 +433,72 @@ def test_language_id(spark):
     for i in range(150):
         lang = ["en", "de", "fr"][i % 3]
         rows.append((i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(3, 30))), lang))
-    rows += [(500, None, "en"), (501, "", "de"), (502, "12 :: 34", "fr"), (503, "haus " * 30000, None), (504, "x" * 5000, "en")]
+    rows += [(500, None, "en"), (501, "", "de"), (502, "12 \u00b2\u00bd :: 34", "fr"), (503, "haus " * 30000, None), (504, "x" * 5000, "en"), (505, "wasser" * 20000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = by_id(language_ids(docs))
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:150])
-    assert [got[i]["lang_pred"] for i in (500, 501, 502, 503)] == ["und", "und", "und", "de"]
+    assert [got[i]["lang_pred"] for i in (500, 501, 502, 503, 505)] == ["und", "und", "und", "de", "de"]
     assert {i for i, r in got.items() if r["held_out"]} == {i for i, *_ in rows if crc32(str(i).encode()) % 4 == 2}
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
-def test_marginal_is_the_sum_over_segmentations():
+def test_marginal_is_the_sum_over_segmentations(monkeypatch):
     import numpy as np
 
-    from punchlist.llm.language_id import START, Pieces, _codes, forward
+    from punchlist.llm import language_id
+    from punchlist.llm.language_id import START, Pieces, expected, marginals
+
+    pieces = [START, START + "a", "a", "b", "ab", "aba", "abababab"]
+    index, p = Pieces(pieces), np.arange(1, len(pieces) + 2) / 100
+    value = dict(zip(pieces, p))
+
+    def segmentations(rest):
+        if not rest:
+            yield []
+        for size in range(1, len(rest) + 1):
+            if rest[:size] in value or size == 1:
+                for more in segmentations(rest[size:]):
+                    yield [rest[:size], *more]
+
+    def weight(parts):
+        return np.prod([value.get(x, p[-1]) for x in parts])
+
+    words = ["abab", "b", "aba" * 4, "axb", "\u00e9"]
+    n = np.array([3.0, 1.0, 2.0, 5.0, 1.0])
+    want, counts = [], np.zeros(len(pieces) + 1)
+    for w, k in zip(words, n):
+        ways = list(segmentations(START + w))
+        total = sum(map(weight, ways))
+        want.append(total)
+        for parts in ways:
+            for x in parts:
+                counts[pieces.index(x) if x in value else len(pieces)] += k * weight(parts) / total
+    for long in (64, 1):  # words side by side, and one by one in blocks
+        monkeypatch.setattr(language_id, "LONG", long)
+        monkeypatch.setattr(language_id, "BLOCK", 3)
+        assert np.exp(marginals(words, index, np.log(p)[:, None]))[:, 0] == pytest.approx(want)
+        assert expected(words, n, index, np.log(p)) == pytest.approx(counts)
+
+
+def test_expectation_maximisation(spark):
+    import numpy as np
+
+    from punchlist.llm.language_id import START, Pieces, expected, learn, maximised
+
+    pieces, rows = sorted([START, "a", "b", "ab", START + "a"]), [("x", "abab", 4), ("x", "ba", 2), ("y", "bbb", 3), ("y", "a", 1)]
+    got = learn(spark.createDataFrame(rows, "lang string, word string, n long").repartition(3), ["x", "y"], pieces, rounds=3)
+    for j, lang in enumerate(("x", "y")):
+        logs = np.full(len(pieces) + 1, np.log(1e-3))
+        for _ in range(3):
+            own = [(w, n) for x, w, n in rows if x == lang]
+            logs = maximised(expected([w for w, _ in own], np.array([n for _, n in own], float), Pieces(pieces), logs)[:, None])[:, 0]
+        assert got[:, j] == pytest.approx(logs)
 
-    pieces = [START, START + "a", "a", "b", "ab", "aba"]
-    p = np.arange(1, len(pieces) + 2)[:, None] / 100
-    codes = _codes(["abab", "b"])
-    _, _, logs = forward(codes, Pieces(pieces).edges(codes), p)
-    value = dict(zip(pieces, p[:, 0]))
 
-    def total(rest):
-        return 1.0 if not rest else sum(value[x] * total(rest[len(x) :]) for x in pieces if rest.startswith(x))
+def test_words_are_runs_of_letters():
+    from punchlist.llm.language_id import words_of
 
-    assert 10 ** logs[0, 0] == pytest.approx(total(START + "abab")) and 10 ** logs[1, 0] == pytest.approx(total(START + "b"))
+    assert words_of("Été_2x\u00b2y \u00bd 3 日本" + "q" * 70) == ["été", "x", "y", "日本" + "q" * 70]
 
 
 def test_empty_and_repeated_rows(spark):
