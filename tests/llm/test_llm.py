@@ -94,6 +94,8 @@ def test_decontamination(spark, rows):
             assert (got[i]["n_words"], got[i]["n_hit"], set(got[i]["items"])) == (len(w), len(hit), cited)
             assert got[i]["contaminated"] == (bool(hit) and 20 * len(hit) >= len(w))
     kept = {r["doc_id"] for r in drop_contaminated(docs, benchmark).collect()}
+    repeated = table(spark, [(1, texts[3]), (1, "clean words only"), (1, texts[3]), (None, texts[3]), (None, "clean")])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in drop_contaminated(repeated, benchmark).collect()) == [("1", "clean words only"), ("None", "clean")]
     assert kept == {i for i, r in got.items() if not r["contaminated"]} and kept != set(got)
     assert decontaminate(docs, benchmark.limit(0)).where("n_hit > 0").isEmpty()
 
