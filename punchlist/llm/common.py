@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and the control characters tab to carriage return.
@@ -26,10 +27,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own will do for a
+    local master only: on a cluster every machine would write to a disk of its own, which is an error.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
@@ -65,6 +70,13 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string")) % m
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Raises where ids are no whole numbers: an operator that orders or compares them as such never casts others to nulls."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number, not {kind.simpleString()}")
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, max_sent: int = 1_000_000) -> DataFrame:
     """``docs`` without the ids of ``gone`` (one column, no nulls): broadcast while their checked number is small, shuffled beyond."""
     gone = written(gone.distinct(), "gone")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of ``edges``; ``comp`` is the smallest node that is reachable.
@@ -21,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels only get smaller, so it ends
         near = both.join(labels, both.u == labels.node).groupBy("v").agg(F.min("comp").alias("near"))
         lower = labels.join(near, labels.node == near.v, "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         lower = written(lower, "labels")
@@ -30,4 +28,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if labels.where("comp <> was").isEmpty():
             return labels.select("node", "comp")
         labels = labels.select("node", "comp")
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -57,22 +57,22 @@ def structure(text: str) -> np.ndarray:
     ])
 
 
-SAMPLE = "id_hash long, y int, at array<long>, n array<float>, stats array<float>"
+SAMPLE = "id_hash long, y int, text_hash long, at array<long>, n array<float>, stats array<float>"
 
 
 def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (hash of the id, label, text): the features of a training row."""
+    """For mapInArrow over (hash of the id, label, hash of the text, text): the features of a training row."""
     codes = Codes()
     for batch in batches:
         at, n, stats = [], [], []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(3).to_pylist():
             a, b = word_counts(text or "", codes)
             at.append(a)
             n.append(b.astype(np.float32))
             stats.append(structure(text or "").astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1).cast(pa.int32()), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float32()))],
-            names=["id_hash", "y", "at", "n", "stats"],
+            [batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float32()))],
+            names=["id_hash", "y", "text_hash", "at", "n", "stats"],
         )
 
 
@@ -93,10 +93,11 @@ class Sample:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
     """At most ``most`` labelled documents, taken by a hash of their ids among the labels that ``allowed`` admits.
 
-    Labels are few columns of few bytes, of which only ``most`` rows are kept and broadcast; texts are not shuffled.
+    Labels are few columns of few bytes, of which only ``most`` rows are kept and broadcast; texts are not shuffled. An id that
+    many rows repeat does not make the sample larger: it is limited again after the join.
     """
     usable = labels.select(F.col(id_col).alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("l_id").isNotNull() & F.col("y").isNotNull() & allowed(F.col("l_id")))
     taken = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(most)
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(taken), F.col("d_id") == F.col("l_id"))
-    found = rows.select(F.xxhash64("l_id"), "y", "text").mapInArrow(featurised, SAMPLE).toArrow()
-    return Sample(found.sort_by([("id_hash", "ascending"), ("y", "ascending")]))
+    found = rows.select(F.xxhash64("l_id"), "y", F.xxhash64("text"), "text").mapInArrow(featurised, SAMPLE).orderBy("id_hash", "y", "text_hash").limit(most).toArrow()
+    return Sample(found.sort_by([(c, "ascending") for c in ("id_hash", "y", "text_hash")]))

@@ -9,33 +9,37 @@ representative of each goes on. Every set emits keys, and sets that share a key
   one set only, in few, in many), then by hash; any fixed order makes the prefix filter exact, and shingles that one set
   alone has need no list. Light sets that a heavy one can match are in the lists too.
 
-A set with too many shingles that no other candidate has cannot be similar to any; that bound drops such sets, and pairs.
+A set with too many shingles that no other candidate has cannot be similar to any; that bound drops such sets, and pairs. So
+does the place of a shingle in the order of its set: what two sets share, they share from their first common shingle on. Two
+sets that both have it too late for a partner of their own size cannot be similar, so in each list only the early members
+meet all others. A passage that many different documents share stands late in all of them and gives no pairs.
 
 ``boundary`` minimises the estimated cost of both parts, from the counts of small sizes and the mean list length.
 
 Lists are not expanded into all pairs. First each member is compared with the member of its list that has the fewest shingles
-of its own, and with the largest id, which joins groups of copies into components; then only members of different components that share a key are compared. A pair
-inside a component cannot change the components, so the result is that of all pairs. Pairs are first held against a bound
-from bitmaps of the sets' parities (twice as many bits as shingles or more: the bits that differ are no more than the shingles that differ), and
-those it cannot exclude are compared as whole sets.
+of its own, and with the largest id, which joins groups of copies into components; then only members of different components
+that share a key are compared. A pair inside a component cannot change the components, so the result is that of all pairs.
+Pairs are first held against a bound from bitmaps of the sets' parities (twice as many bits as shingles or more: the bits that
+differ are no more than the shingles that differ), and those it cannot exclude are compared as whole sets.
 
 Defined results: null or empty texts (or texts of blanks) have an empty set and link with nothing. Texts with fewer words
-than a shingle are one shingle, the whole sequence. Rows that repeat a ``doc_id`` with different texts are one document with
-the union of their links; rows without ``doc_id`` get a null component. Other columns are ignored; an empty table gives no
-rows. Whole texts are read.
+than a shingle are one shingle, the whole sequence. Rows that repeat a ``doc_id``, with equal or different texts, are one
+document with the union of their links; rows without ``doc_id`` get a null component. Ids are whole numbers; others are an
+error. Other columns are ignored; an empty table gives no rows. Whole texts are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, heavy_light_join, table, without, written
+from .common import ascii_lower, heavy_light_join, table, whole_ids, without, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -45,7 +49,8 @@ FREQUENT = 64
 MAX_SENT = 4_000_000
 #: Only shingles with hashes in this lowest share of the range are counted; prefixes start with them.
 COUNTED = 0.3
-MAX_BOUNDARY = 12
+#: The sizes that light sets are tried for; a set of 24 has thousands of subsets, more than a scan of lists of any use costs.
+MAX_BOUNDARY = 24
 MASK = 2**64 - 1
 #: Bits of a set's parities at least; doubled until they are twice the set's size.
 BITS = 1024
@@ -163,21 +168,26 @@ def subset_keys(values: list[int], percent: int, most: int) -> list[int]:
     return keys
 
 
-def choose_boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) -> int:
-    """The largest size of light sets: where enumerating subsets stops being cheaper than scanning prefix lists."""
-    from math import comb
+def costs(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) -> list[tuple[int, int, float]]:
+    """(boundary, subsets enumerated, postings scanned) for every boundary, over the sets of up to ``MAX_BOUNDARY`` shingles.
+
+    Light sets that a heavy one can match are in the lists as well.
+    """
+    out = []
+    for boundary in range(MAX_BOUNDARY + 1):
+        enumerated = sum(n * sum(comb(x, need) for _, _, need in _partners(x, percent, boundary)) for x, n in sizes.items() if x <= boundary)
+        scanned = sum(n * (x - -(-percent * x // 100) + 1) * mean_list for x, n in sizes.items() if 100 * x >= percent * (boundary + 1))
+        out.append((boundary, enumerated, scanned))
+    return out
 
-    best, saved, at = 0.0, 0.0, 0
-    for x in range(1, MAX_BOUNDARY + 1):
-        enumerated = sum(comb(x, need) for _, _, need in _partners(x, percent, x))
-        scanned = (x - -(-percent * x // 100) + 1) * mean_list
-        saved += sizes.get(x, 0) * (scanned - enumerated)
-        if saved > best:
-            best, at = saved, x
-    return at
+
+def choose_boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) -> int:
+    """The largest size of light sets: the boundary of the least cost, the smallest of equals."""
+    return min(costs(sizes, mean_list, percent), key=lambda c: (c[1] + c[2], c[0]))[0]
 
 
-KEYS = "key long, doc_id long, size int"
+#: ``pos``: the place of a shingle in the order of its set, -1 for a subset.
+KEYS = "key long, doc_id long, size int, pos int"
 
 
 def _emit(sent, boundary: int, percent: int):
@@ -205,15 +215,19 @@ def _emit(sent, boundary: int, percent: int):
             own = np.bincount(doc, tier == 0, minlength=len(sizes))
             listed = (100 * sizes >= percent * (boundary + 1)) & (own <= spare)
             keep = (rank <= spare[doc]) & listed[doc] & (tier > 0)
-            keys, owner = [values[keep]], [doc[keep]]
+            keys, owner, places = [values[keep]], [doc[keep]], [rank[keep]]
             for i in np.flatnonzero((sizes > 0) & (sizes <= boundary)):
                 own = values[offsets[i] : offsets[i + 1]].tolist()
                 assert len(own) == sizes[i], "subsets need the whole set"
                 found = subset_keys(own, percent, boundary)
                 keys.append(np.array(found, np.int64))
                 owner.append(np.full(len(found), i))
+                places.append(np.full(len(found), -1))
             owner = np.concatenate(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[owner].astype(np.int64)), pa.array(sizes[owner].astype(np.int32))], names=["key", "doc_id", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), pa.array(ids[owner].astype(np.int64)), pa.array(sizes[owner].astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))],
+                names=["key", "doc_id", "size", "pos"],
+            )
 
     return of_batches
 
@@ -225,14 +239,17 @@ def _emit_joined(heads: DataFrame, counts: DataFrame, frequent: int, boundary: i
     tier = F.when(F.col("key") >= SPLIT, 3).when(F.col("n").isNull(), 0).when(F.col("n") <= frequent, 1).otherwise(2)
     spare = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")
     ordered = flagged.groupBy("doc_id", "s1", "s2", "size").agg(F.sort_array(F.collect_set(F.struct(tier.alias("tier"), "key"))).alias("ks"))
-    heavy = ordered.select(F.explode(F.slice("ks", 1, spare + 1)).alias("k"), "doc_id", "size").where("k.tier > 0").select("k.key", "doc_id", "size")
+    heavy = ordered.select(F.posexplode(F.slice("ks", 1, spare + 1)).alias("pos", "k"), "doc_id", "size").where("k.tier > 0").select("k.key", "doc_id", "size", "pos")
     none = heads.sparkSession.sparkContext.broadcast((np.empty(0, np.int64), np.empty(0, bool)))
     light = heads.where(F.col("size") <= boundary).mapInArrow(_emit(none, boundary, percent), KEYS)
     return heavy.unionByName(light).distinct()
 
 
 def possible_links(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bitmaps do not exclude: at least as many shingles differ as bits do."""
+    """The pairs (a, b) that the bitmaps do not exclude: at least as many shingles differ as bits do.
+
+    Nothing is made distinct after the joins, so that AQE is free to split the rows of a hub among tasks.
+    """
     one = table.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
     two = table.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
     least = F.least(F.size("bits_a"), F.size("bits_b"))
@@ -246,7 +263,7 @@ def possible_links(pairs: DataFrame, table: DataFrame, percent: int) -> DataFram
     sizes = F.col("size_a") + F.col("size_b")
     # 2 o <= sizes - differ, and o has to reach percent (sizes - o) / 100.
     may = (100 + percent) * (sizes - differ) >= 2 * percent * sizes
-    return pairs.join(one, "a").join(two, "b").where(may).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(may).select("a", "b")
 
 
 def verified_links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +271,7 @@ def verified_links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFram
     one = whole.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     two = whole.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
 def _in_lists(posts: DataFrame) -> DataFrame:
@@ -266,6 +283,7 @@ def _in_lists(posts: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, max_sent: int = MAX_SENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     lite = written(summaries(docs, id_col, text_col, n, percent), "summaries")
 
@@ -287,7 +305,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         live.select(F.explode(F.filter("head", lambda h: h < SPLIT)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingles"
     )
     few = {r["size"]: r["count"] for r in lite.where(F.col("size").between(1, MAX_BOUNDARY)).groupBy("size").count().collect()}  # at most MAX_BOUNDARY rows
-    stat = counts.agg(F.sum("n"), F.sum(F.when(F.col("n") <= frequent, F.col("n") * F.col("n")))).first()
+    # The mean length of the list that a posting of a prefix is in; prefixes take frequent shingles last.
+    stat = counts.where(F.col("n") <= frequent).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
     boundary = choose_boundary(few, max(1.0, (stat[1] or 0) / (stat[0] or 1)), percent)
     if counts.limit(max_sent + 1).count() <= max_sent:
         found = counts.toArrow().sort_by("key")
@@ -312,34 +331,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = written(_in_lists(posts.join(table.select("doc_id", "alone").distinct(), "doc_id")), "posts")
 
     def close(x: str, y: str) -> Column:
-        """Sizes, and shingles of their own, that allow the similarity: (100 + percent) overlap >= percent (sizes)."""
+        """Sizes, shingles of their own and places that allow the similarity: (100 + percent) overlap >= percent (sizes).
+
+        The bound by places holds at the first key that two sets share; a pair that it drops at a later one was kept there.
+        """
         size = lambda d: F.col(f"{d}size")
-        most = F.least(*[size(d) - F.col(f"{d}alone") for d in (x, y)], size(x), size(y))
+        rest = lambda d: size(d) - F.greatest(F.col(f"{d}pos"), F.lit(0))
+        most = F.least(*[size(d) - F.col(f"{d}alone") for d in (x, y)], rest(x), rest(y))
         return (100 + percent) * most >= percent * (size(x) + size(y))
 
-    member = F.struct("alone", "doc_id", "size")
+    member = F.struct("alone", "doc_id", "size", "pos")
     lists = written(posts.groupBy("key").agg(F.min(member).alias("lo"), F.max_by(member, "doc_id").alias("hi")), "lists")
-    hubs = posts.join(lists, "key").select("doc_id", "size", "alone", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub"))
+    hubs = posts.join(lists, "key").select("doc_id", "size", "alone", "pos", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub"))
     hubs = hubs.where((F.col("doc_id") != F.col("hub.doc_id")) & close("", "hub."))
     first = written(hubs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "pairs")
     links = written(verified_links(written(possible_links(first, table, percent), "possible"), whole, percent), "links")
     comps = connected_components(links)
 
     # What is left: members of one list in different components.
-    placed = written(posts.join(comps, posts.doc_id == comps.node, "left").select("key", "doc_id", "size", "alone", F.coalesce("comp", "doc_id").alias("comp")), "placed")
+    placed = written(posts.join(comps, posts.doc_id == comps.node, "left").select("key", "doc_id", "size", "alone", "pos", F.coalesce("comp", "doc_id").alias("comp")), "placed")
     by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = written(by_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "main"), "mixed")
     placed = written(placed.join(mixed, "key"), "placed")
-    # A pair that shares many keys meets under the first of them: each member knows the first few of its own.
-    firsts = written(placed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts")), "firsts")
+    # A pair that shares many keys meets under the first of them, in the order of sets: each member knows its own first few.
+    firsts = F.transform(F.slice(F.sort_array(F.collect_set(F.struct("pos", "key"))), 1, FIRST_KEYS), lambda x: x["key"])
+    firsts = written(placed.groupBy("doc_id").agg(firsts.alias("firsts")), "firsts")
     # Of an id with several sets, a key may be shared by sets whose sizes do not match: it meets under every key.
     firsts = firsts.join(several.withColumn("mixed_sets", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("mixed_sets"), F.slice("firsts", 1, 0)).otherwise(F.col("firsts")).alias("firsts"))
-    placed = written(placed.join(firsts, "doc_id"), "placed")
-    others = placed.where("comp <> main").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "alone", "comp", "firsts")])
+    # Early: a partner of the same size is possible yet. Of two late members each would have to be smaller than the other.
+    early = (100 + percent) * (F.col("size") - F.greatest("pos", F.lit(0))) >= 2 * percent * F.col("size")
+    placed = written(placed.join(firsts, "doc_id").withColumn("early", early), "placed")
+    others = placed.where("comp <> main").withColumn("x_early", F.explode(F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    others = others.select("x_early", F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "alone", "pos", "comp", "firsts")])
     shared = F.array_intersect("firsts", "x_firsts")
-    here = (F.size(shared) == 0) | (F.col("key") == F.array_min(shared))
-    once = (F.col("comp") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
-    meet = others.join(placed, (F.col("x_key") == F.col("key")) & (F.col("comp") != F.col("x_comp")) & once & close("", "x_") & here)
+    here = (F.size(shared) == 0) | (F.col("key") == F.get(shared, F.lit(0)))
+    once = (F.col("comp") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id")) | ~F.col("early")
+    same = (F.col("x_key") == F.col("key")) & (F.col("x_early") == F.col("early"))
+    meet = others.join(placed, same & (F.col("comp") != F.col("x_comp")) & once & close("", "x_") & here)
     second = meet.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(verified_links(written(possible_links(written(second, "pairs"), table, percent), "possible"), whole, percent), "links")
     if not more.isEmpty():
@@ -355,7 +383,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; rows whose id is null stay."""
+    """``docs`` with the document of the smallest id of each component. Rows whose id is null stay. Rows that repeat an id are
+    one document: they stay or go together.
+    """
     found = jaccard_components(docs, id_col, text_col, **settings)
     return without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), id_col)
 

@@ -317,7 +317,7 @@ def test_jaccard_repeated_ids(spark):
         assert len(found) == len(rows) and got == want, (settings, sum(got[i] != want[i] for i in want))
 
 
-@pytest.mark.parametrize("boundary", [5, 8, 9, 12])
+@pytest.mark.parametrize("boundary", [5, 9, 12])
 def test_jaccard_light_pairs(spark, monkeypatch, boundary):
     from punchlist.llm import jaccard_join
 
@@ -342,9 +342,46 @@ def test_jaccard_light_pairs(spark, monkeypatch, boundary):
 
 
 def test_jaccard_boundary():
-    from punchlist.llm.jaccard_join import choose_boundary
+    from math import comb
 
-    assert choose_boundary({}, 5.0) == 0 and choose_boundary({i: 100 for i in range(1, 13)}, 1000.0) > choose_boundary({i: 100 for i in range(1, 13)}, 2.0)
+    from punchlist.llm.jaccard_join import choose_boundary, costs
+
+    few = {i: 100 for i in range(1, 25)}
+    assert choose_boundary({}, 5.0) == 0 and choose_boundary(few, 1000.0) > choose_boundary(few, 2.0)
+    table = {b: (enumerated, scanned) for b, enumerated, scanned in costs({4: 3, 10: 7}, 6.0)}
+    # Sets of 4 need all of their shingles for a partner of 4, and 4 of 5 for one of 5.
+    assert table[0] == (0, 3 * 1 * 6.0 + 7 * 3 * 6.0) and table[4][0] == 3 * comb(4, 4) and table[5][0] == 3 * (1 + comb(4, 4))
+    # From boundary 5 on, sets of 4 match no heavy set; sets of 10 are scanned as long as a heavy one can match them.
+    assert table[5][1] == 7 * 3 * 6.0 and table[12][1] == 0 and table[12][0] > table[10][0] > table[9][0]
+    assert choose_boundary({4: 3, 10: 7}, 6.0) == min(table, key=lambda b: (sum(table[b]), b))
+
+
+def test_jaccard_shared_passages_make_no_pairs(spark):
+    from punchlist.llm import jaccard_join
+
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(rng.randint(12, 20))) + " " + passage) for i in range(90)]
+    rows += [(200 + i, passage + (" z" * i)) for i in range(3)]
+    near, seen = defaultdict(set), []
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                near[i].add(j)
+    original = jaccard_join.possible_links
+    jaccard_join.possible_links = lambda pairs, *more: (seen.append(pairs.count()), original(pairs, *more))[1]
+    try:
+        got = {i: r["component_id"] for i, r in by_id(jaccard_join.jaccard_components(table(spark, rows), frequent=8)).items()}
+    finally:
+        jaccard_join.possible_links = original
+    for i in sets:
+        reached, size = {i}, 0
+        while len(reached) > size:
+            size = len(reached)
+            reached |= {k for j in reached for k in near[j]}
+        assert got[i] == min(reached)
+    assert sum(seen) < 20 * len(rows)
 
 
 def test_components_of_a_chain(spark):
