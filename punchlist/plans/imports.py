@@ -68,13 +68,18 @@ def plan(spark, sf_dir):
     return ingest.import_plan(rows(spark, sf_dir), areas, people, existing)
 
 
-@bound("i8_import_plan", f"""WITH {_ROWS} SELECT CASE WHEN o_custkey % 12 < 9 THEN o_custkey % 12 END AS area_id, CASE WHEN o_custkey % 30 < 25 THEN o_custkey % 30 END AS welder_id, CASE WHEN e.k IS NOT NULL AND o_custkey % 12 < 9 THEN 'update' ELSE 'create' END AS plan, count(*) AS n
-FROM r LEFT JOIN (SELECT DISTINCT o_custkey % 12 AS a, o_orderkey::VARCHAR AS k FROM orders WHERE o_orderkey % 3 = 0) e ON e.a = r.o_custkey % 12 AND e.k = r.weld_number WHERE r.weld_number IS NOT NULL AND weld_date IS NOT NULL GROUP BY ALL""")
+# Areas and people are those that the tables have, whatever their number.
+_REGISTERS = f"""{_ROWS}, areas AS (SELECT DISTINCT c_custkey % 9 AS area_id, 'AREA ' || (c_custkey % 9) AS area FROM customer), people AS (SELECT DISTINCT s_suppkey % 25 AS welder_id, 'ST' || (s_suppkey % 25) AS welder FROM supplier),
+e AS (SELECT DISTINCT o_custkey % 12 AS area_id, o_orderkey::VARCHAR AS weld_number FROM orders WHERE o_orderkey % 3 = 0),
+p AS (SELECT r.*, a.area_id, w.welder_id FROM r LEFT JOIN areas a USING (area) LEFT JOIN people w USING (welder) WHERE weld_number IS NOT NULL AND weld_date IS NOT NULL)"""
+
+
+@bound("i8_import_plan", f"""WITH {_REGISTERS} SELECT p.area_id, welder_id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.area_id = p.area_id AND e.weld_number = p.weld_number) THEN 'update' ELSE 'create' END AS plan, count(*) AS n FROM p GROUP BY ALL""")
 def import_plan(spark, sf_dir):
     return plan(spark, sf_dir).groupBy("area_id", "welder_id", "plan").agg(F.count(F.lit(1)).alias("n"))
 
 
-@bound("j26_unresolved_names", f"WITH {_ROWS} SELECT welder AS name, count(*) AS n_rows FROM r WHERE weld_number IS NOT NULL AND weld_date IS NOT NULL AND o_custkey % 30 >= 25 GROUP BY welder")
+@bound("j26_unresolved_names", f"WITH {_REGISTERS} SELECT welder AS name, count(*) AS n_rows FROM p WHERE welder_id IS NULL AND welder IS NOT NULL GROUP BY welder")
 def unresolved_names(spark, sf_dir):
     return ingest.unresolved(plan(spark, sf_dir), "welder", "welder_id")
 

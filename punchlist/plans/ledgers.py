@@ -8,10 +8,10 @@ from ..operators import history, rollup
 from .bound import bound, day, read
 
 
-@bound("w5_document_versions", """WITH d AS (SELECT doc_id, source AS name, sha256(left(text, 1)) AS digest FROM documents), m AS (SELECT *, row_number() OVER (PARTITION BY name, digest ORDER BY doc_id) > 1 AS duplicate FROM d)
+@bound("w5_document_versions", """WITH d AS (SELECT doc_id, source AS name, sha256(text) AS digest FROM documents), m AS (SELECT *, row_number() OVER (PARTITION BY name, digest ORDER BY doc_id) > 1 AS duplicate FROM d)
 SELECT doc_id, name, duplicate, CASE WHEN NOT duplicate THEN row_number() OVER (PARTITION BY name, duplicate ORDER BY doc_id) END::INTEGER AS version, CASE WHEN NOT duplicate THEN lag(digest) OVER (PARTITION BY name, duplicate ORDER BY doc_id) END AS supersedes FROM m""")
 def document_versions(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.sha2(F.left("text", F.lit(1)), 256).alias("digest"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.sha2("text", 256).alias("digest"))
     return history.versions(d, ["name"], "digest", ["doc_id"]).drop("digest")
 
 

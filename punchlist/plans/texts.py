@@ -9,20 +9,21 @@ from ..operators import notify
 from .bound import bound, day, read
 
 
-@bound("f4_loose_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE o_orderdate::DATE END AS parsed FROM orders")
+@bound("f4_loose_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 7 THEN NULL ELSE o_orderdate::DATE END AS parsed FROM orders")
 def loose_date(spark, sf_dir):
-    d, k = day("o_orderdate"), F.col("o_orderkey") % 8
+    d, k = day("o_orderdate"), F.col("o_orderkey") % 9
     typed = (
         F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "M/d/yyyy")).when(k == 2, F.date_format(d, "MM-dd-yy")).when(k == 3, F.date_format(d, "M.d.yyyy"))
-        .when(k == 4, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).when(k == 5, F.date_format(d, "MMMM d, yyyy")).when(k == 6, F.concat(F.lit(" "), F.date_format(d, "d MMM yyyy"))).otherwise("2/31/24")
+        .when(k == 4, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).when(k == 5, F.date_format(d, "MMMM d, yyyy")).when(k == 6, F.concat(F.lit(" "), F.date_format(d, "d MMM yyyy"))).when(k == 7, "2/31/24").otherwise(F.concat(F.datediff(d, F.lit("1899-12-30").cast("date")), F.lit(".73")))
     )
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.loose_date(typed).alias("parsed"))
 
 
-@bound("f6_heat_keys", "SELECT p_partkey, nullif(regexp_replace(upper(p_name || '-' || p_partkey), '[^A-Z0-9]', '', 'g'), '') AS heat_key, regexp_replace(upper(trim('  ' || p_name || '   x ')), '\\s+', ' ', 'g') AS stored, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS header FROM part")
+@bound("f6_heat_keys", "SELECT p_partkey, nullif(regexp_replace(upper(p_name || '-' || p_partkey), '[^A-Z0-9]', '', 'g'), '') AS heat_key, regexp_replace(upper(trim('  ' || p_name || '   x ')), '\\s+', ' ', 'g') AS stored, lower(p_brand) || CASE p_partkey % 3 WHEN 0 THEN ' #' WHEN 1 THEN ' % smys' ELSE '' END AS header, trim(regexp_replace(lower(p_brand) || CASE p_partkey % 3 WHEN 1 THEN ' smys' ELSE '' END, '[^a-z0-9]+', ' ', 'g')) AS plain FROM part")
 def heat_keys(spark, sf_dir):
-    n = F.col("p_name")
-    return read(spark, sf_dir, "part").select("p_partkey", keys.heat_key(F.concat_ws("-", n, "p_partkey")).alias("heat_key"), keys.squeezed(F.concat(F.lit("  "), n, F.lit("   x "))).alias("stored"), keys.header_key(F.col("p_brand")).alias("header"))
+    n, k = F.col("p_name"), F.col("p_partkey") % 3
+    typed = F.concat(F.lit(" "), F.col("p_brand"), F.when(k == 0, "   #").when(k == 1, " % SMYS:").otherwise("."))
+    return read(spark, sf_dir, "part").select("p_partkey", keys.heat_key(F.concat_ws("-", n, "p_partkey")).alias("heat_key"), keys.squeezed(F.concat(F.lit("  "), n, F.lit("   x "))).alias("stored"), keys.header_key(typed).alias("header"), keys.plain_header_key(typed).alias("plain"))
 
 
 @bound("f7_heat_from_filename", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'A' || p_partkey WHEN 1 THEN 'HT' || p_partkey WHEN 2 THEN CASE WHEN p_partkey >= 10000 THEN p_partkey::VARCHAR END WHEN 3 THEN NULL WHEN 4 THEN 'B7X' || p_partkey ELSE NULL END AS heat FROM part""")
@@ -48,12 +49,15 @@ def pipe_keys(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", keys.pipe_key(typed).alias("pipe"), keys.tool_key(F.col("p_partkey").cast("string")).alias("tool"))
 
 
-@bound("f17_split_lists", "SELECT o_orderkey, 'H' || (o_orderkey % 7) || CASE WHEN o_orderkey % 7 <> o_orderkey % 5 THEN '|H' || (o_orderkey % 5) ELSE '' END AS heats, CASE WHEN o_orderkey % 3 <> 0 THEN 'CT' END AS root FROM orders")
+@bound("f17_split_lists", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = o_orderkey % 5 THEN 'H' || (o_orderkey % 7) ELSE 'H' || (o_orderkey % 7) || '+H' || (o_orderkey % 5) END || '+A&B' AS heats, CASE WHEN o_orderkey % 3 <> 0 THEN 'CT' END AS root,
+CASE WHEN o_orderkey % 4 = 0 THEN 'NP-1' ELSE 'NP-1+' || (o_orderkey % 4 + 1) END AS welds, 'KZ9' || CASE WHEN o_orderkey % 6 > 0 THEN '+KZ9' || (o_orderkey % 6) ELSE '' END AS typed_heats FROM orders""")
 def split_lists(spark, sf_dir):
     k = F.col("o_orderkey")
-    listed = F.concat(F.lit(" H"), k % 7, F.lit(" , ,H"), k % 5, F.lit(";H"), k % 7)
+    listed = F.concat(F.lit(" H"), k % 7, F.lit(" , |H"), k % 5, F.lit(";H"), k % 7, F.lit("/A&B|"))
     passes = F.when(k % 3 == 0, "CT/CT/HS2").otherwise("CT/CT/HS2/ ")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(keys.split_list(listed), "|").alias("heats"), F.element_at(keys.four_passes(passes), 1).alias("root"))
+    welds, heats = F.concat(F.lit("NP-1 01,"), k % 4 + 1, F.lit("; x-toolong")), F.concat(F.lit("kz9, KZ-9;--\n"), F.when(k % 6 > 0, F.concat(F.lit("kz9"), k % 6)).otherwise("kz9"))
+    joined = lambda c: F.array_join(c, "+")
+    return read(spark, sf_dir, "orders").select("o_orderkey", joined(keys.split_list(listed)).alias("heats"), F.element_at(keys.four_passes(passes), 1).alias("root"), joined(keys.weld_number_list(welds)).alias("welds"), joined(keys.heat_list(heats)).alias("typed_heats"))
 
 
 @bound("f20_folders_and_types", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN NULL WHEN c_custkey % 5 = 3 THEN 'S' || (c_custkey % 9) ELSE (c_custkey % 30 + 1)::VARCHAR END AS section, CASE c_custkey % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' ELSE 'application/octet-stream' END AS mime FROM customer")
@@ -71,19 +75,34 @@ def foreign_jobs(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(keys.foreign_job_numbers(name, F.lit("AB-777")), ",").alias("foreign_jobs"))
 
 
-@bound("f23_normalisers", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'fail' END AS result, o_orderkey % 2 = 0 AS flag, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 500)::DOUBLE END AS number, 130.0::DOUBLE AS least, (200 + o_orderkey % 9)::DOUBLE AS most FROM orders""")
+@bound("f23_normalisers", """SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1, 3) THEN 'pass' WHEN o_orderkey % 8 = 2 THEN 'fail' END AS result, CASE WHEN o_orderkey % 8 IN (0, 1, 3, 7) THEN 'pass' WHEN o_orderkey % 8 = 2 THEN 'fail' END AS facility_result, o_orderkey % 2 = 0 AS flag,
+CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN (o_orderkey % 100) / 100.0::DOUBLE WHEN 2 THEN NULL ELSE (o_orderkey % 500)::DOUBLE END AS number, 130.0::DOUBLE AS least, CASE WHEN o_orderkey % 3 = 2 THEN 130.0 ELSE 200 + o_orderkey % 9 END::DOUBLE AS most,
+CASE o_orderkey % 3 WHEN 0 THEN 'RT' WHEN 1 THEN 'UT' END AS method, CASE o_orderkey % 4 WHEN 0 THEN 'Butt' WHEN 1 THEN 'O-let' WHEN 2 THEN 'Socket' END AS joint, CASE o_orderkey % 4 WHEN 0 THEN 'Butt' WHEN 1 THEN 'O-Let' END AS weld FROM orders""")
 def normalisers(spark, sf_dir):
-    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
-    r = keys.torque_range(F.concat(F.lit("130 - "), k % 9 + 200))
+    k = F.col("o_orderkey")
+    word = F.element_at(F.array(*[F.lit(x) for x in (" Accept ", "OK:", "REJECTED", "p", "PENDING", "Partial", "Fit-up", "yes")]), (k % 8 + 1).cast("int"))
+    range_ = F.when(k % 3 == 0, F.concat(F.lit("130 - "), k % 9 + 200)).when(k % 3 == 1, F.concat(k % 9 + 200, F.lit("–130"))).otherwise("130 ft lb")
+    number = F.when(k % 5 == 0, "N/A").when(k % 5 == 1, F.concat(k % 100, F.lit(" %"))).when(k % 5 == 2, "12-14").when(k % 5 == 3, F.concat(F.lit("$"), k % 500, F.lit(".0"))).otherwise(F.concat(k % 500, F.lit(" ft lb")))
+    joint = F.when(k % 4 == 0, "Butt weld").when(k % 4 == 1, "o-let").when(k % 4 == 2, "Sock.").otherwise("tee")
+    r = keys.torque_range(range_)
     return read(spark, sf_dir, "orders").select(
-        "o_orderkey", keys.pass_fail(F.when(s == "F", " accept").when(s == "O", "Reject").otherwise("?")).alias("result"), keys.yes_no(F.when(k % 2 == 0, "x").otherwise(" no")).alias("flag"),
-        keys.number_of(F.when(k % 5 != 0, F.concat(k % 500, F.lit(" ft-lb").cast("string"))).otherwise("N/A")).alias("number"), r["least"].alias("least"), r["most"].alias("most"),
+        "o_orderkey", keys.pass_fail(word).alias("result"), keys.pass_fail(word, ("yes",)).alias("facility_result"), keys.yes_no(F.when(k % 4 == 0, "x").when(k % 2 == 0, " Yes").when(k % 4 == 1, "no")).alias("flag"),
+        keys.number_of(number).alias("number"), r["least"].alias("least"), r["most"].alias("most"), keys.method_of(F.when(k % 3 == 0, "ut/rt").when(k % 3 == 1, "phased UT").otherwise("--")).alias("method"),
+        keys.joint_type(joint).alias("joint"), keys.weld_type(F.when(k % 4 == 0, "BUTT ").when(k % 4 == 1, "O-let").otherwise("Butt weld")).alias("weld"),
     )
 
 
-@bound("f25_initials_and_stamps", "SELECT p_partkey, upper(left(split_part(p_name, ' ', 1), 1)) || upper(left(split_part(p_name, ' ', 2), 1)) AS initials, p_partkey % 2 = 0 AS combined FROM part")
+@bound("f24_us_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN o_orderdate::DATE END AS day, o_orderkey % 3 <> 2 AS same FROM orders")
+def us_dates(spark, sf_dir):
+    k, d = F.col("o_orderkey"), day("o_orderdate")
+    typed = F.when(k % 4 < 3, F.concat(F.lit("Exam date: "), F.date_format(d, "M/d/yyyy"), F.lit(" 06:00"))).otherwise("25/14/2024")
+    logged = F.when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(d, "MM/d/yyyy")).otherwise(F.date_format(F.date_add(d, 1), "M/d/yyyy"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.us_date(typed).alias("day"), dates.same_day(logged, d).alias("same"))
+
+
+@bound("f25_initials_and_stamps", "SELECT p_partkey, upper(left(split_part(p_name, ' ', 1), 1)) || upper(left(split_part(p_name, ' ', 2), 1)) AS initials, p_partkey % 5 < 4 AS combined FROM part")
 def initials(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", keys.initials(F.col("p_name")).alias("initials"), keys.is_combined_stamp(F.when(F.col("p_partkey") % 2 == 0, "CT/HS").otherwise("CT")).alias("combined"))
+    return read(spark, sf_dir, "part").select("p_partkey", keys.initials(F.col("p_name")).alias("initials"), keys.is_combined_stamp(F.element_at(F.array(*[F.lit(x) for x in ("CT/HS", "MR LC", "A+B", "A&B", " ANDY ")]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("combined"))
 
 
 @bound("f26_record_ids", """WITH h AS (SELECT o_orderkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('weld|' || o_orderkey)) AS d FROM orders)
@@ -92,23 +111,35 @@ def record_ids(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", keys.record_id("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.lit("weld"), F.col("o_orderkey").cast("string")).alias("id"))
 
 
-_NORMAL = r"""left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t},
- '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<id>', 'g'), '\b[0-9a-fA-F]{16,}\b', '<hash>', 'g'), '\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?Z?)?', '<date>', 'g'),
- '''[^'']{0,120}''', '''<value>''', 'g'), '"[^"]{0,120}"', '"<value>"', 'g'), '\b(?:[A-Za-z][A-Za-z-]*[0-9]|[0-9][0-9-]*[A-Za-z])[A-Za-z0-9-]+\b', '<ref>', 'g'), '\b\d+(?:\.\d+)?\b', '<n>', 'g'), '\s+', ' ', 'g')), 500)"""
-_REPORT = "('order ' || o_orderkey || ' of ' || o_orderdate::DATE || ' in ''' || o_orderpriority || ''' at ref A' || o_custkey || ' failed: ' || o_orderstatus)"
+# The rule for references, told token by token: a run of letters, digits and hyphens with both a letter and a digit, of three or more.
+_TOKEN = "array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z0-9][A-Za-z0-9-]*|[^A-Za-z0-9]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') AND length(rtrim(t, '-')) >= 3 THEN '<ref>' || repeat('-', length(t) - length(rtrim(t, '-'))) ELSE t END), '')"
+_REPORT = "('order ' || o_orderkey || ' of ' || o_orderdate::DATE || ' in ''' || o_orderpriority || ''' at RT-' || (o_custkey % 90) || ', AB' || (o_custkey % 7) || ' or A' || o_custkey || '-x failed (' || sha1(o_orderkey::VARCHAR) || ') ' || (o_orderkey % 50) || '.5 x: ' || o_orderstatus)"
+_BEFORE = f"regexp_replace(regexp_replace(regexp_replace({_REPORT}, '[0-9a-f]{{40}}', '<hash>', 'g'), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '<date>', 'g'), '''[^'']*''', '''<value>''', 'g')"
+_NORMAL = f"regexp_replace({_TOKEN.replace('{x}', _BEFORE)}, '\\b[0-9]+([.][0-9]+)?\\b', '<n>', 'g')"
 
 
 def _reports(spark, sf_dir):
-    said = F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" of "), day("o_orderdate"), F.lit(" in '"), F.col("o_orderpriority"), F.lit("' at ref A"), F.col("o_custkey"), F.lit(" failed: "), F.col("o_orderstatus"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.concat(F.lit("order "), k, F.lit(" of "), day("o_orderdate"), F.lit(" in '"), F.col("o_orderpriority"), F.lit("' at RT-"), c % 90, F.lit(", AB"), c % 7, F.lit(" or A"), c, F.lit("-x failed ("), F.sha1(k.cast("string")), F.lit(") "), k % 50, F.lit(".5 x: "), F.col("o_orderstatus"))
     return read(spark, sf_dir, "orders").select("o_orderkey", said.alias("message"), day("o_orderdate").alias("seen"))
 
 
-@bound("f27_normal_messages", f"SELECT o_orderkey, {_NORMAL.replace('{t}', _REPORT)} AS shape FROM orders")
+@bound("f27_normal_messages", f"SELECT o_orderkey, {_NORMAL} AS shape, 'at f (src/lib/' || (o_orderkey % 9) || '.ts:' || (o_orderkey % 40) || ')' AS frame FROM orders")
 def normal_messages(spark, sf_dir):
-    return _reports(spark, sf_dir).select("o_orderkey", keys.normal_message(F.col("message")).alias("shape"))
+    k = F.col("o_orderkey")
+    stack = F.concat(F.lit("Error: at x\n  at lib (/var/node_modules/a.js:1)\n noise\n   at f (/var/task/build/src/lib/"), k % 9, F.lit(".ts:"), k % 40, F.lit(")\n at g (/app/b.ts:2)"))
+    return _reports(spark, sf_dir).select("o_orderkey", keys.normal_message(F.col("message")).alias("shape"), keys.top_frame(stack).alias("frame"))
+
+
+@bound("f28_fault_codes", f"""WITH f AS (SELECT o_orderkey, substr(sha256(CASE WHEN o_orderkey % 2 = 0 THEN 'TypeError' ELSE 'Error' END || chr(0) || {_NORMAL} || chr(0) || chr(0) || '/books'), 1, 12) AS fp FROM orders)
+SELECT o_orderkey, fp, array_to_string(list_transform(range(6), lambda i: substr('23456789ABCDEFGHJKLMNPQRSTVWXYZ', (('0x' || substr(fp, (2 * i + 1)::INTEGER, 2))::INTEGER % 31 + 1)::INTEGER, 1)), '') AS code FROM f""")
+def fault_codes(spark, sf_dir):
+    name = F.when(F.col("o_orderkey") % 2 == 0, "TypeError").otherwise("")
+    r = _reports(spark, sf_dir).select("o_orderkey", keys.fault_fingerprint(name, F.col("message"), F.lit(None).cast("string"), F.lit("/books")).alias("fp"))
+    return r.select("o_orderkey", "fp", keys.reference_code(F.col("fp")).alias("code"))
 
 
-@bound("a32_fault_groups", f"SELECT shape, count(*) AS n, min(d) AS first_seen, max(d) AS last_seen, substr(sha256(shape), 1, 12) AS fingerprint FROM (SELECT {_NORMAL.replace('{t}', _REPORT)} AS shape, o_orderdate::DATE AS d FROM orders) GROUP BY shape")
+@bound("a32_fault_groups", f"SELECT shape, count(*) AS n, min(d) AS first_seen, max(d) AS last_seen, substr(sha256(shape), 1, 12) AS fingerprint FROM (SELECT {_NORMAL} AS shape, o_orderdate::DATE AS d FROM orders) GROUP BY shape")
 def fault_groups(spark, sf_dir):
     return notify.faults(_reports(spark, sf_dir), "message", "seen")
 

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder of our own where that is unset, as in tests."""
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder of our own will do for a local master only: on a cluster
+    every machine would write to a disk of its own, which is an error."""
     sc = spark.sparkContext
-    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
     return known.rstrip("/")
