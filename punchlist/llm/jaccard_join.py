@@ -7,7 +7,8 @@ representative of each goes on. Every set emits keys, and sets that share a key
   share a subset of the overlap that (a, b) needs, so the subsets of that size are the keys, tagged with (a, b);
 * heavy sets emit the shingles of their prefix, whose inverted lists are scanned. Shingles are ordered by a cost class (in
   one set only, in few, in many), then by hash; any fixed order makes the prefix filter exact, and shingles that one set
-  alone has need no list. Light sets that a heavy one can match are in the lists too.
+  alone has need no list. Light sets that a heavy one can match are in the lists too. Of the sets that meet any other in this
+  way, all shingles are counted, and prefixes and lists are made once more by exact frequency, the rarest shingle first.
 
 A set with too many shingles that no other candidate has cannot be similar to any; that bound drops such sets, and pairs. So
 does the place of a shingle in the order of its set: what two sets share, they share from their first common shingle on. Two
@@ -319,31 +320,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = written(keys.join(copies.select("doc_id"), "doc_id", "left_anti"), "posts")
     posts = written(_in_lists(posts), "posts")
 
-    # Shingles that no other candidate has: a set may have only as many as its partner can lack.
+    # Of the candidates alone all shingles are counted, and their prefixes are taken anew in exact order, the rarest first: a set
+    # whose own changes fill its prefix leaves the lists of the passage that it shares with many.
     ids = written(posts.select(F.col("doc_id").alias(id_col)).distinct(), "ids")
     wanted = docs.select(id_col, text_col).join(F.broadcast(ids) if ids.limit(MAX_IDS + 1).count() <= MAX_IDS else ids, id_col, "left_semi")
     whole = written(whole_sets(wanted, id_col, text_col, n), "whole")
-    alone = whole.select("doc_id", F.explode("set").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    # The count is that of one set, so ids with several sets take none off: the bound only excludes.
-    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("alone")).join(several, "doc_id", "left_anti")
+    rows = whole.select("doc_id", F.xxhash64("set").alias("sig"), F.size("set").alias("size"), F.explode("set").alias("key"))
+    frequencies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequencies")
+    counted = rows.join(frequencies, "key", "left").groupBy("doc_id", "sig", "size").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("ks"))
+    spare = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")
+    own = F.size(F.filter("ks", lambda k: k["n"] == 1))
+    ranked = written(counted.select("doc_id", "size", own.alias("alone"), F.slice("ks", 1, spare + 1).alias("ks")), "ranked")
+    # Shingles that no other candidate has: a set may have only as many as its partner can lack. The count is that of one set, so
+    # ids with several sets take none off: the bound only excludes.
+    alone = ranked.groupBy("doc_id").agg(F.min("alone").alias("alone")).join(several, "doc_id", "left_anti")
     table = lite.join(ids.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").join(alone, "doc_id", "left").select("doc_id", "size", "bits", F.coalesce("alone", F.lit(0)).alias("alone"))
     table = written(table.where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size")), "candidates")
+    prefixes = ranked.where(100 * F.col("size") >= percent * (boundary + 1)).select("doc_id", "size", F.posexplode("ks").alias("pos", "k")).where("k.n > 1")
+    posts = posts.where("pos < 0").unionByName(prefixes.select("k.key", "doc_id", "size", "pos"))
     posts = written(_in_lists(posts.join(table.select("doc_id", "alone").distinct(), "doc_id")), "posts")
 
-    def close(x: str, y: str) -> Column:
+    def close(x: str, y: str, places: bool) -> Column:
         """Sizes, shingles of their own and places that allow the similarity: (100 + percent) overlap >= percent (sizes).
 
-        The bound by places holds at the first key that two sets share; a pair that it drops at a later one was kept there.
+        The bound by places holds at the first key that two sets share; a pair that it drops at a later one meets there. Not so
+        with hubs, which are others in every list.
         """
         size = lambda d: F.col(f"{d}size")
-        rest = lambda d: size(d) - F.greatest(F.col(f"{d}pos"), F.lit(0))
+        rest = lambda d: size(d) - (F.greatest(F.col(f"{d}pos"), F.lit(0)) if places else 0)
         most = F.least(*[size(d) - F.col(f"{d}alone") for d in (x, y)], rest(x), rest(y))
         return (100 + percent) * most >= percent * (size(x) + size(y))
 
-    member = F.struct("alone", "doc_id", "size", "pos")
+    member = F.struct("alone", "doc_id", "size")
     lists = written(posts.groupBy("key").agg(F.min(member).alias("lo"), F.max_by(member, "doc_id").alias("hi")), "lists")
-    hubs = posts.join(lists, "key").select("doc_id", "size", "alone", "pos", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub"))
-    hubs = hubs.where((F.col("doc_id") != F.col("hub.doc_id")) & close("", "hub."))
+    hubs = posts.join(lists, "key").select("doc_id", "size", "alone", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub"))
+    hubs = hubs.where((F.col("doc_id") != F.col("hub.doc_id")) & close("", "hub.", False))
     first = written(hubs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "pairs")
     links = written(verified_links(written(possible_links(first, table, percent), "possible"), whole, percent), "links")
     comps = connected_components(links)
@@ -367,7 +378,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     here = (F.size(shared) == 0) | (F.col("key") == F.get(shared, F.lit(0)))
     once = (F.col("comp") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id")) | ~F.col("early")
     same = (F.col("x_key") == F.col("key")) & (F.col("x_early") == F.col("early"))
-    meet = others.join(placed, same & (F.col("comp") != F.col("x_comp")) & once & close("", "x_") & here)
+    meet = others.join(placed, same & (F.col("comp") != F.col("x_comp")) & once & close("", "x_", True) & here)
     second = meet.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(verified_links(written(possible_links(written(second, "pairs"), table, percent), "possible"), whole, percent), "links")
     if not more.isEmpty():
