@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_within
@@ -98,6 +98,12 @@ def missing_histogram(df: DataFrame, book: list[str], fields: str = "missing") -
     return df.select(*book, F.explode(fields).alias("field")).groupBy(*book, "field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_missing(histogram: DataFrame, book: list[str], most: int = 4) -> DataFrame:
+    """The fields that a book's records lack most often: a report's top few."""
+    order = Window.partitionBy(*book).orderBy(F.desc("n"), "field")
+    return histogram.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def within_tolerance(actual: Column, point: Column, least: Column, most: Column, percent: Column) -> Column:
     """Inside a range if there is one, else within percent of the point (a point of 0 exactly); NULL if it cannot be said."""
     low, high = F.coalesce(least, point), F.coalesce(most, point)

@@ -65,7 +65,7 @@ def method_coverage(events: DataFrame, certs: DataFrame, keys: list[str], event_
     return per.select(event_id, verdict.alias("verdict"), "covers")
 
 
-def calibration_verdicts(events: DataFrame, tools: DataFrame, event_id: str, tool_ref: str, raw_code: str, at: str, tool_id: str, code: str, start: str, end: str, on_file: str) -> DataFrame:
+def calibration_verdicts(events: DataFrame, tools: DataFrame, event_id: str, tool_ref: str, raw_code: str, at: str, tool_id: str, code: str, start: str, end: str, on_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The tool by id, else by the code as written; then one of eight verdicts on its calibration at the day of use.
 
     ``code`` may repeat; the smallest id answers for it.
@@ -85,7 +85,7 @@ def calibration_verdicts(events: DataFrame, tools: DataFrame, event_id: str, too
         .when(day > F.col("_t._e"), "expired")
         .otherwise("valid")
     )
-    return joined.select(event_id, verdict.alias("verdict"), F.col("_t._s").alias("calibrated"), F.col("_t._e").alias("due"))
+    return joined.select(event_id, *keep, verdict.alias("verdict"), F.col("_t._s").alias("calibrated"), F.col("_t._e").alias("due"))
 
 
 def covered_throughout(validity: DataFrame, per: list[str], valid: str = "valid") -> DataFrame:
@@ -93,7 +93,7 @@ def covered_throughout(validity: DataFrame, per: list[str], valid: str = "valid"
     return validity.groupBy(*per).agg(F.bool_and(valid).alias("covered_throughout"), F.count_if(~F.col(valid)).alias("n_exposed"))
 
 
-def certificate_status(expires: Column, as_of: Column, warning_days: int) -> Column:
+def certificate_status(expires: Column, as_of: Column, warning_days: int | Column) -> Column:
     """valid, expiring_soon or expired; no expiry is valid. A missing certificate is the caller's left join."""
     left = F.datediff(expires, as_of)
     return F.when(expires.isNull(), "valid").when(left < 0, "expired").when(left <= warning_days, "expiring_soon").otherwise("valid")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import completeness, rollup, validity
 from .bound import bound, date, day, read
+from .records import ctes, records
 
 _JOINTS = """j AS (SELECT l_orderkey % 10 AS book, list_distinct([l_suppkey, l_partkey % 100 + 1]) AS ps, l_returnflag = 'R' AS x,
   CASE WHEN l_linestatus = 'F' THEN 'pass' ELSE 'fail' END AS r, l_shipdate::DATE AS d FROM lineitem WHERE l_linenumber <> 7),
@@ -169,45 +170,62 @@ def expiry_calendar(spark, sf_dir):
     return validity.expiry_calendar(certs, "e", date("1997-06-01"), 90).orderBy("days_left", "o_orderkey")
 
 
-_SPEC = """spec AS (SELECT o_orderkey, o_orderpriority, list_filter([CASE WHEN NOT o_totalprice > 100000 THEN 'price' END, CASE WHEN o_orderstatus = 'P' THEN 'status' END, CASE WHEN o_orderkey % 13 = 0 THEN 'customer' END], lambda x: x IS NOT NULL) AS missing FROM orders)"""
+def missing_fields(spark, sf_dir):
+    c = records(spark, sf_dir, "torque_connection")["torque_connection"]
+    return c.select("job_book_id", "id", completeness.torque_missing().alias("missing"))
 
 
-def missing_fields(spark, sf_dir):
-    spec = [("price", F.col("o_totalprice") > 100000), ("status", F.nullif("o_orderstatus", F.lit("P")).isNotNull()), ("customer", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey")).isNotNull())]
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", completeness.missing(spec).alias("missing"))
+# What a connection lacks, label by label.
+_SPEC = f"""{ctes('torque_connection')}, spec AS (SELECT job_book_id, id, list_filter([CASE WHEN required_torque_ft_lb IS NULL THEN 'required torque' END, CASE WHEN actual_torque_ft_lb IS NULL THEN 'actual torque' END,
+  CASE WHEN wrench_id IS NULL AND coalesce(wrench_id_raw, '') = '' THEN 'wrench ID' END, CASE WHEN torque_date IS NULL THEN 'torque date' END, CASE WHEN trim(coalesce(employee_initials, '')) = '' THEN 'employee initials' END,
+  CASE WHEN inspector_initials <> '' AND inspection_date IS NULL THEN 'inspection date' END, CASE WHEN (inspection_date IS NOT NULL OR inspector_initials <> '') AND trim(coalesce(inspector_initials, '')) = '' THEN 'inspector initials' END], lambda x: x IS NOT NULL) AS missing FROM torque_connection)"""
 
 
-@bound("p9_missing_fields", f"WITH {_SPEC} SELECT o_orderkey, array_to_string(missing, '; ') AS missing, len(missing) = 0 AS complete FROM spec")
+@bound("p9_missing_fields", f"WITH {_SPEC} SELECT id, array_to_string(missing, '; ') AS missing, len(missing) = 0 AS complete FROM spec")
 def missing_joined(spark, sf_dir):
-    return missing_fields(spark, sf_dir).select("o_orderkey", F.array_join("missing", "; ").alias("missing"), (F.size("missing") == 0).alias("complete"))
+    return missing_fields(spark, sf_dir).select("id", F.array_join("missing", "; ").alias("missing"), (F.size("missing") == 0).alias("complete"))
 
 
-@bound("a6_completeness_summary", f"WITH {_SPEC} SELECT o_orderpriority, count(*) AS n, count(*) FILTER (len(missing) = 0) AS n_complete, round(avg((len(missing) = 0)::INTEGER) * 100, 2) AS complete_pct FROM spec GROUP BY o_orderpriority")
+@bound("a6_completeness_summary", f"WITH {_SPEC} SELECT job_book_id, count(*) AS n, count(*) FILTER (len(missing) = 0) AS n_complete, round(avg((len(missing) = 0)::INTEGER) * 100, 2) AS complete_pct FROM spec GROUP BY job_book_id")
 def completeness_summary(spark, sf_dir):
-    return completeness.summary(missing_fields(spark, sf_dir), ["o_orderpriority"])
+    return completeness.summary(missing_fields(spark, sf_dir), ["job_book_id"])
 
 
-@bound("a6_missing_histogram", f"WITH {_SPEC} SELECT o_orderpriority, field, count(*) AS n FROM (SELECT o_orderpriority, unnest(missing) AS field FROM spec) GROUP BY ALL")
+@bound("a6_missing_histogram", f"WITH {_SPEC} SELECT job_book_id, field, count(*) AS n FROM (SELECT job_book_id, unnest(missing) AS field FROM spec) GROUP BY ALL")
 def missing_histogram(spark, sf_dir):
-    return completeness.missing_histogram(missing_fields(spark, sf_dir), ["o_orderpriority"])
+    return completeness.missing_histogram(missing_fields(spark, sf_dir), ["job_book_id"])
+
+
+@bound("o4_most_missing", f"WITH {_SPEC}, h AS (SELECT job_book_id, field, count(*) AS n FROM (SELECT job_book_id, unnest(missing) AS field FROM spec) GROUP BY ALL) SELECT job_book_id, field, n, (row_number() OVER (PARTITION BY job_book_id ORDER BY n DESC, field))::INTEGER AS place FROM h QUALIFY place <= 4")
+def most_missing(spark, sf_dir):
+    return completeness.most_missing(missing_histogram(spark, sf_dir), ["job_book_id"])
 
 
-_WELDS = """w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END AS stamp, CASE WHEN l_partkey % 5 <> 0 THEN l_partkey END AS root_id, CASE WHEN l_partkey % 7 <> 0 THEN l_suppkey END AS cap_id,
-  CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS method, CASE WHEN l_linestatus = 'F' THEN 'pass' END AS result FROM lineitem)"""
+# The two shapes of weld logs; a weld without any facility field is a flowline's.
+_WELDS = f"""{ctes('weld')}, w AS (SELECT *, coalesce(welder_stamp, '') <> '' OR welder_id IS NOT NULL OR construction_area IS NOT NULL OR isometric_number IS NOT NULL AS fac, ndt_method IS NOT NULL OR trim(coalesce(xray_number, '')) <> '' AS seen FROM weld)"""
 
 
-@bound("p8_weld_completeness", f"""WITH {_WELDS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, array_to_string(list_filter([
-  CASE WHEN CASE WHEN stamp IS NOT NULL THEN false ELSE root_id IS NULL OR cap_id IS NULL END THEN 'welder' END, CASE WHEN l_partkey % 11 = 0 THEN 'heat numbers' END, CASE WHEN l_quantity < 5 THEN 'visual inspection' END,
-  CASE WHEN method IS NOT NULL AND result IS NULL THEN 'result' END, CASE WHEN method IS NOT NULL AND l_suppkey % 2 = 0 THEN 'report' END], lambda x: x IS NOT NULL), '; ') AS missing FROM w""")
+@bound("p8_weld_completeness", f"""WITH {_WELDS} SELECT id, CASE WHEN status = 'not_used' THEN '' ELSE array_to_string(list_filter([CASE WHEN weld_date IS NULL THEN 'weld date' END,
+  CASE WHEN fac AND trim(coalesce(welder_stamp, '')) = '' AND welder_id IS NULL THEN 'welder stamp' END, CASE WHEN fac AND isometric_number IS NULL THEN 'isometric number' END, CASE WHEN fac AND pipe_size_schedule IS NULL THEN 'pipe size / schedule' END,
+  CASE WHEN fac AND pipe_grade IS NULL THEN 'pipe grade' END, CASE WHEN fac AND design_pressure_psi IS NULL THEN 'design pressure' END, CASE WHEN NOT fac AND root_welder_id IS NULL THEN 'root pass welder' END, CASE WHEN NOT fac AND hot_welder_id IS NULL THEN 'hot pass welder' END,
+  CASE WHEN NOT fac AND fill_welder_id IS NULL THEN 'fill pass welder' END, CASE WHEN NOT fac AND cap_welder_id IS NULL THEN 'cap pass welder' END, CASE WHEN NOT fac AND component_description IS NULL THEN 'component description' END, CASE WHEN NOT fac AND len(heat_numbers) = 0 THEN 'heat numbers' END,
+  CASE WHEN joint_type IS NULL THEN 'joint type' END, CASE WHEN trim(coalesce(cwi_initials, '')) = '' THEN 'CWI initials' END, CASE WHEN cwi_visual_result IS NULL THEN 'CWI visual result' END, CASE WHEN seen AND ndt_method IS NULL THEN 'NDT method' END,
+  CASE WHEN seen AND ndt_result IS NULL THEN 'NDT result' END, CASE WHEN seen AND fac AND ndt_ticket_number IS NULL THEN 'NDT ticket number' END, CASE WHEN seen AND NOT fac AND ndt_report_id IS NULL THEN 'linked NDE report' END], lambda x: x IS NOT NULL), '; ') END AS missing FROM w""")
 def weld_completeness(spark, sf_dir):
-    s, p = F.col("l_suppkey"), F.col("l_partkey")
-    spec = completeness.weld_spec({
-        "weld_date": F.col("l_shipdate"), "welder_id": F.when(s % 3 == 0, s), "welder_stamp": F.lit(None), "passes": F.lit("A/B/C/D"), "root_id": F.when(p % 5 != 0, p), "cap_id": F.when(p % 7 != 0, s),
-        "heats": F.when(p % 11 != 0, F.array(p)).otherwise(F.array().cast("array<bigint>")), "visual_date": F.col("l_shipdate"), "inspector": F.when(F.col("l_quantity") >= 5, "QA"),
-        "method": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), "ticket": F.lit(" "), "result": F.when(F.col("l_linestatus") == "F", "pass"), "report_id": F.when(s % 2 != 0, s),
-    })
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
-    return read(spark, sf_dir, "lineitem").select(*keys, F.array_join(completeness.missing(spec), "; ").alias("missing"))
+    return records(spark, sf_dir, "weld")["weld"].select("id", F.array_join(completeness.weld_missing(), "; ").alias("missing"))
+
+
+@bound("p10_heat_completeness", f"WITH {ctes('material_heat')} SELECT id, array_to_string(list_filter([CASE WHEN mtr_document_id IS NULL THEN 'MTR document' END, CASE WHEN mtr_status = 'illegible' THEN 'legible MTR' END, CASE WHEN mtr_status = 'unidentified' THEN 'identified heat number on MTR' END], lambda x: x IS NOT NULL), '; ') AS missing FROM material_heat")
+def heat_completeness(spark, sf_dir):
+    return records(spark, sf_dir, "material_heat")["material_heat"].select("id", F.array_join(completeness.heat_missing(), "; ").alias("missing"))
+
+
+@bound("p11_pressure_completeness", f"""WITH {ctes('pressure_test', 'certificate')} SELECT t.id, array_to_string(list_filter([CASE WHEN test_date IS NULL THEN 'test date' END, CASE WHEN test_pressure_psi IS NULL THEN 'test pressure' END, CASE WHEN duration_minutes IS NULL THEN 'duration' END, CASE WHEN result IS NULL THEN 'result' END,
+  CASE WHEN chart_document_id IS NULL THEN 'recorder chart' END, CASE WHEN c.id IS NULL THEN 'recorder calibration certificate' WHEN test_date < issue_date OR test_date > expiry_date THEN 'recorder calibration valid on the test date' END], lambda x: x IS NOT NULL), '; ') AS missing
+FROM pressure_test t LEFT JOIN certificate c ON c.id = recorder_cert_id""")
+def pressure_completeness(spark, sf_dir):
+    t = records(spark, sf_dir, "pressure_test", "certificate")
+    return completeness.pressure_missing(t["pressure_test"], t["certificate"]).select("id", F.array_join("missing", "; ").alias("missing"))
 
 
 @bound("p6_torque_tolerance", """SELECT l_returnflag, l_linenumber, count(*) FILTER (v) AS inside, count(*) FILTER (NOT v) AS outside, count(*) FILTER (v IS NULL) AS unknown FROM (SELECT l_returnflag, l_linenumber, CASE WHEN low IS NULL OR high IS NULL THEN NULL WHEN high > low THEN a BETWEEN low AND high WHEN low = 0 THEN a = 0 ELSE abs(a - low) / low * 100 <= 10 END AS v

@@ -39,8 +39,8 @@ def test_qualification_truth_table(spark):
 
 
 def test_loose_dates(spark):
-    rows = ["2024-02-29", "2/31/24", "12/5/69", "12/5/70", "45000", "0", "80001", "December 6, 2024", "May 2 2026", "6 Sept. 2024", "3rd Mar 2024", "", "x", None, "1-2-2024"]
-    want = [D(2024, 2, 29), None, D(2069, 12, 5), D(1970, 12, 5), D(2023, 3, 15), None, None, D(2024, 12, 6), D(2026, 5, 2), D(2024, 9, 6), D(2024, 3, 3), None, None, None, D(2024, 1, 2)]
+    rows = ["2024-02-29", "2/31/24", "12/5/69", "12/5/70", "45000", "45000.7", "0", "80001", "December 6, 2024", "May 2 2026", "6 Sept. 2024", "3rd Mar 2024", "", "x", None, "1-2-2024"]
+    want = [D(2024, 2, 29), None, D(2069, 12, 5), D(1970, 12, 5), D(2023, 3, 15), D(2023, 3, 15), None, None, D(2024, 12, 6), D(2026, 5, 2), D(2024, 9, 6), D(2024, 3, 3), None, None, None, D(2024, 1, 2)]
     assert values(spark, "string", rows, dates.loose_date) == want
 
 
@@ -100,21 +100,26 @@ def test_ledger(spark):
 
 def test_rules_over_two_books(spark):
     weld = spark.createDataFrame(
-        [("A", "1", "w1", None, None, None, None, None, D(2024, 5, 1), ["H1"], "RT", None, None, "ok", "1", "pass"), ("A", "2", None, None, None, None, None, None, D(2024, 5, 1), ["H2"], None, None, None, "ok", "2", None), ("B", "1", "w2", None, None, None, None, None, D(2030, 1, 1), [], None, None, None, "not_used", "1", None)],
+        [("A", "1", "w1", None, None, None, None, None, D(2024, 5, 1), ["H1"], "RT", None, None, "ok", "1", "Pass"), ("A", "2", None, None, None, None, None, None, D(2024, 5, 1), ["H2"], None, None, None, "ok", "2", None), ("B", "1", "w2", None, None, None, None, None, D(2030, 1, 1), [], None, None, None, "not_used", "1", None)],
         "job_book_id string, id string, welder_id string, welder_stamp string, root_welder_id string, hot_welder_id string, fill_welder_id string, cap_welder_id string, weld_date date, heat_numbers array<string>, ndt_method string, xray_number string, ndt_report_id string, status string, weld_number string, ndt_result string",
     )
     quals = spark.createDataFrame([("w1", None, None)], "welder_id string, qualification_date date, expiry_date date")
-    heats = spark.createDataFrame([("A", "H1", "on_file"), ("A", "H9", "on_file")], "job_book_id string, heat_number string, mtr_status string")
-    books = spark.createDataFrame([("A", None), ("B", D(2024, 12, 31))], "id string, data_as_of_date date")
-    got = {(r["job_book_id"], r["rule_id"], r["entity_id"]) for r in rules.findings({"weld": weld, "welder_qualification": quals, "material_heat": heats, "job_book": books.withColumn("job_number", F.lit("AB-100"))}, rules.Settings("2025-01-01")).collect()}
-    assert got == {("A", "welder.qualification_currency_unverifiable", "1"), ("A", "weld.no_welder_stamp", "2"), ("A", "weld.nde_without_report", "1"), ("A", "material.heat_without_mtr", "H2"), ("A", "material.mtr_not_referenced", "H9"), ("B", "record.future_dated", "weld:1")}
-    assert len({r.id for r in rules.RULES}) == len(rules.RULES)
+    heats = spark.createDataFrame([("A", "m1", "H1", "d", "on_file"), ("A", "m9", "H9", "d", "on_file")], "job_book_id string, id string, heat_number string, mtr_document_id string, mtr_status string")
+    sections = spark.createDataFrame([("A", "10", None), ("B", "15", "not_imported")], "job_book_id string, section_number string, ingestion_status string")
+    tables = {"weld": weld, "welder_qualification": quals, "material_heat": heats, "job_book_section": sections}
+    got = {(r["job_book_id"], r["rule_id"], r["entity_id"], r["fingerprint"].split("|")[1]) for r in rules.findings(tables, rules.Settings("2025-01-01")).collect()}
+    assert got == {("A", "welder.qualification_currency_unverifiable", "1", "1"), ("A", "weld.no_welder_stamp", "2", "2"), ("A", "weld.nde_without_report", "1", "1"), ("A", "material.heat_without_mtr", None, "H2"), ("A", "material.mtr_not_referenced", "m9", "H9")}
+    unread = sections.withColumn("ingestion_status", F.lit("not_imported"))
+    silent = {r["rule_id"] for r in rules.findings({**tables, "job_book_section": unread.withColumn("section_number", F.lit("15"))}, rules.Settings("2025-01-01")).collect()}
+    assert not any(r.startswith("material") for r in silent) and "weld.nde_without_report" in silent
+    ids = [i for r in rules.RULES for i in r.ids]
+    assert len(set(ids)) == len(ids) == 53
 
 
 def test_second_pass(spark):
-    sections = spark.createDataFrame([("A", "7", "ready_for_review"), ("A", "8", "ready_for_review")], "job_book_id string, section_number string, status string")
-    found = spark.createDataFrame([("A", "7"), ("A", "7"), ("A", None)], "job_book_id string, section string")
-    assert [(r["entity_id"], r["detail"]) for r in rules.ready_with_open_findings(sections, found).collect()] == [("7", "2")]
+    sections = spark.createDataFrame([("A", "x7", "7", "ready_for_review"), ("A", "x8", "8", "ready_for_review")], "job_book_id string, id string, section_number string, status string")
+    found = spark.createDataFrame([("A", "7", "critical"), ("A", "7", "warning"), ("A", "8", "info"), ("A", None, "critical")], "job_book_id string, section string, severity string")
+    assert [(r["entity_id"], r["section"], r["detail"]) for r in rules.ready_with_open_findings(sections, found).collect()] == [("x7", "7", "2")]
 
 
 def test_gate_states(spark):
