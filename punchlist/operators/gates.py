@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates
+from . import completeness, reconcile, validity
+
 STATES = ("met", "not_met", "indeterminate", "not_applicable")
 
 
@@ -29,6 +34,142 @@ def sustained(criteria: DataFrame, book: list[str], earlier: str, gate: str, nam
     return criteria.where(F.col("gate") == earlier).groupBy(*book).agg(state.alias("state")).select(*book, F.lit(gate).alias("gate"), F.lit(name).alias("id"), "state")
 
 
+#: The least completion that a book's planned curve asks for at each gate, where it has no curve of its own.
+PLANNED = {"G0": 8, "G1": 25, "G2": 50, "G3": 85, "G4": 98, "G5": 100}
+#: Subjects whose certificates are calibrations.
+CALIBRATED = ["torque_wrench", "pressure_recorder"]
+BOOK = "job_book_id"
+
+
+def _per_book(df: DataFrame, **counts: Column) -> DataFrame:
+    return df.groupBy(BOOK).agg(*[c.alias(n) for n, c in counts.items()])
+
+
+def _kind() -> Column:
+    """Whether a certificate is a calibration, whose expiry may follow from its issue: by what it is of."""
+    return F.when(F.col("subject_type").isin(CALIBRATED), "calibration")
+
+
+def facts(t: dict[str, DataFrame], as_of: Column, months: int = 12) -> DataFrame:
+    """One row per book with what the gates ask: its own fields and counts over its records, each counted in one aggregation.
+
+    ``t``: job_book, job_book_section, document, weld, welder_qualification, certificate, torque_connection, torque_wrench,
+    nde_report, pressure_test, material_heat, compliance_flag, and roster (job_book_id, kind, subject_id) of who is mobilising.
+    A book without rows of a table has none of its records; whether the ledger of findings was loaded is ``flags_loaded``.
+    """
+    book = t["job_book"].withColumnRenamed("id", BOOK)
+    bounds = book.select(BOOK, F.coalesce("construction_start", as_of).alias("start"), F.coalesce("construction_end", as_of).alias("stop"), F.col("construction_end").alias("end"))
+    applies = F.col("status") != "na"
+    unread = F.col("ingestion_status").isNull() | (F.col("ingestion_status") == "not_imported")
+    s = t["job_book_section"]
+    held = t["document"].where("NOT is_deleted AND NOT is_superseded").select(BOOK, F.col("section_id").alias("id")).distinct().withColumn("held", F.lit(True))
+    entered = [t[n].groupBy(BOOK).agg(F.count(F.lit(1)).alias("have")).withColumn("linked_record_type", F.lit(n)) for n in ("weld", "torque_connection", "material_heat", "nde_report", "pressure_test") if n in t]
+    s = s.join(held, [BOOK, "id"], "left").join(reduce(DataFrame.unionByName, entered), [BOOK, "linked_record_type"], "left")
+    counted = F.col("linked_record_type").isin("weld", "torque_connection", "material_heat", "nde_report", "pressure_test")
+    parts = [_per_book(
+        s, n_na_without_reason=F.count_if(~applies & completeness.blank(F.col("na_reason"))), n_procedures=F.count_if(F.col("section_number").isin("3", "4", "5", "9")), n_empty_procedures=F.count_if(F.col("section_number").isin("3", "4", "5", "9") & F.col("held").isNull()),
+        n_applicable=F.count_if(applies), n_undated=F.count_if(applies & F.col("expected_by").isNull()), n_absent=F.count_if(applies & (unread | (F.col("computed_pct") <= 0))),
+        n_shortfalls=F.count_if(applies & counted & (F.col("expected_count") > 0) & (F.coalesce("have", F.lit(0)) < F.col("expected_count"))), coating=F.max(F.when(F.col("section_number") == "23", F.when(applies, "enabled").otherwise("na"))),
+    )]
+
+    # Who is mobilising, and whether they are covered.
+    roster = t["roster"].join(bounds, BOOK)
+    quals = t["welder_qualification"].groupBy(F.col("welder_id").alias("subject_id")).agg(F.bool_or(F.col("expiry_date").isNull()).alias("open"), F.max("expiry_date").alias("last"))
+    welders = roster.where("kind = 'welder'").join(quals, "subject_id", "left")
+    fit = F.coalesce(F.col("open") | (F.col("last") >= F.col("stop")), F.lit(False))
+    parts.append(_per_book(welders, n_welders=F.count(F.lit(1)), n_unqualified=F.count_if(~fit)))
+    certs = t["certificate"].select(BOOK, F.col("subject_type").alias("kind"), "subject_id", "ndt_methods", F.col("issue_date").alias("s"), dates.effective_expiry(_kind(), F.col("issue_date"), F.col("expiry_date"), months).alias("e"))
+    others = roster.where("kind <> 'welder'").withColumn("event", F.concat_ws("|", BOOK, "kind", "subject_id"))
+    others = others.join(validity.valid_on(others, certs.drop("ndt_methods"), [BOOK, "kind", "subject_id"], "event", "start", "s", "e").select("event", "valid"), "event")
+    tools = t["torque_wrench"].select(F.col("id").alias("subject_id"), "cert_on_file")
+    others = others.join(tools, "subject_id", "left").withColumn("ok", F.col("valid") & ((F.col("kind") != "torque_wrench") | F.coalesce("cert_on_file", F.lit(False))))
+    tool = F.col("kind") == "torque_wrench"
+    parts.append(_per_book(others, n_inspectors=F.count_if(~tool), n_uncovered=F.count_if(~tool & ~F.col("ok")), n_wrenches=F.count_if(tool), n_wrench_problems=F.count_if(tool & ~F.col("ok"))))
+    unknown = t["torque_connection"].where("wrench_id IS NOT NULL").select(BOOK, F.col("wrench_id").alias("subject_id")).distinct().join(tools, "subject_id", "left_anti")
+    parts.append(_per_book(unknown, n_unregistered=F.count(F.lit(1))))
+
+    # Records: heats by their exact number, examinations, tests, certificates that lapse, open findings.
+    used = t["weld"].select(BOOK, F.explode("heat_numbers").alias("h"))
+    sets = {"used": (used, F.col("h")), "file": (t["material_heat"].where("mtr_status = 'on_file'"), F.col("heat_number")), "known": (t["material_heat"], F.col("heat_number"))}
+    heats = reconcile.membership(sets, [BOOK])
+    parts.append(_per_book(heats, n_used_heats=F.count_if("in_used"), n_without_mtr=F.count_if(F.col("in_used") & ~F.col("in_file")), n_orphan_mtr=F.count_if(F.col("in_file") & ~F.col("in_used")), n_heats=F.count_if("in_known")))
+    parts.append(_per_book(t["weld"].where("ndt_method IS NOT NULL"), n_examined=F.count(F.lit(1)), n_unlinked=F.count_if(F.col("ndt_report_id").isNull())))
+    tests = t["pressure_test"].where("test_date IS NOT NULL")
+    c = t["certificate"].select(BOOK, F.col("id").alias("cert"), F.col("issue_date").alias("s"), dates.effective_expiry(_kind(), F.col("issue_date"), F.col("expiry_date"), months).alias("e"))
+    slots = tests.select(BOOK, "id", "test_date", F.explode(F.array("gauge_cert_id", "recorder_cert_id", "psv_cert_id")).alias("cert")).join(c, [BOOK, "cert"], "left")
+    fits = F.col("s").isNotNull() & dates.is_within(F.col("test_date"), F.col("s"), F.col("e"))
+    tests = tests.join(slots.groupBy(BOOK, "id").agg(F.bool_and(fits).alias("instruments")), [BOOK, "id"])
+    open_ = F.col("result_document_id").isNull() | F.col("result").isNull()
+    hold = F.col("start_pressure_psi").isNull() | F.col("end_pressure_psi").isNull() | F.col("duration_minutes").isNull()
+    parts.append(_per_book(tests, n_tested=F.count(F.lit(1)), n_open_packs=F.count_if(open_), n_incomplete=F.count_if(open_ | hold | ~F.col("instruments"))))
+    lapse = t["certificate"].join(bounds, BOOK).where((F.col("expiry_date") >= as_of) & (F.col("expiry_date") < F.col("end")))
+    parts.append(_per_book(lapse, n_expiring=F.count(F.lit(1))))
+    flags = t["compliance_flag"].where("state IN ('open', 'acknowledged') AND severity IN ('critical', 'warning')")
+    parts.append(_per_book(flags, n_open=F.count(F.lit(1)), n_not_on_time=F.count_if(F.col("due_at").isNull() | (F.col("due_at") < as_of))))
+
+    # Every record of work against a certificate of its day, each distinct question asked once.
+    passes = F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"{x}_welder_id") for x in ("root", "hot", "fill", "cap")]))))
+    w = t["weld"].where("weld_date IS NOT NULL").select(BOOK, F.col("id").alias("record"), passes.alias("who"), F.col("weld_date").alias("day"))
+    asked = w.select("who", "day").distinct().withColumn("event", F.concat_ws("|", "who", "day"))
+    q = validity.qualification_verdicts(asked, t["welder_qualification"].withColumnRenamed("welder_id", "who"), ["who"], "event", "day", "qualification_date", "expiry_date").select("who", "day", (F.col("verdict") == "qualified").alias("ok"))
+    welds = w.join(q, ["who", "day"]).select(BOOK, "ok")
+    x = t["torque_connection"].where("torque_date IS NOT NULL AND wrench_id IS NOT NULL").select(BOOK, F.lit("torque_wrench").alias("kind"), F.col("wrench_id").alias("subject_id"), F.col("torque_date").alias("day"), F.lit(None).cast("string").alias("method"))
+    n = t["nde_report"].where("technician_id IS NOT NULL").select(BOOK, F.lit("ndt_technician").alias("kind"), F.col("technician_id").alias("subject_id"), F.col("report_date").alias("day"), "method")
+    work = x.unionByName(n).withColumn("event", F.concat_ws("|", BOOK, "kind", "subject_id", "day", F.coalesce("method", F.lit(""))))
+    key = [BOOK, "kind", "subject_id"]
+    live = F.col("s").isNotNull() & dates.is_within(F.col("day"), F.col("s"), F.col("e")) & (F.col("method").isNull() | F.coalesce(F.array_contains("ndt_methods", F.col("method")), F.lit(False)))
+    covered = work.select(*key, "event", "day", "method").distinct().join(certs, key, "left").groupBy("event").agg(F.coalesce(F.bool_or(live), F.lit(False)).alias("ok"))
+    known = work.join(covered, "event").join(tools.select("subject_id", F.lit(True).alias("there")), "subject_id", "left")
+    rest = known.select(BOOK, (F.col("ok") & ((F.col("kind") != "torque_wrench") | F.col("there").isNotNull())).alias("ok"))
+    parts.append(_per_book(welds.unionByName(rest), n_uncovered_work=F.count_if(~F.col("ok"))))
+
+    out = book
+    for p in parts:
+        out = out.join(p, BOOK, "left")
+    counts = [c for c in out.columns if c.startswith("n_")]
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
+def all_criteria(f: DataFrame) -> DataFrame:
+    """(job_book_id, gate, id, state) of every criterion of every gate, from ``facts`` and in one pass over it."""
+    n = F.col
+    decide = lambda ok: F.when(ok, "met").otherwise("not_met")
+    unless = lambda empty, ok: F.when(empty, "indeterminate").otherwise(decide(ok))
+    unknown, attested = F.lit("indeterminate"), F.lit("indeterminate")
+    curve = lambda gate: decide(n("completion_pct") >= PLANNED[gate])
+    peer = lambda least: F.when(n("peer_score").isNull(), "indeterminate").when(F.coalesce("peer_criticals", F.lit(0)) > 0, "not_met").otherwise(decide(n("peer_score") >= least))
+    g1 = [
+        ("g1.curve", curve("G1")), ("g1.timeliness", at_least(n("timeliness_pct"), 95)), ("g1.self_audit", unless(n("self_audits_due").isNull(), n("self_audits") >= n("self_audits_due"))), ("g1.peer_audit", peer(90)),
+        ("g1.registers", decide((n("n_welders") > 0) & (n("n_wrenches") > 0) & (n("n_heats") > 0))), ("g1.heats", unless(n("n_used_heats") == 0, n("n_without_mtr") == 0)),
+        ("g1.ncr", unless(~n("flags_loaded"), (n("n_open") == 0) | (n("n_not_on_time") == 0))),
+    ]
+    has = lambda state: F.array_contains(F.array(*[c for _, c in g1]), state)
+    custodian = F.when(n("custodian_id").isNull(), "not_met").when(n("custodian_competency").isNull(), "indeterminate").otherwise(decide(n("custodian_competency") != "JB-1"))
+    rows = {
+        "G0": [
+            ("g0.scaffolded", decide(n("n_na_without_reason") == 0)), ("g0.custodian", custodian), ("g0.governing_docs", decide(n("has_references") & n("has_revisions") & n("governing_docs_confirmed_at").isNotNull())), ("g0.procedures_loaded", decide(n("n_empty_procedures") == 0)),
+            ("g0.wpq", unless(n("n_welders") == 0, n("n_unqualified") == 0)), ("g0.inspector_creds", unless(n("n_inspectors") == 0, n("n_uncovered") == 0)), ("g0.wrench_calibration", unless((n("n_wrenches") == 0) & (n("n_unregistered") == 0), (n("n_wrench_problems") == 0) & (n("n_unregistered") == 0))),
+            ("g0.expected_by", decide((n("n_undated") == 0) & (n("n_applicable") > 0))), ("g0.planned_curve", decide(n("planned_curve_agreed_at").isNotNull())),
+        ],
+        "G1": g1,
+        "G2": [
+            ("g2.gate1_sustained", F.when(has("not_met"), "not_met").when(has("indeterminate"), "indeterminate").otherwise("met")), ("g2.curve", curve("G2")), ("g2.iso_stage1", unknown), ("g2.pressure_closed", unless(n("n_tested") == 0, n("n_open_packs") == 0)),
+            ("g2.cert_forecast", F.when(n("construction_end").isNull() | (n("n_expiring") > 0), "indeterminate").otherwise("met")), ("g2.peer_audit", peer(90)),
+        ],
+        "G3": [
+            ("g3.records_entered", decide(n("n_shortfalls") == 0)), ("g3.iso_stages", unknown), ("g3.nde", unless(n("n_examined") == 0, n("n_unlinked") == 0)), ("g3.pressure", unless(n("n_tested") == 0, n("n_incomplete") == 0)),
+            ("g3.heats", unless(n("n_used_heats") == 0, (n("n_without_mtr") == 0) & (n("n_orphan_mtr") == 0))), ("g3.coating", F.when(n("coating").eqNullSafe("enabled"), "indeterminate").otherwise("not_applicable")), ("g3.backlog", attested),
+        ],
+        "G4": [
+            ("g4.complete", decide(n("completion_pct") >= 100)), ("g4.presence", decide(n("n_absent") == 0)), ("g4.certificates", decide(n("n_uncovered_work") == 0)), ("g4.peer_audit", peer(95)), ("g4.tier3", F.when(n("tier3_verified_at").isNotNull(), "met").otherwise("indeterminate")),
+            ("g4.findings", unless(~n("flags_loaded"), n("n_open") == 0)), ("g4.export", attested), ("g4.completeness_cert", F.when(n("completeness_certified_at").isNotNull(), "met").otherwise("indeterminate")),
+        ],
+        "G5": [("g5.acceptance", decide(n("status") == "accepted")), *[(f"g5.{x}", attested) for x in ("comments", "lessons", "metrics", "retention")]],
+    }
+    entries = F.array(*[F.struct(F.lit(gate).alias("gate"), F.lit(id).alias("id"), state.alias("state")) for gate, rs in rows.items() for id, state in rs])
+    return f.select(BOOK, F.explode(entries).alias("c")).select(BOOK, "c.*")
+
+
 def evaluated(criteria: DataFrame, book: list[str]) -> DataFrame:
     """Counts by state; a gate would pass if nothing is unmet or undetermined."""
     counts = criteria.groupBy(*book, "gate").agg(*[F.count_if(F.col("state") == s).alias(s) for s in STATES])

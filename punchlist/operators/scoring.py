@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import percent, scoped
+from ..functions.keys import collation_key, percent, scoped
+from . import completeness, evidence, validity
 
 
 def section_scores(sections: DataFrame, facts: DataFrame, keys: list[str], declared: str, done: str = "done", entered: str = "entered") -> DataFrame:
@@ -15,6 +18,100 @@ def section_scores(sections: DataFrame, facts: DataFrame, keys: list[str], decla
     return joined.withColumn("scope", whole).withColumn("pct", F.round(percent(F.coalesce(F.col(done), F.lit(0)), whole), 2))
 
 
+BOOK = "job_book_id"
+
+
+def _complete(df: DataFrame, missing: Column, kind: str) -> DataFrame:
+    return df.groupBy(BOOK).agg(F.lit(kind).alias("kind"), F.count_if(F.size(missing) == 0).alias("done"), F.count(F.lit(1)).alias("entered"))
+
+
+def _covered(work: DataFrame, certificates: DataFrame, kind: str) -> DataFrame:
+    """People (or tools) of (job_book_id, subject_id, day) whose every day of work a certificate covers."""
+    days = work.where("subject_id IS NOT NULL AND day IS NOT NULL").select(BOOK, "subject_id", "day").distinct().withColumn("event", F.concat_ws("|", BOOK, "subject_id", "day"))
+    own = certificates.where(F.col("subject_type") == kind).select(BOOK, "subject_id", F.col("issue_date").alias("s"), F.col("expiry_date").alias("e"))
+    valid = days.join(validity.valid_on(days, own, [BOOK, "subject_id"], "event", "day", "s", "e").select("event", "valid"), "event")
+    per = valid.groupBy(BOOK, "subject_id").agg(F.bool_and("valid").alias("ok"))
+    return per.groupBy(BOOK).agg(F.lit(kind).alias("kind"), F.count_if("ok").alias("done"), F.count(F.lit(1)).alias("entered"))
+
+
+def record_facts(t: dict[str, DataFrame]) -> DataFrame:
+    """(job_book_id, kind, done, entered, extra): for each kind of section how many records are complete of how many there are;
+    ``extra`` are wanted beyond the declared scope (examined welds). Kinds whose tables are not loaded are left out."""
+    parts = []
+    has = lambda *names: all(n in t for n in names)
+    if has("weld"):
+        parts.append(_complete(evidence.countable(t["weld"]), completeness.weld_missing(), "weld"))
+        if has("certificate"):
+            passes = F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"{p}_welder_id") for p in ("root", "hot", "fill", "cap")]))))
+            parts.append(_covered(evidence.countable(t["weld"]).select(BOOK, passes.alias("subject_id"), F.col("weld_date").alias("day")), t["certificate"], "welder"))
+    if has("torque_connection"):
+        parts.append(_complete(t["torque_connection"], completeness.torque_missing(), "torque_connection"))
+    if has("torque_connection", "torque_wrench"):
+        codes = t["torque_wrench"].select("id", F.col("wrench_id").alias("code"), "cert_on_file")
+        c = t["torque_connection"].select(BOOK, F.col("wrench_id").alias("id"), "wrench_id_raw").join(codes.select("id", F.col("code").alias("own")), "id", "left")
+        used = c.select(BOOK, F.coalesce("wrench_id_raw", "own").alias("code")).where("code IS NOT NULL").distinct().join(codes.groupBy("code").agg(F.bool_or("cert_on_file").alias("f")), "code", "left")
+        parts.append(used.groupBy(BOOK).agg(F.lit("equipment").alias("kind"), F.count_if(F.coalesce("f", F.lit(False))).alias("done"), F.count(F.lit(1)).alias("entered")))
+    if has("weld", "material_heat"):
+        used = evidence.countable(t["weld"]).select(BOOK, F.explode("heat_numbers").alias("h")).select(BOOK, F.trim("h").alias("key")).where("key <> ''").distinct()
+        done = t["material_heat"].withColumn("key", F.trim("heat_number")).join(used, [BOOK, "key"], "left_semi").groupBy(BOOK).agg(F.count_if(F.size(completeness.heat_missing()) == 0).alias("done"))
+        parts.append(used.groupBy(BOOK).agg(F.count(F.lit(1)).alias("entered")).join(done, BOOK, "left").select(BOOK, F.lit("material_heat").alias("kind"), F.coalesce("done", F.lit(0)).alias("done"), "entered"))
+    if has("pressure_test", "certificate"):
+        parts.append(_complete(completeness.pressure_missing(t["pressure_test"], t["certificate"]), F.col("missing"), "pressure_test"))
+    if has("torque_connection", "cp_test_point"):
+        flagged = t["torque_connection"].groupBy(BOOK).agg(F.count_if("cp_test_on_flange").alias("flagged"))
+        points = t["cp_test_point"].groupBy(BOOK).agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("baseline_potential_v").isNotNull() & F.col("reading_date").isNotNull()).alias("done"))
+        owed = F.when(F.coalesce("flagged", F.lit(0)) > 0, F.col("flagged")).otherwise(F.coalesce("points", F.lit(0)))
+        parts.append(flagged.join(points, BOOK, "full").select(BOOK, F.lit("cp_test_point").alias("kind"), F.coalesce("done", F.lit(0)).alias("done"), owed.alias("entered")))
+    if has("nde_report", "certificate"):
+        live = evidence.live_reports(t["nde_report"])
+        parts.append(_covered(live.select(BOOK, F.col("technician_id").alias("subject_id"), F.col("report_date").alias("day")), t["certificate"], "ndt_technician"))
+    out = reduce(DataFrame.unionByName, [p.withColumn("extra", F.lit(0).cast("long")) for p in parts])
+    if has("nde_report", "weld"):
+        reports = evidence.live_reports(t["nde_report"]).groupBy(BOOK).agg(F.count(F.lit(1)).alias("entered"), F.count("document_id").alias("filed"))
+        seen = evidence.countable(t["weld"]).where("ndt_method IS NOT NULL").groupBy(BOOK).agg(F.count(F.lit(1)).alias("extra"), F.count("ndt_report_id").alias("linked"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        out = out.unionByName(reports.join(seen, BOOK, "full").select(BOOK, F.lit("nde_report").alias("kind"), (zero("filed") + zero("linked")).alias("done"), zero("entered").alias("entered"), zero("extra").alias("extra")))
+    return out
+
+
+def scored_sections(sections: DataFrame, facts: DataFrame, documents: DataFrame, isometrics: DataFrame | None = None) -> DataFrame:
+    """Each section's percent and whether it counts, by its kind; the scope is the larger of what was declared and entered.
+
+    Sections that were not imported score 0 and count; those that do not apply, supplemental and derived ones do not count.
+    ``facts``: ``record_facts``; ``documents``: those that are live, by ``section_id``; ``isometrics``: ``isometric_coverage``.
+    """
+    docs = documents.groupBy(BOOK, F.col("section_id").alias("id")).agg(F.count(F.lit(1)).alias("n_docs"))
+    out = sections.join(docs, [BOOK, "id"], "left").join(facts.withColumnRenamed("kind", "scored_by"), [BOOK, "scored_by"], "left")
+    if isometrics is not None:
+        own = isometrics.select(BOOK, F.col("section").alias("section_number"), F.col("covered").alias("i_done"), F.col("referenced").alias("i_entered"))
+        out = out.join(own, [BOOK, "section_number"], "left").withColumn("done", F.when(F.col("scored_by") == "isometric", F.col("i_done")).otherwise(F.col("done"))).withColumn("entered", F.when(F.col("scored_by") == "isometric", F.col("i_entered")).otherwise(F.col("entered")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    wanted = F.greatest(F.lit(1), F.coalesce("expected_count", "min_documents"))
+    of_documents = F.when(F.col("scored_by") == "supplemental", F.when(zero("n_docs") > 0, 100.0).otherwise(0.0)).otherwise(percent(zero("n_docs"), wanted))
+    of_records = percent(zero("done"), scoped(F.col("expected_count"), zero("entered")) + zero("extra"))
+    pct = (
+        F.when((F.col("ingestion_status") == "not_imported") | (F.col("status") == "na") | (F.col("scored_by") == "derived"), 0.0)
+        .when(F.col("scored_by").isin("document", "supplemental"), of_documents).otherwise(of_records)
+    )
+    unread = F.coalesce(F.col("ingestion_status") == "not_imported", F.lit(False))
+    counts = unread | ((F.col("status") != "na") & ~F.col("scored_by").isin("supplemental", "derived"))
+    return out.select(*sections.columns, F.round(pct, 2).alias("pct"), counts.alias("counts"))
+
+
+def applicable_sections(books: DataFrame, template: DataFrame, sections: DataFrame) -> DataFrame:
+    """The template's sections that apply to a book's type, less those marked as not applicable; ``template`` (section_number,
+    applies_to: both or a type) is some dozens of rows."""
+    own = sections.join(F.broadcast(template), "section_number").join(books.select(F.col("id").alias(BOOK), "book_type"), BOOK)
+    return own.where("(applies_to = 'both' OR applies_to = book_type) AND status <> 'na'")
+
+
+def missing_sections(scored: DataFrame, book: list[str]) -> DataFrame:
+    """Counted sections at 0 that were read, with their place by weight: what to fetch first."""
+    empty = scored.where("counts AND pct = 0 AND ingestion_status IS DISTINCT FROM 'not_imported'")
+    order = Window.partitionBy(*book).orderBy(F.desc("weight"), collation_key(F.col("section_number")), "section_number")
+    return empty.withColumn("place", F.row_number().over(order))
+
+
 def book_scores(scored: DataFrame, book: list[str], weight: str = "weight", counted: Column | None = None, read: Column | None = None) -> DataFrame:
     """The weighted mean over counted sections; a lower bound if a counted section was never read."""
     ok = counted if counted is not None else F.lit(True)

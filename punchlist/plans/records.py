@@ -19,7 +19,10 @@ SELECT CAST(n_nationkey AS STRING) AS id, 'AB' || (100 + n_nationkey) AS job_num
   CASE WHEN n_nationkey % 7 <> 3 THEN DATE '1993-01-01' END AS construction_start, CASE WHEN n_nationkey % 7 <> 5 THEN DATE '1997-12-31' END AS construction_end,
   CASE WHEN n_nationkey % 4 = 0 THEN DATE '1998-06-01' END AS data_as_of_date, CASE n_nationkey % 3 WHEN 1 THEN 'flat' WHEN 2 THEN 'tiered' END AS rule_kind, 40.0 AS required_nde_pct, 100.0 AS required_visual_pct,
   33.0 AS required_xray_pct, 10.0 AS torque_tolerance_pct, 60.0 AS required_torque_inspect_pct, 30 AS cert_expiry_warning_days, CASE WHEN n_nationkey % 2 = 0 THEN 1000.0 END AS default_design_pressure_psi,
-  CASE n_nationkey % 3 WHEN 0 THEN 'mon_fri' WHEN 1 THEN 'mon_sat' ELSE 'all_days' END AS work_week, CASE WHEN n_nationkey % 5 = 4 THEN 'flowline' ELSE 'facility' END AS book_type, n_regionkey AS region
+  CASE n_nationkey % 3 WHEN 0 THEN 'mon_fri' WHEN 1 THEN 'mon_sat' ELSE 'all_days' END AS work_week, CASE WHEN n_nationkey % 5 = 4 THEN 'flowline' ELSE 'facility' END AS book_type, n_regionkey AS region,
+  CASE WHEN n_nationkey % 8 <> 1 THEN 'u' || n_nationkey END AS custodian_id, CASE n_nationkey % 5 WHEN 0 THEN 'JB-1' WHEN 1 THEN 'JB-2' WHEN 2 THEN 'JB-3' END AS custodian_competency, n_nationkey % 3 <> 2 AS has_references, n_nationkey % 4 <> 3 AS has_revisions, CASE WHEN n_nationkey % 5 <> 4 THEN DATE '1993-02-01' END AS governing_docs_confirmed_at,
+  CASE WHEN n_nationkey % 6 <> 2 THEN DATE '1993-02-01' END AS planned_curve_agreed_at, CASE WHEN n_nationkey % 9 = 4 THEN DATE '1998-12-01' END AS completeness_certified_at, CASE WHEN n_nationkey % 10 = 7 THEN 'accepted' ELSE 'open' END AS status, CAST(n_nationkey * 17 % 120 AS DOUBLE) AS completion_pct,
+  CASE WHEN n_nationkey % 7 <> 6 THEN 80.0 + n_nationkey % 20 END AS timeliness_pct, CASE WHEN n_nationkey % 6 <> 4 THEN n_nationkey % 5 END AS self_audits_due, n_nationkey % 4 AS self_audits, CASE WHEN n_nationkey % 5 <> 3 THEN 86.0 + n_nationkey % 12 END AS peer_score, CASE WHEN n_nationkey % 5 <> 3 THEN n_nationkey % 2 END AS peer_criticals, CASE WHEN n_nationkey % 4 = 2 THEN DATE '1998-11-01' END AS tier3_verified_at, n_nationkey % 11 <> 9 AS flags_loaded
 FROM nation"""),
     "weld": ("lineitem", """
 SELECT CAST(l_suppkey % 25 AS STRING) AS job_book_id, 'w' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CAST(l_orderkey % 400 AS STRING) || '.' || l_linenumber AS weld_number,
@@ -55,7 +58,7 @@ SELECT 't' || c_custkey AS id, 'B' || c_custkey AS wrench_id, CASE WHEN c_custke
   CASE WHEN c_custkey % 10 = 0 THEN 'fail' ELSE 'pass' END AS calibration_status FROM customer WHERE c_custkey % 3 <> 0"""),
     "nde_report": ("orders", """
 SELECT CAST(o_custkey % 25 AS STRING) AS job_book_id, 'r' || o_orderkey AS id, 'RT-' || (o_orderkey % 300) AS report_number, CAST(o_orderdate AS DATE) AS report_date, CASE o_orderkey % 3 WHEN 0 THEN 'RT' WHEN 1 THEN 'UT' ELSE 'MT' END AS method, 'V' || (o_custkey % 2) AS ndt_company,
-  CASE WHEN o_orderkey % 12 <> 5 THEN 'n' || (o_custkey % 40) END AS technician_id, 'Tech ' || (o_custkey % 40) AS technician_name, o_orderkey % 14 = 6 AS is_superseded, CASE WHEN o_orderkey % 9 = 0 THEN 'AB' || (100 + o_custkey % 26) WHEN o_orderkey % 9 = 1 THEN 'Plant' END AS referenced_facility,
+  CASE WHEN o_orderkey % 12 <> 5 THEN 'n' || (o_custkey % 40) END AS technician_id, 'Tech ' || (o_custkey % 40) AS technician_name, o_orderkey % 14 = 6 AS is_superseded, CASE WHEN o_orderkey % 3 <> 1 THEN 'd' || o_orderkey END AS document_id, CASE WHEN o_orderkey % 9 = 0 THEN 'AB' || (100 + o_custkey % 26) WHEN o_orderkey % 9 = 1 THEN 'Plant' END AS referenced_facility,
   CASE WHEN o_orderkey % 11 = 0 THEN 'pad ' || (o_custkey % 5) END AS referenced_pad, CASE WHEN o_orderkey % 16 = 0 THEN 'critical' WHEN o_orderkey % 16 = 1 THEN 'warning' END AS gap_severity, 'kind' || (o_orderkey % 3) AS gap_kind, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 7 AS INT) END AS gap_page
 FROM orders WHERE o_orderstatus <> 'P'"""),
     "nde_report_line": ("lineitem", """
@@ -68,7 +71,8 @@ SELECT CAST(c_nationkey AS STRING) AS job_book_id, 'x' || c_custkey AS id, CASE
     "material_heat": ("part", """
 SELECT CAST(p_partkey % 25 AS STRING) AS job_book_id, 'm' || p_partkey AS id, 'H' || (p_partkey % 120) || CASE WHEN p_partkey >= 3000 THEN '-' || p_partkey ELSE '' END AS heat_number, CASE WHEN p_partkey % 7 <> 0 THEN 'd' || p_partkey END AS mtr_document_id,
   CASE p_partkey % 9 WHEN 0 THEN 'missing' WHEN 1 THEN 'illegible' WHEN 2 THEN 'unidentified' ELSE 'on_file' END AS mtr_status FROM part"""),
-    "cp_test_point": ("orders", "SELECT CAST(o_custkey % 25 AS STRING) AS job_book_id, 'p' || o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 1 THEN 'c' || (o_orderkey - o_orderkey % 2) END AS torque_connection_id FROM orders WHERE o_orderkey % 10 IN (2, 3, 5)"),
+    "compliance_flag": ("orders", "SELECT CAST(o_custkey % 25 AS STRING) AS job_book_id, 'f' || o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'acknowledged' ELSE 'closed' END AS state, CASE o_orderkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 * 2000 AS INT) END AS due_at FROM orders WHERE o_custkey % 5 <> 1 AND o_orderpriority = '1-URGENT'"),
+    "cp_test_point": ("orders", "SELECT CAST(o_custkey % 25 AS STRING) AS job_book_id, 'p' || o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 1 THEN 'c' || (o_orderkey - o_orderkey % 2) END AS torque_connection_id, CASE WHEN o_orderkey % 7 <> 0 THEN 0.9 END AS baseline_potential_v, CASE WHEN o_orderkey % 8 <> 3 THEN CAST(o_orderdate AS DATE) END AS reading_date FROM orders WHERE o_orderkey % 10 IN (2, 3, 5)"),
     "pressure_test": ("part", """
 SELECT CAST(p_partkey % 25 AS STRING) AS job_book_id, 'q' || p_partkey AS id, CAST(p_partkey % 90 AS STRING) AS test_identifier, CASE WHEN p_size % 9 <> 0 THEN DATE '1993-06-01' + CAST(p_partkey * 7 % 1800 AS INT) END AS test_date, CASE WHEN p_size % 8 <> 0 THEN p_retailprice END AS test_pressure_psi,
   CASE WHEN p_size % 7 <> 0 THEN 60.0 END AS duration_minutes, CASE WHEN p_size % 10 <> 0 THEN 'Pass' END AS result, 'x' || (p_partkey % 1600) AS recorder_cert_id, 'x' || (p_partkey % 700 + 1) AS gauge_cert_id, CASE WHEN p_size % 4 <> 0 THEN 'x' || (p_partkey % 150 + 1) END AS psv_cert_id,
@@ -77,6 +81,8 @@ SELECT CAST(p_partkey % 25 AS STRING) AS job_book_id, 'q' || p_partkey AS id, CA
 SELECT DISTINCT CAST(c_custkey % 25 AS STRING) AS job_book_id, 'b' || (c_custkey % 25) || '.' || (c_custkey % 24) AS id, CASE WHEN c_custkey % 24 = 0 THEN 'S1' ELSE CAST(c_custkey % 24 AS STRING) END AS section_number,
   CASE WHEN c_custkey % 25 * 7 % 11 = c_custkey % 24 % 11 THEN 'na' WHEN c_custkey % 24 % 3 = 0 THEN 'ready_for_review' ELSE 'in_progress' END AS status, CASE WHEN (c_custkey % 25 + c_custkey % 24) % 13 = 2 THEN 'not_imported' WHEN c_custkey % 24 % 2 = 0 THEN 'imported' END AS ingestion_status,
   c_custkey % 24 % 5 <> 1 AS is_required, CAST(CASE WHEN c_custkey % 24 = 0 THEN 0 ELSE c_custkey % 24 % 6 + 1 END AS DOUBLE) AS weight, CASE c_custkey % 24 WHEN 10 THEN 'nde_report' WHEN 12 THEN 'weld' WHEN 14 THEN 'torque_connection' WHEN 19 THEN 'ut_reading' WHEN 23 THEN 'coating_inspection' END AS linked_record_type,
+  CASE c_custkey % 24 WHEN 0 THEN 'supplemental' WHEN 6 THEN 'welder' WHEN 8 THEN 'ndt_technician' WHEN 10 THEN 'nde_report' WHEN 11 THEN 'derived' WHEN 12 THEN 'weld' WHEN 13 THEN 'equipment' WHEN 14 THEN 'torque_connection' WHEN 15 THEN 'material_heat' WHEN 17 THEN 'pressure_test' WHEN 18 THEN 'cp_test_point'
+  WHEN 21 THEN 'isometric' WHEN 22 THEN 'isometric' ELSE 'document' END AS scored_by, 1 + c_custkey % 24 % 2 AS min_documents, CASE WHEN c_custkey % 24 % 7 <> 3 THEN DATE '1996-01-01' END AS expected_by, CASE WHEN (c_custkey % 25 + c_custkey % 24) % 3 = 1 THEN 'agreed' END AS na_reason, CAST((c_custkey % 25 * 5 + c_custkey % 24 * 3) % 101 AS DOUBLE) AS computed_pct,
   CASE WHEN c_custkey % 24 IN (20, 21) THEN 'As-Built drawings' ELSE 'Section ' || (c_custkey % 24) END AS title, CASE WHEN c_custkey % 24 % 4 = 1 THEN 40 WHEN c_custkey % 24 % 4 = 2 THEN 3 END AS expected_count FROM customer"""),
     "document": ("documents", """
 SELECT CAST(doc_id % 25 AS STRING) AS job_book_id, 'd' || doc_id AS id, 'b' || (doc_id % 25) || '.' || (doc_id % 22) AS section_id, sha256(CAST(length(text) % 211 AS STRING)) AS sha256, doc_id % 31 = 9 AS is_deleted, doc_id % 12 = 4 AS is_superseded, CASE WHEN doc_id % 24 = 3 THEN 'd' || (doc_id + 1) END AS supersedes_document_id,
