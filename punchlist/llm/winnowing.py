@@ -7,8 +7,9 @@ window. A fingerprint is written as ``hash:position`` pairs, comma-joined; liken
 their sets of hashes (two empty ones: 1).
 
 Defined results: a null text is empty, and its fingerprint too. Documents follow each other by ascending ``doc_id``, then
-hash of the text; a null ``doc_id`` comes first; after the last comes the first. Rows that repeat a ``doc_id`` each get a result. Other
-columns are ignored; an empty table gives no rows. Texts of any length are hashed whole.
+hash of the text; a null ``doc_id`` comes first; after the last comes the first. Rows that repeat a ``doc_id`` each get a
+result. Ids are whole numbers, others are an error; other columns are ignored; an empty table gives no rows. Texts of any length
+are hashed whole.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole_ids
 
 K, W = 32, 64
 #: Hashes are taken in blocks of so many, to bound memory in a long text; positions stay those of the whole text.
 BLOCK = 1 << 20
-#: Documents of one run of consecutive ids that a task reads in order, and the most runs there are; beyond, runs grow.
-RUN, MAX_RUNS = 500, 20_000
+#: Documents of one run of consecutive ids that a task reads in order, and the most runs there are. A run is sorted with spill
+#: and read as a stream, one document at a time, so runs may grow: at 100 TB they have about a gigabyte each.
+RUN, MAX_RUNS = 500, 100_000
 
 
 def kgram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
@@ -113,24 +115,28 @@ def _pairs(k: int, w: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W, run: int = RUN, max_runs: int = MAX_RUNS) -> DataFrame:
     """The fingerprint of each document and of its edited text, with likenesses.
 
-    Documents are cut into runs of consecutive ids at quantiles of the ids, and each run is read in order by one task; a copy
-    of the head of the next run stands at its end. Texts are shuffled once. Only the bounds and heads of runs, ``max_runs`` at
-    most, are known to the driver.
+    Documents are cut into runs of consecutive ids at quantiles of the ids (rows without an id into runs of like hashes), and
+    each run is read in order by one task; a copy of the head of the next run stands at its end. Texts are shuffled once. Only
+    the bounds and heads of runs, ``max_runs`` of each kind at most and 40 bytes each, are known to the driver.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = base.count()
+    n, with_id = base.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if n == 0:
         return spark.createDataFrame([], SCHEMA)
-    runs = min(max_runs, max(1, n // run))
-    cuts = base.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)] or [0.5], 20 * runs)).first()[0] or []
+    runs = min(max_runs, max(1, with_id // run))
+    cuts = base.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)] or [0.5], max(10_000, 4 * runs))).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
+    without_id = min(max_runs, max(1, (n - with_id) // run))
 
     @F.pandas_udf("int")
     def run_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right")).where(ids.notna().to_numpy(), -1).astype("int32")
+        return pd.Series(np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right")).astype("int32")
 
-    placed = base.withColumn("run", run_of("doc_id")).withColumn("h", F.xxhash64("text"))
+    by_hash = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * without_id).cast("int")
+    by_hash = F.least(F.lit(without_id - 1), F.greatest(F.lit(0), by_hash)) - without_id
+    placed = base.withColumn("h", F.xxhash64("text")).withColumn("run", F.when(F.col("doc_id").isNull(), by_hash).otherwise(run_of("doc_id")))
     heads = sorted((r["run"], r["head"]) for r in placed.select("run", F.struct("doc_id", "h").alias("head")).groupBy("run").agg(F.min("head").alias("head")).collect())
     before = [(heads[i - 1][0], *head) for i, (_, head) in enumerate(heads)]
     copies = spark.createDataFrame(before, "run int, head_id long, head_hash long")

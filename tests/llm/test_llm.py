@@ -250,6 +250,23 @@ def test_winnowing(spark, rows):
             assert places.tolist() == sorted(want) and hashes.tolist() == [h[p] for p in sorted(want)]
 
 
+def test_winnowing_without_ids(spark):
+    from punchlist.llm.winnowing import fingerprints
+
+    rows = [(None, f"text without an id, number {i}, and more of it") for i in range(40)] + [(i, f"text {i}") for i in range(9)] + [(8, "text 8")]
+    found = fingerprints(table(spark, rows), run=5).collect()
+    hashes = {r["text"]: r["h"] for r in table(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = Counter()
+    for at, (i, own) in enumerate(order):
+        following = order[(at + 1) % len(order)][1]
+        k = len(own) // 4
+        want[i, hashlib.sha256((own[: len(own) - k] + following[:k]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in found) == want
+    with pytest.raises(TypeError):
+        fingerprints(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_winnowing_blocks(monkeypatch):
     from punchlist.llm import winnowing
 
@@ -463,6 +480,101 @@ def test_toxicity(spark):
     assert reject_toxic(docs, labels.limit(0)).count() == n + 3
 
 
+def test_samples_stay_bounded(spark):
+    from punchlist.llm.features import labelled_sample
+
+    docs = table(spark, [(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, "c")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    sizes = [len(labelled_sample(docs, labels, "toxic", lambda i: F.lit(True), most).y) for most in (2, 10, 100)]
+    assert sizes[0] == 2 and sizes[1] == 10 and sizes[2] == 52
+
+
+def test_severity_by_hand():
+    """The probabilities, the shared weights and the expected grade, written out for a small model."""
+    import numpy as np
+
+    from punchlist.llm.toxicity import Ordinal
+
+    weights, thresholds = {3: 0.7, 8: -0.4, 20: 1.1}, [0.5, 1.5, 4.0]
+    model = Ordinal(np.array(sorted(weights)), np.array([weights[k] for k in sorted(weights)]), np.array(thresholds))
+    for counts in ({}, {3: 2}, {8: 1, 20: 3}, {5: 9, 20: 1}):
+        score = sum(math.log1p(n) * weights.get(w, 0) for w, n in counts.items())
+        above = [1 / (1 + math.exp(t - score)) for t in thresholds]
+        at = np.array(sorted(counts), np.int64)
+        got = model.above(at, np.array([counts[k] for k in sorted(counts)], float))
+        assert got == pytest.approx(above)
+        grades = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert all(g > 0 for g in grades) and sum(got) == pytest.approx(sum(k * g for k, g in enumerate(grades)))
+
+
+def test_ordinal_fit_reaches_a_minimum():
+    """No small step of a weight or threshold makes the grades of the sample likelier."""
+    import numpy as np
+
+    from punchlist.llm import toxicity
+    from punchlist.llm.features import STATISTICS, Sample
+
+    rng = np.random.default_rng(3)
+    sample = Sample.__new__(Sample)
+    n = 400
+    sample.y = (np.arange(n) % 2).astype(int)
+    sample.at = np.concatenate([np.unique(rng.choice([1, 2, 3, 9, 10] if y else [1, 2, 3, 4], 3)) for y in sample.y]).astype(np.int64)
+    rng = np.random.default_rng(3)
+    sample.sizes = np.array([len(np.unique(rng.choice([1, 2, 3, 9, 10] if y else [1, 2, 3, 4], 3))) for y in sample.y])
+    sample.n, sample.stats = np.ones(len(sample.at)), np.zeros((n, len(STATISTICS)))
+    sample.row = np.repeat(np.arange(n), sample.sizes)
+    model = toxicity.fit(sample)
+    assert np.all(np.diff(model.thresholds) > 0)
+    x = np.zeros((n, len(model.words)))
+    for r, w in zip(sample.row, sample.at):
+        if w in model.words:
+            x[r, np.searchsorted(model.words, w)] = math.log1p(1)
+    # Grades as the module documents them: toxic rows by thirds of their evidence.
+    evidence = x[:, [w in (9, 10) for w in model.words]].sum(axis=1)
+    cuts = np.quantile(evidence[sample.y > 0], [1 / 3, 2 / 3])
+    grade = np.where(sample.y > 0, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
+
+    def loss(weights, thresholds):
+        above = 1 / (1 + np.exp(thresholds[None, :] - (x @ weights)[:, None]))
+        bounds = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+        p = bounds[np.arange(n), grade] - bounds[np.arange(n), grade + 1]
+        return -np.log(np.maximum(p, 1e-12)).mean() + 5e-4 * (weights @ weights) / n
+
+    best = loss(model.weights, model.thresholds)
+    for i in range(len(model.weights)):
+        for step in (-0.05, 0.05):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved, model.thresholds) > best - 1e-3
+    for step in (-0.05, 0.05):
+        moved = model.thresholds.copy()
+        moved[0] += step
+        assert loss(model.weights, moved) > best - 1e-3
+
+
+def test_factorisation_gradient():
+    """A step of the machine's fit goes down the loss: gradients by hand against differences."""
+    import numpy as np
+
+    from punchlist.llm.quality import Machine
+
+    m = Machine(np.random.default_rng(1))
+    m.v = m.v.astype(np.float64)
+    m.w = m.w.astype(np.float64)
+    at, x = np.array([2, 5, 7]), np.array([0.5, 1.5, 1.0])
+    raw, total = m.raw(at, x, np.array([0]))
+    for i, a in enumerate(at):
+        for k in range(m.v.shape[1]):
+            gradient = x[i] * (total[0, k] - m.v[a, k] * x[i])
+            old, e = m.v[a, k], 1e-5
+            m.v[a, k] = old + e
+            up = m.raw(at, x, np.array([0]))[0][0]
+            m.v[a, k] = old - e
+            down = m.raw(at, x, np.array([0]))[0][0]
+            m.v[a, k] = old
+            assert (up - down) / (2 * e) == pytest.approx(gradient, abs=1e-6)
+
+
 def test_language_id(spark):
     from punchlist.llm.language_id import language_ids
 
