@@ -23,15 +23,15 @@ HEADER_ROWS = 60
 MAX_SECTIONS = 1000
 
 
-def synonyms(spark: SparkSession, names: dict[str, list[str]]) -> DataFrame:
+def synonyms(spark: SparkSession, names: dict[str, list[str]], key=header_key) -> DataFrame:
     """(field, name_key): a row per name, a few dozen, so joins may broadcast it."""
     rows = [(f, n) for f, ns in names.items() for n in ns]
-    return spark.createDataFrame(rows, "field string, name string").select("field", header_key(F.col("name")).alias("name_key")).distinct()
+    return spark.createDataFrame(rows, "field string, name string").select("field", key(F.col("name")).alias("name_key")).distinct()
 
 
-def located_headers(cells: DataFrame, names: DataFrame, rows: int = HEADER_ROWS, least: int = 2) -> DataFrame:
+def located_headers(cells: DataFrame, names: DataFrame, rows: int = HEADER_ROWS, least: int = 2, key=header_key) -> DataFrame:
     """(file, sheet, header_row, fields: field -> column) of sheets whose best row knows ``least`` fields; the first of equals."""
-    hits = cells.where(F.col("row_no") < rows).withColumn("name_key", header_key(F.col("value"))).join(F.broadcast(names), "name_key")
+    hits = cells.where(F.col("row_no") < rows).withColumn("name_key", key(F.col("value"))).join(F.broadcast(names), "name_key")
     per_field = hits.groupBy(*SHEET, "row_no", "field").agg(F.min("col_no").alias("col_no"))
     per_row = per_field.groupBy(*SHEET, "row_no").agg(F.count(F.lit(1)).alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "col_no")))).alias("fields"))
     best = per_row.groupBy(*SHEET).agg(F.max_by(F.struct("row_no", "fields", "n"), F.struct("n", -F.col("row_no"))).alias("b"))
@@ -92,11 +92,6 @@ def unresolved(plan: DataFrame, name: str, resolved: str) -> DataFrame:
     return plan.where(F.col(resolved).isNull() & F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def header_total_mismatch(stated: Column, parsed: Column) -> Column:
-    """A log's own total against the rows that were read."""
-    return F.when(stated.isNotNull() & (stated != parsed), F.concat_ws(" ", F.lit("header says"), stated, F.lit("rows"), parsed))
-
-
 def labelled_fields(lines: DataFrame, by: list[str], order: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """The first match of each pattern (its group 1) in a document's lines, and which fields were not found."""
     firsts = [F.min_by(F.when(F.regexp_extract(text, p, 1) != "", F.regexp_extract(text, p, 1)), F.when(F.regexp_extract(text, p, 1) != "", F.col(order))).alias(f) for f, p in patterns.items()]
