@@ -41,6 +41,10 @@ CALIBRATED = ["torque_wrench", "pressure_recorder"]
 BOOK = "job_book_id"
 
 
+def planned_minimum(gate: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in PLANNED.items() for x in pair])[gate]
+
+
 def _per_book(df: DataFrame, **counts: Column) -> DataFrame:
     return df.groupBy(BOOK).agg(*[c.alias(n) for n, c in counts.items()])
 

@@ -37,7 +37,13 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
 
 
 def within_budget(df: DataFrame, by: list[str], order: list[str], size: str, most_bytes: int, most_files: int) -> DataFrame:
-    """What a run may copy: in order, until the bytes or files before a row reach the limit."""
+    """What a run may copy: in order, until the bytes or files before a row reach the limit.
+
+    No more than ``most_files`` rows of a group can be chosen, so rows past that rank within sixteenths of a group are dropped
+    before the running sum, and no task holds a whole group.
+    """
+    salted = Window.partitionBy(*by, F.pmod(F.xxhash64(*order), F.lit(16))).orderBy(*order)
+    df = df.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= most_files).drop("_r")
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before, n = F.coalesce(F.sum(size).over(w), F.lit(0)), F.count(F.lit(1)).over(w)
     return df.withColumn("bytes_before", before).withColumn("files_before", n).where((F.col("bytes_before") < most_bytes) & (F.col("files_before") < most_files))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import normal_message
@@ -30,10 +30,28 @@ def fan_out(notes: DataFrame, people: DataFrame, note: str, book: str, author: s
     return joined.where(gets & ~F.col(person).eqNullSafe(F.col(author))).select(note, person).distinct()
 
 
-def digests(rows: DataFrame, person: str, book: str, rank: str, at: str, note: str) -> DataFrame:
-    """Per person: notes, books, the loudest severity, and per book its notes, loudest then oldest first."""
-    per_book = rows.groupBy(person, book).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), F.col(at).alias("at"), F.col(note).alias("note")))).alias("notes"), F.min(rank).alias("worst"))
-    return per_book.groupBy(person).agg(F.sum(F.size("notes")).alias("n_notes"), F.count(F.lit(1)).alias("n_books"), F.min("worst").alias("worst"), F.array_sort(F.collect_list(F.struct("worst", F.col(book).alias("book"), "notes"))).alias("books"))
+def interrupts(severity: Column) -> Column:
+    return severity != "info"
+
+
+def digests(rows: DataFrame, person: str, book: str, rank: str) -> DataFrame:
+    """Per person: notes, books, and the loudest severity. Nobody's notes are gathered into one row; ``digest_order`` has them."""
+    per_book = rows.groupBy(person, book).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("worst"))
+    return per_book.groupBy(person).agg(F.sum("n").alias("n_notes"), F.count(F.lit(1)).alias("n_books"), F.min("worst").alias("worst"))
+
+
+def digest_order(rows: DataFrame, person: str, book: str, rank: str, at: str, note: str) -> DataFrame:
+    """Notes with their book's place in the person's digest (the loudest first) and their own in the book (loudest, then oldest)."""
+    books = rows.groupBy(person, book).agg(F.min(rank).alias("worst"))
+    books = books.withColumn("book_place", F.row_number().over(Window.partitionBy(person).orderBy("worst", book)))
+    place = F.row_number().over(Window.partitionBy(person, book).orderBy(rank, at, note))
+    return rows.join(books, [person, book]).withColumn("place", place)
+
+
+def digest_due(notes: DataFrame, ledger: DataFrame, people: DataFrame, now: Column, min_age_minutes: int) -> DataFrame:
+    """(person, note): unread notes old enough that no digest had, of active people; ``ledger`` is what was sent."""
+    old = notes.where(F.col("read_at").isNull() & (F.col("created_at") < now - F.expr(f"INTERVAL {min_age_minutes} MINUTES")))
+    return old.join(ledger.select("person", "note"), ["person", "note"], "left_anti").join(people.where("is_active").select("person"), "person", "left_semi")
 
 
 def badges(notes: DataFrame, person: str, unread: Column, rank: str) -> DataFrame:

@@ -19,6 +19,17 @@ def section_scores(sections: DataFrame, facts: DataFrame, keys: list[str], decla
 
 
 BOOK = "job_book_id"
+#: The section that a kind of source document belongs to.
+SOURCE_SECTION = {"nde_report": "10", "weld_log_overview": "11", "weld_log": "12", "calibration_certificate": "13", "torque_log": "14", "pressure_test": "17", "pressure_recorder_certificate": "17", "cwi_certificate": "7", "ndt_certificate": "8"}
+
+
+def source_section(kind: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in SOURCE_SECTION.items() for x in pair])[kind]
+
+
+def after_upload(status: Column) -> Column:
+    """A section's state after a file arrives: one known to have a backlog keeps it, every other is imported."""
+    return F.when(status == "not_imported", "not_imported").otherwise("imported")
 
 
 def _complete(df: DataFrame, missing: Column, kind: str) -> DataFrame:

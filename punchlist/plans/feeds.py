@@ -51,7 +51,7 @@ def weekly_stream(spark, sf_dir):
 @bound("t2_fault_stream", "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM events WHERE event_type = 'error' GROUP BY ALL")
 def fault_stream(spark, sf_dir):
     upserts = jobs.fault_upserts(jobs.source(spark, sf_dir, "events").where("event_type = 'error'"), ["user_id", "event_type"], "event_id")
-    out = spark.read.parquet(jobs.run(upserts, "faults", "update"))
+    out = jobs.sink(spark, jobs.run(upserts, "faults", "update"))
     best = out.groupBy("user_id", "event_type").agg(F.max_by(F.struct("n", "first_seen", "last_seen"), "n").alias("b"))
     return best.select("user_id", "event_type", "b.n", F.col("b.first_seen").alias("first_event"), F.col("b.last_seen").alias("last_event"))
 
@@ -61,16 +61,52 @@ def note_stream(spark, sf_dir):
     e = jobs.source(spark, sf_dir, "events").select(F.col("event_id").alias("note"), (F.col("user_id") % 25).cast("int").alias("book"), (F.col("user_id") % 100).alias("author"), F.when(F.col("event_type") == "error", "warning").otherwise("info").alias("severity"), jobs.as_utc("ts").alias("ts"))
     people = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("book"), F.col("s_suppkey").alias("person"), F.when(F.col("s_suppkey") % 4 == 0, "custodian").when(F.col("s_suppkey") % 4 == 1, "assignee").otherwise("reader").alias("role"))
     sent = jobs.notifications(e, people, "ts", note="note", book="book", author="author", person="person", role="role", severity="severity")
-    return spark.read.parquet(jobs.run(sent, "notes", "append"))
+    return jobs.sink(spark, jobs.run(sent, "notes", "append")).select("note", "person")
 
 
 @bound("t9_lateness_stream", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'unmeasurable' WHEN e < w THEN 'entered_before_work' WHEN e <= w + CASE isodow(w) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END THEN 'on_time' ELSE 'late' END AS verdict FROM (SELECT event_id, user_id, ts::DATE AS w, (ts::DATE + (event_id % 5 - 1)::INTEGER)::DATE AS e FROM events)")
 def lateness_stream(spark, sf_dir):
     e = jobs.source(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("w"), F.date_add(F.to_date("ts"), (F.col("event_id") % 5 - 1).cast("int")).alias("e"), F.when(F.col("user_id") % 7 != 0, "field_entry").alias("source"))
     judged = timeliness.assessed(e, F.col("w"), F.col("e"), F.col("source"), F.lit(0), "mon_fri")
-    return spark.read.parquet(jobs.run(judged.select("event_id", "verdict"), "lateness", "append"))
+    return jobs.sink(spark, jobs.run(judged.select("event_id", "verdict"), "lateness", "append"))
 
 
-@bound("s1_live_rows_pushed_down", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")
+@bound("s1_live_rows_pushed_down", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
 def live_rows(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """An order that is not finished stands for one whose deletion is dated."""
+    o = read(spark, sf_dir, "orders").withColumn("deleted_at", F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")))
+    return readers.live(o).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@bound("t2_fault_ledger", """WITH e AS (SELECT user_id, count(*) AS n, min(ts) AS f, max(ts) AS l FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, n, f AS first_seen, l AS last_seen, true AS due FROM e""")
+def fault_ledger(spark, sf_dir):
+    base = jobs.fresh_path(spark, "fault-ledger")
+    stream = jobs.source(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "ts")
+    jobs.run(stream, "ledger", "append", jobs.fault_ledger(f"{base}/versions", ["user_id"], "ts", "60 MINUTES"), base)
+    last = spark.read.parquet(f"{base}/versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{base}/versions/version={last}").select("user_id", "n", "first_seen", "last_seen", "due")
+
+
+@bound("t4_digest_stream", "SELECT DISTINCT user_id AS person, event_id AS note FROM events WHERE event_id % 3 <> 0 AND ts < (SELECT min(ts) FROM events) + INTERVAL 10 DAY - INTERVAL 30 MINUTE AND user_id % 7 <> 0")
+def digest_stream(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    now = F.lit(e.agg(F.min("ts")).first()[0]) + F.expr("INTERVAL 10 DAYS")
+    people = e.select(F.col("user_id").alias("person")).distinct().withColumn("is_active", F.col("person") % 7 != 0)
+    notes = jobs.source(spark, sf_dir, "events").select(F.col("user_id").alias("person"), F.col("event_id").alias("note"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("read_at"))
+    base = jobs.fresh_path(spark, "digests")
+    jobs.run(notes, "digests", "append", jobs.digest_batches(f"{base}/sent", people, now, 30), base)
+    return jobs.sink(spark, f"{base}/sent")
+
+
+@bound("t5_late_matches", """SELECT user_id % 500 AS key, count(*) FILTER (event_type NOT IN ('click', 'error')) AS heats, count(*) FILTER (event_type = 'click') AS certificates, count(*) FILTER (event_type = 'error') AS withdrawals,
+CASE WHEN count(*) FILTER (event_type NOT IN ('click', 'error')) = 0 THEN 'no heat' WHEN count(*) FILTER (event_type = 'click') > count(*) FILTER (event_type = 'error') THEN 'on_file' ELSE 'missing' END AS status FROM events GROUP BY 1""")
+def late_matches(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "certificate").when(F.col("event_type") == "error", "withdrawal").otherwise("heat")
+    stream = jobs.source(spark, sf_dir, "events").select((F.col("user_id") % 500).alias("key"), kind.alias("kind"))
+    return spark.read.parquet(jobs.run(jobs.late_matches(stream, "key", "kind"), "matches", "complete"))
+
+
+@bound("t8_archive_run", """SELECT object_key, sha256 FROM (SELECT doc_id, source || '/' || doc_id AS object_key, sha256(text) AS sha256, coalesce(sum(n_chars) OVER w, 0) AS b, count(*) OVER w AS n FROM documents WHERE doc_id % 4 <> 0 WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE b < 200000 AND n < 150""")
+def archive_run(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("object_key"), F.sha2("text", 256).alias("sha256"), "n_chars")
+    return jobs.archive_run(d, d.where("doc_id % 4 = 0"), ["doc_id"], "n_chars", 200_000, 150).select("object_key", "sha256")

@@ -180,7 +180,30 @@ def note_fan_out(spark, sf_dir):
 def digests(spark, sf_dir):
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("book"), rank.alias("rank"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("note"))
-    return notify.digests(rows, "person", "book", "rank", "at", "note").drop("books")
+    return notify.digests(rows, "person", "book", "rank")
+
+
+@bound("o8_digest_order", """WITH r AS (SELECT o_custkey AS person, o_orderpriority AS book, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, o_orderdate AS at_, o_orderkey AS note FROM orders), b AS (SELECT person, book, row_number() OVER (PARTITION BY person ORDER BY min(rank), book) AS bp FROM r GROUP BY person, book)
+SELECT person, book, note, bp::INTEGER AS book_place, (row_number() OVER (PARTITION BY person, book ORDER BY rank, at_, note))::INTEGER AS place FROM r JOIN b USING (person, book)""")
+def digest_order(spark, sf_dir):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("book"), rank.alias("rank"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("note"))
+    return notify.digest_order(rows, "person", "book", "rank", "at", "note").select("person", "book", "note", "book_place", "place")
+
+
+@bound("f31_f32_decisions", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'not_imported' ELSE 'imported' END AS after_upload, CASE o_orderkey % 4 WHEN 0 THEN '10' WHEN 1 THEN '13' WHEN 2 THEN '17' END AS section, o_orderkey % 5 <> 0 AS interrupts, o_orderkey % 7 = 0 OR o_orderkey % 7 >= 3 AS due, CASE o_orderkey % 6 WHEN 0 THEN 8 WHEN 1 THEN 25 WHEN 2 THEN 50 WHEN 3 THEN 85 WHEN 4 THEN 98 ELSE 100 END AS planned FROM orders")
+def decisions(spark, sf_dir):
+    from ..operators import gates, scoring
+
+    k = F.col("o_orderkey")
+    now = F.lit("1999-01-01 12:00:00").cast("timestamp")
+    last = F.when(k % 7 != 0, now - F.make_dt_interval(F.lit(0), F.lit(0), (k % 7 * 20).cast("int")))
+    status = F.when(k % 3 == 0, "not_imported").when(k % 3 == 1, "unknown")
+    kind = F.when(k % 4 == 0, "nde_report").when(k % 4 == 1, "calibration_certificate").when(k % 4 == 2, "pressure_recorder_certificate").otherwise("letter")
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", scoring.after_upload(status).alias("after_upload"), scoring.source_section(kind).alias("section"), notify.interrupts(F.when(k % 5 == 0, "info").otherwise("warning")).alias("interrupts"), notify.notify_due(last, now, "60 MINUTES").alias("due"),
+        gates.planned_minimum(F.concat(F.lit("G"), k % 6)).alias("planned"),
+    )
 
 
 @bound("a34_badges", "SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS badge, min(CASE WHEN o_orderstatus <> 'F' THEN substr(o_orderpriority, 1, 1)::INTEGER END) AS loudest FROM orders GROUP BY o_custkey")

@@ -1,6 +1,8 @@
-"""Streams: weekly entry counts, fault upserts, note fan-out, lateness, captures, and bounded incremental archives.
+"""Streams: weekly entry counts, fault upserts, note fan-out, lateness, captures, late matches, digests and archive runs.
 
-A job runs until its source is exhausted (``availableNow``), keeps its progress in the shared folder, and can be run again.
+A job runs until its source is exhausted (``availableNow``). Given a ``folder``, it keeps its progress and its sink there, goes on
+where it stopped when it is run again, and a batch that is repeated after a failure writes what it wrote before, once: every batch
+has a folder of its own, named by its id. Ledgers are versions by batch id in the same way.
 """
 
 from __future__ import annotations
@@ -11,28 +13,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import change_log
-from ..operators.notify import fan_out
 from ..sources.shared import fresh_path
 
 
 def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table's files as a stream. The schema is read once, from the files themselves."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    """A table's files as a stream, whether the table is one file or a folder of part files. The schema is read once, from the
+    files themselves."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    files = table.limit(1).select(F.input_file_name()).first()
+    if files is not None and f"/{name}.parquet/" in files[0]:
+        return stream.parquet(path)
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run(df: DataFrame, name: str, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Runs to the end of the source and returns the sink's path."""
-    spark = df.sparkSession
-    out, progress = fresh_path(spark, name), fresh_path(spark, f"{name}-progress")
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
-    writer = writer.foreachBatch(each or (lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)))
-    query = writer.start()
-    query.awaitTermination()
+def run(df: DataFrame, name: str, mode: str, each: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> str:
+    """Runs to the end of the source and returns the sink's path. Without ``folder`` a fresh one is taken, for a single run."""
+    base = folder or fresh_path(df.sparkSession, name)
+    out = f"{base}/{name}"
+
+    def write(batch: DataFrame, id: int) -> None:
+        # What a batch wrote is replaced when it is repeated; a complete result replaces the one before it.
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={id}")
+
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}-progress").trigger(availableNow=True)
+    writer.foreachBatch(each or write).start().awaitTermination()
     return out
 
 
+def sink(spark: SparkSession, path: str) -> DataFrame:
+    """What ``run`` wrote, without the batch's number."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def as_utc(at: str) -> Column:
     """A time without a zone, as the instant that it is in UTC, whatever the session's zone."""
     return F.to_timestamp(F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
@@ -51,8 +65,69 @@ def fault_upserts(stream: DataFrame, key: list[str], at: str) -> DataFrame:
 
 
 def notifications(notes: DataFrame, people: DataFrame, at: str, late: str = "30 days", **names: str) -> DataFrame:
-    """Notes against who may get them, each pair once within the watermark."""
-    return fan_out(notes.withWatermark(at, late), people, **names)
+    """Notes against who may get them, each pair once within the watermark, whose state is dropped behind it."""
+    marked = notes.withWatermark(at, late)
+    joined = marked.join(people, names["book"])
+    gets = (F.col(names["role"]) == "custodian") | ((F.col(names["role"]) == "assignee") & (F.col(names["severity"]) != "info"))
+    kept = joined.where(gets & ~F.col(names["person"]).eqNullSafe(F.col(names["author"])))
+    pair = [names["note"], names["person"]]
+    return kept.select(*pair, at).dropDuplicatesWithinWatermark(pair)
+
+
+def fault_ledger(path: str, key: list[str], at: str, quiet: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: faults merged into a ledger, one version per batch: how often, first and last seen, whether a resolved
+    one came back, and whether somebody is to be told: always of a new fault, of a known one once its quiet time is over.
+
+    Version n is made of version n - 1 and batch n alone, so a repeated batch gives the same version.
+    """
+
+    def each(batch: DataFrame, id: int) -> None:
+        fresh = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.min(at).alias("f"), F.max(at).alias("l"))
+        if id == 0:
+            old = fresh.select(*key, F.lit(None).cast("bigint").alias("n"), F.col("f").alias("first_seen"), F.col("l").alias("last_seen"), F.lit(None).cast("timestamp").alias("notified_at"), F.lit(False).alias("due"), F.lit(False).alias("resolved"), F.lit(False).alias("reopened")).limit(0)
+        else:
+            old = batch.sparkSession.read.parquet(f"{path}/version={id - 1}")
+        both = old.join(fresh, key, "full")
+        seen, last = F.col("k").isNotNull(), F.col("notified_at").cast("timestamp")
+        due = seen & (last.isNull() | (last + F.expr(f"INTERVAL {quiet}") <= F.col("l")))
+        out = both.select(
+            *key, (F.coalesce("n", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("n"), F.least("first_seen", "f").alias("first_seen"), F.greatest("last_seen", "l").alias("last_seen"), F.when(due, F.col("l").cast("timestamp")).otherwise(last).alias("notified_at"), due.alias("due"),
+            (F.coalesce("resolved", F.lit(False)) & ~seen).alias("resolved"), (F.coalesce("resolved", F.lit(False)) & seen).alias("reopened"),
+        )
+        out.write.mode("overwrite").parquet(f"{path}/version={id}")
+
+    return each
+
+
+def late_matches(stream: DataFrame, key: str, kind: str) -> DataFrame:
+    """Heats against certificates by a key, whichever comes first: per key how many of each came, and whether the heats are on
+    file. A withdrawal takes one certificate back. The state is one row per key."""
+    n = lambda k: F.count_if(F.col(kind) == k)
+    out = stream.groupBy(key).agg(n("heat").alias("heats"), n("certificate").alias("certificates"), n("withdrawal").alias("withdrawals"))
+    live = F.col("certificates") > F.col("withdrawals")
+    return out.withColumn("status", F.when(F.col("heats") == 0, "no heat").when(live, "on_file").otherwise("missing"))
+
+
+def digest_batches(path: str, people: DataFrame, now: Column, min_age_minutes: int) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the notes that are due for a digest, each batch's in a folder of its own; what earlier batches sent is
+    left out, so nobody gets a note twice and a repeated batch sends what it sent."""
+    from ..operators.notify import digest_due
+
+    def each(batch: DataFrame, id: int) -> None:
+        spark = batch.sparkSession
+        sent = spark.read.parquet(*[f"{path}/batch={i}" for i in range(id)]) if id else spark.createDataFrame([], batch.select("person", "note").schema)
+        digest_due(batch, sent, people, now, min_age_minutes).select("person", "note").distinct().write.mode("overwrite").parquet(f"{path}/batch={id}")
+
+    return each
+
+
+def archive_run(objects: DataFrame, archived: DataFrame, order: list[str], size: str, most_bytes: int, most_files: int) -> DataFrame:
+    """What one bounded run copies: objects whose (object_key, sha256) the archive does not have, in order, within the budget. A later run
+    goes on with what is left."""
+    from ..operators.history import within_budget
+
+    left = objects.join(archived.select("object_key", "sha256"), ["object_key", "sha256"], "left_anti").withColumn("_all", F.lit(1))
+    return within_budget(left, ["_all"], order, size, most_bytes, most_files).drop("_all", "bytes_before", "files_before")
 
 
 def captured(snapshot_of: Callable[[DataFrame], DataFrame], key: list[str], columns: list[str], deleted: str, path: str) -> Callable[[DataFrame, int], None]:
