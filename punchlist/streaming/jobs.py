@@ -22,7 +22,7 @@ def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int =
     path = f"{folder}/{name}.parquet"
     table = spark.read.parquet(path)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
-    files = table.limit(1).select(F.input_file_name()).first()
+    files = table.select(F.input_file_name()).first()
     if files is not None and f"/{name}.parquet/" in files[0]:
         return stream.parquet(path)
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
@@ -82,16 +82,16 @@ def fault_ledger(path: str, key: list[str], at: str, quiet: str) -> Callable[[Da
     """
 
     def each(batch: DataFrame, id: int) -> None:
-        fresh = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.min(at).alias("f"), F.max(at).alias("l"))
+        fresh = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"), F.min(at).alias("_f"), F.max(at).alias("_l"))
         if id == 0:
-            old = fresh.select(*key, F.lit(None).cast("bigint").alias("n"), F.col("f").alias("first_seen"), F.col("l").alias("last_seen"), F.lit(None).cast("timestamp").alias("notified_at"), F.lit(False).alias("due"), F.lit(False).alias("resolved"), F.lit(False).alias("reopened")).limit(0)
+            old = fresh.select(*key, F.lit(None).cast("bigint").alias("n"), F.col("_f").alias("first_seen"), F.col("_l").alias("last_seen"), F.lit(None).cast("timestamp").alias("notified_at"), F.lit(False).alias("due"), F.lit(False).alias("resolved"), F.lit(False).alias("reopened")).limit(0)
         else:
             old = batch.sparkSession.read.parquet(f"{path}/version={id - 1}")
         both = old.join(fresh, key, "full")
-        seen, last = F.col("k").isNotNull(), F.col("notified_at").cast("timestamp")
-        due = seen & (last.isNull() | (last + F.expr(f"INTERVAL {quiet}") <= F.col("l")))
+        seen, last = F.col("_k").isNotNull(), F.col("notified_at").cast("timestamp")
+        due = seen & (last.isNull() | (last + F.expr(f"INTERVAL {quiet}") <= F.col("_l")))
         out = both.select(
-            *key, (F.coalesce("n", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("n"), F.least("first_seen", "f").alias("first_seen"), F.greatest("last_seen", "l").alias("last_seen"), F.when(due, F.col("l").cast("timestamp")).otherwise(last).alias("notified_at"), due.alias("due"),
+            *key, (F.coalesce("n", F.lit(0)) + F.coalesce("_k", F.lit(0))).alias("n"), F.least("first_seen", "_f").alias("first_seen"), F.greatest("last_seen", "_l").alias("last_seen"), F.when(due, F.col("_l").cast("timestamp")).otherwise(last).alias("notified_at"), due.alias("due"),
             (F.coalesce("resolved", F.lit(False)) & ~seen).alias("resolved"), (F.coalesce("resolved", F.lit(False)) & seen).alias("reopened"),
         )
         out.write.mode("overwrite").parquet(f"{path}/version={id}")
