@@ -8,7 +8,7 @@ from ..operators import timeliness
 from ..sources import readers, sinks
 from ..streaming import jobs
 from .books import sections
-from .bound import bound, read
+from .bound import ORACLES, bound, read
 
 
 @bound("s2_orders_with_lines", "SELECT o_orderkey, coalesce(n, 0) AS n_lines, coalesce(q, 0) AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
@@ -37,7 +37,7 @@ def turnover_manifest(spark, sf_dir):
     return sinks.manifest(d.where("doc_id % 7 <> 0"), d.where("doc_id % 4 <> 0").select("stored"), "section", "name", "stored").select("doc_id", "package_path", "available")
 
 
-@bound("s12_completeness_report")
+@bound("s12_completeness_report", f"SELECT book, string_agg(rpad(o_orderpriority, 16, ' ') || lpad(printf('%.2f', pct), 8, ' '), chr(10) ORDER BY o_orderpriority) AS report FROM ({ORACLES['a8_section_scores']}) GROUP BY book")
 def completeness_report(spark, sf_dir):
     return sinks.report_lines(sections(spark, sf_dir), "book", [F.col("o_orderpriority")], "o_orderpriority", "pct")
 

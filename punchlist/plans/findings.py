@@ -148,7 +148,7 @@ def report_lines(spark, sf_dir):
     return claims.unionByName(orphans)
 
 
-@bound("j14_tickets", f"""WITH {ctes('weld', 'nde_report')}, k AS (SELECT job_book_id, id, CASE WHEN ndt_ticket_number IS NOT NULL THEN regexp_extract(ndt_ticket_number, '[1-9][0-9]*$') WHEN xray_number LIKE 'X-%' THEN regexp_extract(xray_number, '[1-9][0-9]*$') END AS n FROM weld WHERE status <> 'not_used')
+@bound("j14_tickets", f"""WITH {ctes('weld', 'nde_report')}, k AS (SELECT job_book_id, id, CASE WHEN ndt_ticket_number = 'T-00' THEN '0' WHEN ndt_ticket_number IS NOT NULL THEN regexp_extract(ndt_ticket_number, '[1-9][0-9]*$') WHEN xray_number = 'X-0' THEN '0' WHEN xray_number LIKE 'X-%' THEN regexp_extract(xray_number, '[1-9][0-9]*$') END AS n FROM weld WHERE status <> 'not_used')
 SELECT r.job_book_id, r.id AS report_id, k.id AS weld_id FROM nde_report r JOIN k ON k.job_book_id = r.job_book_id AND k.n = CASE WHEN r.report_number = 'RT-0' THEN '0' ELSE regexp_extract(r.report_number, '[1-9][0-9]*$') END""")
 def tickets(spark, sf_dir):
     from ..operators import evidence
