@@ -325,7 +325,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = written(posts.select(F.col("doc_id").alias(id_col)).distinct(), "ids")
     wanted = docs.select(id_col, text_col).join(F.broadcast(ids) if ids.limit(MAX_IDS + 1).count() <= MAX_IDS else ids, id_col, "left_semi")
     whole = written(whole_sets(wanted, id_col, text_col, n), "whole")
-    rows = whole.select("doc_id", F.xxhash64("set").alias("sig"), F.size("set").alias("size"), F.explode("set").alias("key"))
+    # What is said of a set is computed before it is exploded, once for each set and not for each of its shingles.
+    rows = whole.select("doc_id", F.xxhash64("set").alias("sig"), F.size("set").alias("size"), "set").select("doc_id", "sig", "size", F.explode("set").alias("key"))
     frequencies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequencies")
     counted = rows.join(frequencies, "key", "left").groupBy("doc_id", "sig", "size").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("ks"))
     spare = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")
