@@ -99,5 +99,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, mos
     usable = labels.select(F.col(id_col).alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("l_id").isNotNull() & F.col("y").isNotNull() & allowed(F.col("l_id")))
     taken = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(most)
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(taken), F.col("d_id") == F.col("l_id"))
-    found = rows.select(F.xxhash64("l_id"), "y", F.xxhash64("text"), "text").mapInArrow(featurised, SAMPLE).orderBy("id_hash", "y", "text_hash").limit(most).toArrow()
-    return Sample(found.sort_by([(c, "ascending") for c in ("id_hash", "y", "text_hash")]))
+    featured = rows.select(F.xxhash64("l_id"), "y", F.xxhash64("text"), "text").mapInArrow(featurised, SAMPLE)
+    if rows.count() > most:  # reads ids alone; without repeated ids there is nothing to leave out, so nothing has to be sorted
+        featured = featured.orderBy("id_hash", "y", "text_hash").limit(most)
+    return Sample(featured.toArrow().sort_by([(c, "ascending") for c in ("id_hash", "y", "text_hash")]))
