@@ -17,10 +17,10 @@ EDGE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Codes(dict):
-    """Word -> crc32, kept for words seen before; it starts anew at a million words, so its memory has a bound."""
+    """Word -> crc32, kept for words seen before; it starts anew at a quarter of a million words, so its memory has a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = out = crc32(word.encode("utf-8", "surrogatepass"))
         return out

@@ -61,11 +61,12 @@ MAX_IDS = 1_000_000
 SPLIT = int(-(2**63) + COUNTED * 2**64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """Batches cut small, which bounds what a worker holds beside them."""
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

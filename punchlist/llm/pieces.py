@@ -29,8 +29,8 @@ from .common import table
 
 BLANK = "\N{LOWER ONE EIGHTH BLOCK}"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-#: Characters of texts that are encoded together, and of distinct words that are indexed together.
-SLICE, INDEXED = 16_000_000, 500_000
+#: Characters of texts that are encoded together, and of distinct words that are indexed together; and rows held as texts.
+SLICE, INDEXED, ROWS = 6_000_000, 200_000, 2_000
 
 
 def _merged(symbols: list[str], score: dict[str, float]) -> list[tuple[str, str]]:
@@ -263,20 +263,23 @@ class Vocabulary:
 def _encoded(shared):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            first = 0
-            while first < len(texts):
-                end, chars = first, 0
-                while end < len(texts) and (end == first or chars + len(texts[end]) <= SLICE):
-                    chars += len(texts[end])
-                    end += 1
-                ids = vocabulary.encode(texts[first:end])
-                same = [vocabulary.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, texts[first:end])]
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists, pa.array(same)], names=["doc_id", "ids", "round_trip"])
-                first = end
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # few texts are held as such at a time
+                batch = whole.slice(at, ROWS)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                first = 0
+                while first < len(texts):
+                    end, chars = first, 0
+                    while end < len(texts) and (end == first or chars + len(texts[end]) <= SLICE):
+                        chars += len(texts[end])
+                        end += 1
+                    ids = vocabulary.encode(texts[first:end])
+                    same = [vocabulary.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, texts[first:end])]
+                    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists, pa.array(same)], names=["doc_id", "ids", "round_trip"])
+                    first = end
+            pa.default_memory_pool().release_unused()
 
     return of_batches
 

@@ -117,6 +117,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         codes = Codes()
         for batch in batches:
             yield batch.filter(pa.array(_above(model.value, codes, batch.column(at))[:, 0] < threshold))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(of_batches, docs.schema)
 
