@@ -18,6 +18,7 @@ MODULES = {
     "op8_pieces": "pieces",
     "op9_toxicity": "toxicity",
     "op10_jaccard_join": "jaccard_join",
+    "op11_minhash": "minhash",
     "op12_periodic_runs": "periodic_runs",
 }
 
