@@ -82,3 +82,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, max_sent: int = 1_000
     gone = written(gone.distinct(), "gone")
     few = gone.limit(max_sent + 1).count() <= max_sent
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+
+
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a number's decimal text, a bit at a time: that dialect has no function for it."""
+    step = "list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte))"
+    digits = f"list_transform(string_split(({number})::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce({digits}, lambda crc, byte: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"

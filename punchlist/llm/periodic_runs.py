@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc32_sql, crc_mod, table
 
 SHORTEST, REPEATS = 24, 3
 #: Texts that a worker holds at a time, beside the batch that Spark sends.
@@ -177,12 +177,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: crc32 by its polynomial, a bit at a time, as this dialect has no function for it. A lag whose stretch is long enough has 16 words in
-#: a row that match, so stretches are looked for by four words together: c such matches in a row are c + 3 words.
-ORACLE_SQL = r"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
-                  list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM documents),
-h AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, xor(list_reduce(bytes, lambda crc, byte: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM t),
+#: A lag whose stretch is long enough has 16 words in a row that match, so stretches are looked for by four words together: c such
+#: matches in a row are c + 3 words.
+ORACLE_SQL = rf"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+h AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, {crc32_sql("doc_id")} AS h FROM t),
 a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
 p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
 d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS ws FROM p),

@@ -20,6 +20,7 @@ MODULES = {
     "op10_jaccard_join": "jaccard_join",
     "op11_minhash": "minhash",
     "op12_periodic_runs": "periodic_runs",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 
