@@ -102,6 +102,26 @@ def segments(lines: DataFrame, by: list[str], order: list[str], identity: str) -
     return marked.withColumn("segment", F.sum("_s").over(w)).withColumn("identity", F.last(identity, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
+def carried_segments(rows: DataFrame, by: list[str], order: list[str], identities: list[str], name: str = "segment") -> DataFrame:
+    """Rows with the number of their segment, from 1 on. A segment takes on each identity that its rows state; a row that states another
+    one than its segment has begins the next, which knows only what that row states.
+
+    What a segment knows depends on where it began, so the rows of a key are folded in order; a key's rows are the pages of one file.
+    """
+    row = F.struct(*order, *[F.col(i).cast("string").alias(i) for i in identities], F.struct(*rows.columns).alias("_row"))
+    kept = rows.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    start = F.struct(F.lit(0).cast("long").alias("_count"), *[F.lit(None).cast("string").alias(i) for i in identities], F.array().cast("array<bigint>").alias("_numbers"))
+
+    def step(seen: Column, r: Column) -> Column:
+        other = F.coalesce(*[F.when(seen[i] != r[i], F.lit(True)) for i in identities], seen["_count"] == 0)
+        n = seen["_count"] + F.when(other, 1).otherwise(0)
+        known = [F.when(other, r[i]).otherwise(F.coalesce(seen[i], r[i])).alias(i) for i in identities]
+        return F.struct(n.alias("_count"), *known, F.concat(seen["_numbers"], F.array(n)).alias("_numbers"))
+
+    numbers = F.aggregate("_rows", start, step, lambda seen: seen["_numbers"])
+    return kept.select(F.explode(F.arrays_zip("_rows", numbers.alias("_n"))).alias("x")).select("x._rows._row.*", F.col("x._n").alias(name))
+
+
 def clusters(points: DataFrame, by: list[str], x: str, gap: float, tie: list[str]) -> DataFrame:
     """Positions in clusters: a new one wherever the step is larger than ``gap``."""
     w = Window.partitionBy(*by).orderBy(x, *tie)
