@@ -43,7 +43,9 @@ MISS = 1e-7
 #: Hashes of a signature that are compared at a time.
 BATCH = 64
 #: Rounds in which documents meet ends of their buckets before all pairs of different components are looked at.
-ROUNDS = 3
+ROUNDS = 1
+#: Buckets by which a pair is told to meet once; a pair that has none of them in common meets in each bucket it shares.
+FIRST_KEYS = 16
 #: Up to so many ids (8 bytes each) are broadcast to pick their documents; more take a shuffled join.
 MAX_IDS = 1_000_000
 #: Shingles hashed at a time, words whose hashes a worker remembers, and documents it holds as texts.
@@ -186,66 +188,66 @@ def signed(rows_of: DataFrame, n: int, hashes: int) -> DataFrame:
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, n):
             marks = _marks(sets)
-            low = _per_set(sets, lambda some: _mixed(minima(some, hashes).T.astype(np.uint64)).astype(np.uint16), hashes, np.uint16)
+            low = _per_set(sets, lambda some: _mixed(minima(some, hashes).T.astype(np.uint64)).astype(np.uint16).view(np.int16), hashes, np.int16)
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()),
-                    pa.array([r[:BATCH].tobytes() for r in low], pa.binary()), pa.array([r[BATCH:].tobytes() for r in low], pa.binary()),
+                    _lists(low[:, :BATCH].ravel(), np.arange(len(sets) + 1) * BATCH), _lists(low[:, BATCH:].ravel(), np.arange(len(sets) + 1) * (hashes - BATCH)),
                     _lists(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), ends),
                 ],
                 names=["doc_id", "size", "s1", "s2", "first", "rest", "set"],
             )
 
-    return rows_of.mapInArrow(of_batches, "doc_id long, size long, s1 long, s2 long, first binary, rest binary, set array<long>")
+    return rows_of.mapInArrow(of_batches, "doc_id long, size long, s1 long, s2 long, first array<short>, rest array<short>, set array<long>")
 
 
-def _compared(pairs: DataFrame, percent: int, miss: float, before: int) -> DataFrame:
-    """(a, b, agree) of the pairs (a, b, agree, x, y) that no batch prunes; ``before``: hashes compared already."""
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (3, 4))
-            agree, going = batch.column(2).to_numpy().astype(np.int64), np.arange(batch.num_rows)
-            for first in range(0, x.shape[1], BATCH):
-                part = slice(first, min(first + BATCH, x.shape[1]))
-                agree[going] += (x[going, part] == y[going, part]).sum(axis=1)
-                going = going[agree[going] >= least_agreements(before + part.stop, percent, miss)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(going)), batch.column(1).take(pa.array(going)), pa.array(agree[going])], names=["a", "b", "agree"])
-
-    return pairs.mapInArrow(of_batches, "a long, b long, agree long")
+def _agreements(x: Column, y: Column, first: Column, n: Column) -> Column:
+    """In how many of ``n`` places from ``first`` (counted from 0) two signatures agree."""
+    same = F.zip_with(F.slice(x, first + 1, n), F.slice(y, first + 1, n), lambda p, q: (p == q).cast("long"))
+    return F.aggregate(same, F.lit(0).cast("long"), lambda total, one: total + one)
 
 
-def likely(pairs: DataFrame, signatures: DataFrame, percent: int, miss: float) -> DataFrame:
-    """(a, b, agree) of the pairs (a, b) whose posterior never falls below ``miss``, batch after batch, and whose sizes allow the link."""
+def _of_both(pairs: DataFrame, candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of both ends, where the sizes allow a link."""
+    side = lambda end: candidates.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", *columns)])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def with_(some: DataFrame, column: str) -> DataFrame:
-        one = signatures.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col(column).alias("x"))
-        two = signatures.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col(column).alias("y"))
-        near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-        return some.join(one, "a").join(two, "b").where(near).select("a", "b", "agree", "x", "y")
 
-    once = _compared(with_(pairs.select("a", "b", F.lit(0).cast("long").alias("agree")), "first"), percent, miss, 0)
-    once = written(once.groupBy("a", "b").agg(F.max("agree").alias("agree")), "likely")
-    again = _compared(with_(once, "rest"), percent, miss, BATCH)
-    return written(again.groupBy("a", "b").agg(F.max("agree").alias("agree")), "likely")
+def likely(pairs: DataFrame, candidates: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b, ..., agree) of the pairs that the first batch of hashes leaves likely enough."""
+    near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    both = _of_both(pairs, candidates, ["first"]).where(near).withColumn("agree", _agreements(F.col("first_a"), F.col("first_b"), F.lit(0), F.lit(BATCH)))
+    kept = both.where(F.col("agree") >= least_agreements(BATCH, percent, miss)).groupBy(*pairs.columns).agg(F.max("agree").alias("agree"))
+    return written(kept, "likely")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    kept = pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
-    return written(kept.select("a", "b"), "links")
+def confirmed(pairs: DataFrame, candidates: DataFrame, percent: int, miss: float, hashes: int) -> DataFrame:
+    """The pairs (a, b, agree) that no later batch prunes and whose whole sets are similar enough. Conditions are tried in this order, so
+    what a batch prunes is compared no further."""
+    both = _of_both(pairs.select("a", "b", "agree"), candidates, ["rest", "set"])
+    ends = list(range(BATCH, hashes, BATCH))
+    steps = [F.struct(F.lit(at - BATCH).alias("first"), F.lit(min(BATCH, hashes - at)).alias("n"), F.lit(least_agreements(at, percent, miss)).alias("least")) for at in ends]
+    # A batch is looked at where all hashes before it leave the pair likely enough.
+    batch = lambda agree, step: F.when(agree >= step["least"], agree + _agreements(F.col("rest_a"), F.col("rest_b"), step["first"], step["n"])).otherwise(-1)
+    agree = F.aggregate(F.array(*steps), F.col("agree"), batch) if steps else F.col("agree")
+    shared = F.when(agree >= least_agreements(hashes, percent, miss), F.size(F.array_intersect("set_a", "set_b")))
+    kept = both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    return written(kept.select("a", "b").distinct(), "links")
 
 
 def _ordered(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def mixed_buckets(posts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (key, doc_id, size, comp) of the buckets that hold more than one component, with a member of the first (d0, c0) and of
+    the last component (d1, c1)."""
+    placed = written(posts.join(comps, posts.doc_id == comps.node, "left").select("key", "doc_id", "size", F.coalesce("comp", "doc_id").alias("comp")), "placed")
+    ends = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("doc_id", "comp").alias("d0"), F.max_by("doc_id", "comp").alias("d1"))
+    return written(placed.join(ends.where("c0 <> c1"), "key"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id is that one)."""
     whole_ids(docs, id_col)
@@ -279,53 +281,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(signed(wanted.where("repeats is null").select("doc_id", "text"), n, rows * bands).unionByName(signed(wanted.where("repeats").select("doc_id", "text").distinct(), n, rows * bands)), "signatures")
 
     links = several.where("x <> y").select("doc_id").join(copies, "doc_id").select(*_ordered("doc_id", "rep")).where("a <> b")
-    first = posts.groupBy("doc_id").agg(F.min("lo").alias("hub")).where("doc_id <> hub").select(*_ordered("doc_id", "hub"))
-    tried = written(first.distinct(), "pairs")
-    links = links.unionByName(confirmed(likely(tried, found, percent, miss), found, percent))
-
-    def in_components() -> DataFrame:
-        """Members of the buckets that hold more than one component, and the bucket's first and last one."""
-        comps = connected_components(links)
-        placed = written(posts.join(comps, posts.doc_id == comps.node, "left").select("key", "doc_id", "size", F.coalesce("comp", "doc_id").alias("comp")), "placed")
-        ends = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("doc_id", "comp").alias("d0"), F.max_by("doc_id", "comp").alias("d1")).where("c0 <> c1")
-        return written(placed.join(written(ends, "ends"), "key"), "mixed")
-
-    def gone_on(pairs: DataFrame, best_only: bool) -> tuple[DataFrame, DataFrame]:
-        """(pairs that were tried, links found) of pairs with the components of their ends."""
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        some = likely(pairs, found, percent, miss)
-        some = pairs.join(some, ["a", "b"])
-        if not best_only:
-            return pairs.select("a", "b"), confirmed(some, found, percent)
-        best = some.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-        best = written(best, "best")
-        # Pruned pairs are done with, and so are those confirmed on whole sets; likely ones that were not the best come again.
-        left = some.select("a", "b").join(best, ["a", "b"], "left_anti")
-        return pairs.select("a", "b").join(left, ["a", "b"], "left_anti"), confirmed(best, found, percent)
-
-    mixed = in_components()
+    hubs = posts.groupBy("doc_id").agg(F.min("lo").alias("hub")).where("doc_id <> hub").select(*_ordered("doc_id", "hub"))
+    tried = written(hubs.distinct(), "pairs")
+    starred = confirmed(likely(tried, found, percent, miss), found, percent, miss, rows * bands)
+    links = links.unionByName(starred)
+
+    # Each document points at one smaller id or at itself; following the pointers of pointers twice is enough to place most. What is
+    # not yet known to be connected is only looked at once more.
+    comps = starred.select(F.col("b").alias("node"), F.col("a").alias("comp"))
+    for _ in range(2):
+        further = comps.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        comps = comps.join(further, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+    comps = written(comps, "places")
     for _ in range(rounds):
+        mixed = mixed_buckets(posts, comps)
         at_first = F.col("comp") == F.col("c0")
         other = mixed.select("doc_id", "comp", F.when(at_first, F.col("d1")).otherwise(F.col("d0")).alias("d"), F.when(at_first, F.col("c1")).otherwise(F.col("c0")).alias("c"))
         pairs = other.select(*_ordered("doc_id", "d"), F.least("comp", "c").alias("x"), F.greatest("comp", "c").alias("y"))
-        done, more = gone_on(pairs, True)
-        tried = written(tried.unionByName(done), "tried")
+        some = likely(written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs"), found, percent, miss)
+        best = written(some.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b", "p.agree"), "best")
+        more = confirmed(best, found, percent, miss, rows * bands)
+        tried = tried.unionByName(best.select("a", "b"))  # others of the round come again where they are still apart
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        mixed = in_components()
+        comps = connected_components(links)
 
     # What is left: all members of one bucket in different components. Of the largest component's members none meet each other.
+    mixed = mixed_buckets(posts, comps)
     main = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    placed = written(mixed.select("key", "doc_id", "size", "comp").join(written(main, "main"), "key"), "placed")
-    x = placed.where("comp <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "size", "comp")])
+    # A pair that shares many buckets meets in the first of them: each document knows its own first few.
+    firsts = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    placed = written(mixed.select("key", "doc_id", "size", "comp").join(main, "key").join(firsts, "doc_id"), "placed")
+    x = placed.where("comp <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "doc_id", "size", "comp", "firsts")])
     near = 100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")
     once = (F.col("comp") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
-    meet = x.join(placed, "key").where((F.col("comp") != F.col("x_comp")) & near & once)
-    _, more = gone_on(meet.select(*_ordered("doc_id", "x_doc_id"), F.least("comp", "x_comp").alias("x"), F.greatest("comp", "x_comp").alias("y")), False)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-    comps = connected_components(links)
+    shared = F.array_intersect("firsts", "x_firsts")
+    here = (F.size(shared) == 0) | (F.col("key") == F.get(shared, F.lit(0)))
+    meet = x.join(placed, (F.col("x_key") == F.col("key")) & (F.col("comp") != F.col("x_comp")) & near & once & here)
+    pairs = meet.select(*_ordered("doc_id", "x_doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = confirmed(likely(written(pairs, "pairs"), found, percent, miss), found, percent, miss, rows * bands)
+    comps = connected_components(links.unionByName(more))
 
     # Back to all documents: document -> representative -> component. An id in several classes is a node itself.
     of_copies = copies.join(several.where("x <> y").select("doc_id"), "doc_id", "left_anti").join(comps, copies.rep == comps.node, "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
