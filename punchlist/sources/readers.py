@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.keys import mime_of, section_of_folder
 
 
-def live(df: DataFrame) -> DataFrame:
-    """Rows that are not deleted; the predicate reaches the scan."""
-    return df.where(F.col("deleted_at").isNull()) if "deleted_at" in df.columns else df
+def live(df: DataFrame, alive: Column | None = None) -> DataFrame:
+    """Rows that are not deleted: those for which ``alive`` holds, or without a date of deletion. On stored columns it reaches the scan."""
+    if alive is None:
+        alive = F.col("deleted_at").isNull() if "deleted_at" in df.columns else F.lit(True)
+    return df.where(alive)
 
 
 def live_documents(documents: DataFrame) -> DataFrame:
-    return live(documents).where(~F.coalesce(F.col("is_superseded"), F.lit(False)))
+    """Live documents that no later one supersedes."""
+    return live(documents, ~F.coalesce(F.col("is_superseded"), F.lit(False)) & (F.col("deleted_at").isNull() if "deleted_at" in documents.columns else F.lit(True)))
 
 
 def book_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

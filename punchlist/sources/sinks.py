@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.history import change_log
+from .shared import exists, written
 
 
 def stamp_scores(scored: DataFrame, path: str, at: Column) -> None:
@@ -17,13 +18,29 @@ def latest_stamp(stamps: DataFrame, keys: list[str], columns: list[str]) -> Data
     return stamps.groupBy(*keys).agg(F.max_by(F.struct(*columns), "computed_at").alias("_s")).select(*keys, "_s.*")
 
 
-def append_changes(old: DataFrame, new: DataFrame, key: list[str], columns: list[str], deleted: str, path: str, at: Column) -> None:
-    change_log(old, new, key, columns, deleted).withColumn("changed_at", at).write.mode("append").parquet(path)
-
-
-def write_rates(rates: DataFrame, path: str, week: str = "week") -> None:
-    """One row per book and week: a week's partition is replaced as a whole; impossible counts fail the write."""
-    checked = rates.withColumn("on_time", F.when((F.col("on_time") < 0) | (F.col("late") < 0), F.raise_error(F.lit("counts below zero")).cast("bigint")).otherwise(F.col("on_time")))
+def append_changes(old: DataFrame, new: DataFrame, key: list[str], columns: list[str], deleted: str, path: str, at: Column, run: str) -> None:
+    """What a run changed, in the audit log under the run's own name: a run that is repeated after a failure is in it once."""
+    change_log(old, new, key, columns, deleted).withColumn("changed_at", at).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def write_rates(rates: DataFrame, path: str, week: str = "week", book: str = "book") -> None:
+    """The weekly rates of books, one row for each (book, week): rows replace those of their key, all others stay.
+
+    A key that comes twice fails the write, and so do counts that cannot be: below zero, or a rate where nothing was measured. Weeks are
+    partitions; only those that ``rates`` has are read and replaced.
+    """
+    spark = rates.sparkSession
+    alone = F.count(F.lit(1)).over(Window.partitionBy(book, week)) == 1
+    measured = F.col("on_time") + F.col("late")
+    sane = (F.col("on_time") >= 0) & (F.col("late") >= 0)
+    if "rate" in rates.columns:
+        sane &= (measured == 0) == F.col("rate").isNull()
+    checked = rates.withColumn("on_time", F.when(~alone, F.raise_error(F.lit("a book has two rows of one week")).cast("bigint")).when(~F.coalesce(sane, F.lit(False)), F.raise_error(F.lit("counts that cannot be")).cast("bigint")).otherwise(F.col("on_time")))
+    checked = written(spark, checked, "rates")
+    if exists(spark, path):
+        known = spark.read.parquet(path).withColumn(week, F.col(week).cast(rates.schema[week].dataType))
+        others = known.join(checked.select(week).distinct(), week, "left_semi").join(checked.select(book, week), [book, week], "left_anti")
+        checked = written(spark, checked.unionByName(others.select(*checked.columns)), "rates")
     checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(week).parquet(path)
 
 

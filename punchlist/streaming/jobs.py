@@ -7,7 +7,8 @@ has a folder of its own, named by its id. Ledgers are versions by batch id in th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +53,45 @@ def as_utc(at: str) -> Column:
     return F.to_timestamp(F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")), "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
 
 
+def utc_clock(at: Column) -> Column:
+    """An instant as the clock in UTC shows it, whatever the session's zone."""
+    return F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz"))
+
+
 def weekly_counts(stream: DataFrame, at: str, by: list[str], late: str = "2 weeks") -> DataFrame:
-    """Counts per week, Monday first: the epoch was a Thursday, so weeks start four days later. Records that come later than
-    ``late`` after the newest seen are dropped from running windows."""
+    """Running counts per week, Monday first: the epoch was a Thursday, so weeks start four days later.
+
+    For update mode, where every batch says the counts that changed: a week is dropped from the state once the watermark is behind it, and
+    records of such a week are not counted any more. ``late_rows`` keeps them.
+    """
     w = F.window(at, "1 week", "1 week", "4 days")
-    return stream.withWatermark(at, late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n")).select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86_400).cast("int")).alias("week"), *by, "n")
+    week = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86_400).cast("int"))
+    return stream.withWatermark(at, late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n")).select(week.alias("week"), *by, "n")
+
+
+def current(spark: SparkSession, path: str, key: list[str], n: str = "n") -> DataFrame:
+    """The last of what an update stream said of each key: the largest count, as counts only grow."""
+    said = sink(spark, path)
+    rest = [c for c in said.columns if c not in key]
+    return said.groupBy(*key).agg(F.max_by(F.struct(*rest), n).alias("_last")).select(*key, "_last.*")
+
+
+def late_rows(path: str, at: str, late: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the rows that come later than ``late`` after the newest of earlier batches, which running counts leave out.
+
+    Of earlier batches only the newest time is kept, one value handed on from batch to batch, so a repeated batch says the same.
+    """
+
+    def each(batch: DataFrame, id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/newest/batch={id - 1}").first()[0] if id else None
+        gone = batch.where(F.col(at) < F.lit(before) - F.expr(f"INTERVAL {late}")) if before is not None else batch.limit(0)
+        gone.write.mode("overwrite").parquet(f"{path}/late/batch={id}")
+        newest = batch.agg(F.max(at).cast("timestamp").alias("newest"))
+        newest = newest.select(F.greatest("newest", F.lit(before).cast("timestamp")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/newest/batch={id}")
+
+    return each
 
 
 def fault_upserts(stream: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -99,6 +134,124 @@ def fault_ledger(path: str, key: list[str], at: str, quiet: str) -> Callable[[Da
     return each
 
 
+def _in_micros(stream: DataFrame, at: str) -> DataFrame:
+    """With ``_us``, the time as microseconds: keyed state keeps whole numbers, which no session's zone shifts."""
+    return stream.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+
+
+def _as_times(df: DataFrame, stream: DataFrame, at: str, *columns: str) -> DataFrame:
+    """The named columns from microseconds to the type of the stream's time."""
+    return df.withColumns({c: F.timestamp_micros(c).cast(stream.schema[at].dataType) for c in columns})
+
+
+def _wake(state, us: int) -> None:
+    """Sets a timer; one that is behind the watermark already is refused, so such a key goes with the next batch."""
+    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs() + 1))
+
+
+FAULT_STATE = "n long, first_seen long, last_seen long, notified_at long, notifications long, resolved boolean, reopened long, version long"
+
+
+def fault_states(stream: DataFrame, key: list[str], at: str, kind: str, quiet: timedelta) -> DataFrame:
+    """Faults as keyed state, one row per fault that a batch touches: how often, first and last seen, when somebody was last told and how
+    often, whether it is resolved, how often it came back after that, and the number of this word on it (``version``).
+
+    ``kind`` is fault or resolved. Somebody is told of a new fault, and of a known one when its quiet time since the last telling is
+    over. Each record is judged by itself, in order of time within a batch, so it does not matter how records that come in order of
+    time are dealt to batches. Only faults that a batch has are written; the state is one row per fault.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.select(*key).schema)
+    quiet_us = int(quiet.total_seconds() * 1_000_000)
+
+    def told(found_key: tuple, parts: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        n, first, last, notified, times, resolved, reopened, version = state.get if state.exists else (0, None, None, None, 0, False, 0, 0)
+        for part in parts:
+            for when, what in sorted(zip(part["_us"].tolist(), part[kind])):
+                if what == "resolved":
+                    resolved = n > 0
+                    continue
+                n, first, last = n + 1, when if first is None else min(first, when), when if last is None else max(last, when)
+                reopened, resolved = reopened + resolved, False
+                if notified is None or when - notified >= quiet_us:
+                    notified, times = when, times + 1
+        held = (n, first, last, notified, times, resolved, reopened, version + 1)
+        state.update(held)
+        yield pd.DataFrame([(*found_key, *held)], columns=[*key, *[f.split(" ")[0] for f in FAULT_STATE.split(", ")]])
+
+    said = _in_micros(stream, at).groupBy(*key).applyInPandasWithState(told, f"{kinds}, {FAULT_STATE}", FAULT_STATE, "update", "NoTimeout")
+    return _as_times(said, stream, at, "first_seen", "last_seen", "notified_at")
+
+
+def certificate_matches(stream: DataFrame, key: str, at: str, kind: str, certificate: str, late: str, keep: timedelta) -> DataFrame:
+    """Heats against certificates by a key, whichever comes first: how many heats, how many certificates are live, and whether the heats are
+    on file, for each key that a batch touches.
+
+    A withdrawal names its certificate and takes that one back, also when it comes first. The state of a key holds its certificates and
+    what was withdrawn; a key of which nothing was heard for ``keep``, by event time, is dropped from it.
+    """
+    kinds = f"{key} {stream.schema[key].dataType.simpleString()}"
+    held = "heats long, certificates array<string>, withdrawn array<string>, newest long, version long"
+
+    def matched(found_key: tuple, parts: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        heats, there, gone, newest, version = state.get if state.exists else (0, [], [], None, 0)
+        there, gone = set(there), set(gone)
+        for part in parts:
+            heats += int((part[kind] == "heat").sum())
+            there.update(part.loc[part[kind] == "certificate", certificate])
+            gone.update(part.loc[part[kind] == "withdrawal", certificate])
+            newest = max(int(part["_us"].max()), newest if newest is not None else -(2**63))
+        live = len(there - gone)
+        state.update((heats, sorted(there), sorted(gone), newest, version + 1))
+        _wake(state, newest + int(keep.total_seconds() * 1_000_000))
+        status = "no heat" if not heats else "on_file" if live else "missing"
+        yield pd.DataFrame([(*found_key, heats, live, status, version + 1)], columns=[key, "heats", "live_certificates", "status", "version"])
+
+    out = f"{kinds}, heats long, live_certificates long, status string, version long"
+    return _in_micros(stream, at).withWatermark(at, late).groupBy(key).applyInPandasWithState(matched, out, held, "update", "EventTimeTimeout")
+
+
+def expiring_uploads(stream: DataFrame, key: str, at: str, kind: str, late: str, hours: int = 24) -> DataFrame:
+    """Uploads that were not committed within their time: (key, staged_at), each once, when the watermark has passed that time.
+
+    ``kind`` is staged or committed; either may come first. What is committed or has expired leaves the state.
+    """
+    kinds = f"{key} {stream.schema[key].dataType.simpleString()}"
+    time = hours * 3_600_000_000
+
+    def judged(found_key: tuple, parts: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        staged, committed = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            state.remove()
+            if staged is not None:  # a commit without its upload just goes
+                yield pd.DataFrame([(*found_key, staged)], columns=[key, "staged_at"])
+            return
+        for part in parts:
+            for when, what in zip(part["_us"].tolist(), part[kind]):
+                if what == "staged":
+                    staged = when if staged is None else min(staged, when)
+                else:
+                    committed = when if committed is None else min(committed, when)
+        if staged is not None and committed is not None and committed - staged <= time:
+            if state.exists:
+                state.remove()
+            return
+        state.update((staged, committed))
+        _wake(state, (committed if staged is None else staged) + time)
+
+    out, held = f"{kinds}, staged_at long", "staged long, committed long"
+    expired = _in_micros(stream, at).withWatermark(at, late).groupBy(key).applyInPandasWithState(judged, out, held, "append", "EventTimeTimeout")
+    return _as_times(expired, stream, at, "staged_at")
+
+
 def late_matches(stream: DataFrame, key: str, kind: str) -> DataFrame:
     """Heats against certificates by a key, whichever comes first: per key how many of each came, and whether the heats are on
     file. A withdrawal takes one certificate back. The state is one row per key."""
@@ -131,10 +284,11 @@ def archive_run(objects: DataFrame, archived: DataFrame, order: list[str], size:
 
 
 def captured(snapshot_of: Callable[[DataFrame], DataFrame], key: list[str], columns: list[str], deleted: str, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch against the snapshot it changes, appended to the log."""
+    """For foreachBatch: each batch against the snapshot it changes, in the log under its own number, so that a repeated batch is there
+    once. The snapshot is that of before the batch."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        change_log(snapshot_of(batch), batch, key, columns, deleted).write.mode("append").parquet(path)
+    def each(batch: DataFrame, id: int) -> None:
+        change_log(snapshot_of(batch), batch, key, columns, deleted).write.mode("overwrite").parquet(f"{path}/batch={id}")
 
     return each
 

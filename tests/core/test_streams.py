@@ -88,3 +88,104 @@ def test_budget_over_large_groups(spark):
     df = spark.createDataFrame([(1, i, 7) for i in range(500)], "g int, i long, size long")
     got = sorted(r["i"] for r in history.within_budget(df, ["g"], ["i"], "size", 70, 50).collect())
     assert got == list(range(10))
+
+
+def states(spark, source, work, kind="moves"):
+    """The keyed states that a stream said last, by key; the run goes on where the one before stopped."""
+    stream = jobs.source(spark, source, kind)
+    said = jobs.run(jobs.fault_states(stream, ["k"], "at", "what", dt.timedelta(minutes=60)), "states", "update", folder=work)
+    return {r["k"]: tuple(r)[1:] for r in jobs.current(spark, said, ["k"], "version").collect()}
+
+
+def test_who_is_told_does_not_depend_on_batches(spark, tmp_path):
+    day, minutes = T(2024, 1, 1), lambda m: dt.timedelta(minutes=m)
+    rows = [("x", day + minutes(m), what) for m, what in ((0, "fault"), (10, "fault"), (59, "fault"), (60, "fault"), (70, "resolved"), (80, "fault"), (130, "fault"), (200, "resolved"))] + [("y", day + minutes(5), "fault")]
+    rows.sort(key=lambda r: r[1])
+    schema = "k string, at timestamp, what string"
+    want = {"x": (6, day, day + minutes(130), day + minutes(130), 3, True, 1), "y": (1, day + minutes(5), day + minutes(5), day + minutes(5), 1, False, 0)}
+    for name, cuts in (("one", []), ("three", [2, 5]), ("each", list(range(1, len(rows))))):
+        source, work = str(tmp_path / name), str(tmp_path / f"{name}-work")
+        for first, end in zip([0, *cuts], [*cuts, len(rows)]):
+            put(spark, source, "moves", 0, rows[first:end], schema)
+            got = states(spark, source, work)  # started anew for each part
+        assert {k: v[:7] for k, v in got.items()} == want, name
+
+
+def test_a_withdrawal_takes_back_its_own_certificate(spark, tmp_path):
+    day, schema = T(2024, 1, 1), "k string, at timestamp, kind string, c string"
+    rows = [("h1", "heat", ""), ("h1", "withdrawal", "A"), ("h1", "certificate", "A"), ("h1", "certificate", "B"), ("h1", "certificate", "B"), ("h2", "certificate", "A"), ("h2", "withdrawal", "A"), ("h2", "heat", ""), ("h3", "certificate", "Z")]
+    want = {"h1": (1, 1, "on_file"), "h2": (1, 0, "missing"), "h3": (0, 1, "no heat")}
+    for name, order, step in (("asis", rows, 9), ("back", rows[::-1], 1), ("half", rows[4:] + rows[:4], 4)):
+        source, work = str(tmp_path / name), str(tmp_path / f"{name}-work")
+        for i in range(0, len(order), step):
+            put(spark, source, "moves", 0, [(k, day + dt.timedelta(minutes=i), kind, c) for k, kind, c in order[i : i + step]], schema)
+            said = jobs.run(jobs.certificate_matches(jobs.source(spark, source, "moves"), "k", "at", "kind", "c", "1 day", dt.timedelta(days=30)), "matches", "update", folder=work)
+        assert {r["k"]: (r["heats"], r["live_certificates"], r["status"]) for r in jobs.current(spark, said, ["k"], "version").collect()} == want, name
+
+
+def test_a_key_without_news_is_forgotten(spark, tmp_path):
+    source, work, schema = str(tmp_path / "in"), str(tmp_path / "work"), "k string, at timestamp, kind string, c string"
+    for day in (1, 2, 20, 21):
+        put(spark, source, "moves", 0, [("old" if day == 1 else f"d{day}", T(2024, 1, day), "certificate", "A"), ("late" if day == 21 else "x", T(2024, 1, day), "heat", "")], schema)
+        said = jobs.run(jobs.certificate_matches(jobs.source(spark, source, "moves"), "k", "at", "kind", "c", "1 day", dt.timedelta(days=5)), "matches", "update", folder=work)
+    put(spark, source, "moves", 0, [("old", T(2024, 1, 21), "heat", "")], schema)
+    said = jobs.run(jobs.certificate_matches(jobs.source(spark, source, "moves"), "k", "at", "kind", "c", "1 day", dt.timedelta(days=5)), "matches", "update", folder=work)
+    last = [(r["heats"], r["live_certificates"]) for r in jobs.sink(spark, said).where("k = 'old' and heats = 1").collect()]
+    assert last == [(1, 0)]
+
+
+def test_uploads_expire_once_and_after_a_restart(spark, tmp_path):
+    source, work, schema = str(tmp_path / "in"), str(tmp_path / "work"), "u long, at timestamp, kind string"
+    at = lambda day, hour=0: T(2024, 1, day, hour)
+    parts = [[(1, at(1), "staged"), (2, at(1), "staged"), (3, at(1, 5), "committed"), (3, at(1), "staged")], [(2, at(1, 23), "committed"), (4, at(2), "staged")], [(5, at(9), "staged")], [(4, at(9), "committed"), (6, at(20), "staged")], [(7, at(30), "staged")]]
+    for part in parts:
+        put(spark, source, "moves", 0, part, schema)
+        out = jobs.run(jobs.expiring_uploads(jobs.source(spark, source, "moves"), "u", "at", "kind", "1 day"), "expired", "append", folder=work)
+    assert sorted((r["u"], r["staged_at"]) for r in jobs.sink(spark, out).collect()) == [(1, at(1)), (4, at(2)), (5, at(9)), (6, at(20))]
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    path, each = str(tmp_path / "late"), jobs.late_rows(str(tmp_path / "late"), "at", "14 DAYS")
+    days = [[1, 30], [2, 16, 17, 60], [45, 46], [70]]
+    for i, batch in enumerate(days):
+        rows = spark.createDataFrame([(d, T(2024, 1, 1) + dt.timedelta(days=d)) for d in batch], "d long, at timestamp")
+        for _ in range(2):
+            each(rows, i)
+    assert sorted(r["d"] for r in spark.read.parquet(f"{path}/late").collect()) == [2, 45]
+
+
+def test_rates_of_two_books_in_one_week(spark, tmp_path):
+    from punchlist.sources import sinks
+
+    path, schema = str(tmp_path / "rates"), "book string, week date, on_time long, late long, rate double"
+    write = lambda *rows: sinks.write_rates(spark.createDataFrame(list(rows), schema), path)
+    one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 8)
+    write(("a", one, 1, 0, 100.0), ("a", two, 0, 0, None))
+    write(("b", one, 2, 2, 50.0))
+    write(("a", one, 0, 1, 0.0))
+    got = {(r["book"], r["week"]): (r["on_time"], r["late"]) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", one): (0, 1), ("a", two): (0, 0), ("b", one): (2, 2)}
+    for bad in ([("c", one, 1, 0, 100.0), ("c", one, 2, 0, 100.0)], [("c", one, -1, 2, 50.0)], [("c", one, 0, 0, 0.0)], [("c", one, 1, 1, None)]):
+        try:
+            write(*bad)
+        except Exception as e:
+            assert "USER_RAISED" in str(e) or "counts" in str(e) or "two rows" in str(e)
+        else:
+            raise AssertionError(bad)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_repeated_capture_is_in_the_log_once(spark, tmp_path):
+    path, old = str(tmp_path / "log"), spark.createDataFrame([(1, "a", None)], "id long, v string, gone string")
+    each = jobs.captured(lambda _: old, ["id"], ["v", "gone"], "gone", path)
+    for _ in range(3):
+        each(spark.createDataFrame([(1, "b", None)], old.schema), 0)
+    each(spark.createDataFrame([(1, "c", None)], old.schema), 1)
+    assert jobs.sink(spark, path).count() == 2
+
+
+def test_live_rows_reach_the_scan(spark):
+    from punchlist import registry
+
+    plan = registry.queries()["s1_live_rows_pushed_down"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "EqualTo(o_orderstatus,F)" in plan
