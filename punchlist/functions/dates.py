@@ -23,7 +23,7 @@ def is_within(day: Column, start: Column, end: Column) -> Column:
     return day.isNotNull() & (start.isNull() | (day >= start)) & (end.isNull() | (day <= end))
 
 
-def effective_expiry(kind: Column, issued: Column, expires: Column, months: int) -> Column:
+def effective_expiry(kind: Column, issued: Column, expires: Column, months: int | Column) -> Column:
     """The expiry on the certificate, else, for calibrations only, the issue date and an interval of months."""
     return F.coalesce(expires, F.when(kind == "calibration", F.add_months(issued, months)))
 

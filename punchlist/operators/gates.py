@@ -34,15 +34,31 @@ def sustained(criteria: DataFrame, book: list[str], earlier: str, gate: str, nam
     return criteria.where(F.col("gate") == earlier).groupBy(*book).agg(state.alias("state")).select(*book, F.lit(gate).alias("gate"), F.lit(name).alias("id"), "state")
 
 
-#: The least completion that a book's planned curve asks for at each gate, where it has no curve of its own.
-PLANNED = {"G0": 8, "G1": 25, "G2": 50, "G3": 85, "G4": 98, "G5": 100}
+#: The milestone that a gate is measured against, and the least completion there, where a book has no curve of its own.
+MILESTONES = {
+    "G0": ("gate_0_passed", 8),
+    "G1": ("construction_25", 25),
+    "G2": ("construction_50", 50),
+    "G3": ("mechanical_completion", 85),
+    "G4": ("gate_4_entry", 98),
+    "G5": ("submission", 100),
+}
+#: Months that a calibration holds, where a book does not say.
+CALIBRATION_MONTHS = 12
 #: Subjects whose certificates are calibrations.
 CALIBRATED = ["torque_wrench", "pressure_recorder"]
 BOOK = "job_book_id"
 
 
-def planned_minimum(gate: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in PLANNED.items() for x in pair])[gate]
+def planned_minimum(gate: Column, milestones: Column | None = None, minimums: Column | None = None) -> Column:
+    """The least completion that a gate asks for: by a book's own curve (its milestones and their minimums), or by the default where it
+    has none. A curve that lacks the gate's milestone asks for nothing, NULL.
+    """
+    pairs = lambda i: F.create_map(*[F.lit(x) for g, m in MILESTONES.items() for x in (g, m[i])])[gate]
+    if milestones is None:
+        return pairs(1)
+    own = F.get(minimums, F.array_position(milestones, pairs(0)).cast("int") - 1)
+    return F.when(milestones.isNull(), pairs(1).cast("double")).when(F.array_contains(milestones, pairs(0)), own.cast("double"))
 
 
 def _per_book(df: DataFrame, **counts: Column) -> DataFrame:
@@ -54,15 +70,20 @@ def _kind() -> Column:
     return F.when(F.col("subject_type").isin(CALIBRATED), "calibration")
 
 
-def facts(t: dict[str, DataFrame], as_of: Column, months: int = 12) -> DataFrame:
+def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """One row per book with what the gates ask: its own fields and counts over its records, each counted in one aggregation.
 
     ``t``: job_book, job_book_section, document, weld, welder_qualification, certificate, torque_connection, torque_wrench,
-    nde_report, pressure_test, material_heat, compliance_flag, and roster (job_book_id, kind, subject_id) of who is mobilising.
+    nde_report, pressure_test, material_heat, compliance_flag, coating_inspection (job_book_id, construction_area), and roster (job_book_id,
+    kind, subject_id) of who is mobilising. A book may have a calibration interval, a turnover date and areas of its own.
     A book without rows of a table has none of its records; whether the ledger of findings was loaded is ``flags_loaded``.
     """
     book = t["job_book"].withColumnRenamed("id", BOOK)
-    bounds = book.select(BOOK, F.coalesce("construction_start", as_of).alias("start"), F.coalesce("construction_end", as_of).alias("stop"), F.col("construction_end").alias("end"))
+    end = F.coalesce("construction_end", "target_turnover_date")
+    bounds = book.select(BOOK, F.coalesce("construction_start", as_of).alias("start"), F.coalesce(end, as_of).alias("stop"), end.alias("end"))
+    intervals = book.select(BOOK, F.coalesce("calibration_interval_months", F.lit(CALIBRATION_MONTHS)).cast("int").alias("months"))
+    certificates = t["certificate"].join(intervals, BOOK, "left")
+    expiry = dates.effective_expiry(_kind(), F.col("issue_date"), F.col("expiry_date"), F.coalesce("months", F.lit(CALIBRATION_MONTHS)))
     applies = F.col("status") != "na"
     unread = F.col("ingestion_status").isNull() | (F.col("ingestion_status") == "not_imported")
     s = t["job_book_section"]
@@ -82,7 +103,7 @@ def facts(t: dict[str, DataFrame], as_of: Column, months: int = 12) -> DataFrame
     welders = roster.where("kind = 'welder'").join(quals, "subject_id", "left")
     fit = F.coalesce(F.col("open") | (F.col("last") >= F.col("stop")), F.lit(False))
     parts.append(_per_book(welders, n_welders=F.count(F.lit(1)), n_unqualified=F.count_if(~fit)))
-    certs = t["certificate"].select(BOOK, F.col("subject_type").alias("kind"), "subject_id", "ndt_methods", F.col("issue_date").alias("s"), dates.effective_expiry(_kind(), F.col("issue_date"), F.col("expiry_date"), months).alias("e"))
+    certs = certificates.select(BOOK, F.col("subject_type").alias("kind"), "subject_id", "ndt_methods", F.col("issue_date").alias("s"), expiry.alias("e"))
     others = roster.where("kind <> 'welder'").withColumn("event", F.concat_ws("|", BOOK, "kind", "subject_id"))
     others = others.join(validity.valid_on(others, certs.drop("ndt_methods"), [BOOK, "kind", "subject_id"], "event", "start", "s", "e").select("event", "valid"), "event")
     tools = t["torque_wrench"].select(F.col("id").alias("subject_id"), "cert_on_file")
@@ -99,7 +120,7 @@ def facts(t: dict[str, DataFrame], as_of: Column, months: int = 12) -> DataFrame
     parts.append(_per_book(heats, n_used_heats=F.count_if("in_used"), n_without_mtr=F.count_if(F.col("in_used") & ~F.col("in_file")), n_orphan_mtr=F.count_if(F.col("in_file") & ~F.col("in_used")), n_heats=F.count_if("in_known")))
     parts.append(_per_book(t["weld"].where("ndt_method IS NOT NULL"), n_examined=F.count(F.lit(1)), n_unlinked=F.count_if(F.col("ndt_report_id").isNull())))
     tests = t["pressure_test"].where("test_date IS NOT NULL")
-    c = t["certificate"].select(BOOK, F.col("id").alias("cert"), F.col("issue_date").alias("s"), dates.effective_expiry(_kind(), F.col("issue_date"), F.col("expiry_date"), months).alias("e"))
+    c = certificates.select(BOOK, F.col("id").alias("cert"), F.col("issue_date").alias("s"), expiry.alias("e"))
     slots = tests.select(BOOK, "id", "test_date", F.explode(F.array("gauge_cert_id", "recorder_cert_id", "psv_cert_id")).alias("cert")).join(c, [BOOK, "cert"], "left")
     fits = F.col("s").isNotNull() & dates.is_within(F.col("test_date"), F.col("s"), F.col("e"))
     tests = tests.join(slots.groupBy(BOOK, "id").agg(F.bool_and(fits).alias("instruments")), [BOOK, "id"])
@@ -108,6 +129,10 @@ def facts(t: dict[str, DataFrame], as_of: Column, months: int = 12) -> DataFrame
     parts.append(_per_book(tests, n_tested=F.count(F.lit(1)), n_open_packs=F.count_if(open_), n_incomplete=F.count_if(open_ | hold | ~F.col("instruments"))))
     lapse = t["certificate"].join(bounds, BOOK).where((F.col("expiry_date") >= as_of) & (F.col("expiry_date") < F.col("end")))
     parts.append(_per_book(lapse, n_expiring=F.count(F.lit(1))))
+    areas = book.select(BOOK, F.explode(F.array_distinct("construction_areas")).alias("construction_area"))
+    inspected = t["coating_inspection"].select(BOOK, "construction_area", F.lit(True).alias("there")).distinct()
+    coated = areas.join(inspected, [BOOK, "construction_area"], "left")
+    parts.append(_per_book(coated, n_areas=F.count(F.lit(1)), n_uncoated=F.count_if(F.col("there").isNull())))
     flags = t["compliance_flag"].where("state IN ('open', 'acknowledged') AND severity IN ('critical', 'warning')")
     parts.append(_per_book(flags, n_open=F.count(F.lit(1)), n_not_on_time=F.count_if(F.col("due_at").isNull() | (F.col("due_at") < as_of))))
 
@@ -135,12 +160,14 @@ def facts(t: dict[str, DataFrame], as_of: Column, months: int = 12) -> DataFrame
 
 
 def all_criteria(f: DataFrame) -> DataFrame:
-    """(job_book_id, gate, id, state) of every criterion of every gate, from ``facts`` and in one pass over it."""
+    """(job_book_id, gate, id, state) of every criterion of every gate, from ``facts`` and in one pass over it. The second gate has no
+    criterion of the curve where a book's own curve lacks its milestone; the first gate's is indeterminate there."""
     n = F.col
     decide = lambda ok: F.when(ok, "met").otherwise("not_met")
     unless = lambda empty, ok: F.when(empty, "indeterminate").otherwise(decide(ok))
     unknown, attested = F.lit("indeterminate"), F.lit("indeterminate")
-    curve = lambda gate: decide(n("completion_pct") >= PLANNED[gate])
+    planned = lambda gate: planned_minimum(F.lit(gate), n("curve_milestones"), n("curve_minimums"))
+    curve = lambda gate: unless(planned(gate).isNull(), n("completion_pct") >= planned(gate))
     peer = lambda least: F.when(n("peer_score").isNull(), "indeterminate").when(F.coalesce("peer_criticals", F.lit(0)) > 0, "not_met").otherwise(decide(n("peer_score") >= least))
     g1 = [
         ("g1.curve", curve("G1")), ("g1.timeliness", at_least(n("timeliness_pct"), 95)), ("g1.self_audit", unless(n("self_audits_due").isNull(), n("self_audits") >= n("self_audits_due"))), ("g1.peer_audit", peer(90)),
@@ -157,12 +184,12 @@ def all_criteria(f: DataFrame) -> DataFrame:
         ],
         "G1": g1,
         "G2": [
-            ("g2.gate1_sustained", F.when(has("not_met"), "not_met").when(has("indeterminate"), "indeterminate").otherwise("met")), ("g2.curve", curve("G2")), ("g2.iso_stage1", unknown), ("g2.pressure_closed", unless(n("n_tested") == 0, n("n_open_packs") == 0)),
-            ("g2.cert_forecast", F.when(n("construction_end").isNull() | (n("n_expiring") > 0), "indeterminate").otherwise("met")), ("g2.peer_audit", peer(90)),
+            ("g2.gate1_sustained", F.when(has("not_met"), "not_met").when(has("indeterminate"), "indeterminate").otherwise("met")), ("g2.curve", F.when(planned("G2").isNotNull(), curve("G2"))), ("g2.iso_stage1", unknown), ("g2.pressure_closed", unless(n("n_tested") == 0, n("n_open_packs") == 0)),
+            ("g2.cert_forecast", F.when(F.coalesce("construction_end", "target_turnover_date").isNull() | (n("n_expiring") > 0), "indeterminate").otherwise("met")), ("g2.peer_audit", peer(90)),
         ],
         "G3": [
             ("g3.records_entered", decide(n("n_shortfalls") == 0)), ("g3.iso_stages", unknown), ("g3.nde", unless(n("n_examined") == 0, n("n_unlinked") == 0)), ("g3.pressure", unless(n("n_tested") == 0, n("n_incomplete") == 0)),
-            ("g3.heats", unless(n("n_used_heats") == 0, (n("n_without_mtr") == 0) & (n("n_orphan_mtr") == 0))), ("g3.coating", F.when(n("coating").eqNullSafe("enabled"), "indeterminate").otherwise("not_applicable")), ("g3.backlog", attested),
+            ("g3.heats", unless(n("n_used_heats") == 0, (n("n_without_mtr") == 0) & (n("n_orphan_mtr") == 0))), ("g3.coating", F.when(n("coating").eqNullSafe("enabled"), unless(n("n_areas") == 0, n("n_uncoated") == 0)).otherwise("not_applicable")), ("g3.backlog", attested),
         ],
         "G4": [
             ("g4.complete", decide(n("completion_pct") >= 100)), ("g4.presence", decide(n("n_absent") == 0)), ("g4.certificates", decide(n("n_uncovered_work") == 0)), ("g4.peer_audit", peer(95)), ("g4.tier3", F.when(n("tier3_verified_at").isNotNull(), "met").otherwise("indeterminate")),
@@ -171,7 +198,7 @@ def all_criteria(f: DataFrame) -> DataFrame:
         "G5": [("g5.acceptance", decide(n("status") == "accepted")), *[(f"g5.{x}", attested) for x in ("comments", "lessons", "metrics", "retention")]],
     }
     entries = F.array(*[F.struct(F.lit(gate).alias("gate"), F.lit(id).alias("id"), state.alias("state")) for gate, rs in rows.items() for id, state in rs])
-    return f.select(BOOK, F.explode(entries).alias("c")).select(BOOK, "c.*")
+    return f.select(BOOK, F.explode(entries).alias("c")).select(BOOK, "c.*").where("state IS NOT NULL")  # a gate without a milestone has no curve to meet
 
 
 def evaluated(criteria: DataFrame, book: list[str]) -> DataFrame:

@@ -22,8 +22,13 @@ SELECT CAST(n_nationkey AS STRING) AS id, 'AB' || (100 + n_nationkey) AS job_num
   CASE n_nationkey % 3 WHEN 0 THEN 'mon_fri' WHEN 1 THEN 'mon_sat' ELSE 'all_days' END AS work_week, CASE WHEN n_nationkey % 5 = 4 THEN 'flowline' ELSE 'facility' END AS book_type, n_regionkey AS region,
   CASE WHEN n_nationkey % 8 <> 1 THEN 'u' || n_nationkey END AS custodian_id, CASE n_nationkey % 5 WHEN 0 THEN 'JB-1' WHEN 1 THEN 'JB-2' WHEN 2 THEN 'JB-3' END AS custodian_competency, n_nationkey % 3 <> 2 AS has_references, n_nationkey % 4 <> 3 AS has_revisions, CASE WHEN n_nationkey % 5 <> 4 THEN DATE '1993-02-01' END AS governing_docs_confirmed_at,
   CASE WHEN n_nationkey % 6 <> 2 THEN DATE '1993-02-01' END AS planned_curve_agreed_at, CASE WHEN n_nationkey % 9 = 4 THEN DATE '1998-12-01' END AS completeness_certified_at, CASE WHEN n_nationkey % 10 = 7 THEN 'accepted' ELSE 'open' END AS status, CAST(n_nationkey * 17 % 120 AS DOUBLE) AS completion_pct,
-  CASE WHEN n_nationkey % 7 <> 6 THEN 80.0 + n_nationkey % 20 END AS timeliness_pct, CASE WHEN n_nationkey % 6 <> 4 THEN n_nationkey % 5 END AS self_audits_due, n_nationkey % 4 AS self_audits, CASE WHEN n_nationkey % 5 <> 3 THEN 86.0 + n_nationkey % 12 END AS peer_score, CASE WHEN n_nationkey % 5 <> 3 THEN n_nationkey % 2 END AS peer_criticals, CASE WHEN n_nationkey % 4 = 2 THEN DATE '1998-11-01' END AS tier3_verified_at, n_nationkey % 11 <> 9 AS flags_loaded
+  CASE WHEN n_nationkey % 7 <> 6 THEN 80.0 + n_nationkey % 20 END AS timeliness_pct, CASE WHEN n_nationkey % 6 <> 4 THEN n_nationkey % 5 END AS self_audits_due, n_nationkey % 4 AS self_audits, CASE WHEN n_nationkey % 5 <> 3 THEN 86.0 + n_nationkey % 12 END AS peer_score, CASE WHEN n_nationkey % 5 <> 3 THEN n_nationkey % 2 END AS peer_criticals, CASE WHEN n_nationkey % 4 = 2 THEN DATE '1998-11-01' END AS tier3_verified_at, n_nationkey % 11 <> 9 AS flags_loaded,
+  CASE n_nationkey % 4 WHEN 1 THEN 6 WHEN 2 THEN 24 END AS calibration_interval_months, CASE WHEN n_nationkey % 10 = 5 THEN DATE '1998-03-31' END AS target_turnover_date,
+  CASE n_nationkey % 5 WHEN 1 THEN ARRAY('construction_25', 'construction_50', 'submission') WHEN 3 THEN ARRAY('gate_0_passed', 'mechanical_completion') END AS curve_milestones,
+  CASE n_nationkey % 5 WHEN 1 THEN ARRAY(5.0, 60.0, 100.0) WHEN 3 THEN ARRAY(1.0, 90.0) END AS curve_minimums,
+  CASE n_nationkey % 3 WHEN 0 THEN ARRAY('AREA 1', 'AREA 2') WHEN 1 THEN ARRAY('AREA 3') END AS construction_areas
 FROM nation"""),
+    "coating_inspection": ("orders", "SELECT CAST(o_custkey % 25 AS STRING) AS job_book_id, 'k' || o_orderkey AS id, 'AREA ' || (o_orderkey % 3 + 1) AS construction_area FROM orders WHERE o_custkey % 25 % 4 <> o_orderkey % 3"),
     "weld": ("lineitem", """
 SELECT CAST(l_suppkey % 25 AS STRING) AS job_book_id, 'w' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CAST(l_orderkey % 400 AS STRING) || '.' || l_linenumber AS weld_number,
   CASE WHEN l_orderkey % 41 = 0 THEN 'not_used' ELSE 'ok' END AS status, CASE WHEN l_orderkey % 37 <> 0 THEN CAST(l_shipdate AS DATE) END AS weld_date,
