@@ -248,6 +248,12 @@ def mixed_buckets(posts: DataFrame, comps: DataFrame) -> DataFrame:
     return written(placed.join(ends.where("c0 <> c1"), "key"), "mixed")
 
 
+def lone_shingles(candidates: DataFrame) -> DataFrame:
+    """(doc_id, alone): how many shingles of a candidate no other candidate has. It shares none of these with any."""
+    owners = candidates.select("doc_id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"))
+    return owners.where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id is that one)."""
     whole_ids(docs, id_col)
@@ -309,15 +315,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is left: all members of one bucket in different components. Of the largest component's members none meet each other.
     mixed = mixed_buckets(posts, comps)
+    alone = lone_shingles(found.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")).join(several, "doc_id", "left_anti")
+    mixed = mixed.join(alone, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    mixed = written(mixed.where(100 * F.col("shared") >= percent * F.col("size")), "mixed")
     main = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     # A pair that shares many buckets meets in the first of them: each document knows its own first few.
     firsts = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
-    placed = written(mixed.select("key", "doc_id", "size", "comp").join(main, "key").join(firsts, "doc_id"), "placed")
-    x = placed.where("comp <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "doc_id", "size", "comp", "firsts")])
-    near = 100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")
+    placed = written(mixed.select("key", "doc_id", "size", "shared", "comp").join(main, "key").join(firsts, "doc_id"), "placed")
+    x = placed.where("comp <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "doc_id", "size", "shared", "comp", "firsts")])
+    near = (100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")) & ((100 + percent) * F.least("shared", "x_shared") >= percent * (F.col("size") + F.col("x_size")))
     once = (F.col("comp") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
-    shared = F.array_intersect("firsts", "x_firsts")
-    here = (F.size(shared) == 0) | (F.col("key") == F.get(shared, F.lit(0)))
+    both = F.array_intersect("firsts", "x_firsts")
+    here = (F.size(both) == 0) | (F.col("key") == F.get(both, F.lit(0)))
     meet = x.join(placed, (F.col("x_key") == F.col("key")) & (F.col("comp") != F.col("x_comp")) & near & once & here)
     pairs = meet.select(*_ordered("doc_id", "x_doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
     more = confirmed(likely(written(pairs, "pairs"), found, percent, miss), found, percent, miss, rows * bands)
