@@ -158,7 +158,7 @@ def _score_long(model, order: int):
                     miss = np.flatnonzero(sent[found] != paths)  # another path has the slot
                     found[miss] = np.minimum(np.searchsorted(sent, paths[miss]), len(sent) - 1)
                     absent = miss[sent[found[miss]] != paths[miss]]
-                    values = logs[found].astype(np.float64)
+                    values = logs[found]
                     values[absent] = 0
                 running = np.concatenate([[0], np.cumsum(values)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.nulls(part.num_rows, pa.int64()), pa.array(running[ends] - running[ends - lengths])], names=["doc_id", "text_hash", "path", "score"])
@@ -183,7 +183,7 @@ def long_scores(hashed: DataFrame, order: int, max_paths: int) -> DataFrame:
         if room < 0:
             break
         least = r["size"]
-    found = logs.where(size >= least).select("path", F.col("log").cast("float").alias("log")).toArrow().sort_by("path")
+    found = logs.where(size >= least).select("path", "log").toArrow().sort_by("path")
     model = hashed.sparkSession.sparkContext.broadcast((found["path"].to_numpy().astype(np.int64), found["log"].to_numpy()))
     scored = written(hashed.select("doc_id", "text_hash", "text").mapInArrow(_score_long(model, order), f"doc_id {kind}, text_hash long, path long, score double"), "positions")
     key = ["doc_id", "text_hash"]

@@ -211,6 +211,14 @@ def test_ppm_long_contexts(spark, rows):
     assert ppm.ORDER >= order
 
 
+def test_ppm_scores_do_not_depend_on_what_is_broadcast(spark, rows):
+    from punchlist.llm import ppm
+
+    some = table(spark, rows[:40])
+    scores = [{i: r["score"] for i, r in by_id(ppm.ppm_scores(some, order=3, max_paths=most)).items()} for most in (0, 200, 10**6)]
+    assert scores[0] == pytest.approx(scores[2], rel=1e-9) and scores[1] == pytest.approx(scores[2], rel=1e-9)
+
+
 def test_ppm_keeps_the_type_of_ids(spark):
     from punchlist.llm.ppm import ppm_scores
 
