@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
 
+def name_key(name: str) -> Column:
+    """A name for comparison: blanks squeezed, in capitals; NULL for an empty one."""
+    return F.nullif(F.upper(F.trim(F.regexp_replace(name, r"\s+", " "))), F.lit(""))
+
+
+def ranked_names(register: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, person_id, rank, key): all that people of a register go by: 1 initials, 2 full name, 3 aliases.
+
+    ``register``: (scope, person_id, initials, full_name, name_aliases).
+    """
+    entry = lambda rank, name: F.struct(F.lit(rank).alias("rank"), name.alias("name"))
+    aliases = F.transform(F.coalesce("name_aliases", F.array().cast("array<string>")), lambda a: entry(3, a))
+    names = F.concat(F.array(entry(1, F.col("initials")), entry(2, F.col("full_name"))), aliases)
+    each = register.select(*scope, "person_id", F.explode(names).alias("n"))
+    return each.select(*scope, "person_id", "n.rank", name_key("n.name").alias("key")).where("key is not null")
+
+
 def identities(rows: DataFrame, scope: list[str], id_col: str, keys: list[str]) -> DataFrame:
     """(scope, id, identity): the smallest id that is reachable over equal keys within a scope. A null key joins nothing.
 

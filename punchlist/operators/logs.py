@@ -187,12 +187,13 @@ def pressure_plan(rows: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def weld_plan_findings(rows: DataFrame, welders: DataFrame, qualifications: DataFrame, horizon: Column) -> DataFrame:
-    """(file, sheet, rule_id, severity, n): what committing a weld log would bring in. ``welders`` (id, initials)."""
+def weld_plan_findings(rows: DataFrame, welders: DataFrame, qualifications: DataFrame, horizon: Column, begins: Column | None = None) -> DataFrame:
+    """(file, sheet, rule_id, severity, n): what committing a weld log would bring in. ``welders`` (id, initials); of several with one stamp
+    the smallest id counts. ``horizon`` and ``begins``: the days that work ends and begins, where they are known."""
     from . import validity
 
     taken = rows.where("rejected IS NULL").withColumn("_k", F.upper("welder_stamp"))
-    known = taken.join(welders.select(F.upper(F.trim("initials")).alias("_k"), F.col("id").alias("who")).dropDuplicates(["_k"]), "_k", "left")
+    known = taken.join(welders.groupBy(F.upper(F.trim("initials")).alias("_k")).agg(F.min("id").alias("who")), "_k", "left")
     days = known.where("who IS NOT NULL AND weld_date IS NOT NULL").select("who", "weld_date").distinct().withColumn("event", F.concat_ws("|", "who", "weld_date"))
     v = validity.qualification_verdicts(days, qualifications.withColumnRenamed("welder_id", "who"), ["who"], "event", "weld_date", "qualification_date", "expiry_date").select("who", "weld_date", "verdict")
     judged = known.join(v, ["who", "weld_date"], "left")
@@ -201,6 +202,8 @@ def weld_plan_findings(rows: DataFrame, welders: DataFrame, qualifications: Data
         ("weldlog.weld_without_stamp", "critical"): F.count_if(stamp.isNull()), ("weldlog.stamp_not_in_register", "critical"): F.count_distinct(F.when(stamp.isNotNull() & F.col("who").isNull(), stamp)),
         ("weldlog.weld_outside_qualification", "critical"): F.count_if(F.col("verdict").isin("expired", "not_yet", "no_record")), ("weldlog.qualification_currency_unverifiable", "warning"): F.count_distinct(F.when(F.col("verdict") == "unverifiable", stamp)),
         ("weldlog.weld_dated_after_log", "critical"): F.count_if(F.col("weld_date") > horizon),
+        ("weldlog.weld_before_construction", "warning"): F.count_if(F.col("weld_date") < (begins if begins is not None else F.lit(None).cast("date"))),
+        ("weldlog.tier_disagreement", "warning"): F.count_if(header_key(F.col("workbook_tier")) != header_key(F.col("tier"))),
     }
     per = judged.groupBy(*SHEET).agg(*[c.alias(id) for (id, _), c in counts.items()])
     entries = F.array(*[F.struct(F.lit(id).alias("rule_id"), F.lit(s).alias("severity"), F.col(f"`{id}`").alias("n")) for id, s in counts])

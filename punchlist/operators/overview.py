@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import us_date
-from .identity import identities
+from .identity import identities, name_key, ranked_names
 
 #: What the printed form calls its joint types, its totals, the headings above its tables, and qualifications of inspectors.
 JOINT_TYPES = r"(?i)^(butt|o-?let|socket|seal)\s+we?lds?$"
@@ -143,10 +143,6 @@ def overview_findings(rows: DataFrame, headers: DataFrame, books: DataFrame) ->
     return sums.unionByName(own).unionByName(stale)
 
 
-def _key(name: str) -> Column:
-    return F.nullif(F.upper(F.trim(F.regexp_replace(name, r"\s+", " "))), F.lit(""))
-
-
 def people_plan(rows: DataFrame, register: DataFrame) -> DataFrame:
     """What importing sheets' welders into their books' registers would do: (book, row_id, stamp, name, wpq_expires, action, matched_by,
     person_id, skip_reason).
@@ -158,10 +154,8 @@ def people_plan(rows: DataFrame, register: DataFrame) -> DataFrame:
     """
     combined = F.trim("stamp").rlike(COMBINED)
     reason = F.when(F.coalesce(F.trim("stamp"), F.lit("")) == "", "no_stamp").when(combined, "combined_stamp")
-    keyed = rows.withColumns({"skip_reason": reason, "stamp_key": _key("stamp"), "name_key": _key("name")})
-    aliases = F.transform(F.coalesce("name_aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(3).alias("rank"), a.alias("name")))
-    names = F.concat(F.array(F.struct(F.lit(1).alias("rank"), F.col("initials").alias("name")), F.struct(F.lit(2).alias("rank"), F.col("full_name").alias("name"))), aliases)
-    known = register.select("book", "person_id", F.explode(names).alias("k")).select("book", "person_id", "k.rank", _key("k.name").alias("key")).where("key is not null")
+    keyed = rows.withColumns({"skip_reason": reason, "stamp_key": name_key("stamp"), "name_key": name_key("name")})
+    known = ranked_names(register, ["book"])
     known = known.groupBy("book", F.least("rank", F.lit(2)).alias("by"), "key").agg(F.min(F.struct("rank", "person_id")).alias("hit"))
     probes = keyed.where("skip_reason is null").select("book", "row_id", F.explode(F.array(F.struct(F.lit(1).alias("by"), F.col("stamp_key").alias("key")), F.struct(F.lit(2).alias("by"), F.col("name_key").alias("key")))).alias("p"))
     hits = probes.select("book", "row_id", "p.by", "p.key").join(known, ["book", "by", "key"]).groupBy("book", "row_id").agg(F.min("hit").alias("hit"))

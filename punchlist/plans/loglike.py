@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import plain_header_key
-from ..operators import ingest, logs
+from ..operators import flowline, grids, ingest, logs
 from .bound import bound, date, day, read
 from .records import ctes, records
 
@@ -30,7 +30,7 @@ def facility(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = cells(o, F.concat(F.lit("F"), k % 8), F.floor(k / 8), {
         "Weld #": F.when(k % 33 == 32, " ").otherwise(F.concat(F.lit(" "), F.when(k % 50 == 11, F.lit(11)).otherwise(k))), "Date": F.when(k % 90 == 5, "soon").when(k % 17 != 0, F.date_format(day("o_orderdate"), "M/d/yyyy")), "Welder": F.when(k % 13 != 0, F.concat(F.lit("s"), F.col("o_custkey") % 70)), "Joint Type": _one_of("Butt", "sock", None, "O-Let"),
         "Pipe Size / Schedule": F.lit("not a name that is known"), "Size": _one_of('2" SCH.40 STD', "6 sch40 std", "9 sch 3"), "Grade": _one_of("X52", "Gr B"), "Design Pressure (psi)": F.concat(k % 7 * 500 + 100, F.lit(" psi")), "% SMYS": F.when(k % 6 == 0, F.format_string("%.4f %%", 100 * (k % 7 * 500 + 100) * 2.375 / 0.308 / 52000 + F.when(k % 12 == 0, 0.5).otherwise(0.0))),
-        "CWI Visual": _one_of("Acc", "PENDING", "rej"), "NDT": _one_of("RT", None, "--", "Ut"), "Ticket": F.when(k % 5 != 0, F.concat(F.lit("T"), k)), "NDT Result": _one_of("yes", "Partial", None, "FAIL", "pass:"),
+        "CWI Visual": _one_of("Acc", "PENDING", "rej"), "NDT": _one_of("RT", None, "--", "Ut"), "Ticket": F.when(k % 5 != 0, F.concat(F.lit("T"), k)), "Required Inspection": F.when(k % 10 == 6, " low  stress ").when(k % 10 == 7, "High Stress"), "NDT Result": _one_of("yes", "Partial", None, "FAIL", "pass:"),
     })
     return c, ingest.located_headers(c, ingest.synonyms(spark, logs.FACILITY_WELD), least=logs.LEAST_FIELDS)
 
@@ -53,21 +53,27 @@ def facility_welds(spark, sf_dir):
 @bound("i8_plan_findings", f"""WITH {_FACILITY}, {ctes('welder', 'welder_qualification')}, j AS (SELECT f.*, w.id AS who FROM f LEFT JOIN welder w ON upper(w.initials) = upper(f.stamp) WHERE rejected IS NULL),
 v AS (SELECT DISTINCT who, d FROM j WHERE who IS NOT NULL AND d IS NOT NULL), u AS (SELECT who, d, CASE WHEN count(q.welder_id) = 0 THEN 'no' WHEN bool_or(qualification_date <= d AND (expiry_date IS NULL OR expiry_date >= d)) THEN 'ok' WHEN bool_and(coalesce(expiry_date < d, false)) THEN 'no' WHEN bool_or(qualification_date IS NULL) THEN 'unknown' ELSE 'no' END AS v FROM v LEFT JOIN welder_qualification q ON q.welder_id = who GROUP BY ALL),
 x AS (SELECT j.*, u.v FROM j LEFT JOIN u USING (who, d)), c AS (SELECT sheet, 'weldlog.weld_without_stamp' AS rule_id, 'critical' AS severity, count(*) FILTER (stamp IS NULL) AS n FROM x GROUP BY 1 UNION ALL SELECT sheet, 'weldlog.stamp_not_in_register', 'critical', count(DISTINCT stamp) FILTER (who IS NULL) FROM x GROUP BY 1
-  UNION ALL SELECT sheet, 'weldlog.weld_outside_qualification', 'critical', count(*) FILTER (v = 'no') FROM x GROUP BY 1 UNION ALL SELECT sheet, 'weldlog.qualification_currency_unverifiable', 'warning', count(DISTINCT stamp) FILTER (v = 'unknown') FROM x GROUP BY 1 UNION ALL SELECT sheet, 'weldlog.weld_dated_after_log', 'critical', count(*) FILTER (d > DATE '1997-06-01') FROM x GROUP BY 1)
+  UNION ALL SELECT sheet, 'weldlog.weld_outside_qualification', 'critical', count(*) FILTER (v = 'no') FROM x GROUP BY 1 UNION ALL SELECT sheet, 'weldlog.qualification_currency_unverifiable', 'warning', count(DISTINCT stamp) FILTER (v = 'unknown') FROM x GROUP BY 1 UNION ALL SELECT sheet, 'weldlog.weld_dated_after_log', 'critical', count(*) FILTER (d > DATE '1997-06-01') FROM x GROUP BY 1
+  UNION ALL SELECT sheet, 'weldlog.weld_before_construction', 'warning', count(*) FILTER (d < DATE '1992-03-01') FROM x GROUP BY 1 UNION ALL SELECT sheet, 'weldlog.tier_disagreement', 'warning', count(*) FILTER (k % 10 = 6 AND share >= 0.2 OR k % 10 = 7 AND share < 0.2) FROM x GROUP BY 1)
 SELECT * FROM c WHERE n > 0""")
 def plan_findings(spark, sf_dir):
     t = records(spark, sf_dir, "welder", "welder_qualification")
-    return logs.weld_plan_findings(logs.facility_welds(*facility(spark, sf_dir)), t["welder"], t["welder_qualification"], date("1997-06-01")).drop("file")
+    rows = logs.facility_welds(*facility(spark, sf_dir), bands=[("Low Stress", 0.0, 0.2, 0.1), ("High Stress", 0.2, None, 1.0)])
+    return logs.weld_plan_findings(rows, t["welder"], t["welder_qualification"], date("1997-06-01"), date("1992-03-01")).drop("file")
 
 
-@bound("i4_flowline_welds", """SELECT 'L' || (k % 6) AS sheet, (k // 6 + 1)::INTEGER AS row_no, k::VARCHAR AS weld_number, CASE WHEN k % 70 <> 3 THEN o_orderdate::DATE END AS weld_date, CASE k % 3 WHEN 0 THEN 'CT' END AS root, CASE k % 3 WHEN 0 THEN 'MR' END AS cap, CASE WHEN k % 4 < 2 THEN 'H' || (k % 9) || '+H' || (k % 9 + 1) ELSE 'H' || (k % 9) END AS heats, (k % 40 + 0.5)::DOUBLE AS part_length,
-CASE WHEN k % 70 = 3 THEN 'unreadable date' END AS rejected, CASE WHEN k % 70 = 3 THEN 'error:unreadable date' WHEN k % 3 = 1 THEN 'warning:passes are not four' ELSE '' END AS issues FROM (SELECT *, o_orderkey AS k FROM orders)""")
-def flowline_welds(spark, sf_dir):
+def flowline_rows(spark, sf_dir):
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     c = cells(o, F.concat(F.lit("L"), k % 6), F.floor(k / 6), {
         "Weld No": k, "Weld Date": F.when(k % 70 == 3, "n/a").otherwise(F.date_format(day("o_orderdate"), "MM-dd-yy")), "Welder Root/Hot/Fill/Cap": F.when(k % 3 == 0, "CT/CT/ /MR").when(k % 3 == 1, "CT/MR"), "Heat Number": F.concat(F.lit("H"), k % 9, F.when(k % 4 == 0, F.concat(F.lit(" | H"), k % 9 + 1)).when(k % 4 == 1, F.concat(F.lit(";H"), k % 9 + 1, F.lit(";"))).otherwise("")), "Length": F.concat(k % 40, F.lit(".5 ft")),
     })
-    out = logs.flowline_welds(c, ingest.located_headers(c, ingest.synonyms(spark, logs.FLOWLINE_WELD), least=logs.LEAST_FIELDS))
+    return logs.flowline_welds(c, ingest.located_headers(c, ingest.synonyms(spark, logs.FLOWLINE_WELD), least=logs.LEAST_FIELDS))
+
+
+@bound("i4_flowline_welds", """SELECT 'L' || (k % 6) AS sheet, (k // 6 + 1)::INTEGER AS row_no, k::VARCHAR AS weld_number, CASE WHEN k % 70 <> 3 THEN o_orderdate::DATE END AS weld_date, CASE k % 3 WHEN 0 THEN 'CT' END AS root, CASE k % 3 WHEN 0 THEN 'MR' END AS cap, CASE WHEN k % 4 < 2 THEN 'H' || (k % 9) || '+H' || (k % 9 + 1) ELSE 'H' || (k % 9) END AS heats, (k % 40 + 0.5)::DOUBLE AS part_length,
+CASE WHEN k % 70 = 3 THEN 'unreadable date' END AS rejected, CASE WHEN k % 70 = 3 THEN 'error:unreadable date' WHEN k % 3 = 1 THEN 'warning:passes are not four' ELSE '' END AS issues FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def flowline_welds(spark, sf_dir):
+    out = flowline_rows(spark, sf_dir)
     return out.select("sheet", "row_no", "weld_number", "weld_date", "root", "cap", F.array_join("heat_numbers", "+").alias("heats"), "part_length", "rejected", F.array_join("issues", ";").alias("issues"))
 
 
@@ -142,3 +148,56 @@ def pressure_rows(spark, sf_dir):
 def pressure_plan(spark, sf_dir):
     known = read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit(" pt-"), "p_partkey").alias("test_identifier"))
     return logs.pressure_plan(pressure(spark, sf_dir), known).drop("file")
+
+
+# The accepted rows of the flowline logs, and registers by residues: lines of two spellings, welds, heats, welders by initials or alias.
+_FLOWLINE = """r AS (SELECT k, 'L' || (k % 6) AS sheet, k % 3 AS m, CASE WHEN k % 4 < 2 THEN [k % 9, k % 9 + 1] ELSE [k % 9] END AS heats FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 70 <> 3)"""
+
+
+def flowline_plan(spark, sf_dir):
+    """(rows, lines, welds, heats, welders) of one book."""
+    rows = flowline_rows(spark, sf_dir).where("rejected is null").withColumns({"book": F.lit("B"), "not_used": F.col("weld_number").cast("int") % 20 == 4})
+    k = F.col("o_orderkey")
+    welds = read(spark, sf_dir, "orders").where((k % 5 == 0) & (k % 6 < 3)).select(F.lit("B").alias("book"), F.concat(F.lit("line"), k % 6).alias("line_id"), F.concat(F.lit(" "), k).alias("weld_number"))
+    lines = spark.createDataFrame([("B", "line0", " l0 "), ("B", "line1", "L1"), ("B", "line9", "L9"), ("C", "other", "L2")], "book string, line_id string, line_code string")
+    heats = spark.createDataFrame([("B", "h-3"), ("B", "H5 "), ("C", "H1")], "book string, heat_number string")
+    welders = spark.createDataFrame([("B", "w1", "ct", "Cy Tee", None), ("C", "w2", "MR", "Mo Roe", None)], "book string, person_id string, initials string, full_name string, name_aliases array<string>")
+    return rows, lines, welds, heats, welders
+
+
+@bound("i9_flowline_lines", f"WITH {_FLOWLINE} SELECT sheet AS code, CASE WHEN sheet IN ('L0', 'L1') THEN 'match' ELSE 'create' END AS action, CASE WHEN sheet IN ('L0', 'L1') THEN 'line' || right(sheet, 1) END AS known, count(*) AS welds FROM r GROUP BY 1")
+def flowline_lines(spark, sf_dir):
+    rows, lines, *_ = flowline_plan(spark, sf_dir)
+    out = flowline.planned_lines(rows, lines)
+    return out.select("code", "action", F.when(F.col("action") == "match", F.col("line_id")).alias("known"), "welds")
+
+
+@bound("i9_flowline_welds", f"WITH {_FLOWLINE} SELECT k::VARCHAR AS weld_number, CASE WHEN k % 5 = 0 AND k % 6 < 2 THEN 'update' ELSE 'create' END AS action FROM r")
+def flowline_weld_plan(spark, sf_dir):
+    """Welds of a line that is new are created, whatever number another line's register has."""
+    rows, lines, welds, *_ = flowline_plan(spark, sf_dir)
+    return flowline.planned_welds(rows, flowline.planned_lines(rows, lines), welds).select("weld_number", "action")
+
+
+@bound("i9_flowline_heats", f"WITH {_FLOWLINE} SELECT 'H' || h AS heat_number, CASE WHEN h IN (3, 5) THEN 'match' ELSE 'create' END AS action, count(*) AS welds FROM (SELECT k, unnest(heats) AS h FROM r) GROUP BY h")
+def flowline_heats(spark, sf_dir):
+    rows, _, _, heats, _ = flowline_plan(spark, sf_dir)
+    return flowline.planned_heats(rows, heats).select("heat_number", "action", "welds")
+
+
+@bound("i9_flowline_findings", f"""WITH {_FLOWLINE}, s AS (SELECT unnest(['CT', 'MR']) AS stamp, m FROM r WHERE m = 0) SELECT 'weldlog.weld_without_stamp' AS rule_id, 'critical' AS severity, count(*) AS n FROM r WHERE m = 2 AND k % 20 <> 4
+UNION ALL SELECT 'weldlog.stamp_not_in_register', 'critical', count(DISTINCT stamp) FROM s WHERE stamp <> 'CT'""")
+def flowline_findings(spark, sf_dir):
+    rows, *_, welders = flowline_plan(spark, sf_dir)
+    return flowline.flowline_findings(rows, flowline.planned_stamps(rows, welders)).drop("book")
+
+
+@bound("w11_page_grid", """WITH e AS (SELECT event_id, user_id % 8 AS page, event_id // 8 AS line_no, event_id % 5 AS c FROM events)
+SELECT page, line_no, c AS col_no, string_agg('v' || event_id, ' ' ORDER BY event_id % 50) || CASE WHEN c = 2 THEN ' x' ELSE '' END AS value FROM e WHERE c <> 4 GROUP BY page, line_no, c""")
+def page_grid(spark, sf_dir):
+    """Tokens that begin up to five points apart, a second one in the cells of one column, and a margin at the left."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 8).alias("page"), F.floor(F.col("event_id") / 8).alias("line_no"), (F.col("event_id") % 5).alias("c"))
+    x = F.when(F.col("c") == 4, 3.0).otherwise(40.0 + F.col("c") * 60 + F.col("event_id") % 50 / 10)
+    first = e.select("page", "line_no", x.alias("x"), F.concat(F.lit(" v"), "event_id").alias("text"))
+    more = e.where("c = 2").select("page", "line_no", F.lit(165.5).alias("x"), F.lit("x").alias("text")).distinct()
+    return grids.page_grid(first.unionByName(more), ["page"], least_x=10.0).select("page", F.col("row_no").alias("line_no"), F.col("col_no").cast("long"), "value")

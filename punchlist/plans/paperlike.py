@@ -50,13 +50,13 @@ def report_rows(spark, sf_dir):
 
 @bound("i10_torque_plan", f"""WITH {_TORQUE}, {ctes('torque_wrench')}, t AS (SELECT f.*, CASE WHEN k % 60 <> 7 AND k % 6 <> 5 THEN o_orderdate::DATE END AS td FROM f WHERE rejected IS NULL), rg AS (SELECT lpad(substr(wrench_id, 2), 4, '0') AS code, min(id) AS id FROM torque_wrench GROUP BY 1), j AS (SELECT t.*, r.id AS wid, w.cert_on_file AS fl, w.last_calibration_date AS s, w.calibration_due_date AS e FROM t LEFT JOIN rg r ON r.code = t.w LEFT JOIN torque_wrench w ON w.id = r.id),
 c AS (SELECT sheet, count(*) AS n, count(DISTINCT w) FILTER (wid IS NULL) AS unknown, count(DISTINCT w) FILTER (wid IS NOT NULL AND td IS NOT NULL AND NOT coalesce(fl AND s IS NOT NULL AND td >= s AND (e IS NULL OR td <= e), false)) AS lapsed, count(*) FILTER (act < lo OR act > hi) AS outside, count(*) FILTER (insp IS NULL OR who IS NULL) AS unins FROM j GROUP BY 1)
-SELECT sheet, 'torque_import.wrench_not_in_register' AS rule_id, 'critical' AS severity, unknown AS n FROM c WHERE unknown > 0 UNION ALL SELECT sheet, 'torque_import.wrench_calibration_lapsed', 'critical', lapsed FROM c WHERE lapsed > 0 UNION ALL SELECT sheet, 'torque_import.torque_outside_required_range', 'critical', outside FROM c WHERE outside > 0
+SELECT sheet, 'torque_import.connection_without_wrench' AS rule_id, 'critical' AS severity, count(*) AS n FROM f WHERE rejected = 'no wrench' GROUP BY 1 UNION ALL SELECT sheet, 'torque_import.wrench_not_in_register' AS rule_id, 'critical' AS severity, unknown AS n FROM c WHERE unknown > 0 UNION ALL SELECT sheet, 'torque_import.wrench_calibration_lapsed', 'critical', lapsed FROM c WHERE lapsed > 0 UNION ALL SELECT sheet, 'torque_import.torque_outside_required_range', 'critical', outside FROM c WHERE outside > 0
 UNION ALL SELECT sheet, 'torque_import.not_inspected', CASE WHEN unins = n THEN 'critical' ELSE 'warning' END, unins FROM c WHERE unins > 0 UNION ALL SELECT sheet, 'torque_import.header_total_disagrees', 'warning', 120 FROM c WHERE n <> 120""")
 def torque_plan(spark, sf_dir):
     cells, headers = torque(spark, sf_dir)
     w = records(spark, sf_dir, "torque_wrench")["torque_wrench"]
     # The log writes numbers of four digits, so the register's codes are told in that form.
-    first = w.withColumn("wrench_id", F.lpad(F.substring("wrench_id", 2, 9), 4, "0")).groupBy("wrench_id").agg(F.min_by(F.struct("cert_on_file", "last_calibration_date", "calibration_due_date"), "id").alias("x")).select("wrench_id", "x.*")
+    first = w.withColumn("wrench_id", F.lpad(F.substring("wrench_id", 2, 9), 4, "0")).groupBy("wrench_id").agg(F.min(F.struct("id", "cert_on_file", "last_calibration_date", "calibration_due_date")).alias("x")).select("wrench_id", "x.*")
     return papers.torque_plan_findings(logs.torque_rows(cells, headers, logs.FACILITY_TORQUE), logs.header_totals(cells, headers), first).drop("file")
 
 
