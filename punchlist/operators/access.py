@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,25 @@ def searched(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     return df.where(reduce(Column.__or__, hits)) if q else df
 
 
+#: How severe a finding can be.
+SEVERITIES = ("critical", "warning", "info")
+
+
+def library(documents: DataFrame, section: str | None = None, query: str = "") -> DataFrame:
+    """A document library: one section, or all of them, and a text in a document's own name, its conforming name or its section's title."""
+    own = documents if not section else documents.where(F.col("section_number") == section)
+    return searched(own, ["original_filename", "normalized_filename", "section_title"], query)
+
+
+def of_severity(findings: DataFrame, severity: str = "all") -> DataFrame:
+    """Findings of one severity, or all of them, the severest first, then by rule: ``place`` is their order in a book."""
+    if severity not in ("all", *SEVERITIES):
+        raise ValueError(f"no such severity: {severity}")
+    rank = F.array_position(F.array(*[F.lit(x) for x in SEVERITIES]), F.col("severity"))
+    kept = findings if severity == "all" else findings.where(F.col("severity") == severity)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("job_book_id").orderBy(rank, "rule_id")))
+
+
 def visible(rows: DataFrame, book: str, assigned: DataFrame, own_org: DataFrame, granted: DataFrame, person: str) -> DataFrame:
     """(row, person) pairs of the books that each person may read: assigned, of their organisation, or granted; each once."""
     pairs = reduce(DataFrame.unionByName, [d.select(book, person) for d in (assigned, own_org, granted)]).distinct()

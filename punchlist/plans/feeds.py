@@ -6,11 +6,12 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import timeliness
+from ..operators import access, timeliness
 from ..sources import readers, sinks
 from ..streaming import jobs
 from .books import sections
 from .bound import ORACLES, bound, date, day, read
+from .records import ctes, records
 
 
 @bound("s2_orders_with_lines", "SELECT o_orderkey, coalesce(n, 0) AS n_lines, coalesce(q, 0) AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
@@ -192,5 +193,57 @@ def weekly_rates(spark, sf_dir):
     path = jobs.fresh_path(spark, "rates")
     again = rates.where("book % 5 = 3").select("book", "week", F.lit(0).cast("long").alias("on_time"), (F.col("on_time") + F.col("late")).alias("late"))
     for part in (rates.where("book % 2 = 0"), rates.where("book % 2 = 1"), again):
-        sinks.write_rates(part, path)
+        sinks.write_rates(part, path, book="book")
     return spark.read.parquet(path).select("book", F.col("week").cast("date").alias("week"), "on_time", "late")
+
+
+#: Each nation a dump with a sheet of its customers: a heading, rows of cells, runs of blank rows, and a listing of formulas after some.
+@bound("s4_cells", """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 3 + 1 ELSE 0 END AS blanks FROM customer),
+p AS (SELECT *, row_number() OVER w - 1 + coalesce(sum(blanks) OVER (PARTITION BY n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS row_no FROM c WINDOW w AS (PARTITION BY n ORDER BY k))
+SELECT 'Sheet ' || n AS sheet, row_no, 0 AS col_no, 'K' || k AS value FROM p UNION ALL SELECT 'Sheet ' || n, row_no, 2, 'v ' || k % 10 FROM p WHERE k % 4 <> 0""")
+def cells(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    line = lambda part, text: F.struct(F.lit(part).alias("part"), text.alias("value"))
+    own = F.array(line(0, F.concat(F.lit("K"), k, F.lit("\t\t"), F.when(k % 4 != 0, F.concat(F.lit(" v "), k % 10)).otherwise(""))), line(1, F.when(k % 7 == 0, F.concat(F.lit("["), k % 3 + 1, F.lit(" empty rows]")))))
+    c = read(spark, sf_dir, "customer")
+    rows = c.select("c_nationkey", k.alias("at"), F.explode(own).alias("l")).select("c_nationkey", "at", "l.*")
+    heads = c.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("at"), line(0, F.concat(F.lit("## Sheet: Sheet "), n, F.lit(" — 60 rows × 3 columns"))).alias("l")),
+        F.struct(F.lit(2**62).alias("at"), line(0, F.when(n % 5 == 0, "Formulas: 2")).alias("l")), F.struct(F.lit(2**62).alias("at"), line(1, F.when(n % 5 == 0, "A1\t=B1")).alias("l")),
+    )).alias("h")).select("c_nationkey", "h.at", "h.l.*")
+    path = jobs.fresh_path(spark, "dumps")
+    rows.unionByName(heads).where("value is not null").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at", "part").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    return readers.cell_dump(spark, path).select("sheet", "row_no", "col_no", "value")
+
+
+@bound("s10_weld_sheet", f"""WITH {ctes("weld")} SELECT job_book_id, weld_number AS "Weld #", coalesce(weld_date::VARCHAR, '') AS "Date", coalesce(welder_stamp, '') AS "Welder", array_to_string(heat_numbers, ', ') AS "Heat #s", coalesce(ndt_method, '') AS "NDT method", status AS "Status" FROM weld""")
+def weld_sheet(spark, sf_dir):
+    """Written for all books and read back: what a book's folder shows under its headings."""
+    path = jobs.fresh_path(spark, "weld-sheets")
+    sinks.export_sheet(records(spark, sf_dir, "weld")["weld"], "weld_log", path)
+    back = spark.read.option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    shown = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("Weld #", "Date", "Welder", "Heat #s", "NDT method", "Status")]
+    return back.select(F.col("job_book_id").cast("string").alias("job_book_id"), *shown)
+
+
+@bound("s10_torque_sheet", f"""WITH {ctes("torque_connection")} SELECT job_book_id, coalesce(CASE WHEN required_torque_min_ft_lb IS NOT NULL THEN required_torque_min_ft_lb::INTEGER || '-' || required_torque_max_ft_lb::INTEGER ELSE required_torque_ft_lb::INTEGER::VARCHAR END, '') AS "Required",
+coalesce(wrench_id_raw, '') AS "Wrench", coalesce(torque_date::VARCHAR, '') AS "Torqued", coalesce(inspection_date::VARCHAR, '') AS "Inspected", '' AS "Bolts" FROM torque_connection""")
+def torque_sheet(spark, sf_dir):
+    shown = sinks.sheet(records(spark, sf_dir, "torque_connection")["torque_connection"], "torque_log")
+    return shown.select("job_book_id", "Required", "Wrench", "Torqued", "Inspected", "Bolts")
+
+
+@bound("p21_document_library", f"""WITH {ctes("document", "job_book_section")}, d AS (SELECT d.*, s.section_number, s.title FROM document d JOIN job_book_section s ON s.id = d.section_id)
+SELECT 'section' AS search, id FROM d WHERE section_number = '10' AND (contains(lower(original_filename), 'rpt') OR contains(lower(coalesce(other_filename, '')), 'rpt') OR contains(lower(title), 'rpt')) UNION ALL SELECT 'title', id FROM d WHERE contains(lower(original_filename), 'as-built') OR contains(lower(coalesce(other_filename, '')), 'as-built') OR contains(lower(title), 'as-built')""")
+def document_library(spark, sf_dir):
+    t = records(spark, sf_dir, "document", "job_book_section")
+    d = t["document"].join(t["job_book_section"].select(F.col("id").alias("section_id"), "section_number", F.col("title").alias("section_title")), "section_id").withColumnRenamed("other_filename", "normalized_filename")
+    found = lambda name, rows: rows.select(F.lit(name).alias("search"), "id")
+    return found("section", access.library(d, "10", " RPT ")).unionByName(found("title", access.library(d, query="As-BUILT")))
+
+
+@bound("p21_finding_queue", f"""WITH {ctes("compliance_flag")}, f AS (SELECT DISTINCT job_book_id, severity, state AS rule_id FROM compliance_flag)
+SELECT 'all' AS filter, *, row_number() OVER (PARTITION BY job_book_id ORDER BY list_position(['critical', 'warning', 'info'], severity), rule_id)::INTEGER AS place FROM f UNION ALL SELECT 'warning', *, row_number() OVER (PARTITION BY job_book_id ORDER BY rule_id)::INTEGER FROM f WHERE severity = 'warning'""")
+def finding_queue(spark, sf_dir):
+    f = records(spark, sf_dir, "compliance_flag")["compliance_flag"].select("job_book_id", "severity", F.col("state").alias("rule_id")).distinct()
+    return access.of_severity(f).withColumn("filter", F.lit("all")).unionByName(access.of_severity(f, "warning").withColumn("filter", F.lit("warning")))

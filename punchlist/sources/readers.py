@@ -47,24 +47,46 @@ def renamed(df: DataFrame, how, allowed: list[str] | None = None) -> DataFrame:
     return out.select(*[c for c in out.columns if c in allowed]) if allowed is not None else out
 
 
+#: How dumps of cells are written. A heading begins a sheet (its size may follow), a run stands for that many blank rows, and
+#: a listing of formulas, which is no data, ends a sheet's rows. The second spelling of each is a short one.
+SHEET_HEADS = [r"^##\s+Sheet:\s+(.+?)(?:\s+\(empty\))?(?:\s+[—-]\s+\d+\s+rows?\s*×.*)?\s*$", r"^# (?!#)(.*)$"]
+BLANK_RUNS = [r"^\[(\d+)\s+empty\s+rows?\]\s*$", r"^~(\d+)\s*$"]
+FORMULAS = r"(?i)^(Formulas:|## formulas)"
+
+
 def cell_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, row_no, col_no, value) of text dumps: ``# sheet`` heads, tab-separated rows, ``~n`` for n blank rows, and
-    formulas after ``## formulas``, which are skipped."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    return cells_of(text.select("file", F.posexplode("lines").alias("line_no", "line")))
-
-
-def cells_of(lines: DataFrame) -> DataFrame:
-    """The same from (file, line_no, line). Row numbers count the blank rows that a run stands for."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    head = F.regexp_extract("line", r"^# (?!#)(.*)$", 1)
-    marked = lines.withColumn("sheet", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(w))
-    skip = F.last(F.when(F.col("line").rlike("^## "), F.col("line").rlike("(?i)^## formulas")).when(head != "", False), ignorenulls=True).over(w)
-    body = marked.withColumn("_skip", F.coalesce(skip, F.lit(False))).where(~F.col("_skip") & ~F.col("line").rlike("^#") & F.col("sheet").isNotNull())
-    run = F.regexp_extract("line", r"^~(\d+)$", 1).try_cast("int")
-    by_sheet = Window.partitionBy("file", "sheet").orderBy("line_no")
-    numbered = body.withColumn("_n", F.coalesce(run, F.lit(1))).withColumn("row_no", F.sum("_n").over(by_sheet) - 1).where(run.isNull())
-    cells = numbered.select("file", "sheet", F.col("row_no").cast("int").alias("row_no"), F.posexplode(F.split("line", "\t", -1)).alias("col_no", "value"))
+    """(file, sheet, row_no, col_no, value) of text dumps. A large dump is read in many tasks: lines are in order by the block of the file
+    they are in and by their place in it."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    return cells_of(lines, "block")
+
+
+def cells_of(lines: DataFrame, block: str | None = None) -> DataFrame:
+    """The same from (file, line_no, line), and the ``block`` of a file that a line is in, if files come in blocks.
+
+    In two passes: what a line says of those behind it (its sheet, whether formulas follow, how many rows it stands for) is settled within
+    each block, then handed on from block to block, of which a file has a few. So no task has to hold a whole file.
+    """
+    of = lambda patterns: F.coalesce(*[F.nullif(F.trim(F.regexp_extract("line", p, 1)), F.lit("")) for p in patterns])
+    rows = lines.withColumn("_b", F.col(block) if block else F.lit(0))
+    rows = rows.select("file", "_b", "line_no", "line", of(SHEET_HEADS).alias("_head"), of(BLANK_RUNS).try_cast("int").alias("_run"))
+    rows = rows.withColumn("_skip", F.when(F.col("_head").isNotNull(), False).when(F.col("line").rlike(FORMULAS), True))
+    inside = Window.partitionBy("file", "_b").orderBy("line_no")
+    last = lambda c: F.last(c, ignorenulls=True)
+    rows = rows.withColumns({"_sheet": last("_head").over(inside), "_skips": last("_skip").over(inside)})
+    before = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("file", "_b").agg(F.max_by("_sheet", "line_no").alias("_s"), F.max_by("_skips", "line_no").alias("_k"))
+    ends = ends.select("file", "_b", last("_s").over(before).alias("_s"), last("_k").over(before).alias("_k"))
+    rows = rows.join(ends, ["file", "_b"]).withColumns({"sheet": F.coalesce("_sheet", "_s"), "_skips": F.coalesce("_skips", "_k", F.lit(False))})
+    body = rows.where(~F.col("_skips") & F.col("_head").isNull() & F.col("sheet").isNotNull() & (F.trim("line") != "") & ~F.col("line").rlike("^##? "))
+
+    body = body.withColumn("_n", F.coalesce("_run", F.lit(1)))
+    totals = body.groupBy("file", "sheet", "_b").agg(F.sum("_n").alias("_n"))
+    offsets = totals.select("file", "sheet", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("file", "sheet").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    running = F.sum("_n").over(Window.partitionBy("file", "sheet", "_b").orderBy("line_no"))
+    numbered = body.withColumn("_r", running).join(offsets, ["file", "sheet", "_b"]).where(F.col("_run").isNull())
+    cells = numbered.select("file", "sheet", (F.col("_r") + F.col("_o") - 1).cast("int").alias("row_no"), F.posexplode(F.split("line", "\t", -1)).alias("col_no", "value"))
     return cells.withColumn("value", F.nullif(F.trim("value"), F.lit(""))).where(F.col("value").isNotNull())
 
 

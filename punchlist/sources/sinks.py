@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def append_changes(old: DataFrame, new: DataFrame, key: list[str], columns: list
     change_log(old, new, key, columns, deleted).withColumn("changed_at", at).write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
-def write_rates(rates: DataFrame, path: str, week: str = "week", book: str = "book") -> None:
+def write_rates(rates: DataFrame, path: str, week: str = "week", book: str = "job_book_id") -> None:
     """The weekly rates of books, one row for each (book, week): rows replace those of their key, all others stay.
 
     A key that comes twice fails the write, and so do counts that cannot be: below zero, or a rate where nothing was measured. Weeks are
@@ -44,8 +46,56 @@ def write_rates(rates: DataFrame, path: str, week: str = "week", book: str = "bo
     checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(week).parquet(path)
 
 
-def export_sheet(df: DataFrame, columns: dict[str, Column], path: str, book: str = "job_book_id") -> None:
-    df.select(book, *[c.alias(n) for n, c in columns.items()]).write.mode("overwrite").partitionBy(book).option("header", True).csv(path)
+#: The headings of a turnover export's sheets, with what stands under them as SQL expressions of the records.
+SHEETS = {
+    "weld_log": {
+        "Line": "line_code",
+        "Weld #": "weld_number",
+        "Date": "weld_date",
+        "Welder": "coalesce(welder_stamp, welder_pass_assignment)",
+        "Joint": "joint_type",
+        "Component": "component_description",
+        "Heat #s": "array_join(heat_numbers, ', ')",
+        "CWI": "cwi_initials",
+        "Visual": "cwi_visual_result",
+        "Visual date": "visual_inspection_date",
+        "NDT method": "ndt_method",
+        "NDT result": "ndt_result",
+        "X-ray #": "xray_number",
+        "Status": "status",
+    },
+    "torque_log": {
+        "ISO-Flange": "iso_flange_number",
+        "ISO": "iso_number",
+        "Size": "flange_pipe_size",
+        "Bolt dia": "bolt_diameter",
+        "Bolts": "bolt_count",
+        "Required": "CASE WHEN required_torque_min_ft_lb IS NOT NULL AND required_torque_max_ft_lb IS NOT NULL THEN concat(cast(required_torque_min_ft_lb AS int), '-', cast(required_torque_max_ft_lb AS int)) ELSE cast(cast(required_torque_ft_lb AS int) AS string) END",
+        "Actual": "actual_torque_ft_lb",
+        "Wrench": "wrench_id_raw",
+        "Torqued": "torque_date",
+        "By": "employee_initials",
+        "Inspected": "inspection_date",
+        "Inspector": "inspector_initials",
+    },
+    "completeness": {"Section": "section_number", "Title": "title", "Weight": "weight", "Status": "status", "Approved %": "pct", "Collected %": "collected_pct"},
+}
+
+
+def sheet(records: DataFrame, name: str, book: str = "job_book_id") -> DataFrame:
+    """A sheet's columns under its headings, as text, empty where nothing is recorded; columns that the records lack are empty."""
+    have = records.columns
+    known = records.select("*", *[F.lit(None).cast("string").alias(c) for c in _named(SHEETS[name].values()) if c not in have])
+    return known.select(book, *[F.coalesce(F.expr(e).cast("string"), F.lit("")).alias(h) for h, e in SHEETS[name].items()])
+
+
+def _named(expressions) -> set[str]:
+    return {w for e in expressions for w in re.findall(r"(?<!['\w])[a-z][a-z0-9]*(?:_[a-z0-9]+)+(?![\w(])", e)}
+
+
+def export_sheet(records: DataFrame, name: str, path: str, book: str = "job_book_id") -> None:
+    """A sheet of all books as CSV with headings, a folder for each book."""
+    sheet(records, name, book).write.mode("overwrite").partitionBy(book).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def manifest(documents: DataFrame, inventory: DataFrame, section: str, name: str, path: str) -> DataFrame:

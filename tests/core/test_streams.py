@@ -158,7 +158,7 @@ def test_rates_of_two_books_in_one_week(spark, tmp_path):
     from punchlist.sources import sinks
 
     path, schema = str(tmp_path / "rates"), "book string, week date, on_time long, late long, rate double"
-    write = lambda *rows: sinks.write_rates(spark.createDataFrame(list(rows), schema), path)
+    write = lambda *rows: sinks.write_rates(spark.createDataFrame(list(rows), schema), path, book="book")
     one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 8)
     write(("a", one, 1, 0, 100.0), ("a", two, 0, 0, None))
     write(("b", one, 2, 2, 50.0))
@@ -189,3 +189,32 @@ def test_live_rows_reach_the_scan(spark):
 
     plan = registry.queries()["s1_live_rows_pushed_down"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,F)" in plan
+
+
+def test_a_dump_in_many_tasks(spark, tmp_path):
+    from punchlist.sources import readers
+
+    lines = ["junk before", "## Sheet: A — 3 rows × 2 columns"]
+    want, row = [], 0
+    for i in range(3000):
+        if i == 1500:
+            lines += ["Formulas: 1", "A1\t=x", "## Sheet: B (empty)", "", "## Sheet: C"]
+            row = 0
+        if i % 97 == 5:
+            lines.append(f"[{i % 4 + 1} empty rows]")
+            row += i % 4 + 1
+        lines.append(f"r{i}\t \tx  ")
+        want += [("A" if i < 1500 else "C", row, 0, f"r{i}"), ("A" if i < 1500 else "C", row, 2, "x")]
+        row += 1
+    (tmp_path / "dump.txt").write_text("\n".join(lines))
+    (tmp_path / "other.txt").write_text("# Short\na\tb\n~2\nc\n## formulas\nd")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        cells = readers.cell_dump(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = [(r["file"].rsplit("/", 1)[1], r["sheet"], r["row_no"], r["col_no"], r["value"]) for r in cells.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(x[1:] for x in got if x[0] == "dump.txt") == sorted(want)
+    assert sorted(x[1:] for x in got if x[0] == "other.txt") == [("Short", 0, 0, "a"), ("Short", 0, 1, "b"), ("Short", 3, 0, "c")]
