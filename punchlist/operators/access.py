@@ -40,6 +40,11 @@ def visible(rows: DataFrame, book: str, assigned: DataFrame, own_org: DataFrame,
     return rows.join(pairs, book)
 
 
+def unexpired(granted: DataFrame, as_of: Column, expires: str = "expires_at") -> DataFrame:
+    """Grants that hold on a day: those without an end, and those that end after it."""
+    return granted.where(F.col(expires).isNull() | (F.col(expires) > as_of))
+
+
 def problems(df: DataFrame, key: list[str], checks: list[tuple[str, Column]]) -> DataFrame:
     """Every problem of every row: a check that is not known to hold is a problem."""
     found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(label)) for label, ok in checks]))

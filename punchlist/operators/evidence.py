@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import natural_key, percent, weld_number_key
@@ -56,8 +56,9 @@ def examination_coverage(marked: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def unevidenced(marked: DataFrame) -> DataFrame:
-    """Welds marked examined without a report, in the order of their numbers."""
-    return marked.where(F.col("examined") & ~F.col("evidenced")).orderBy(BOOK, natural_key(F.col("weld_number")), "id")
+    """Welds marked examined without a report, with their ``place`` in their book by the order of their numbers."""
+    order = Window.partitionBy(BOOK).orderBy(natural_key(F.col("weld_number")), "id")
+    return marked.where(F.col("examined") & ~F.col("evidenced")).withColumn("place", F.row_number().over(order))
 
 
 def claims_without_report(marked: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.bound import ORACLES, QUERIES
 
-MODULES = ("people", "registers", "books", "ledgers", "texts", "findings", "feeds", "imports", "desk", "coverage", "gating", "loglike", "links", "desk2", "paperlike", "overviewlike")
+MODULES = ("people", "registers", "books", "ledgers", "texts", "findings", "feeds", "imports", "desk", "coverage", "gating", "loglike", "links", "desk2", "desk3", "paperlike", "overviewlike")
 
 for _name in MODULES:
     import_module(f"{__package__}.plans.{_name}")
