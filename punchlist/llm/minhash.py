@@ -46,6 +46,9 @@ BATCH = 64
 ROUNDS = 1
 #: Buckets by which a pair is told to meet once; a pair that has none of them in common meets in each bucket it shares.
 FIRST_KEYS = 16
+#: A shingle that no more candidates than these have is rare; buckets with more members are crowded, and pairs in them are held against
+#: the bound by rare shingles as well.
+RARE = 64
 #: Up to so many ids (8 bytes each) are broadcast to pick their documents; more take a shuffled join.
 MAX_IDS = 1_000_000
 #: Shingles hashed at a time, words whose hashes a worker remembers, and documents it holds as texts.
@@ -248,10 +251,15 @@ def mixed_buckets(posts: DataFrame, comps: DataFrame) -> DataFrame:
     return written(placed.join(ends.where("c0 <> c1"), "key"), "mixed")
 
 
-def lone_shingles(candidates: DataFrame) -> DataFrame:
-    """(doc_id, alone): how many shingles of a candidate no other candidate has. It shares none of these with any."""
-    owners = candidates.select("doc_id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"))
-    return owners.where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+def rare_shingles(candidates: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, alone) and (doc_id, rare): how many shingles of a candidate no other candidate has, and, of the ``crowded`` ones, those
+    that a few others have. Two candidates share none of the former, of the latter those that both name, and of the rest as many as there are.
+    """
+    each = lambda some: some.select("doc_id", F.explode("set").alias("shingle"))
+    few = written(each(candidates).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE), "shingles")
+    alone = few.where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    named = each(candidates.join(crowded, "doc_id", "left_semi")).join(few.where("n > 1").select("shingle"), "shingle")
+    return alone, crowded.join(named.groupBy("doc_id").agg(F.collect_set("shingle").alias("rare")), "doc_id", "left").select("doc_id", F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, rounds: int = ROUNDS) -> DataFrame:
@@ -315,19 +323,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is left: all members of one bucket in different components. Of the largest component's members none meet each other.
     mixed = mixed_buckets(posts, comps)
-    alone = lone_shingles(found.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi")).join(several, "doc_id", "left_anti")
-    mixed = mixed.join(alone, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    crowded = mixed.join(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RARE), "key", "left_semi").select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    alone, rare = rare_shingles(found.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), written(crowded, "crowded"))
+    mixed = mixed.join(alone.join(several, "doc_id", "left_anti"), "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
     mixed = written(mixed.where(100 * F.col("shared") >= percent * F.col("size")), "mixed")
     main = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     # A pair that shares many buckets meets in the first of them: each document knows its own first few.
     firsts = mixed.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
-    placed = written(mixed.select("key", "doc_id", "size", "shared", "comp").join(main, "key").join(firsts, "doc_id"), "placed")
-    x = placed.where("comp <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "doc_id", "size", "shared", "comp", "firsts")])
+    placed = written(mixed.select("key", "doc_id", "size", "shared", "comp").join(main, "key").join(firsts, "doc_id").join(rare, "doc_id", "left"), "placed")
+    x = placed.where("comp <> main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "doc_id", "size", "shared", "comp", "firsts", "rare")])
     near = (100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")) & ((100 + percent) * F.least("shared", "x_shared") >= percent * (F.col("size") + F.col("x_size")))
     once = (F.col("comp") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id"))
     both = F.array_intersect("firsts", "x_firsts")
     here = (F.size(both) == 0) | (F.col("key") == F.get(both, F.lit(0)))
-    meet = x.join(placed, (F.col("x_key") == F.col("key")) & (F.col("comp") != F.col("x_comp")) & near & once & here)
+    # Where both are crowded: shingles that are not rare, and the rare ones of both.
+    most = F.least(F.col("shared") - F.size("rare"), F.col("x_shared") - F.size("x_rare")) + F.size(F.array_intersect("rare", "x_rare"))
+    open_ = F.col("rare").isNull() | F.col("x_rare").isNull() | ((100 + percent) * most >= percent * (F.col("size") + F.col("x_size")))
+    meet = x.join(placed, (F.col("x_key") == F.col("key")) & (F.col("comp") != F.col("x_comp")) & near & once & here & open_)
     pairs = meet.select(*_ordered("doc_id", "x_doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
     more = confirmed(likely(written(pairs, "pairs"), found, percent, miss), found, percent, miss, rows * bands)
     comps = connected_components(links.unionByName(more))

@@ -71,11 +71,28 @@ def test_components_are_those_of_all_pairs(spark, rows):
 @pytest.mark.parametrize("settings", [{"rounds": 0}, {"n": 3, "percent": 60}])
 def test_settings_do_not_change_what_is_linked(spark, rows, settings, monkeypatch):
     monkeypatch.setattr(minhash, "MAX_IDS", 10)
+    monkeypatch.setattr(minhash, "RARE", 2)
     some = rows[::3]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, some), **settings).collect()}
     assert got == components(some, settings.get("n", 2), settings.get("percent", 80))
 
 
+def test_a_group_with_members_that_are_not_quite_similar(spark, monkeypatch):
+    """Copies of one text with a few to very many words changed: some are linked with none, each is nearly similar to many."""
+    monkeypatch.setattr(minhash, "RARE", 8)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(120), i % 15):
+            w[at] = rng.choice(["x", "y", f"w{i}", f"v{rng.randrange(30)}"])
+        rows.append((i, " ".join(w)))
+    expected = components(rows)
+    assert 5 < len(set(expected.values())) < 60
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, rows)).collect()} == expected
+
+
 def test_repeated_ids_and_empty_tables(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, a + " end"), (None, a), (None, None), (5, None), (6, b), (6, b), (7, "x y"), (7, "z")]
