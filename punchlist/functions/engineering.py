@@ -49,7 +49,7 @@ def with_stress(welds: DataFrame, size: str, grade: str, pressure: Column, bands
     ``bands``: (tier, least, most, fraction to examine), in order, the first that fits counts; without bands there is no tier.
     """
     table = dimensions if dimensions is not None else dimension_table(welds.sparkSession)
-    out = welds.withColumn("_key", pipe_key(F.col(size))).join(F.broadcast(table.withColumnRenamed("nps_key", "_key")), "_key", "left").drop("_key")
+    out = welds.withColumn("_key", pipe_key(F.col(size))).join(table.withColumnRenamed("nps_key", "_key"), "_key", "left").drop("_key")
     out = out.withColumn("smys_psi", smys_psi(F.col(grade))).withColumn("_p", pressure)
     ready = F.col("od_in").isNotNull() & F.col("smys_psi").isNotNull()
     out = out.withColumn("hoop_stress_psi", F.when(ready, hoop_stress_psi(F.col("_p"), F.col("od_in"), F.col("wall_in")))).withColumn("pct_smys", F.col("hoop_stress_psi") / F.col("smys_psi"))

@@ -117,7 +117,7 @@ def library_search(library: DataFrame, query: str) -> DataFrame:
 def capable(people: DataFrame, capabilities: DataFrame, grants: DataFrame, on: Column) -> DataFrame:
     """(person, capability): those of the person's role, and those of grants that have not expired on a day; each once.
     ``capabilities`` (role, capability) is a table of some dozens of rows."""
-    own = people.join(F.broadcast(capabilities), "role").select("person", "capability")
+    own = people.join(capabilities, "role").select("person", "capability")
     live = grants.where(F.col("expires_on").isNull() | (F.col("expires_on") >= on)).select("person", "capability")
     return own.unionByName(live).distinct()
 

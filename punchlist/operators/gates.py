@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from . import completeness, reconcile, validity
+from .scoring import unscaffolded
 
 STATES = ("met", "not_met", "indeterminate", "not_applicable")
 
@@ -73,7 +74,7 @@ def _kind() -> Column:
 def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """One row per book with what the gates ask: its own fields and counts over its records, each counted in one aggregation.
 
-    ``t``: job_book, job_book_section, document, weld, welder_qualification, certificate, torque_connection, torque_wrench,
+    ``t``: job_book, job_book_section, section_template (section_number, applies_to: both or a type), document, weld, welder_qualification, certificate, torque_connection, torque_wrench,
     nde_report, pressure_test, material_heat, compliance_flag, coating_inspection (job_book_id, construction_area), and roster (job_book_id,
     kind, subject_id) of who is mobilising. A book may have a calibration interval, a turnover date and areas of its own.
     A book without rows of a table has none of its records; whether the ledger of findings was loaded is ``flags_loaded``.
@@ -97,6 +98,8 @@ def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
         n_shortfalls=F.count_if(applies & counted & (F.col("expected_count") > 0) & (F.coalesce("have", F.lit(0)) < F.col("expected_count"))), coating=F.max(F.when(F.col("section_number") == "23", F.when(applies, "enabled").otherwise("na"))),
     )]
 
+    parts.append(_per_book(unscaffolded(t["job_book"], t["section_template"], s), n_unscaffolded=F.count(F.lit(1))))
+
     # Who is mobilising, and whether they are covered.
     roster = t["roster"].join(bounds, BOOK)
     quals = t["welder_qualification"].groupBy(F.col("welder_id").alias("subject_id")).agg(F.bool_or(F.col("expiry_date").isNull()).alias("open"), F.max("expiry_date").alias("last"))
@@ -178,7 +181,7 @@ def all_criteria(f: DataFrame) -> DataFrame:
     custodian = F.when(n("custodian_id").isNull(), "not_met").when(n("custodian_competency").isNull(), "indeterminate").otherwise(decide(n("custodian_competency") != "JB-1"))
     rows = {
         "G0": [
-            ("g0.scaffolded", decide(n("n_na_without_reason") == 0)), ("g0.custodian", custodian), ("g0.governing_docs", decide(n("has_references") & n("has_revisions") & n("governing_docs_confirmed_at").isNotNull())), ("g0.procedures_loaded", decide(n("n_empty_procedures") == 0)),
+            ("g0.scaffolded", decide((n("n_unscaffolded") == 0) & (n("n_na_without_reason") == 0))), ("g0.custodian", custodian), ("g0.governing_docs", decide(n("has_references") & n("has_revisions") & n("governing_docs_confirmed_at").isNotNull())), ("g0.procedures_loaded", decide(n("n_empty_procedures") == 0)),
             ("g0.wpq", unless(n("n_welders") == 0, n("n_unqualified") == 0)), ("g0.inspector_creds", unless(n("n_inspectors") == 0, n("n_uncovered") == 0)), ("g0.wrench_calibration", unless((n("n_wrenches") == 0) & (n("n_unregistered") == 0), (n("n_wrench_problems") == 0) & (n("n_unregistered") == 0))),
             ("g0.expected_by", decide((n("n_undated") == 0) & (n("n_applicable") > 0))), ("g0.planned_curve", decide(n("planned_curve_agreed_at").isNotNull())),
         ],

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, in_ranges
+
 
 def versions(uploads: DataFrame, name: list[str], digest: str, order: list[str]) -> DataFrame:
-    """New bytes under a known name are the next version and supersede the last; bytes that were there before are duplicates."""
-    first = F.row_number().over(Window.partitionBy(*name, digest).orderBy(*order)) == 1
-    marked = uploads.withColumn("duplicate", ~first)
-    kept = Window.partitionBy(*name, "duplicate").orderBy(*order)
-    return marked.withColumn("version", F.when(~F.col("duplicate"), F.row_number().over(kept))).withColumn("supersedes", F.when(~F.col("duplicate"), F.lag(digest).over(kept)))
+    """New bytes under a known name are the next version and supersede the last; bytes that were there before are duplicates.
+
+    A name, or one content of it, may own most uploads: rows are numbered in ranges of ``order``, and each range starts from what the
+    ranges before it hold of the name. ``order`` tells the uploads of a name apart; NULL bytes count as one content.
+    """
+    rows = in_ranges(uploads, [*name, *order])
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*name, digest, RANGE).orderBy(*order)))
+    # The first of a content in each range meets those of the other ranges; the rest stay in theirs, as duplicates.
+    meets = Window.partitionBy(*name, digest, F.when(F.col("_nth") == 1, -1).otherwise(F.col(RANGE))).orderBy(RANGE)
+    rows = rows.withColumn("duplicate", (F.col("_nth") > 1) | (F.row_number().over(meets) > 1))
+    kept = Window.partitionBy(*name, RANGE, "duplicate").orderBy(*order)
+    rows = rows.withColumn("_at", F.row_number().over(kept)).withColumn("_last", F.lag(digest).over(kept))
+
+    held = rows.where("NOT duplicate").groupBy(*name, RANGE).agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(digest), F.struct(*order)).alias("_d"))
+    earlier = Window.partitionBy(*name).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(name)], F.col(RANGE).alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.last("_d", ignorenulls=True).over(earlier).alias("_d"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(name)], F.col(RANGE) == F.col("_of"))
+    version = (F.col("_before") + F.col("_at")).cast("int")
+    supersedes = F.when(F.col("_at") == 1, F.col(f"_d.{digest}")).otherwise(F.col("_last"))
+    new = ~F.col("duplicate")
+    return rows.join(held, same, "left").select(*uploads.columns, "duplicate", F.when(new, version).alias("version"), F.when(new, supersedes).alias("supersedes"))
 
 
 def superseded_in_batch(batch: DataFrame, by: list[str], order: list[str], at: str, accepted: Column) -> DataFrame:
@@ -130,9 +150,13 @@ def clusters(points: DataFrame, by: list[str], x: str, gap: float, tie: list[str
 
 
 def pitch(points: DataFrame, by: list[str], y: str, grain: float = 0.5, least: float = 1.0, most: float = 100.0) -> DataFrame:
-    """The step between positions that occurs most, in steps of ``grain``; the smaller of equals."""
-    step = F.col(y) - F.lag(y).over(Window.partitionBy(*by).orderBy(y))
-    steps = points.select(*by, F.round(step / grain).alias("_b")).where(F.col("_b") > 0)
+    """The step between positions that occurs most, in steps of ``grain``; the smaller of equals. Steps are taken in ranges of ``y``, and
+    between the last position of a range and the first of the next, so a key may have any number of points."""
+    rows = in_ranges(points.select(*by, y), [*by, y])
+    within = rows.select(*by, (F.col(y) - F.lag(y).over(Window.partitionBy(*by, RANGE).orderBy(y))).alias("_step"))
+    ends = rows.groupBy(*by, RANGE).agg(F.min(y).alias("_low"), F.max(y).alias("_high"))
+    between = ends.select(*by, (F.col("_low") - F.lag("_high").over(Window.partitionBy(*by).orderBy(RANGE))).alias("_step"))
+    steps = within.unionByName(between).select(*by, F.round(F.col("_step") / grain).alias("_b")).where(F.col("_b") > 0)
     n = steps.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     best = n.groupBy(*by).agg(F.max_by("_b", F.struct("_n", -F.col("_b"))).alias("_b"))
     return best.select(*by, F.least(F.lit(most), F.greatest(F.lit(least), F.col("_b") * grain)).alias("pitch"))

@@ -31,7 +31,7 @@ def synonyms(spark: SparkSession, names: dict[str, list[str]], key=header_key) -
 
 def located_headers(cells: DataFrame, names: DataFrame, rows: int = HEADER_ROWS, least: int = 2, key=header_key) -> DataFrame:
     """(file, sheet, header_row, fields: field -> column) of sheets whose best row knows ``least`` fields; the first of equals."""
-    hits = cells.where(F.col("row_no") < rows).withColumn("name_key", key(F.col("value"))).join(F.broadcast(names), "name_key")
+    hits = cells.where(F.col("row_no") < rows).withColumn("name_key", key(F.col("value"))).join(names, "name_key")
     per_field = hits.groupBy(*SHEET, "row_no", "field").agg(F.min("col_no").alias("col_no"))
     per_row = per_field.groupBy(*SHEET, "row_no").agg(F.count(F.lit(1)).alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "col_no")))).alias("fields"))
     best = per_row.groupBy(*SHEET).agg(F.max_by(F.struct("row_no", "fields", "n"), F.struct("n", -F.col("row_no"))).alias("b"))

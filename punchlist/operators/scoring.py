@@ -112,10 +112,18 @@ def scored_sections(sections: DataFrame, facts: DataFrame, documents: DataFrame,
 def applicable_sections(books: DataFrame, template: DataFrame, sections: DataFrame) -> DataFrame:
     """The template's sections that apply to a book's type, less those marked as not applicable; ``template`` (section_number,
     applies_to: both or a type) is some dozens of rows."""
-    own = sections.join(F.broadcast(template), "section_number").join(books.select(F.col("id").alias(BOOK), "book_type"), BOOK)
+    own = sections.join(template, "section_number").join(books.select(F.col("id").alias(BOOK), "book_type"), BOOK)
     return own.where("(applies_to = 'both' OR applies_to = book_type) AND status <> 'na'")
 
 
+def unscaffolded(books: DataFrame, template: DataFrame, sections: DataFrame) -> DataFrame:
+    """(job_book_id, section_number): sections of the template that apply to a book's type, or to both types, and that the book lacks; a
+    section that is marked as not applicable is there. A book whose type is NULL is asked for what applies to both."""
+    asked = books.select(F.col("id").alias(BOOK), F.explode(F.array_distinct(F.array(F.lit("both"), F.col("book_type")))).alias("applies_to"))
+    wanted = asked.join(template, "applies_to").select(BOOK, "section_number").distinct()
+    return wanted.join(sections.select(BOOK, "section_number"), [BOOK, "section_number"], "left_anti")
+
+
 def missing_sections(scored: DataFrame, book: list[str]) -> DataFrame:
     """Counted sections at 0 that were read, with their place by weight: what to fetch first."""
     empty = scored.where("counts AND pct = 0 AND ingestion_status IS DISTINCT FROM 'not_imported'")

@@ -80,7 +80,7 @@ def business_days_between(spark, sf_dir):
 @bound("f12_calendar", f"WITH {_CAL} SELECT DISTINCT o_orderdate::DATE AS day, w AS working FROM orders JOIN days ON d = o_orderdate::DATE")
 def calendar(spark, sf_dir):
     cal = dates.calendar(spark, "1990-01-01", "2005-12-31")
-    return read(spark, sf_dir, "orders").select(day("o_orderdate").alias("day")).distinct().join(F.broadcast(cal), "day").select("day", "working")
+    return read(spark, sf_dir, "orders").select(day("o_orderdate").alias("day")).distinct().join(cal, "day").select("day", "working")
 
 
 @bound("w13_self_audits_due", f"WITH {_CAL} SELECT o_orderkey, greatest(0, floor((b.i - a.i) / 10))::INTEGER AS due FROM orders JOIN days a ON a.d = o_orderdate::DATE JOIN days b ON b.d = DATE '1999-03-01'")

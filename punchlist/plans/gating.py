@@ -61,7 +61,17 @@ def applicable_sections(spark, sf_dir):
     return scoring.applicable_sections(t["job_book"], template, t["job_book_section"]).select("job_book_id", "section_number")
 
 
-_GATE_TABLES = ("job_book", "job_book_section", "document", "weld", "welder_qualification", "certificate", "torque_connection", "torque_wrench", "nde_report", "pressure_test", "material_heat", "compliance_flag", "coating_inspection")
+_UNSCAFFOLDED = """SELECT b.id AS job_book_id, d.section_number FROM job_book b JOIN section_template d ON d.applies_to IN ('both', b.book_type)
+WHERE NOT EXISTS (SELECT 1 FROM job_book_section s WHERE s.job_book_id = b.id AND s.section_number = d.section_number)"""
+
+
+@bound("j19_unscaffolded_sections", f"WITH {ctes('job_book', 'section_template', 'job_book_section')} {_UNSCAFFOLDED}")
+def unscaffolded_sections(spark, sf_dir):
+    t = tables(spark, sf_dir, "job_book", "section_template", "job_book_section")
+    return scoring.unscaffolded(t["job_book"], t["section_template"], t["job_book_section"])
+
+
+_GATE_TABLES = ("job_book", "job_book_section", "section_template", "document", "weld", "welder_qualification", "certificate", "torque_connection", "torque_wrench", "nde_report", "pressure_test", "material_heat", "compliance_flag", "coating_inspection")
 _ROSTER = "SELECT DISTINCT job_book_id, 'welder' AS kind, welder_id AS subject_id FROM weld WHERE welder_id IS NOT NULL AND weld_date < DATE '1992-09-01' UNION SELECT job_book_id, 'ndt_technician', technician_id FROM nde_report WHERE technician_id IS NOT NULL AND report_date < DATE '1992-06-01' UNION SELECT c.job_book_id, 'torque_wrench', w.id FROM torque_connection c JOIN torque_wrench w ON w.id = c.wrench_id"
 _EXPIRY = "CASE WHEN expiry_date IS NOT NULL THEN expiry_date WHEN subject_type = 'torque_wrench' THEN (issue_date + to_months(coalesce((SELECT calibration_interval_months FROM job_book o WHERE o.id = certificate.job_book_id), 12)::INTEGER))::DATE END"
 
@@ -86,6 +96,7 @@ he AS (SELECT b.job_book_id, (SELECT count(*) FROM uh WHERE uh.job_book_id = b.j
 nd AS (SELECT job_book_id, count(*) AS n, count(*) FILTER (ndt_report_id IS NULL) AS un FROM weld WHERE ndt_method IS NOT NULL GROUP BY 1),
 pt AS (SELECT t.job_book_id, count(*) AS n, count(*) FILTER (result_document_id IS NULL OR result IS NULL) AS op, count(*) FILTER (result_document_id IS NULL OR result IS NULL OR start_pressure_psi IS NULL OR end_pressure_psi IS NULL OR duration_minutes IS NULL OR (SELECT count(*) FROM (SELECT unnest([gauge_cert_id, recorder_cert_id, psv_cert_id]) AS x) q JOIN ct ON ct.id = x AND ct.job_book_id = t.job_book_id WHERE issue_date <= test_date AND (e IS NULL OR e >= test_date)) < 3) AS inc FROM pressure_test t WHERE test_date IS NOT NULL GROUP BY 1),
 ex AS (SELECT c.job_book_id, count(*) AS n FROM certificate c JOIN b ON b.job_book_id = c.job_book_id WHERE expiry_date >= DATE '{AS_OF}' AND expiry_date < window_end GROUP BY 1),
+ms AS (SELECT job_book_id, count(*) AS missing FROM ({_UNSCAFFOLDED}) GROUP BY 1),
 ar AS (SELECT job_book_id, count(*) AS areas, count(*) FILTER (a NOT IN (SELECT construction_area FROM coating_inspection k WHERE k.job_book_id = q.job_book_id)) AS uncoated FROM (SELECT job_book_id, unnest(construction_areas) AS a FROM b) q GROUP BY 1),
 fl AS (SELECT job_book_id, count(*) AS n, count(*) FILTER (due_at IS NULL OR due_at < DATE '{AS_OF}') AS late FROM compliance_flag WHERE state IN ('open', 'acknowledged') AND severity IN ('critical', 'warning') GROUP BY 1),
 ps AS (SELECT DISTINCT job_book_id, id, weld_date AS d, unnest([root_welder_id, hot_welder_id, fill_welder_id, cap_welder_id]) AS who FROM weld WHERE weld_date IS NOT NULL),
@@ -94,9 +105,9 @@ bad AS (SELECT job_book_id FROM ps WHERE who IS NOT NULL AND NOT EXISTS (SELECT
   UNION ALL SELECT job_book_id FROM nde_report r WHERE technician_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.job_book_id = r.job_book_id AND subject_type = 'ndt_technician' AND subject_id = technician_id AND list_contains(ndt_methods, r.method) AND issue_date <= report_date AND (e IS NULL OR e >= report_date))),
 bd AS (SELECT job_book_id, count(*) AS n FROM bad GROUP BY 1),
 z AS (SELECT b.*, coalesce(sec.na, 0) AS na, coalesce(proc, 0) AS proc, coalesce(app, 0) AS app, coalesce(und, 0) AS und, coalesce(absent, 0) AS absent, coalesce(short, 0) AS short, coat, coalesce(welders, 0) AS welders, coalesce(unq, 0) AS unq, coalesce(insp, 0) AS insp, coalesce(inspbad, 0) AS inspbad, coalesce(tools, 0) AS tools, coalesce(toolbad, 0) AS toolbad, coalesce(unreg.n, 0) AS unreg, used, nomtr, orphan, known,
-  coalesce(nd.n, 0) AS exam, coalesce(nd.un, 0) AS unlinked, coalesce(pt.n, 0) AS tested, coalesce(pt.op, 0) AS openp, coalesce(pt.inc, 0) AS inc, coalesce(ex.n, 0) AS expiring, coalesce(fl.n, 0) AS nopen, coalesce(fl.late, 0) AS nlate, coalesce(bd.n, 0) AS nbad, coalesce(areas, 0) AS areas, coalesce(uncoated, 0) AS uncoated,
+  coalesce(nd.n, 0) AS exam, coalesce(nd.un, 0) AS unlinked, coalesce(pt.n, 0) AS tested, coalesce(pt.op, 0) AS openp, coalesce(pt.inc, 0) AS inc, coalesce(ex.n, 0) AS expiring, coalesce(fl.n, 0) AS nopen, coalesce(fl.late, 0) AS nlate, coalesce(bd.n, 0) AS nbad, coalesce(areas, 0) AS areas, coalesce(uncoated, 0) AS uncoated, coalesce(missing, 0) AS missing,
   {_planned('construction_25', 25)} AS p1, {_planned('construction_50', 50)} AS p2
-  FROM b LEFT JOIN sec USING (job_book_id) LEFT JOIN ro USING (job_book_id) LEFT JOIN unreg USING (job_book_id) LEFT JOIN he USING (job_book_id) LEFT JOIN nd USING (job_book_id) LEFT JOIN pt USING (job_book_id) LEFT JOIN ex USING (job_book_id) LEFT JOIN fl USING (job_book_id) LEFT JOIN bd USING (job_book_id) LEFT JOIN ar USING (job_book_id))"""
+  FROM b LEFT JOIN sec USING (job_book_id) LEFT JOIN ro USING (job_book_id) LEFT JOIN unreg USING (job_book_id) LEFT JOIN he USING (job_book_id) LEFT JOIN nd USING (job_book_id) LEFT JOIN pt USING (job_book_id) LEFT JOIN ex USING (job_book_id) LEFT JOIN fl USING (job_book_id) LEFT JOIN bd USING (job_book_id) LEFT JOIN ar USING (job_book_id) LEFT JOIN ms USING (job_book_id))"""
 
 
 def _yes(condition: str, unknown: str = "false") -> str:
@@ -108,7 +119,7 @@ def _peer(least: int) -> str:
 
 
 _STATES = {
-    "g0.scaffolded": _yes("na = 0"), "g0.custodian": "CASE WHEN custodian_id IS NULL OR custodian_competency = 'JB-1' THEN 'not_met' WHEN custodian_competency IS NULL THEN 'indeterminate' ELSE 'met' END", "g0.governing_docs": _yes("has_references AND has_revisions AND governing_docs_confirmed_at IS NOT NULL"),
+    "g0.scaffolded": _yes("na = 0 AND missing = 0"), "g0.custodian": "CASE WHEN custodian_id IS NULL OR custodian_competency = 'JB-1' THEN 'not_met' WHEN custodian_competency IS NULL THEN 'indeterminate' ELSE 'met' END", "g0.governing_docs": _yes("has_references AND has_revisions AND governing_docs_confirmed_at IS NOT NULL"),
     "g0.procedures_loaded": _yes("proc = 0"), "g0.wpq": _yes("unq = 0", "welders = 0"), "g0.inspector_creds": _yes("inspbad = 0", "insp = 0"), "g0.wrench_calibration": _yes("toolbad = 0 AND unreg = 0", "tools = 0 AND unreg = 0"), "g0.expected_by": _yes("und = 0 AND app > 0"), "g0.planned_curve": _yes("planned_curve_agreed_at IS NOT NULL"),
     "g1.curve": _yes("completion_pct >= p1", "p1 IS NULL"), "g1.timeliness": _yes("timeliness_pct >= 95", "timeliness_pct IS NULL"), "g1.self_audit": _yes("self_audits >= self_audits_due", "self_audits_due IS NULL"), "g1.peer_audit": _peer(90), "g1.registers": _yes("welders > 0 AND tools > 0 AND known > 0"), "g1.heats": _yes("nomtr = 0", "used = 0"), "g1.ncr": _yes("nopen = 0 OR nlate = 0", "NOT flags_loaded"),
     "g2.curve": "CASE WHEN p2 IS NOT NULL THEN CASE WHEN completion_pct >= p2 THEN 'met' ELSE 'not_met' END END", "g2.iso_stage1": "'indeterminate'", "g2.pressure_closed": _yes("openp = 0", "tested = 0"), "g2.cert_forecast": "CASE WHEN window_end IS NULL OR expiring > 0 THEN 'indeterminate' ELSE 'met' END", "g2.peer_audit": _peer(90),

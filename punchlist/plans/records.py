@@ -82,6 +82,9 @@ SELECT CAST(p_partkey % 25 AS STRING) AS job_book_id, 'm' || p_partkey AS id, 'H
 SELECT CAST(p_partkey % 25 AS STRING) AS job_book_id, 'q' || p_partkey AS id, CAST(p_partkey % 90 AS STRING) AS test_identifier, CASE WHEN p_size % 9 <> 0 THEN DATE '1993-06-01' + CAST(p_partkey * 7 % 1800 AS INT) END AS test_date, CASE WHEN p_size % 8 <> 0 THEN p_retailprice END AS test_pressure_psi,
   CASE WHEN p_size % 7 <> 0 THEN 60.0 END AS duration_minutes, CASE WHEN p_size % 10 <> 0 THEN 'Pass' END AS result, 'x' || (p_partkey % 1600) AS recorder_cert_id, 'x' || (p_partkey % 700 + 1) AS gauge_cert_id, CASE WHEN p_size % 4 <> 0 THEN 'x' || (p_partkey % 150 + 1) END AS psv_cert_id,
   CASE WHEN p_size % 3 = 0 THEN 'd' || p_partkey END AS chart_document_id, CASE WHEN p_size % 5 = 0 THEN 'd' || p_partkey END AS result_document_id, CASE WHEN p_size % 6 <> 0 THEN 100.0 END AS start_pressure_psi, CASE WHEN p_size % 11 <> 0 THEN 95.0 + p_size % 10 END AS end_pressure_psi, CASE WHEN p_size % 13 <> 0 THEN 70.0 END AS ambient_temp_f FROM part"""),
+    "section_template": ("customer", """
+SELECT DISTINCT CASE WHEN c_custkey % 25 = 0 THEN 'S1' ELSE CAST(c_custkey % 25 AS STRING) END AS section_number,
+  CASE WHEN c_custkey % 25 IN (20, 21) THEN 'facility' WHEN c_custkey % 25 = 24 THEN 'flowline' ELSE 'both' END AS applies_to FROM customer"""),
     "job_book_section": ("customer", """
 SELECT DISTINCT CAST(c_custkey % 25 AS STRING) AS job_book_id, 'b' || (c_custkey % 25) || '.' || (c_custkey % 24) AS id, CASE WHEN c_custkey % 24 = 0 THEN 'S1' ELSE CAST(c_custkey % 24 AS STRING) END AS section_number,
   CASE WHEN c_custkey % 25 * 7 % 11 = c_custkey % 24 % 11 THEN 'na' WHEN c_custkey % 24 % 3 = 0 THEN 'ready_for_review' ELSE 'in_progress' END AS status, CASE WHEN (c_custkey % 25 + c_custkey % 24) % 13 = 2 THEN 'not_imported' WHEN c_custkey % 24 % 2 = 0 THEN 'imported' END AS ingestion_status,

@@ -261,14 +261,42 @@ def late_matches(stream: DataFrame, key: str, kind: str) -> DataFrame:
     return out.withColumn("status", F.when(F.col("heats") == 0, "no heat").when(live, "on_file").otherwise("missing"))
 
 
+#: So many folders of sent notes are put together in one.
+COMPACTED = 16
+
+
+def _blocks(id: int) -> list[tuple[int, int]]:
+    """(level, first batch) of the aligned blocks that cover the batches before ``id``; a block of level k holds COMPACTED ** k batches."""
+    out, first, level = [], 0, 0
+    while COMPACTED ** (level + 1) <= id:
+        level += 1
+    while first < id:
+        while first + COMPACTED**level > id:
+            level -= 1
+        out.append((level, first))
+        first += COMPACTED**level
+    return out
+
+
 def digest_batches(path: str, people: DataFrame, now: Column, min_age_minutes: int) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the notes that are due for a digest, each batch's in a folder of its own; what earlier batches sent is
-    left out, so nobody gets a note twice and a repeated batch sends what it sent."""
+    left out, so nobody gets a note twice and a repeated batch sends what it sent.
+
+    What was sent is put together in blocks of 16, 256, ... batches beside the sink, so a batch lists at most 15 folders a level, and a
+    note is written again once a level. Blocks depend on batch ids alone, so a repeated batch writes the same ones.
+    """
     from ..operators.notify import digest_due
 
+    folder = lambda level, first: f"{path}-blocks/level={level}/first={first}" if level else f"{path}/batch={first}"
+
     def each(batch: DataFrame, id: int) -> None:
-        spark = batch.sparkSession
-        sent = spark.read.parquet(*[f"{path}/batch={i}" for i in range(id)]) if id else spark.createDataFrame([], batch.select("person", "note").schema)
+        spark, level = batch.sparkSession, 1
+        while id and id % COMPACTED**level == 0:
+            width = COMPACTED ** (level - 1)
+            parts = [folder(level - 1, i) for i in range(id - COMPACTED**level, id, width)]
+            spark.read.parquet(*parts).write.mode("overwrite").parquet(folder(level, id - COMPACTED**level))
+            level += 1
+        sent = spark.read.parquet(*[folder(*b) for b in _blocks(id)]) if id else spark.createDataFrame([], batch.select("person", "note").schema)
         digest_due(batch, sent, people, now, min_age_minutes).select("person", "note").distinct().write.mode("overwrite").parquet(f"{path}/batch={id}")
 
     return each
