@@ -62,8 +62,9 @@ def planned_minimum(gate: Column, milestones: Column | None = None, minimums: Co
     return F.when(milestones.isNull(), pairs(1).cast("double")).when(F.array_contains(milestones, pairs(0)), own.cast("double"))
 
 
-def _per_book(df: DataFrame, **counts: Column) -> DataFrame:
-    return df.groupBy(BOOK).agg(*[c.alias(n) for n, c in counts.items()])
+def _asked(df: DataFrame, **flags: Column) -> DataFrame:
+    """A row's part in its book's facts: what it counts for."""
+    return df.select(BOOK, *[c.alias(n) for n, c in flags.items()])
 
 
 def _kind() -> Column:
@@ -72,7 +73,8 @@ def _kind() -> Column:
 
 
 def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """One row per book with what the gates ask: its own fields and counts over its records, each counted in one aggregation.
+    """One row per book with what the gates ask: its own fields and counts over its records. The rows of all tables, marked with what
+    they count for, are one union and one aggregation by book, so no part of the facts is shuffled or joined on its own.
 
     ``t``: job_book, job_book_section, section_template (section_number, applies_to: both or a type), document, weld, welder_qualification, certificate, torque_connection, torque_wrench,
     nde_report, pressure_test, material_heat, compliance_flag, coating_inspection (job_book_id, construction_area), and roster (job_book_id,
@@ -92,36 +94,45 @@ def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
     entered = [t[n].groupBy(BOOK).agg(F.count(F.lit(1)).alias("have")).withColumn("linked_record_type", F.lit(n)) for n in ("weld", "torque_connection", "material_heat", "nde_report", "pressure_test") if n in t]
     s = s.join(held, [BOOK, "id"], "left").join(reduce(DataFrame.unionByName, entered), [BOOK, "linked_record_type"], "left")
     counted = F.col("linked_record_type").isin("weld", "torque_connection", "material_heat", "nde_report", "pressure_test")
-    parts = [_per_book(
-        s, n_na_without_reason=F.count_if(~applies & completeness.blank(F.col("na_reason"))), n_procedures=F.count_if(F.col("section_number").isin("3", "4", "5", "9")), n_empty_procedures=F.count_if(F.col("section_number").isin("3", "4", "5", "9") & F.col("held").isNull()),
-        n_applicable=F.count_if(applies), n_undated=F.count_if(applies & F.col("expected_by").isNull()), n_absent=F.count_if(applies & (unread | (F.col("computed_pct") <= 0))),
-        n_shortfalls=F.count_if(applies & counted & (F.col("expected_count") > 0) & (F.coalesce("have", F.lit(0)) < F.col("expected_count"))), coating=F.max(F.when(F.col("section_number") == "23", F.when(applies, "enabled").otherwise("na"))),
+    procedure = F.col("section_number").isin("3", "4", "5", "9")
+    short = (F.col("expected_count") > 0) & (F.coalesce("have", F.lit(0)) < F.col("expected_count"))
+    parts = [_asked(
+        s,
+        n_na_without_reason=~applies & completeness.blank(F.col("na_reason")),
+        n_procedures=procedure,
+        n_empty_procedures=procedure & F.col("held").isNull(),
+        n_applicable=applies,
+        n_undated=applies & F.col("expected_by").isNull(),
+        n_absent=applies & (unread | (F.col("computed_pct") <= 0)),
+        n_shortfalls=applies & counted & short,
+        coating=F.when(F.col("section_number") == "23", F.when(applies, "enabled").otherwise("na")),
     )]
 
-    parts.append(_per_book(unscaffolded(t["job_book"], t["section_template"], s), n_unscaffolded=F.count(F.lit(1))))
+    parts.append(_asked(unscaffolded(t["job_book"], t["section_template"], s), n_unscaffolded=F.lit(True)))
 
     # Who is mobilising, and whether they are covered.
     roster = t["roster"].join(bounds, BOOK)
     quals = t["welder_qualification"].groupBy(F.col("welder_id").alias("subject_id")).agg(F.bool_or(F.col("expiry_date").isNull()).alias("open"), F.max("expiry_date").alias("last"))
     welders = roster.where("kind = 'welder'").join(quals, "subject_id", "left")
     fit = F.coalesce(F.col("open") | (F.col("last") >= F.col("stop")), F.lit(False))
-    parts.append(_per_book(welders, n_welders=F.count(F.lit(1)), n_unqualified=F.count_if(~fit)))
+    parts.append(_asked(welders, n_welders=F.lit(True), n_unqualified=~fit))
     certs = certificates.select(BOOK, F.col("subject_type").alias("kind"), "subject_id", "ndt_methods", F.col("issue_date").alias("s"), expiry.alias("e"))
     others = roster.where("kind <> 'welder'").withColumn("event", F.concat_ws("|", BOOK, "kind", "subject_id"))
     others = others.join(validity.valid_on(others, certs.drop("ndt_methods"), [BOOK, "kind", "subject_id"], "event", "start", "s", "e").select("event", "valid"), "event")
     tools = t["torque_wrench"].select(F.col("id").alias("subject_id"), "cert_on_file")
     others = others.join(tools, "subject_id", "left").withColumn("ok", F.col("valid") & ((F.col("kind") != "torque_wrench") | F.coalesce("cert_on_file", F.lit(False))))
     tool = F.col("kind") == "torque_wrench"
-    parts.append(_per_book(others, n_inspectors=F.count_if(~tool), n_uncovered=F.count_if(~tool & ~F.col("ok")), n_wrenches=F.count_if(tool), n_wrench_problems=F.count_if(tool & ~F.col("ok"))))
+    parts.append(_asked(others, n_inspectors=~tool, n_uncovered=~tool & ~F.col("ok"), n_wrenches=tool, n_wrench_problems=tool & ~F.col("ok")))
     unknown = t["torque_connection"].where("wrench_id IS NOT NULL").select(BOOK, F.col("wrench_id").alias("subject_id")).distinct().join(tools, "subject_id", "left_anti")
-    parts.append(_per_book(unknown, n_unregistered=F.count(F.lit(1))))
+    parts.append(_asked(unknown, n_unregistered=F.lit(True)))
 
     # Records: heats by their exact number, examinations, tests, certificates that lapse, open findings.
     used = t["weld"].select(BOOK, F.explode("heat_numbers").alias("h"))
     sets = {"used": (used, F.col("h")), "file": (t["material_heat"].where("mtr_status = 'on_file'"), F.col("heat_number")), "known": (t["material_heat"], F.col("heat_number"))}
     heats = reconcile.membership(sets, [BOOK])
-    parts.append(_per_book(heats, n_used_heats=F.count_if("in_used"), n_without_mtr=F.count_if(F.col("in_used") & ~F.col("in_file")), n_orphan_mtr=F.count_if(F.col("in_file") & ~F.col("in_used")), n_heats=F.count_if("in_known")))
-    parts.append(_per_book(t["weld"].where("ndt_method IS NOT NULL"), n_examined=F.count(F.lit(1)), n_unlinked=F.count_if(F.col("ndt_report_id").isNull())))
+    in_used, in_file = F.col("in_used"), F.col("in_file")
+    parts.append(_asked(heats, n_used_heats=in_used, n_without_mtr=in_used & ~in_file, n_orphan_mtr=in_file & ~in_used, n_heats=F.col("in_known")))
+    parts.append(_asked(t["weld"].where("ndt_method IS NOT NULL"), n_examined=F.lit(True), n_unlinked=F.col("ndt_report_id").isNull()))
     tests = t["pressure_test"].where("test_date IS NOT NULL")
     c = certificates.select(BOOK, F.col("id").alias("cert"), F.col("issue_date").alias("s"), expiry.alias("e"))
     slots = tests.select(BOOK, "id", "test_date", F.explode(F.array("gauge_cert_id", "recorder_cert_id", "psv_cert_id")).alias("cert")).join(c, [BOOK, "cert"], "left")
@@ -129,15 +140,15 @@ def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
     tests = tests.join(slots.groupBy(BOOK, "id").agg(F.bool_and(fits).alias("instruments")), [BOOK, "id"])
     open_ = F.col("result_document_id").isNull() | F.col("result").isNull()
     hold = F.col("start_pressure_psi").isNull() | F.col("end_pressure_psi").isNull() | F.col("duration_minutes").isNull()
-    parts.append(_per_book(tests, n_tested=F.count(F.lit(1)), n_open_packs=F.count_if(open_), n_incomplete=F.count_if(open_ | hold | ~F.col("instruments"))))
+    parts.append(_asked(tests, n_tested=F.lit(True), n_open_packs=open_, n_incomplete=open_ | hold | ~F.col("instruments")))
     lapse = t["certificate"].join(bounds, BOOK).where((F.col("expiry_date") >= as_of) & (F.col("expiry_date") < F.col("end")))
-    parts.append(_per_book(lapse, n_expiring=F.count(F.lit(1))))
+    parts.append(_asked(lapse, n_expiring=F.lit(True)))
     areas = book.select(BOOK, F.explode(F.array_distinct("construction_areas")).alias("construction_area"))
     inspected = t["coating_inspection"].select(BOOK, "construction_area", F.lit(True).alias("there")).distinct()
     coated = areas.join(inspected, [BOOK, "construction_area"], "left")
-    parts.append(_per_book(coated, n_areas=F.count(F.lit(1)), n_uncoated=F.count_if(F.col("there").isNull())))
+    parts.append(_asked(coated, n_areas=F.lit(True), n_uncoated=F.col("there").isNull()))
     flags = t["compliance_flag"].where("state IN ('open', 'acknowledged') AND severity IN ('critical', 'warning')")
-    parts.append(_per_book(flags, n_open=F.count(F.lit(1)), n_not_on_time=F.count_if(F.col("due_at").isNull() | (F.col("due_at") < as_of))))
+    parts.append(_asked(flags, n_open=F.lit(True), n_not_on_time=F.col("due_at").isNull() | (F.col("due_at") < as_of)))
 
     # Every record of work against a certificate of its day, each distinct question asked once.
     passes = F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"{x}_welder_id") for x in ("root", "hot", "fill", "cap")]))))
@@ -153,13 +164,12 @@ def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
     covered = work.select(*key, "event", "day", "method").distinct().join(certs, key, "left").groupBy("event").agg(F.coalesce(F.bool_or(live), F.lit(False)).alias("ok"))
     known = work.join(covered, "event").join(tools.select("subject_id", F.lit(True).alias("there")), "subject_id", "left")
     rest = known.select(BOOK, (F.col("ok") & ((F.col("kind") != "torque_wrench") | F.col("there").isNotNull())).alias("ok"))
-    parts.append(_per_book(welds.unionByName(rest), n_uncovered_work=F.count_if(~F.col("ok"))))
+    parts.append(_asked(welds.unionByName(rest), n_uncovered_work=~F.col("ok")))
 
-    out = book
-    for p in parts:
-        out = out.join(p, BOOK, "left")
-    counts = [c for c in out.columns if c.startswith("n_")]
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    rows = reduce(lambda p, q: p.unionByName(q, allowMissingColumns=True), parts)
+    names = [c for c in rows.columns if c.startswith("n_")]
+    sums = rows.groupBy(BOOK).agg(*[F.count_if(c).alias(c) for c in names], F.max("coating").alias("coating"))
+    return book.join(sums, BOOK, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
 
 
 def all_criteria(f: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ SELECT DISTINCT CAST(c_custkey % 25 AS STRING) AS job_book_id, 'b' || (c_custkey
   CASE WHEN c_custkey % 25 * 7 % 11 = c_custkey % 24 % 11 THEN 'na' WHEN c_custkey % 24 % 3 = 0 THEN 'ready_for_review' ELSE 'in_progress' END AS status, CASE WHEN (c_custkey % 25 + c_custkey % 24) % 13 = 2 THEN 'not_imported' WHEN c_custkey % 24 % 2 = 0 THEN 'imported' END AS ingestion_status,
   c_custkey % 24 % 5 <> 1 AS is_required, CAST(CASE WHEN c_custkey % 24 = 0 THEN 0 ELSE c_custkey % 24 % 6 + 1 END AS DOUBLE) AS weight, CASE c_custkey % 24 WHEN 10 THEN 'nde_report' WHEN 12 THEN 'weld' WHEN 14 THEN 'torque_connection' WHEN 19 THEN 'ut_reading' WHEN 23 THEN 'coating_inspection' END AS linked_record_type,
   CASE c_custkey % 24 WHEN 0 THEN 'supplemental' WHEN 6 THEN 'welder' WHEN 8 THEN 'ndt_technician' WHEN 10 THEN 'nde_report' WHEN 11 THEN 'derived' WHEN 12 THEN 'weld' WHEN 13 THEN 'equipment' WHEN 14 THEN 'torque_connection' WHEN 15 THEN 'material_heat' WHEN 17 THEN 'pressure_test' WHEN 18 THEN 'cp_test_point'
-  WHEN 21 THEN 'isometric' WHEN 22 THEN 'isometric' ELSE 'document' END AS scored_by, 1 + c_custkey % 24 % 2 AS min_documents, CASE WHEN c_custkey % 24 % 7 <> 3 THEN DATE '1996-01-01' END AS expected_by, CASE WHEN (c_custkey % 25 + c_custkey % 24) % 3 = 1 THEN 'agreed' END AS na_reason, CAST((c_custkey % 25 * 5 + c_custkey % 24 * 3) % 101 AS DOUBLE) AS computed_pct,
+  WHEN 21 THEN 'isometric' WHEN 22 THEN 'isometric' ELSE 'document' END AS scored_by, 1 + c_custkey % 24 % 2 AS min_documents, CASE WHEN c_custkey % 24 % 7 <> 3 THEN DATE '1996-01-01' END AS expected_by, CASE WHEN c_custkey % 25 % 4 = 0 OR (c_custkey % 25 + c_custkey % 24) % 3 = 1 THEN 'agreed' END AS na_reason, CAST((c_custkey % 25 * 5 + c_custkey % 24 * 3) % 101 AS DOUBLE) AS computed_pct,
   CASE WHEN c_custkey % 24 IN (20, 21) THEN 'As-Built drawings' ELSE 'Section ' || (c_custkey % 24) END AS title, CASE WHEN c_custkey % 24 % 4 = 1 THEN 40 WHEN c_custkey % 24 % 4 = 2 THEN 3 END AS expected_count FROM customer"""),
     "document": ("documents", """
 SELECT CAST(doc_id % 25 AS STRING) AS job_book_id, 'd' || doc_id AS id, 'b' || (doc_id % 25) || '.' || (doc_id % 22) AS section_id, sha256(CAST(length(text) % 211 AS STRING)) AS sha256, doc_id % 31 = 9 AS is_deleted, doc_id % 12 = 4 AS is_superseded, CASE WHEN doc_id % 24 = 3 THEN 'd' || (doc_id + 1) END AS supersedes_document_id,
