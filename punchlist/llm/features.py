@@ -57,19 +57,26 @@ def structure(text: str) -> np.ndarray:
     ])
 
 
+def stated(values: list[float | None]) -> np.ndarray:
+    """Metadata in 0 to 1 by their magnitude; NaN where nothing is stated."""
+    given = np.array([np.nan if v is None else v for v in values], float)
+    return np.minimum(1.0, np.log1p(np.maximum(given, 0)) / 12)
+
+
 SAMPLE = "id_hash long, y int, text_hash long, at array<long>, n array<float>, stats array<float>"
 
 
 def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (hash of the id, label, hash of the text, text): the features of a training row."""
+    """For mapInArrow over (hash of the id, label, hash of the text, text, and metadata if any): the features of a training row."""
     codes = Codes()
     for batch in batches:
         at, n, stats = [], [], []
-        for text in batch.column(3).to_pylist():
+        metadata = batch.column(4).to_pylist() if batch.num_columns > 4 else [[]] * batch.num_rows
+        for text, values in zip(batch.column(3).to_pylist(), metadata):
             a, b = word_counts(text or "", codes)
             at.append(a)
             n.append(b.astype(np.float32))
-            stats.append(structure(text or "").astype(np.float32))
+            stats.append(np.concatenate([structure(text or ""), stated(values)]).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float32()))],
             names=["id_hash", "y", "text_hash", "at", "n", "stats"],
@@ -77,7 +84,7 @@ def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sample:
-    """A bounded labelled sample in the driver's memory: rows of (code, count) pairs, statistics and labels."""
+    """A bounded labelled sample in the driver's memory: rows of (code, count) pairs, statistics (and metadata behind them) and labels."""
 
     def __init__(self, rows: pa.Table):
         rows = rows.combine_chunks()
@@ -86,11 +93,11 @@ class Sample:
         self.sizes = np.diff(lists.offsets.to_numpy()) if rows.num_rows else np.zeros(0, np.int64)
         self.at = rows["at"].combine_chunks().flatten().to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
         self.n = rows["n"].combine_chunks().flatten().to_numpy().astype(np.float64) if rows.num_rows else np.zeros(0)
-        self.stats = rows["stats"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS)).astype(np.float64) if rows.num_rows else np.zeros((0, len(STATISTICS)))
+        self.stats = rows["stats"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.float64) if rows.num_rows else np.zeros((0, len(STATISTICS)))
         self.row = np.repeat(np.arange(len(self.y)), self.sizes)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ()) -> Sample:
     """At most ``most`` labelled documents, taken by a hash of their ids among the labels that ``allowed`` admits.
 
     Labels are few columns of few bytes, of which only ``most`` rows are kept and broadcast; texts are not shuffled. An id that
@@ -98,8 +105,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, mos
     """
     usable = labels.select(F.col(id_col).alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("l_id").isNotNull() & F.col("y").isNotNull() & allowed(F.col("l_id")))
     taken = usable.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(most)
-    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(taken), F.col("d_id") == F.col("l_id"))
-    featured = rows.select(F.xxhash64("l_id"), "y", F.xxhash64("text"), "text").mapInArrow(featurised, SAMPLE)
+    meta = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)]
+    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"), *meta).join(F.broadcast(taken), F.col("d_id") == F.col("l_id"))
+    names = [f"m{i}" for i in range(len(meta))]
+    values = [F.array(*names).alias("metadata")] if names else []
+    featured = rows.select(F.xxhash64("l_id"), "y", F.xxhash64("text", *names), "text", *values).mapInArrow(featurised, SAMPLE)
     if rows.count() > most:  # reads ids alone; without repeated ids there is nothing to leave out, so nothing has to be sorted
         featured = featured.orderBy("id_hash", "y", "text_hash").limit(most)
     return Sample(featured.toArrow().sort_by([(c, "ascending") for c in ("id_hash", "y", "text_hash")]))

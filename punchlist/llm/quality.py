@@ -1,11 +1,11 @@
 """Quality scores by a factorisation machine.
 
-A document is a sparse vector: hashed words (each by its share of the text, dampened) and statistics of its structure, cut
-into bands. The model adds a bias, a weight for every feature, and an inner product of two low-rank vectors for every pair
+A document is a sparse vector: hashed words (each by its share of the text, dampened), statistics of its structure, cut
+into bands, and its metadata (the query's: the stated number of characters), cut into bands of magnitude, with one for what is not stated. The model adds a bias, a weight for every feature, and an inner product of two low-rank vectors for every pair
 of features; the sum over pairs is had in linear time as half of (square of the sum less sum of the squares).
 
 It is fitted on at most ``SAMPLE_ROWS`` labelled documents (a bounded sample by hash of the id), of those whose crc32 modulo
-5 is not 0. Only the text goes into a score.
+5 is not 0. Only the text and ``metadata`` go into a score; NULL metadata, or none at all, is a value like others.
 
 Defined results: a null or empty text has only the statistics' lowest bands and gets a score. Without labels every score is
 0.5. A null ``doc_id`` is never held out. Rows that repeat a ``doc_id`` each get a result, and labels that repeat each count.
@@ -22,20 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .features import STATISTICS, Codes, Sample, labelled_sample, structure, word_counts
+from .features import STATISTICS, Codes, Sample, labelled_sample, stated, structure, word_counts
 
 SAMPLE_ROWS, RANK, EPOCHS, BANDS, SEED = 8_000, 8, 12, 16, 7
 #: Small samples are gone through more often, for as many steps at least.
 MIN_STEPS = 600
 #: Buckets of hashed words.
 BUCKETS = 1 << 17
-FEATURES = BUCKETS + len(STATISTICS) * BANDS
+#: Columns of metadata, at most.
+MOST_METADATA = 4
+FEATURES = BUCKETS + (len(STATISTICS) + MOST_METADATA) * (BANDS + 1)
 
 
 def _banded(stats: np.ndarray) -> np.ndarray:
-    """The features of rows of statistics: one band for each."""
-    band = np.minimum((np.sqrt(np.clip(stats, 0, 1)) * BANDS).astype(np.int64), BANDS - 1)
-    return BUCKETS + np.arange(len(STATISTICS)) * BANDS + band
+    """The features of rows of statistics and metadata: one band for each, the last for what is not stated."""
+    band = np.minimum((np.sqrt(np.clip(np.nan_to_num(stats), 0, 1)) * BANDS).astype(np.int64), BANDS - 1)
+    return BUCKETS + np.arange(stats.shape[-1]) * (BANDS + 1) + np.where(np.isnan(stats), BANDS, band)
 
 
 def _weights(counts: np.ndarray, total: float) -> np.ndarray:
@@ -112,9 +114,9 @@ def _score(shared):
             out = np.zeros(batch.num_rows)
             for first in range(0, batch.num_rows, 256):
                 at, x, sizes = [], [], []
-                for text in batch.column(1).slice(first, 256).to_pylist():
+                for text, values in zip(batch.column(1).slice(first, 256).to_pylist(), batch.column(2).slice(first, 256).to_pylist()):
                     a, n = word_counts(text or "", codes)
-                    b = _banded(structure(text or ""))
+                    b = _banded(np.concatenate([structure(text or ""), stated(values)]))
                     at += [a % BUCKETS, b]
                     x += [_weights(n, n.sum()), np.full(len(b), 0.5)]
                     sizes.append(len(a) + len(b))
@@ -126,14 +128,27 @@ def _score(shared):
     return of_batches
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 5, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    sample = labelled_sample(docs, labels, label, lambda i: crc_mod(i, folds) != 0, sample_rows, id_col, text_col)
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label: str = "quality",
+    folds: int = 5,
+    sample_rows: int = SAMPLE_ROWS,
+    threshold: float = 0.3,
+    metadata: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, held_out, score, predicted. ``metadata``: at most MOST_METADATA columns of numbers."""
+    if len(metadata) > MOST_METADATA:
+        raise ValueError(f"{len(metadata)} columns of metadata, {MOST_METADATA} at most")
+    sample = labelled_sample(docs, labels, label, lambda i: crc_mod(i, folds) != 0, sample_rows, id_col, text_col, metadata)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(_score(model), f"doc_id {kind}, score double")
+    values = F.array(*[F.col(c).cast("double") for c in metadata]).cast("array<double>")
+    out = docs.select(id_col, text_col, values).mapInArrow(_score(model), f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
