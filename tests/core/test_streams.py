@@ -111,6 +111,28 @@ def test_who_is_told_does_not_depend_on_batches(spark, tmp_path):
         assert {k: v[:7] for k, v in got.items()} == want, name
 
 
+def test_rows_of_a_key_that_come_in_parts_are_taken_in_order_of_time(spark, tmp_path):
+    day = T(2024, 1, 1)
+    at = lambda m: day + dt.timedelta(minutes=m)
+    rows = [("x", at(m), "resolved" if m % 7 == 3 else "fault") for m in range(0, 300, 2)][::-1]
+    source = str(tmp_path / "in")
+    put(spark, source, "moves", 0, rows, "k string, at timestamp, what string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = states(spark, source, str(tmp_path / "work"))["x"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n, told, last, resolved, again = 0, [], None, False, 0
+    for _, when, what in rows[::-1]:
+        if what == "resolved":
+            resolved = n > 0
+            continue
+        n, last, again, resolved = n + 1, when, again + resolved, False
+        if not told or when - told[-1] >= dt.timedelta(minutes=60):
+            told.append(when)
+    assert got[:7] == (n, day, last, told[-1], len(told), resolved, again)
+
+
 def test_a_withdrawal_takes_back_its_own_certificate(spark, tmp_path):
     day, schema = T(2024, 1, 1), "k string, at timestamp, kind string, c string"
     rows = [("h1", "heat", ""), ("h1", "withdrawal", "A"), ("h1", "certificate", "A"), ("h1", "certificate", "B"), ("h1", "certificate", "B"), ("h2", "certificate", "A"), ("h2", "withdrawal", "A"), ("h2", "heat", ""), ("h3", "certificate", "Z")]
