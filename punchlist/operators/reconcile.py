@@ -40,14 +40,16 @@ def multiplicity(probes: DataFrame, probe_key: Column, targets: DataFrame, targe
 
 
 def resolve(probes: DataFrame, probe_id: str, probe: Column, register: DataFrame, register_id: str, keys: list[Column], ambiguous_is_null: bool = False) -> DataFrame:
-    """The register's entry that a name means, by keys in strict precedence; the smallest id of equals, or none if ambiguous."""
+    """The register's entry that a name means, by keys in strict precedence; the smallest id of equals, or none if ambiguous.
+
+    A name is answered once in the register, before probes meet it, so a probe never makes more than one row.
+    """
     ranked = register.select(F.col(register_id).alias("_id"), F.posexplode(F.array(*keys)).alias("_rank", "_k")).where(F.col("_k").isNotNull() & (F.col("_k") != ""))
-    hits = probes.select(probe_id, probe.alias("_k")).join(ranked, "_k")
-    best = hits.groupBy(probe_id).agg(F.min(F.struct("_rank", "_id")).alias("best"))
+    per_rank = ranked.groupBy("_k", "_rank").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last"))
+    best = per_rank.groupBy("_k").agg(F.min(F.struct("_rank", "_id", "_last")).alias("best"))
     if ambiguous_is_null:
-        tied = hits.join(best, probe_id).where(F.col("_rank") == F.col("best._rank")).groupBy(probe_id).agg(F.countDistinct("_id").alias("n"))
-        best = best.join(tied, probe_id).select(probe_id, F.when(F.col("n") == 1, F.col("best")).alias("best"))
-    return probes.select(probe_id).join(best, probe_id, "left").select(probe_id, F.col("best._id").alias("resolved"), F.col("best._rank").alias("rank"))
+        best = best.where(F.col("best._id") == F.col("best._last"))
+    return probes.select(probe_id, probe.alias("_k")).join(best, "_k", "left").select(probe_id, F.col("best._id").alias("resolved"), F.col("best._rank").alias("rank"))
 
 
 def band(value: Column, bands: list[tuple[float, float | None, str]]) -> Column:

@@ -4,9 +4,10 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from punchlist import registry
-from punchlist.operators import papers
+from punchlist.operators import papers, reconcile
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -16,6 +17,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def joined(spark, df):
+    """The most rows that any join of ``df`` puts out when it runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        top = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    most, left = 0, [top]
+    while left:
+        node = left.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
 @given
 @pytest.mark.parametrize("name", ["a30_torque_log_issues", "a36_pressure_plan", "i10_torque_plan", "i3_facility_welds", "i5_likely_wrenches", "i5_torque_rows", "i6_flowline_torque", "i7_pressure_rows", "i8_plan_findings", "i9_flowline_findings"])
 def test_cells_of_logs_are_never_broadcast(spark, name):
@@ -31,3 +49,15 @@ def test_words_of_a_long_line_are_split_once(spark):
     rows = papers.report_rows(spark.createDataFrame([("r", 0, line)], "report_id string, line_no int, text string")).collect()
     assert [sorted(r["candidates"]) for r in rows] == [[f"FW-{i}" for i in range(7)]]
     assert time.monotonic() - start < 30
+
+
+def test_a_name_of_many_people_makes_one_row(spark):
+    people = spark.range(2000).selectExpr("id", "'S' || id % 2 AS short", "'S1' AS long")
+    asked = spark.range(300).selectExpr("id AS o", "'S' || id % 4 AS name")
+    names = [F.col("short"), F.col("long")]
+    out = reconcile.resolve(asked, "o", F.col("name"), people, "id", names)
+    assert joined(spark, out) <= 300
+    assert {(r["o"] % 4, r["resolved"], r["rank"]) for r in out.collect()} == {(0, 0, 0), (1, 1, 0), (2, None, None), (3, None, None)}
+    one = spark.createDataFrame([(1, "S0", "S1"), (2, "S1", "S1"), (3, "S2", "S0"), (4, "S2", None)], "id long, short string, long string")
+    sole = reconcile.resolve(asked.where("o < 4"), "o", F.col("name"), one, "id", names, ambiguous_is_null=True)
+    assert sorted(tuple(r) for r in sole.collect()) == [(0, 1, 0), (1, 2, 0), (2, None, None), (3, None, None)]
