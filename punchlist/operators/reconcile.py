@@ -72,6 +72,8 @@ def typo_suggestions(unknown: DataFrame, u: str, known: DataFrame, k: str, order
         masked = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.lit("1:"), F.substring(F.col(c), F.lit(1), i - 1), F.lit("\0"), F.substring(F.col(c), i + 1, F.length(c))))
         return df.where(F.length(c) > 0).select(c, *more, F.explode(F.array_append(masked, F.concat(F.lit("2:"), F.array_join(F.array_sort(chars), "")))).alias("_key"))
 
-    pairs = keyed(unknown.select(u).distinct(), u).join(keyed(known.select(F.col(k).alias("_known"), order), "_known", order), "_key").where(F.col(u) != F.col("_known"))
+    # A known code counts once, with its first place in the order: registers repeat codes.
+    each = known.groupBy(F.col(k).alias("_known")).agg(F.min(order).alias(order))
+    pairs = keyed(unknown.select(u).distinct(), u).join(keyed(each, "_known", order), "_key").where(F.col(u) != F.col("_known"))
     best = pairs.groupBy(u).agg(F.min(F.struct(F.substring("_key", 1, 1), F.col(order), F.col("_known").alias("suggestion"))).alias("b"))
     return unknown.select(u).distinct().join(best, u, "left").select(u, F.col("b.suggestion").alias("suggestion"))

@@ -61,3 +61,11 @@ def test_a_name_of_many_people_makes_one_row(spark):
     one = spark.createDataFrame([(1, "S0", "S1"), (2, "S1", "S1"), (3, "S2", "S0"), (4, "S2", None)], "id long, short string, long string")
     sole = reconcile.resolve(asked.where("o < 4"), "o", F.col("name"), one, "id", names, ambiguous_is_null=True)
     assert sorted(tuple(r) for r in sole.collect()) == [(0, 1, 0), (1, 2, 0), (2, None, None), (3, None, None)]
+
+
+def test_a_code_that_a_register_repeats_is_compared_once(spark):
+    known = spark.range(3000).selectExpr("'12' || id % 3 || '4' AS tool", "id AS ord")
+    asked = spark.createDataFrame([("1294",), ("2104",), ("9999",), ("1204",)], "code string")
+    out = reconcile.typo_suggestions(asked, "code", known, "tool", "ord")
+    assert joined(spark, out) <= 20
+    assert {tuple(r) for r in out.collect()} == {("1294", "1204"), ("2104", "1204"), ("9999", None), ("1204", "1214")}
