@@ -240,3 +240,26 @@ def test_a_dump_in_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(x[1:] for x in got if x[0] == "dump.txt") == sorted(want)
     assert sorted(x[1:] for x in got if x[0] == "other.txt") == [("Short", 0, 0, "a"), ("Short", 0, 1, "b"), ("Short", 3, 0, "c")]
+
+
+def test_notes_reach_each_person_once_and_only_notes_are_kept(spark, tmp_path):
+    path, schema = str(tmp_path / "sent"), "n long, b int, a long, s string"
+    people = spark.createDataFrame([(1, 7, "custodian"), (1, 8, "assignee"), (2, 7, "custodian"), (2, 9, "assignee")], "b int, p long, r string")
+    each = jobs.note_batches(path, people, "n", "b", "a", "p", "r", "s")
+    batches = [[(1, 1, 0, "info"), (2, 1, 8, "warning")], [(1, 1, 0, "warning"), (2, 2, 0, "warning"), (3, 1, 0, "info"), (3, 1, 0, "info")], [(1, 1, 0, "info")]]
+    for i, batch in enumerate(batches):
+        for _ in range(2):
+            each(spark.createDataFrame(batch, schema), i)
+    sent = spark.read.parquet(path)
+    assert sorted((r["batch"], r["n"], r["p"]) for r in sent.collect()) == [(0, 1, 7), (0, 2, 7), (1, 1, 8), (1, 2, 9), (1, 3, 7)]
+
+
+def test_uploads_are_kept_in_buckets(spark, tmp_path, monkeypatch):
+    """Many uploads in few buckets: each is judged by itself. One call of Python an upload took about a millisecond each."""
+    source, work, schema = str(tmp_path / "in"), str(tmp_path / "work"), "u long, at timestamp, kind string"
+    monkeypatch.setattr(jobs, "UPLOAD_BUCKETS", 2)
+    hour = lambda n: T(2024, 1, 1) + dt.timedelta(hours=n)
+    put(spark, source, "moves", 0, [(i, hour(i % 5), "staged") for i in range(60)] + [(i, hour(i % 5 + i), "committed") for i in range(0, 60, 2)], schema)
+    put(spark, source, "moves", 0, [(999, hour(24 * 30), "staged")], schema)
+    out = jobs.run(jobs.expiring_uploads(jobs.source(spark, source, "moves", 1), "u", "at", "kind", "1 day"), "expired", "append", folder=work)
+    assert sorted((r["u"], r["staged_at"]) for r in jobs.sink(spark, out).collect()) == [(i, hour(i % 5)) for i in range(60) if i % 2 or i > 24]
