@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import same_day
 from ..functions.keys import weld_number_key
+from ..sources.shared import written
 from .evidence import ticket_of
 
 BOOK = "job_book_id"
@@ -88,25 +89,52 @@ def calibration_plan(certificates: DataFrame, wrenches: DataFrame, connections:
     return c.select(*certificates.columns, "match", "disposition", writable.alias("writable"), "prior", differs.alias("roster_disagrees"), F.when(F.col("match") == "matched", F.col("id")).alias("matched_id"))
 
 
-def _verdict(on_file: Column, start: Column, end: Column, day: Column, there: Column) -> Column:
-    return F.when(~there, "unknown_wrench").when(~F.coalesce(on_file, F.lit(False)), "no_certificate").when(start.isNull(), "certificate_unread").when(day.isNull(), "no_torque_date").when(day < start, "not_yet_issued").when(day > end, "expired").otherwise("valid")
+def _days_counted(connections: DataFrame, wrenches: DataFrame) -> DataFrame:
+    """(_key, wrench_id, matched_id, day, n): connections of each wrench of a plan by day; the rows do not grow with a wrench's certificates.
+
+    By the code as written, and by the wrench's id where that is not the same connection.
+    """
+    c = connections.groupBy(F.col("wrench_id").alias("c_ref"), F.col("wrench_id_raw").alias("c_raw"), F.col("torque_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    by_raw = c.join(wrenches, F.col("c_raw") == F.col("wrench_id"))
+    by_ref = c.join(wrenches, F.col("c_ref") == F.col("matched_id")).where("c_raw IS NULL OR c_raw <> wrench_id")
+    own = ["wrench_id", "matched_id", "day"]
+    return by_raw.select(*own, "n").unionByName(by_ref.select(*own, "n")).groupBy(*own).agg(F.sum("n").alias("n"))
 
 
 def plan_effects(plan: DataFrame, wrenches: DataFrame, connections: DataFrame) -> DataFrame:
-    """Per certificate: the connections of its wrench, and how many it would resolve and expose."""
+    """Per certificate: the connections of its wrench, and how many it would resolve and expose.
+
+    Both are numbers of connections on days between dates of the certificate and of what is on file, so they are differences of counts up to
+    a day. Those are worked out once per wrench and day that is asked for, and certificates never meet single connections.
+    """
+    spark, day = plan.sparkSession, F.col("day")
     w = wrenches.select(F.col("id").alias("matched_id"), F.col("cert_on_file").alias("f"), F.col("last_calibration_date").alias("s"), F.col("calibration_due_date").alias("e"))
-    p = plan.where("match <> 'no_serial'").select("file", "wrench_id", "matched_id", "writable", "disposition", "date_calibrated", "due").join(w, "matched_id", "left")
-    c = connections.select(F.col("id").alias("c_id"), F.col("wrench_id").alias("c_ref"), F.col("wrench_id_raw").alias("c_raw"), "torque_date")
-    # By the code as written, and by the wrench's id where that is not the same connection.
-    by_raw = p.join(c, p.wrench_id == c.c_raw)
-    by_ref = p.join(c, p.matched_id == c.c_ref).where("c_raw IS NULL OR c_raw <> wrench_id")
-    day, there = F.col("torque_date"), F.col("matched_id").isNotNull()
-    before = _verdict(F.col("f"), F.col("s"), F.col("e"), day, there)
-    after = _verdict(F.lit(True), F.col("date_calibrated"), F.col("due"), day, F.lit(True))
-    rows = by_raw.unionByName(by_ref).select("file", "writable", "disposition", day.alias("day"), before.alias("was"), after.alias("now"))
-    changes = F.col("writable") & (F.col("disposition") == "calibration") & (F.col("was") != F.col("now"))
-    exposed = (changes & F.col("now").isin("expired", "not_yet_issued")) | (F.col("writable") & (F.col("disposition") == "failed") & F.col("day").isNotNull())
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("connections"), F.count_if(changes & (F.col("now") == "valid")).alias("resolved"), F.count_if(exposed).alias("exposed"))
+    p = written(spark, plan.where("match <> 'no_serial'").select("file", "wrench_id", "matched_id", "writable", "disposition", F.col("date_calibrated").alias("d"), "due"), "plan")
+    own = p.select("wrench_id", "matched_id").distinct().join(w, "matched_id", "left").withColumn("judged", F.coalesce("f", F.lit(False)) & F.col("s").isNotNull())
+    counted = written(spark, _days_counted(connections, own.select("wrench_id", "matched_id")), "days-counted")
+    key = [F.col("wrench_id").alias("k_wrench"), F.coalesce("matched_id", F.lit("")).alias("k_id")]
+    # Connections up to a day, for every day that some certificate or the file of its wrench asks for.
+    before = lambda c: F.date_sub(c, 1)
+    asked = p.select(*key, F.explode(F.array(before(F.col("d")), F.col("due"))).alias("day")).unionByName(own.select(*key, F.explode(F.array(before(F.col("s")), F.col("e"))).alias("day"))).where(day.isNotNull()).distinct()
+    steps = asked.withColumn("n", F.lit(0).cast("long")).unionByName(counted.where(day.isNotNull()).select(*key, "day", "n")).groupBy("k_wrench", "k_id", "day").agg(F.sum("n").alias("n"))
+    upto = written(spark, steps.select("k_wrench", "k_id", "day", F.sum("n").over(Window.partitionBy("k_wrench", "k_id").orderBy("day")).alias("upto")), "upto")
+    at = lambda df, c, name: df.join(upto.select("k_wrench", "k_id", day.alias("_day"), F.col("upto").alias(name)), (F.col("wrench_id") == F.col("k_wrench")) & (F.coalesce("matched_id", F.lit("")) == F.col("k_id")) & (c == F.col("_day")), "left").drop("k_wrench", "k_id", "_day")
+    total = counted.groupBy("wrench_id", "matched_id").agg(F.sum("n").alias("connections"), F.sum(F.when(day.isNotNull(), F.col("n")).otherwise(0)).alias("dated"))
+    own = own.join(total, own["wrench_id"].eqNullSafe(total["wrench_id"]) & own["matched_id"].eqNullSafe(total["matched_id"])).select(own["*"], "connections", "dated")
+    own = at(at(own, before(F.col("s")), "to_s"), F.col("e"), "to_e").withColumn("to_e", F.when(F.col("e").isNull(), F.col("dated")).otherwise(F.col("to_e")))
+    own = own.select(F.col("wrench_id").alias("o_wrench"), F.col("matched_id").alias("o_id"), "connections", "dated", "judged", "to_s", "to_e")
+    rows = at(at(p, before(F.col("d")), "to_d"), F.col("due"), "to_due")
+    rows = rows.join(own, (F.col("wrench_id") == F.col("o_wrench")) & F.col("matched_id").eqNullSafe(F.col("o_id")))
+    to_due = F.when(F.col("due").isNull(), F.col("dated")).otherwise(F.col("to_due"))
+    dated, to_d, to_s, to_e, zero = F.col("dated"), F.col("to_d"), F.col("to_s"), F.col("to_e"), F.lit(0).cast("long")
+    positive, both = lambda n: F.greatest(n, zero), lambda n: F.when(F.col("judged"), n).otherwise(zero)
+    # Newly valid: inside the certificate's window, but not inside that on file. Newly early or expired: likewise outside.
+    resolved = positive(to_due - to_d) - both(positive(F.least(to_due, to_e) - F.greatest(to_d, to_s)))
+    early = to_d - both(F.least(to_d, to_s))
+    late = dated - F.greatest(to_due, to_d) - both(dated - F.greatest(to_due, to_d, to_e, to_s))
+    changes = F.col("writable") & (F.col("disposition") == "calibration")
+    exposed = F.when(changes, early + late).when(F.col("writable") & (F.col("disposition") == "failed"), dated).otherwise(zero)
+    return rows.groupBy("file").agg(F.sum("connections").alias("connections"), F.sum(F.when(changes, resolved).otherwise(zero)).alias("resolved"), F.sum(exposed).alias("exposed"))
 
 
 def calibration_counts(plan: DataFrame, effects: DataFrame) -> DataFrame:
