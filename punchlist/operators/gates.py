@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..sources.shared import written
 from . import completeness, reconcile, validity
 from .scoring import unscaffolded
 
@@ -155,15 +156,20 @@ def facts(t: dict[str, DataFrame], as_of: Column) -> DataFrame:
     w = t["weld"].where("weld_date IS NOT NULL").select(BOOK, F.col("id").alias("record"), passes.alias("who"), F.col("weld_date").alias("day"))
     asked = w.select("who", "day").distinct().withColumn("event", F.concat_ws("|", "who", "day"))
     q = validity.qualification_verdicts(asked, t["welder_qualification"].withColumnRenamed("welder_id", "who"), ["who"], "event", "day", "qualification_date", "expiry_date").select("who", "day", (F.col("verdict") == "qualified").alias("ok"))
-    welds = w.join(q, ["who", "day"]).select(BOOK, "ok")
+    # Written, so that their size is known: there are people times days at most, and records need not be shuffled to meet them.
+    spark = book.sparkSession
+    welds = w.join(written(spark, q, "verdicts"), ["who", "day"]).select(BOOK, "ok")
     x = t["torque_connection"].where("torque_date IS NOT NULL AND wrench_id IS NOT NULL").select(BOOK, F.lit("torque_wrench").alias("kind"), F.col("wrench_id").alias("subject_id"), F.col("torque_date").alias("day"), F.lit(None).cast("string").alias("method"))
     n = t["nde_report"].where("technician_id IS NOT NULL").select(BOOK, F.lit("ndt_technician").alias("kind"), F.col("technician_id").alias("subject_id"), F.col("report_date").alias("day"), "method")
-    work = x.unionByName(n).withColumn("event", F.concat_ws("|", BOOK, "kind", "subject_id", "day", F.coalesce("method", F.lit(""))))
-    key = [BOOK, "kind", "subject_id"]
-    live = F.col("s").isNotNull() & dates.is_within(F.col("day"), F.col("s"), F.col("e")) & (F.col("method").isNull() | F.coalesce(F.array_contains("ndt_methods", F.col("method")), F.lit(False)))
-    covered = work.select(*key, "event", "day", "method").distinct().join(certs, key, "left").groupBy("event").agg(F.coalesce(F.bool_or(live), F.lit(False)).alias("ok"))
-    known = work.join(covered, "event").join(tools.select("subject_id", F.lit(True).alias("there")), "subject_id", "left")
-    rest = known.select(BOOK, (F.col("ok") & ((F.col("kind") != "torque_wrench") | F.col("there").isNotNull())).alias("ok"))
+    # Certificates of any method are asked for as such; ``covered_days`` never pairs questions with certificates.
+    key = [BOOK, "kind", "subject_id", "of", "named"]
+    of = lambda method: [F.when(method.isNull(), "any").otherwise("method").alias("of"), F.coalesce(method, F.lit("")).alias("named")]
+    work = x.unionByName(n).select(BOOK, "kind", "subject_id", "day", *of(F.col("method")))
+    asks = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct(F.array_compact("ndt_methods")), F.array().cast("array<string>")))).alias("method")
+    windows = certs.select(BOOK, "kind", "subject_id", "s", "e", asks).select(BOOK, "kind", "subject_id", "s", "e", *of(F.col("method")))
+    covered = validity.covered_days(work.where("day IS NOT NULL").distinct(), windows, key, "day", "s", "e").where("live")
+    known = work.join(written(spark, covered, "covered"), [*key, "day"], "left").join(tools.select("subject_id", F.lit(True).alias("there")), "subject_id", "left")
+    rest = known.select(BOOK, (F.col("live").isNotNull() & ((F.col("kind") != "torque_wrench") | F.col("there").isNotNull())).alias("ok"))
     parts.append(_asked(welds.unionByName(rest), n_uncovered_work=~F.col("ok")))
 
     rows = reduce(lambda p, q: p.unionByName(q, allowMissingColumns=True), parts)
