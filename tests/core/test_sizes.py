@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from punchlist import registry
-from punchlist.operators import linking, notify, papers, reconcile, validity
+from punchlist.operators import evidence, linking, notify, papers, reconcile, validity
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -157,3 +157,12 @@ def test_windows_meet_days_not_each_other(spark):
     assert {r["id"]: r["verdict"] for r in v.collect()} == want_v
     assert {r["id"]: (r["verdict"], r["covers"]) for r in c.collect()} == want_c
     assert joined(spark, v) <= 3000 and joined(spark, c) <= 6000
+
+
+def test_tickets_meet_in_lists(spark):
+    """Of one ticket with many reports and welds, no pair comes out of the join itself."""
+    reports = spark.range(400).selectExpr("'B' AS job_book_id", "'r' || id AS id", "CASE WHEN id < 390 THEN 'RT-7' WHEN id < 395 THEN 'RT-0' || id END AS report_number")
+    welds = spark.range(300).selectExpr("'B' AS job_book_id", "'w' || id AS id", "CASE WHEN id = 299 THEN 'not_used' END AS status", "CASE WHEN id % 2 = 0 THEN ' T-07' WHEN id = 1 THEN '391' END AS ndt_ticket_number", "CASE WHEN id > 1 THEN 'x7' END AS xray_number")
+    out = evidence.welds_of_tickets(welds, reports)
+    assert joined(spark, out) <= 400
+    assert sorted(tuple(r) for r in out.collect()) == sorted([("B", f"r{i}", f"w{j}") for i in range(390) for j in range(300) if j not in (1, 299)] + [("B", "r391", "w1")])
