@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import us_date
+from ..sources.shared import written
 from .identity import identities, name_key, ranked_names
 
 #: What the printed form calls its joint types, its totals, the headings above its tables, and qualifications of inspectors.
@@ -152,17 +153,21 @@ def people_plan(rows: DataFrame, register: DataFrame) -> DataFrame:
     each other, directly or through others, are one person: the first row creates the entry, named by its own row id, the others match it
     (``batch``). An entry made from them knows all their names, so the same rows match it the next time.
     """
+    spark = rows.sparkSession
     combined = F.trim("stamp").rlike(COMBINED)
     reason = F.when(F.coalesce(F.trim("stamp"), F.lit("")) == "", "no_stamp").when(combined, "combined_stamp")
     keyed = rows.withColumns({"skip_reason": reason, "stamp_key": name_key("stamp"), "name_key": name_key("name")})
     known = ranked_names(register, ["book"])
-    known = known.groupBy("book", F.least("rank", F.lit(2)).alias("by"), "key").agg(F.min(F.struct("rank", "person_id")).alias("hit"))
-    probes = keyed.where("skip_reason is null").select("book", "row_id", F.explode(F.array(F.struct(F.lit(1).alias("by"), F.col("stamp_key").alias("key")), F.struct(F.lit(2).alias("by"), F.col("name_key").alias("key")))).alias("p"))
-    hits = probes.select("book", "row_id", "p.by", "p.key").join(known, ["book", "by", "key"]).groupBy("book", "row_id").agg(F.min("hit").alias("hit"))
-    found = keyed.join(hits, ["book", "row_id"], "left")
-    new = found.where("skip_reason is null and hit is null")
-    same = identities(new.select("book", "row_id", "stamp_key", "name_key"), ["book"], "row_id", ["stamp_key", "name_key"])
-    joined = found.join(same, ["book", "row_id"], "left")
+    known = written(spark, known.groupBy("book", F.least("rank", F.lit(2)).alias("by"), "key").agg(F.min(F.struct("rank", "person_id")).alias("hit")), "known-names")
+    # Rows with the same two keys are decided alike, so each pair of keys is decided once, by its smallest row.
+    pair = ["book", "stamp_key", "name_key"]
+    pairs = written(spark, keyed.where("skip_reason is null").groupBy(*pair).agg(F.min("row_id").alias("least_id")), "name-pairs")
+    probes = pairs.select("book", "least_id", F.explode(F.array(F.struct(F.lit(1).alias("by"), F.col("stamp_key").alias("key")), F.struct(F.lit(2).alias("by"), F.col("name_key").alias("key")))).alias("p"))
+    hits = probes.select("book", "least_id", "p.by", "p.key").join(known, ["book", "by", "key"]).groupBy("book", "least_id").agg(F.min("hit").alias("hit"))
+    found = written(spark, pairs.join(hits, ["book", "least_id"], "left"), "pairs-found")
+    same = identities(found.where("hit is null").select("book", "least_id", "stamp_key", "name_key"), ["book"], "least_id", ["stamp_key", "name_key"])
+    decided = written(spark, found.join(same, ["book", "least_id"], "left").select(*[F.col(c).alias(f"_{c}") for c in pair], "hit", "identity"), "pairs-decided")
+    joined = keyed.join(decided, [F.col("skip_reason").isNull(), F.col("book") == F.col("_book"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair[1:]]], "left")
     action = F.when(F.col("skip_reason").isNotNull(), "skip").when(F.col("hit").isNotNull(), "match").when(F.col("identity") == F.col("row_id"), "create").otherwise("match")
     by = F.when(F.col("hit").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in ("stamp", "name", "alias")]), F.col("hit.rank"))).when(F.col("identity") != F.col("row_id"), "batch")
     return joined.select("book", "row_id", "stamp", "name", "wpq_expires", action.alias("action"), by.alias("matched_by"), F.coalesce("hit.person_id", "identity").alias("person_id"), "skip_reason")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from punchlist import registry
-from punchlist.operators import evidence, linking, notify, papers, reconcile, validity
+from punchlist.operators import evidence, linking, notify, overview, papers, reconcile, validity
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -166,3 +166,17 @@ def test_tickets_meet_in_lists(spark):
     out = evidence.welds_of_tickets(welds, reports)
     assert joined(spark, out) <= 400
     assert sorted(tuple(r) for r in out.collect()) == sorted([("B", f"r{i}", f"w{j}") for i in range(390) for j in range(300) if j not in (1, 299)] + [("B", "r391", "w1")])
+
+
+def test_people_are_decided_once_per_pair_of_names(spark):
+    """Few people on many rows: no row is shuffled to find out who it is."""
+    rows_ = spark.range(3000).selectExpr("CAST(id % 2 AS STRING) AS book", "'r' || lpad(id, 6, '0') AS row_id", "CASE id % 5 WHEN 0 THEN 's1' WHEN 1 THEN ' S2' WHEN 2 THEN 's3' WHEN 3 THEN ' ' ELSE 'A + B' END AS stamp", "CASE id % 5 WHEN 0 THEN 'One' WHEN 1 THEN 'two' WHEN 2 THEN 'TWO' END AS name", "CAST(NULL AS DATE) AS wpq_expires")
+    register = spark.createDataFrame([("0", "p1", "S1", "Someone", None)], "book string, person_id string, initials string, full_name string, name_aliases array<string>")
+    out = overview.people_plan(rows_, register)
+    assert shuffled(spark, out) <= 300
+    got = {(r["book"], int(r["row_id"][1:]) % 5, r["action"], r["matched_by"], r["person_id"], r["skip_reason"]) for r in out.collect()}
+    want = {("0", 0, "match", "stamp", "p1", None), ("1", 0, "create", None, "r000005", None), ("1", 0, "match", "batch", "r000005", None)}
+    want |= {(b, c, "skip", None, None, why) for b in "01" for c, why in ((3, "no_stamp"), (4, "combined_stamp"))}
+    for b, first in (("0", "r000002"), ("1", "r000001")):
+        want |= {(b, c, "match", "batch", first, None) for c in (1, 2)} | {(b, 2 if b == "0" else 1, "create", None, first, None)}
+    assert got == want and out.count() == 3000
