@@ -25,14 +25,18 @@ DIMENSIONS = [
 ]
 
 
-def smys_psi(grade: Column) -> Column:
-    """The yield strength of a grade, whatever its spelling; unknown grades are NULL."""
-    known = F.create_map(*[F.lit(x) for pair in YIELD_PSI.items() for x in pair])
-    return known[F.regexp_replace(F.upper(grade), "[^A-Z0-9]", "")]
+def grade_key(grade: Column) -> Column:
+    """The letters and digits of a grade, whatever its spelling."""
+    return F.regexp_replace(F.upper(grade), "[^A-Z0-9]", "")
+
+
+def yield_table(spark: SparkSession) -> DataFrame:
+    """(grade_key, smys_psi): a handful of rows; unknown grades are not in it."""
+    return spark.createDataFrame(list(YIELD_PSI.items()), "grade_key string, smys_psi int")
 
 
 def dimension_table(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    """(nps_key, od_in, wall_in): the fixed values, or those of a book's own sheet; some dozens of rows, so joins broadcast it."""
+    """(nps_key, od_in, wall_in): the fixed values, or those of a book's own sheet; some dozens of rows."""
     rows = [(a, float(od), float(wall)) for a, od, _, wall in rows or DIMENSIONS]
     table = spark.createDataFrame(rows, "size string, od_in double, wall_in double")
     return table.groupBy(pipe_key(F.col("size")).alias("nps_key")).agg(F.first("od_in").alias("od_in"), F.first("wall_in").alias("wall_in"))
@@ -46,11 +50,15 @@ def hoop_stress_psi(pressure: Column, od: Column, wall: Column) -> Column:
 def with_stress(welds: DataFrame, size: str, grade: str, pressure: Column, bands: list[tuple[str, float, float | None, float]] | None = None, dimensions: DataFrame | None = None) -> DataFrame:
     """Welds with diameter, wall, hoop stress, share of yield, the band that the share is in, and why it cannot be said.
 
+    Dimensions and grades are some dozens of rows whose size Spark does not know, so they are broadcast: joined by shuffle, all welds would
+    meet in as many tasks as there are sizes of pipe. As a grade comes from a join, it is read once and not anew by every expression below.
+
     ``bands``: (tier, least, most, fraction to examine), in order, the first that fits counts; without bands there is no tier.
     """
     table = dimensions if dimensions is not None else dimension_table(welds.sparkSession)
-    out = welds.withColumn("_key", pipe_key(F.col(size))).join(table.withColumnRenamed("nps_key", "_key"), "_key", "left").drop("_key")
-    out = out.withColumn("smys_psi", smys_psi(F.col(grade))).withColumn("_p", pressure)
+    out = welds.withColumn("_key", pipe_key(F.col(size))).join(F.broadcast(table.withColumnRenamed("nps_key", "_key")), "_key", "left").drop("_key")
+    grades = yield_table(welds.sparkSession).withColumnRenamed("grade_key", "_key")
+    out = out.withColumn("_key", grade_key(F.col(grade))).join(F.broadcast(grades), "_key", "left").drop("_key").withColumn("_p", pressure)
     ready = F.col("od_in").isNotNull() & F.col("smys_psi").isNotNull()
     out = out.withColumn("hoop_stress_psi", F.when(ready, hoop_stress_psi(F.col("_p"), F.col("od_in"), F.col("wall_in")))).withColumn("pct_smys", F.col("hoop_stress_psi") / F.col("smys_psi"))
     tier, fraction = F.lit(None).cast("string"), F.lit(None).cast("double")

@@ -180,3 +180,10 @@ def test_people_are_decided_once_per_pair_of_names(spark):
     for b, first in (("0", "r000002"), ("1", "r000001")):
         want |= {(b, c, "match", "batch", first, None) for c in (1, 2)} | {(b, 2 if b == "0" else 1, "create", None, first, None)}
     assert got == want and out.count() == 3000
+
+
+@given
+@pytest.mark.parametrize("name", ["f11_hoop_stress", "r_stress"])
+def test_welds_are_not_shuffled_to_sizes_of_pipe(spark, name):
+    """There are a handful of sizes, so a handful of tasks would hold all welds."""
+    assert "SortMergeJoin" not in plan(registry.queries()[name](spark, SF))
