@@ -187,3 +187,10 @@ def test_people_are_decided_once_per_pair_of_names(spark):
 def test_welds_are_not_shuffled_to_sizes_of_pipe(spark, name):
     """There are a handful of sizes, so a handful of tasks would hold all welds."""
     assert "SortMergeJoin" not in plan(registry.queries()[name](spark, SF))
+
+
+@given
+@pytest.mark.parametrize("name", ["i9_flowline_findings", "i9_flowline_welds"])
+def test_rows_of_flowline_logs_are_read_once(spark, name):
+    """Two steps need the rows; neither reads the log's cells again."""
+    assert "posexplode" not in plan(registry.queries()[name](spark, SF))
