@@ -194,3 +194,10 @@ def test_welds_are_not_shuffled_to_sizes_of_pipe(spark, name):
 def test_rows_of_flowline_logs_are_read_once(spark, name):
     """Two steps need the rows; neither reads the log's cells again."""
     assert "posexplode" not in plan(registry.queries()[name](spark, SF))
+
+
+@given
+def test_cells_are_put_in_order_by_their_rows_first(spark):
+    """All cells may be of one file, which then tells none of them apart."""
+    sorts = [line for line in plan(registry.queries()["i6_flowline_torque"](spark, SF)).splitlines() if "Sort [" in line and "row_no" in line]
+    assert sorts and all("Sort [row_no" in line for line in sorts)
