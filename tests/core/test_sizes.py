@@ -201,3 +201,13 @@ def test_cells_are_put_in_order_by_their_rows_first(spark):
     """All cells may be of one file, which then tells none of them apart."""
     sorts = [line for line in plan(registry.queries()["i6_flowline_torque"](spark, SF)).splitlines() if "Sort [" in line and "row_no" in line]
     assert sorts and all("Sort [row_no" in line for line in sorts)
+
+
+def test_lines_are_not_shuffled_to_numbers_of_welds(spark):
+    """Many lines print one number, or none that can be read; Spark does not know how large the log is."""
+    lines = spark.createDataFrame([("B", f"r{i % 7}", f"l{i}", None, None, ["1.1"] if i % 3 else ["no number", "2.2"]) for i in range(300)], "job_book_id string, report_id string, line string, report_date date, welder_stamp string, candidates array<string>")
+    welds = spark.createDataFrame([("B", "w1", "1.1", None, None, None), ("B", "w2", "2.2", None, "T-1", None), ("C", "w3", "1.1", None, None, None)], "job_book_id string, id string, weld_number string, welder_stamp string, ndt_ticket_number string, xray_number string")
+    out = linking.chosen_welds(lines, welds)
+    assert "SortMergeJoin" not in plan(out)
+    assert {(int(r["line"][1:]) % 3 == 0, r["printed"], r["weld_id"], r["status"], r["n_candidates"]) for r in out.collect()} == {(False, "1.1", "w1", "unchecked", 1), (True, "no number", None, "unmatched", 0)}
+    assert out.count() == 300
