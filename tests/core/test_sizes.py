@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from punchlist import registry
-from punchlist.operators import evidence, linking, notify, overview, papers, reconcile, validity
+from punchlist.operators import evidence, linking, notify, overview, pairs, papers, reconcile, validity
 
 SF = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -131,6 +131,27 @@ def test_pairs_of_notes_are_not_shuffled(spark):
     assert shuffled(spark, wide) <= 2000 and wide.count() == 120_000
 
 
+def test_pairs_of_notes_are_written_in_runs(spark, tmp_path):
+    """The audience of a note is written as the one before it, though notes of all books come in turn."""
+    notes = spark.range(6000).selectExpr("id * 7919 % 6000 AS note", "CAST(id % 8 AS INT) AS book", "id % 100 AS author", "IF(id % 5 = 0, 'info', 'warning') AS severity")
+    people = spark.range(2000).selectExpr("CAST(id % 8 AS INT) AS book", "id * 7919 % 2000 + 1000000 AS person", "IF(id % 16 < 8, 'custodian', 'assignee') AS role")
+    out = str(tmp_path / "pairs")
+    notify.fan_out(notes, people, "note", "book", "author", "person", "role", "severity").write.parquet(out)
+    assert spark.read.parquet(out).count() == 6000 * 125 + 4800 * 125
+    assert sum(os.path.getsize(f"{out}/{f}") for f in os.listdir(out) if f.endswith(".parquet")) < 6000 * 225 / 2
+
+
+def test_rows_of_one_key_meet_in_blocks(spark, monkeypatch):
+    """Every pair of a key once, of rows with and without equal ids, and no row of a blank key."""
+    monkeypatch.setattr(pairs, "ROWS", 50)
+    monkeypatch.setattr(pairs, "HELD", 20)
+    one = spark.range(330).selectExpr("CASE WHEN id < 300 THEN 'a' WHEN id < 320 THEN 'b' WHEN id < 325 THEN 'c' END AS k", "id % 200 AS x", "id AS row_x")
+    many = spark.range(170).selectExpr("CASE WHEN id < 110 THEN 'a' WHEN id < 160 THEN 'b' WHEN id < 165 THEN 'd' END AS k", "id AS y")
+    out = pairs.all_pairs(one, many, ["k"], "x", "y")
+    assert sorted(tuple(r) for r in out.select("k", "row_x", "y").collect()) == [("a", x, y) for x in range(300) for y in range(110)] + [("b", x, y) for x in range(300, 320) for y in range(110, 160)]
+    assert shuffled(spark, out) <= 300 * 6 + 20 * 3 + 5
+
+
 def test_windows_meet_days_not_each_other(spark):
     """Many certificates and many questions of one subject; against every certificate with every question."""
     import random
