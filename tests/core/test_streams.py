@@ -1,7 +1,9 @@
 """Streams that stop and go on: every row once, and a repeated batch writes what it wrote."""
 
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from punchlist.operators import history
@@ -254,6 +256,32 @@ def test_notes_reach_each_person_once_and_only_notes_are_kept(spark, tmp_path):
     assert sorted((r["batch"], r["n"], r["p"]) for r in sent.collect()) == [(0, 1, 7), (0, 2, 7), (1, 1, 8), (1, 2, 9), (1, 3, 7)]
 
 
+def test_sent_notes_are_not_kept_in_pairs(spark, tmp_path):
+    """The same pairs of notes and their audiences; people may change from batch to batch."""
+    path, schema = str(tmp_path / "sent"), "n long, b int, a long, s string"
+    people = spark.createDataFrame([(1, 7, "custodian"), (1, 8, "assignee"), (2, 7, "custodian"), (2, 9, "assignee")], "b int, p long, r string")
+    later = people.unionByName(spark.createDataFrame([(1, 10, "custodian")], people.schema))
+    batches = [([(1, 1, 0, "info"), (2, 1, 8, "warning"), (5, 1, 7, "info"), (5, 2, 7, "warning")], people), ([(1, 1, 0, "warning"), (2, 2, 0, "warning"), (3, 1, 0, "info"), (3, 1, 0, "info")], people), ([(1, 1, 0, "info"), (4, 1, 10, "info"), (6, 1, None, "info")], later)]
+    for i, (batch, who) in enumerate(batches):
+        each = jobs.told_batches(path, who, "n", "b", "a", "p", "r", "s")
+        for _ in range(2):
+            each(spark.createDataFrame(batch, schema), i)
+    got = sorted(tuple(r) for r in jobs.told_pairs(spark, path, "n", "b", "a", "p").collect())
+    assert got == [(1, 7), (1, 8), (2, 7), (2, 9), (3, 7), (4, 7), (5, 9), (6, 7), (6, 10)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_the_stream_of_notes_writes_no_pairs(spark, monkeypatch):
+    """What it keeps grows with notes and people."""
+    from punchlist import registry
+
+    made, fresh_path = [], jobs.fresh_path
+    monkeypatch.setattr(jobs, "fresh_path", lambda *a: made.append(fresh_path(*a)) or made[-1])
+    sent = registry.queries()["t3_note_stream"](spark, "/root/testdata/sf0.01")
+    kept = sum(spark.read.parquet(f"{made[0]}/sent/{what}").count() for what in ("once", "audiences", "pairs"))
+    assert kept <= 10_000 + 200 and sent.count() == 12_060
+
+
 def test_uploads_are_kept_in_buckets(spark, tmp_path, monkeypatch):
     """Many uploads in few buckets: each is judged by itself. One call of Python an upload took about a millisecond each."""
     source, work, schema = str(tmp_path / "in"), str(tmp_path / "work"), "u long, at timestamp, kind string"
