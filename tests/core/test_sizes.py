@@ -189,6 +189,20 @@ def test_tickets_meet_in_lists(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted([("B", f"r{i}", f"w{j}") for i in range(390) for j in range(300) if j not in (1, 299)] + [("B", "r391", "w1")])
 
 
+def test_lists_of_a_ticket_are_short_and_meet_in_blocks(spark, monkeypatch):
+    """One ticket has all reports and welds: its pairs are made in many tasks, of lists that are soon unfolded."""
+    monkeypatch.setattr(evidence, "LISTS", 2)
+    ids = spark.range(1000).selectExpr("'B' AS k", "id AS x")
+    sizes = [len(r["xs"]) for r in pairs.lists(ids, ["k"], "x", "xs").collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 128
+    reports = spark.range(500).selectExpr("'B' AS job_book_id", "'r' || id AS id", "'RT-7' AS report_number")
+    welds = spark.range(400).selectExpr("'B' AS job_book_id", "'w' || id AS id", "'ok' AS status", "'T-07' AS ndt_ticket_number", "'' AS xray_number")
+    out = evidence.welds_of_tickets(welds, reports)
+    assert out.distinct().count() == out.count() == 200_000
+    tasks = {r[0] for r in out.select(F.spark_partition_id()).distinct().collect()}
+    assert len(tasks) > 1
+
+
 def test_people_are_decided_once_per_pair_of_names(spark):
     """Few people on many rows: no row is shuffled to find out who it is."""
     rows_ = spark.range(3000).selectExpr("CAST(id % 2 AS STRING) AS book", "'r' || lpad(id, 6, '0') AS row_id", "CASE id % 5 WHEN 0 THEN 's1' WHEN 1 THEN ' S2' WHEN 2 THEN 's3' WHEN 3 THEN ' ' ELSE 'A + B' END AS stamp", "CASE id % 5 WHEN 0 THEN 'One' WHEN 1 THEN 'two' WHEN 2 THEN 'TWO' END AS name", "CAST(NULL AS DATE) AS wpq_expires")
